@@ -121,7 +121,7 @@ def design(categoricals: Sequence[str], numerics: Sequence[str], levels: dict,
                     for c in combo[1:]:
                         expr = expr * c[2]
                     cols.append(DesignColumn(":".join(c[0] for c in combo),
-                                             " × ".join(c[1] for c in combo), tuple(t), expr))
+                                             " × ".join(c[1] for c in combo), tuple(factors), expr))
     return cols
 
 

@@ -98,26 +98,39 @@ def top_levels(counts: DataFrame, top_n: int, salt_buckets: int = 64) -> DataFra
                .where(F.col("rank") <= top_n))
 
 
-def lump_levels(df: DataFrame, cols: Sequence[str], top_n: int = 10, other: str = OTHER,
-                null_level: str = NULL_LEVEL) -> DataFrame:
-    """B3+B4: stringify, then keep the N most frequent levels of each column
-    and map the rest to ``other``.
-
-    The kept-level table has at most N rows per column (a proven bound), so
-    it is joined back by broadcast; the big side is never shuffled.
+def fit_lumping(df: DataFrame, cols: Sequence[str], top_n: int = 10,
+                null_level: str = NULL_LEVEL) -> dict:
+    """Kept levels per column: the N most frequent (ties: level ascending).
+
+    One job: stacked level counts (map-side partial counts, so a hot level
+    costs nothing extra) and a salted two-level top-N.  The result has at
+    most N levels per column -- a proven bound -- and is returned to the
+    caller like any fitted estimator state.
     """
-    df = stringify(df, cols, null_level)
-    keep = top_levels(level_counts(df, cols), top_n).select("column", "level")
-    out = df
-    for i, c in enumerate(cols):
-        k = F.broadcast(keep.where(F.col("column") == c)
-                        .select(F.col("level").alias(f"_keep{i}")))
-        out = (out.join(k, out[c] == k[f"_keep{i}"], "left")
-                  .withColumn(c, F.when(F.col(f"_keep{i}").isNotNull(), F.col(c)).otherwise(F.lit(other)))
-                  .drop(f"_keep{i}"))
+    if not cols:
+        return {}
+    keep = top_levels(level_counts(stringify(df, cols, null_level), cols), top_n)
+    out = {c: [] for c in cols}
+    for r in keep.select("column", "level").collect():
+        out[r["column"]].append(r["level"])
     return out
 
 
+def apply_lumping(df: DataFrame, keep: dict, other: str = OTHER, null_level: str = NULL_LEVEL) -> DataFrame:
+    """Map every level outside the kept set to ``other`` (a projection: no
+    join, no shuffle, stays in codegen)."""
+    df = stringify(df, list(keep), null_level)
+    return df.withColumns({c: F.when(F.col(c).isin(lv), F.col(c)).otherwise(F.lit(other))
+                           for c, lv in keep.items()})
+
+
+def lump_levels(df: DataFrame, cols: Sequence[str], top_n: int = 10, other: str = OTHER,
+                null_level: str = NULL_LEVEL) -> DataFrame:
+    """B3+B4: stringify, keep the N most frequent levels of each column and
+    map the rest to ``other`` (fit once, then a pure projection)."""
+    return apply_lumping(df, fit_lumping(df, cols, top_n, null_level), other, null_level)
+
+
 def level_profile(df: DataFrame, cols: Sequence[str], warn_at: int = 20) -> DataFrame:
     """Distinct level count per column, flagged above ``warn_at``."""
     order = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])

@@ -71,13 +71,7 @@ def fit_features(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
     divided by the population std (zero std -> 1).
     """
     reference_levels = dict(reference_levels or {})
-    levels = _distinct_levels(df, categoricals, max_levels)
-    aggs = []
-    for i, c in enumerate(numerics):
-        x = F.col(c).cast("double")
-        aggs.append(F.avg(x).alias(f"_m{i}"))
-        aggs.append(F.stddev_pop(x).alias(f"_s{i}"))
-    stats = df.agg(*aggs).first() if aggs else None
+    levels, num_stats = _profile(df, categoricals, numerics, max_levels)
     feats: list[Feature] = []
     for c in categoricals:
         lv = levels[c]
@@ -90,36 +84,58 @@ def fit_features(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
                 continue
             feats.append(Feature(f"cat__{c}_{level}", c, "categorical", level,
                                  (F.col(c).cast("string") == F.lit(level)).cast("double")))
-    for i, c in enumerate(numerics):
-        mean = stats[f"_m{i}"] if stats else 0.0
-        sd = stats[f"_s{i}"] if stats else 1.0
+    for c in numerics:
+        mean, sd = num_stats[c]
         sc = sd if (sd is not None and sd > 0) else 1.0
         expr = (F.col(c).cast("double") - F.lit(mean)) / F.lit(sc) if scale else F.col(c).cast("double")
         feats.append(Feature(f"num__{c}", c, "numeric", None, expr, mean, sc))
     return FeatureSet(feats, reference_levels, levels)
 
 
-def _distinct_levels(df: DataFrame, cols: Sequence[str], max_levels: int) -> dict:
-    """Sorted distinct levels per column, refusing columns wider than
-    ``max_levels`` (checked on counts first, so nothing unbounded is
-    collected)."""
-    if not cols:
-        return {}
-    from trendlens.operators.clean import level_counts
-
-    counts = level_counts(df, cols).persist()
+def _profile(df: DataFrame, cats: Sequence[str], nums: Sequence[str], max_levels: int):
+    """ONE scan for the whole encoder fit: categorical levels and numeric
+    mean / population std come out of a single stacked aggregate.
+
+    The grouped result is bounded by the number of distinct levels; it is
+    cached, checked per column against ``max_levels`` (a p-row job on the
+    cache) and only then collected, so a runaway categorical never reaches
+    the driver.
+    """
+    if not cats and not nums:
+        return {}, {}
+    items = ([F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"),
+                       F.lit(None).cast("double").alias("x")) for c in cats]
+             + [F.struct(F.lit(c).alias("column"), F.lit(None).cast("string").alias("level"),
+                         F.col(c).cast("double").alias("x")) for c in nums])
+    numset = set(nums)
+    st = (df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+            .groupBy("column", "level")
+            .agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+            .persist())
     try:
-        wide = (counts.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") > max_levels).collect())
-        if wide:
-            raise ValueError(f"columns {[r['column'] for r in wide]} have more than "
-                             f"{max_levels} levels; lump them first")
-        out = {c: [] for c in cols}
-        for r in counts.select("column", "level").collect():
-            out[r["column"]].append(r["level"])
-        return {c: sorted(v) for c, v in out.items()}
+        if cats:
+            wide = (st.where(~F.col("column").isin(list(numset)) if numset else F.lit(True))
+                      .groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+                      .where(F.col("n") > max_levels).collect())
+            if wide:
+                raise ValueError(f"columns {[r['column'] for r in wide]} have more than "
+                                 f"{max_levels} levels; lump them first")
+        levels = {c: [] for c in cats}
+        num_stats = {c: (0.0, 1.0) for c in nums}
+        for r in st.collect():
+            c = r["column"]
+            if c in numset and r["level"] is None:
+                num_stats[c] = (r["mean"], r["std"])
+            if c in levels:
+                levels[c].append(r["level"])
+        return {c: sorted(v) for c, v in levels.items()}, num_stats
     finally:
-        counts.unpersist()
+        st.unpersist()
+
+
+def _distinct_levels(df: DataFrame, cols: Sequence[str], max_levels: int) -> dict:
+    """Sorted distinct levels per column (bounded, see ``_profile``)."""
+    return _profile(df, cols, [], max_levels)[0]
 
 
 def one_hot(df: DataFrame, fs: FeatureSet, keep: Sequence[str]) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from trendlens.functions.linalg import gauss_legendre_01
 from trendlens.operators.forest import LeafTable
+from trendlens.operators.gram import ensure_parallel
 from trendlens.operators.index import stable_index
 
 GRID_RESOLUTION = 100
@@ -66,10 +67,19 @@ def shap_kernel(x: np.ndarray, lt: LeafTable) -> np.ndarray:
     return phi
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """CPU-bound Python kernels need parallel tasks, not big partitions: AQE
+    would coalesce a small shuffle output into one task, so the number of
+    partitions is set explicitly (at least the session's shuffle setting)."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
+
+
 def _dedupe(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Distinct feature vectors with multiplicities (exact: SHAP is a
-    function of the feature vector)."""
-    return df.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("_cnt"))
+    function of the feature vector), spread over parallel tasks."""
+    return _spread(df.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("_cnt")))
 
 
 def shap_importance(df: DataFrame, names: Sequence[str], lt: LeafTable, *, dedupe: bool = True) -> DataFrame:
@@ -127,7 +137,7 @@ def shap_values(df: DataFrame, names: Sequence[str], lt: LeafTable, keep: Sequen
             out["base"] = base
             yield out
 
-    wide = df.select(*keep, *names).mapInPandas(run, schema)
+    wide = ensure_parallel(df.select(*keep, *names)).mapInPandas(run, schema)
     return (wide.select(*keep, "base", F.posexplode("phi").alias("feature_idx", "phi"))
                 .withColumn("feature", F.element_at(F.array(*[F.lit(n) for n in names]),
                                                     F.col("feature_idx") + 1)))
@@ -150,7 +160,7 @@ def shap_additivity(df: DataFrame, names: Sequence[str], lt: LeafTable, predicti
             err = np.abs(base + phi.sum(axis=1) - pdf[prediction].to_numpy(dtype=float))
             yield pd.DataFrame({"max_err": [float(err.max())], "n": [len(x)]})
 
-    parts = df.select(*names, prediction).mapInPandas(run, "max_err double, n long")
+    parts = ensure_parallel(df.select(*names, prediction)).mapInPandas(run, "max_err double, n long")
     return parts.agg(F.max("max_err").alias("max_abs_error"), F.sum("n").alias("n"))
 
 
@@ -327,25 +337,20 @@ def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key:
     e = F.col(label).cast("double") - F.col("prediction")
     r2_expr = 1 - F.sum(e * e) / (F.var_pop(F.col(label).cast("double")) * F.count(F.lit(1)))
     r2_base = score(base).agg(r2_expr.alias("r2")).first()["r2"]  # one number
-    frames = []
-    for r in range(repeats):
-        h = base.select(F.col("row_idx").alias("donor_idx"),
-                        F.xxhash64(F.col("row_idx"), F.lit(seed), F.lit(r)).alias("_h"))
-        ranked, _ = stable_index(h, ["_h", "donor_idx"], out="rank")
-        donor = (ranked.select("rank", "donor_idx")
-                       .join(base.select(F.col("row_idx").alias("donor_idx"),
-                                         *[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)]),
-                             "donor_idx"))
-        joined = base.join(donor, base["row_idx"] == donor["rank"])
-        variants = F.explode(F.array(*[
-            F.struct(F.lit(j).alias("feature_idx"),
-                     *[(F.col(f"_d{i}") if i == j else F.col(c)).alias(c) for i, c in enumerate(names)])
-            for j in range(p)]))
-        frames.append(joined.select(F.lit(r).alias("repeat"), label, variants.alias("v"))
-                            .select("repeat", label, "v.*"))
-    perm = frames[0]
-    for f in frames[1:]:
-        perm = perm.unionByName(f)
+    # donor ranks of ALL repeats from one distributed sort: key (repeat, hash)
+    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
+    h = base.select(F.col("row_idx").alias("donor_idx"), reps).withColumn(
+        "_h", F.xxhash64(F.col("donor_idx"), F.lit(seed), F.col("repeat")))
+    ranked, _ = stable_index(h, ["repeat", "_h", "donor_idx"], out="_g")
+    ranked = ranked.select("repeat", "donor_idx", (F.col("_g") - F.col("repeat") * F.lit(n)).alias("rank"))
+    donor = ranked.join(base.select(F.col("row_idx").alias("donor_idx"),
+                                    *[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)]), "donor_idx")
+    joined = base.join(donor, base["row_idx"] == donor["rank"])
+    variants = F.explode(F.array(*[
+        F.struct(F.lit(j).alias("feature_idx"),
+                 *[(F.col(f"_d{i}") if i == j else F.col(c)).alias(c) for i, c in enumerate(names)])
+        for j in range(p)]))
+    perm = joined.select("repeat", label, variants.alias("v")).select("repeat", label, "v.*")
     r2 = score(perm).groupBy("repeat", "feature_idx").agg(r2_expr.alias("r2_perm"))
     fmap = F.create_map(*[x for i, nm in enumerate(names) for x in (F.lit(i), F.lit(nm))])
     return r2.select("feature_idx", fmap[F.col("feature_idx")].alias("feature"), "repeat",

@@ -57,8 +57,13 @@ def fit_forest(df: DataFrame, label: str, features_col: str = "features", *, tre
     rf = RandomForestRegressor(featuresCol=features_col, labelCol=label, numTrees=trees,
                                maxDepth=max_depth, seed=seed, maxBins=max_bins,
                                featureSubsetStrategy=feature_subset, bootstrap=True,
-                               subsamplingRate=1.0, minInstancesPerNode=min_instances)
-    return rf.fit(df)
+                               subsamplingRate=1.0, minInstancesPerNode=min_instances,
+                               # more nodes per pass over the data; node-id cache is
+                               # checkpointed to the shared folder, cutting lineage
+                               maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
+    from trendlens.operators.gram import ensure_parallel
+
+    return rf.fit(ensure_parallel(df))
 
 
 def save_model(spark: SparkSession, model, path: str | None = None) -> str:

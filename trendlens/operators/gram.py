@@ -44,6 +44,17 @@ def _as_specs(cols) -> list[ColSpec]:
     return out
 
 
+def ensure_parallel(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Give CPU-bound stages (Python kernels, tree training) at least
+    ``factor x defaultParallelism`` tasks.  Only inputs with fewer partitions
+    (e.g. one small file) are repartitioned; large inputs already have
+    thousands of splits and pass through without an extra shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def not_missing(c: Column) -> Column:
     """Non-null and not NaN (double semantics)."""
     d = c.cast("double")
@@ -104,7 +115,7 @@ def _arrow_moments(df, specs, weight, by):
         index[b] = idx
     w = (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w")
     key_fields = [df.schema[c] for c in by]
-    src = df.select(*[F.col(c) for c in by], w, *exprs)
+    src = ensure_parallel(df.select(*[F.col(c) for c in by], w, *exprs))
     out_schema = T.StructType(
         [T.StructField(f.name, f.dataType, True) for f in key_fields]
         + [T.StructField("block", T.StringType()),
@@ -149,8 +160,15 @@ def _arrow_moments(df, specs, weight, by):
             yield pd.DataFrame(rows_out, columns=list(by) + ["block", "g"])
 
     parts = src.mapInPandas(partial, out_schema)
+    return merge_partials(parts, by, {b: len(idx) + 1 for b, idx in block_items})
+
+
+def merge_partials(parts: DataFrame, by: Sequence[str], k_by_block: Mapping[str, int]) -> DataFrame:
+    """Element-wise sum of per-task partial moment vectors (``g`` arrays)
+    per (by..., block) with ``Summarizer.sum``: a JVM aggregate with
+    map-side partial merge, so every task ships one small row per group."""
     merged = (parts.groupBy(*by, "block")
               .agg(Summarizer.sum(array_to_vector("g")).alias("gv")))
-    k_of = F.create_map(*[x for b, idx in block_items for x in (F.lit(b), F.lit(len(idx) + 1))])
+    k_of = F.create_map(*[x for b, k in k_by_block.items() for x in (F.lit(b), F.lit(k))])
     return merged.select(*by, "block", k_of[F.col("block")].alias("k"),
                          vector_to_array("gv").alias("g"))

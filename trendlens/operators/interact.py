@@ -29,7 +29,6 @@ from pyspark.sql import types as T
 from trendlens.functions.linalg import solve_moments
 from trendlens.operators.encode import _distinct_levels
 from trendlens.operators.gram import moments
-from trendlens.operators.linear import stack_targets
 
 MAX_COLUMNS = 4000
 
@@ -40,6 +39,7 @@ class DesignColumn:
     label: str      # display label, e.g. "a = x × b"
     parameters: tuple
     expr: Column
+    spec: tuple = ()  # ((factor, level or None), ...): same column, for numpy
 
 
 def _subsets_sorted(factors: Sequence[str]):
@@ -107,10 +107,10 @@ def design(categoricals: Sequence[str], numerics: Sequence[str], levels: dict,
                         lv = levels[f] if coding[f] else levels[f][1:]
                         tag = "" if coding[f] else "T."
                         per_factor.append([(f'C(Q("{f}"))[{tag}{v}]', f"{f} = {v}",
-                                            (F.col(f).cast("string") == F.lit(v)).cast("double"))
+                                            (F.col(f).cast("string") == F.lit(v)).cast("double"), (f, v))
                                            for v in lv])
                     else:
-                        per_factor.append([(f'Q("{f}")', f, F.col(f).cast("double"))])
+                        per_factor.append([(f'Q("{f}")', f, F.col(f).cast("double"), (f, None))])
                 if not factors:
                     cols.append(DesignColumn("Intercept", "Intercept", (), F.lit(1.0)))
                     continue
@@ -121,7 +121,8 @@ def design(categoricals: Sequence[str], numerics: Sequence[str], levels: dict,
                     for c in combo[1:]:
                         expr = expr * c[2]
                     cols.append(DesignColumn(":".join(c[0] for c in combo),
-                                             " × ".join(c[1] for c in combo), tuple(factors), expr))
+                                             " × ".join(c[1] for c in combo), tuple(factors), expr,
+                                             tuple(c[3] for c in combo)))
     return cols
 
 
@@ -166,12 +167,7 @@ def interactions(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
         else:
             designs[d] = cols
     spark = df.sparkSession
-    used = sorted({c for cols in designs.values() for dc in cols for c in dc.parameters})
-    stacked = stack_targets(df, targets, [F.col(c) for c in used], use_wls=False)
-    blocks = {f"d{d}": [(f"d{d}_{i}", dc.expr) for i, dc in enumerate(cols[1:])] + [("y", F.col("y"))]
-              for d, cols in designs.items()}
-    # one pass for all depths; intercept is the implicit leading 1
-    mom = moments(stacked, blocks, weight=F.col("w"), by=["target"], method="arrow") if blocks else None
+    mom = _design_moments(df, categoricals, numerics, targets, designs).persist() if designs else None
     meta = {f"d{d}": [(dc.term, dc.label, list(dc.parameters)) for dc in cols] for d, cols in designs.items()}
 
     def solve(it):
@@ -209,3 +205,70 @@ def interactions(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
             [(t, d, n, "too_wide", None, None, None) for t in targets for d, n in skipped.items()], _STATUS)
         st = st.unionByName(extra)
     return InteractionFit(coef, st, designs)
+
+
+def _design_moments(df: DataFrame, categoricals, numerics, targets, designs) -> DataFrame:
+    """Moment matrices of every depth's design and every target in ONE scan.
+
+    Only the raw inputs and targets cross into Python (Arrow batches); each
+    batch builds every depth's contrast-coded design with numpy products of
+    level indicators and numeric columns and adds its X^T X to a per-task
+    accumulator.  One row per (task, target, depth) leaves each task.
+    """
+    from trendlens.operators.gram import ensure_parallel, merge_partials
+
+    cats, nums, targets = list(categoricals), list(numerics), list(targets)
+    specs = {f"d{d}": [dc.spec for dc in cols[1:]] for d, cols in designs.items()}
+    src = ensure_parallel(df.select(*[F.col(c).cast("string").alias(c) for c in cats],
+                                    *[F.col(c).cast("double").alias(c) for c in nums + targets if c not in cats]))
+    schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("block", T.StringType()),
+                           T.StructField("g", T.ArrayType(T.DoubleType()))])
+
+    def partial(it):
+        acc: dict = {}
+        for pdf in it:
+            if pdf.empty:
+                continue
+            n = len(pdf)
+            ind, num = {}, {}
+            ok_in = np.ones(n, dtype=bool)
+            for c in cats:
+                v = pdf[c].to_numpy(dtype=object)
+                ok_in &= pd.notna(v)
+                ind[c] = v
+            for c in nums:
+                x = pdf[c].to_numpy(dtype=float, na_value=np.nan)
+                ok_in &= ~np.isnan(x)
+                num[c] = x
+            cache: dict = {}
+
+            def column(spec):
+                out = np.ones(n)
+                for f, lvl in spec:
+                    if lvl is None:
+                        out = out * num[f]
+                    else:
+                        key = (f, lvl)
+                        if key not in cache:
+                            cache[key] = (ind[f] == lvl).astype(float)
+                        out = out * cache[key]
+                return out
+
+            for b, cols in specs.items():
+                x = np.empty((n, len(cols) + 1))
+                x[:, 0] = 1.0
+                for i, spec in enumerate(cols):
+                    x[:, i + 1] = column(spec)
+                for t in targets:
+                    y = pdf[t].to_numpy(dtype=float, na_value=np.nan)
+                    ok = ok_in & ~np.isnan(y)
+                    z = np.column_stack([x[ok], y[ok]])
+                    gm = z.T @ z
+                    vec = np.append(gm[np.triu_indices(gm.shape[0])], float(ok.sum()))
+                    acc[(t, b)] = acc[(t, b)] + vec if (t, b) in acc else vec
+        if acc:
+            yield pd.DataFrame([[t, b, v.tolist()] for (t, b), v in acc.items()],
+                               columns=["target", "block", "g"])
+
+    parts = src.mapInPandas(partial, schema)
+    return merge_partials(parts, ["target"], {b: len(c) + 2 for b, c in specs.items()})

@@ -74,8 +74,9 @@ def regression(df: DataFrame, features: Sequence, targets: Sequence[str], *,
     feat_cols = [c.cast("double").alias(f"_f{i}") for i, (_, c) in enumerate(specs)]
     stacked = stack_targets(df, targets, [F.col(c) for c in by] + feat_cols, use_wls, weights)
     cols = [(f"_f{i}", F.col(f"_f{i}")) for i in range(len(specs))] + [("y", F.col("y"))]
+    # tiny (one row per group): cached so coefficient and fit tables share one scan
     mom = moments(stacked, {"linear": cols}, weight=F.col("w"),
-                  by=by + ["target", "method"], method=method)
+                  by=by + ["target", "method"], method=method).persist()
     terms = ["Intercept"] + [n for n, _ in specs]
     key_fields = _key_fields(df, by)
     coef = _solve_table(mom, by, key_fields, terms, alpha)

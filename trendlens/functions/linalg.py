@@ -70,6 +70,7 @@ def solve_moments(g, k: int, n: float, *, alpha: float = 0.05, has_intercept: bo
     Returns a dict with coefficient arrays (coef, std_err, t, p, ci_lo,
     ci_hi) aligned to (Intercept, x_1..x_p) and fit statistics.
     """
+    n = float(round(n))  # merged partial counts carry float round-off
     m = unpack(g, k)
     a = m[:-1, :-1]
     b = m[:-1, -1]

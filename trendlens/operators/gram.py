@@ -13,7 +13,7 @@ Two physical forms:
   row per (task, group, block); the partials are merged element-wise with
   ``Summarizer.sum`` (a JVM aggregate with partial merge).
 
-Output: ``by..., block, k, g`` where ``g`` is the packed upper triangle of the
+Output: ``by..., _block, _k, _g`` where ``g`` is the packed upper triangle of the
 k x k matrix followed by the unweighted row count.
 """
 
@@ -93,8 +93,8 @@ def _sql_moments(df, name, cols, weight, by):
                 e = e * z[j]
             sums.append(F.sum(e))
     sums.append(F.count(F.lit(1)).cast("double"))
-    agg = df.where(cond).groupBy(*by).agg(F.array(*sums).alias("g"))
-    return agg.select(*by, F.lit(name).alias("block"), F.lit(k).alias("k"), "g")
+    agg = df.where(cond).groupBy(*by).agg(F.array(*sums).alias("_g"))
+    return agg.select(*by, F.lit(name).alias("_block"), F.lit(k).alias("_k"), "_g")
 
 
 def _arrow_moments(df, specs, weight, by):
@@ -118,8 +118,8 @@ def _arrow_moments(df, specs, weight, by):
     src = ensure_parallel(df.select(*[F.col(c) for c in by], w, *exprs))
     out_schema = T.StructType(
         [T.StructField(f.name, f.dataType, True) for f in key_fields]
-        + [T.StructField("block", T.StringType()),
-           T.StructField("g", T.ArrayType(T.DoubleType()))])
+        + [T.StructField("_block", T.StringType()),
+           T.StructField("_g", T.ArrayType(T.DoubleType()))])
     block_items = list(index.items())
     ncols = len(names)
 
@@ -157,7 +157,7 @@ def _arrow_moments(df, specs, weight, by):
             rows_out = []
             for (key, b), vec in acc.items():
                 rows_out.append(list(key) + [b, vec.tolist()])
-            yield pd.DataFrame(rows_out, columns=list(by) + ["block", "g"])
+            yield pd.DataFrame(rows_out, columns=list(by) + ["_block", "_g"])
 
     parts = src.mapInPandas(partial, out_schema)
     return merge_partials(parts, by, {b: len(idx) + 1 for b, idx in block_items})
@@ -167,8 +167,8 @@ def merge_partials(parts: DataFrame, by: Sequence[str], k_by_block: Mapping[str,
     """Element-wise sum of per-task partial moment vectors (``g`` arrays)
     per (by..., block) with ``Summarizer.sum``: a JVM aggregate with
     map-side partial merge, so every task ships one small row per group."""
-    merged = (parts.groupBy(*by, "block")
-              .agg(Summarizer.sum(array_to_vector("g")).alias("gv")))
+    merged = (parts.groupBy(*by, "_block")
+              .agg(Summarizer.sum(array_to_vector("_g")).alias("_gv")))
     k_of = F.create_map(*[x for b, k in k_by_block.items() for x in (F.lit(b), F.lit(k))])
-    return merged.select(*by, "block", k_of[F.col("block")].alias("k"),
-                         vector_to_array("gv").alias("g"))
+    return merged.select(*by, "_block", k_of[F.col("_block")].alias("_k"),
+                         vector_to_array("_gv").alias("_g"))

@@ -173,7 +173,7 @@ def interactions(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
     def solve(it):
         for pdf in it:
             out = []
-            for tgt, blk, k, g in zip(pdf["target"], pdf["block"], pdf["k"], pdf["g"]):
+            for tgt, blk, k, g in zip(pdf["target"], pdf["_block"], pdf["_k"], pdf["_g"]):
                 g = np.asarray(g, dtype=float)
                 s = solve_moments(g[:-1], int(k), float(g[-1]), alpha=alpha)
                 d = int(blk[1:])
@@ -185,13 +185,13 @@ def interactions(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
     def status(it):
         for pdf in it:
             out = []
-            for tgt, blk, k, g in zip(pdf["target"], pdf["block"], pdf["k"], pdf["g"]):
+            for tgt, blk, k, g in zip(pdf["target"], pdf["_block"], pdf["_k"], pdf["_g"]):
                 g = np.asarray(g, dtype=float)
                 try:
                     s = solve_moments(g[:-1], int(k), float(g[-1]), alpha=alpha)
-                    out.append([tgt, int(blk[1:]), int(k) - 1, "fitted", int(g[-1]), s["rank"], s["r2"]])
+                    out.append([tgt, int(blk[1:]), int(k) - 1, "fitted", int(round(g[-1])), s["rank"], s["r2"]])
                 except Exception:  # isolate a failing depth (E8)
-                    out.append([tgt, int(blk[1:]), int(k) - 1, "failed", int(g[-1]), None, None])
+                    out.append([tgt, int(blk[1:]), int(k) - 1, "failed", int(round(g[-1])), None, None])
             yield pd.DataFrame(out, columns=[f.name for f in _STATUS.fields])
 
     if mom is not None:
@@ -221,8 +221,8 @@ def _design_moments(df: DataFrame, categoricals, numerics, targets, designs) ->
     specs = {f"d{d}": [dc.spec for dc in cols[1:]] for d, cols in designs.items()}
     src = ensure_parallel(df.select(*[F.col(c).cast("string").alias(c) for c in cats],
                                     *[F.col(c).cast("double").alias(c) for c in nums + targets if c not in cats]))
-    schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("block", T.StringType()),
-                           T.StructField("g", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("_block", T.StringType()),
+                           T.StructField("_g", T.ArrayType(T.DoubleType()))])
 
     def partial(it):
         acc: dict = {}
@@ -268,7 +268,7 @@ def _design_moments(df: DataFrame, categoricals, numerics, targets, designs) ->
                     acc[(t, b)] = acc[(t, b)] + vec if (t, b) in acc else vec
         if acc:
             yield pd.DataFrame([[t, b, v.tolist()] for (t, b), v in acc.items()],
-                               columns=["target", "block", "g"])
+                               columns=["target", "_block", "_g"])
 
     parts = src.mapInPandas(partial, schema)
     return merge_partials(parts, ["target"], {b: len(c) + 2 for b, c in specs.items()})

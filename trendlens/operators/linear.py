@@ -103,10 +103,9 @@ def _solve_table(mom: DataFrame, by, key_fields, terms, alpha) -> DataFrame:
     def solve(it):
         for pdf in it:
             out = []
-            for rec in pdf.itertuples(index=False):
-                r = rec._asdict()
-                g = np.asarray(r["g"], dtype=float)
-                k = int(r["k"])
+            for r in pdf.to_dict("records"):
+                g = np.asarray(r["_g"], dtype=float)
+                k = int(r["_k"])
                 s = solve_moments(g[:-1], k, float(g[-1]), alpha=alpha)
                 for i, term in enumerate(terms):
                     out.append([r[c] for c in by] + [
@@ -124,10 +123,9 @@ def _fit_table(mom: DataFrame, by, key_fields, alpha) -> DataFrame:
     def solve(it):
         for pdf in it:
             out = []
-            for rec in pdf.itertuples(index=False):
-                r = rec._asdict()
-                g = np.asarray(r["g"], dtype=float)
-                s = solve_moments(g[:-1], int(r["k"]), float(g[-1]), alpha=alpha)
+            for r in pdf.to_dict("records"):
+                g = np.asarray(r["_g"], dtype=float)
+                s = solve_moments(g[:-1], int(r["_k"]), float(g[-1]), alpha=alpha)
                 out.append([r[c] for c in by] + [
                     r["target"], r["method"], int(s["n"]), s["rank"], float(s["df_resid"]),
                     s["r2"], s["rss"], s["sigma2"]])
@@ -155,8 +153,8 @@ def cv_r2(df: DataFrame, features: Sequence, targets: Sequence[str], fold_col: s
                            T.StructField("r2", T.DoubleType())])
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        gs = {int(f): np.asarray(g, dtype=float) for f, g in zip(pdf[fold_col], pdf["g"])}
-        k = int(pdf["k"].iloc[0])
+        gs = {int(f): np.asarray(g, dtype=float) for f, g in zip(pdf[fold_col], pdf["_g"])}
+        k = int(pdf["_k"].iloc[0])
         total = sum(gs.values())
         out = []
         for f in sorted(gs):

@@ -68,7 +68,7 @@ def pca(df: DataFrame, features: Sequence) -> PCAResult:
 
     def eig(it):
         for pdf in it:
-            for g, k in zip(pdf["g"], pdf["k"]):
+            for g, k in zip(pdf["_g"], pdf["_k"]):
                 g = np.asarray(g, dtype=float)
                 k = int(k)
                 n = g[-1]

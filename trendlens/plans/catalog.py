@@ -299,17 +299,10 @@ def q_forest_metrics(spark, sf):
 
 def q_forest_cv_r2(spark, sf):
     """5 contiguous folds by key; a forest per fold, scored on its fold."""
+    from trendlens.plans.analysis import Options, forest_cv
+
     fs, wide, vec, model, lt = _forest(spark, sf)
-    folded = kfold(vec, ["p_partkey"], k=5).persist()
-    outs = []
-    for k in range(5):
-        m = forest.fit_forest(folded.where(F.col("fold") != k), "p_retailprice")
-        outs.append(stats.metrics(m.transform(folded.where(F.col("fold") == k)), "p_retailprice", "prediction")
-                    .select(F.lit(k).alias("fold"), "r2"))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    return forest_cv(vec, "p_retailprice", ["p_partkey"], Options())
 
 
 def q_tree_shap_importance(spark, sf):

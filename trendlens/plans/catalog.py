@@ -52,6 +52,41 @@ def q_preview(spark, sf):
         "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", _r("net", D4))
 
 
+def q_sql_source(spark, sf):
+    """A2: the analysis table as a SQL query over catalog views."""
+    fr.table(spark, sf, "part").createOrReplaceTempView("part")
+    from trendlens.sources.load import read_sql
+
+    return read_sql(spark, "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_size > 25")
+
+
+def q_csv_roundtrip(spark, sf):
+    """A1: a CSV written by Spark from ``part`` (missing sizes as empty
+    fields) read back with NA mapping and typed by role."""
+    from trendlens.roles import Roles
+    from trendlens.session import scratch_path
+    from trendlens.sources.load import read_csv
+
+    path = scratch_path(spark, "csv")
+    (fr.table(spark, sf, "part").select("p_partkey", "p_brand", F.expr("nullif(p_size, 1)").alias("p_size"),
+                                        "p_retailprice")
+       .write.option("header", True).csv(path))
+    df = read_csv(spark, path, Roles(["p_brand"], ["p_size"], ["p_retailprice"]))
+    return df.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", "p_size", "p_retailprice")
+
+
+def q_latest_run(spark, sf):
+    """Two runs of a result table written partitioned by run; only the
+    newest is read back."""
+    from trendlens.session import scratch_path
+
+    base = scratch_path(spark, "results")
+    prof = clean.level_profile(fr.frame_p(spark, sf), ["p_brand", "p_type"])
+    results.write_result(prof.where(F.col("ord") == 0), base, "levels", "20000101_000000")
+    results.write_result(prof, base, "levels", "20000102_000000")
+    return results.latest_run(spark, base, "levels").select("run_id", "column", "n_levels", "ord")
+
+
 # ----------------------------------------------------------------- cleaning
 
 def q_drop_audit(spark, sf):
@@ -347,6 +382,20 @@ def q_tree_shap_by_parameter(spark, sf):
     return rollup.shap_by_parameter(imp, fs.table(spark), params)
 
 
+def q_shap_top5(spark, sf):
+    """Top-5 features by mean |SHAP| with their signed mean."""
+    fs, wide, vec, model, lt = _forest(spark, sf)
+    imp = explain.shap_importance(wide, fs.names, lt)
+    return rollup.top_k(imp, 5, F.col("mean_abs_shap").desc()).select("rank", "feature", "mean_abs_shap", "mean_shap")
+
+
+def q_perm_by_parameter(spark, sf):
+    """Permutation importance summed per input column (lineage)."""
+    s = q_perm_importance(spark, sf)
+    params = rollup.params_table(spark, list(fr.P_ROLES.parameters))
+    return rollup.restrict(s.groupBy("parameter").agg(F.sum("importance_mean").alias("importance")), params)
+
+
 # ------------------------------------------------------------------ roll-ups
 
 def q_param_rollup(spark, sf):
@@ -386,6 +435,15 @@ def q_pdp_effect_rank(spark, sf):
     return top.select("feature", _r("effect", D6), _r("pd_min", D6), _r("pd_max", D6), "rank")
 
 
+def q_pdp_top_series(spark, sf):
+    """H5 (+C4): PD series of the top-6 features by effect, via semi-join."""
+    p, names, beta, means = _p_two(spark, sf)
+    grid = explain.pdp_grid(p, names)
+    pd1 = explain.linear_pdp_1d(grid, beta, means, names).withColumn("target", F.lit("p_retailprice"))
+    eff = explain.pdp_effect(pd1, by=("target", "feature"))
+    return rollup.pdp_top_series(pd1, eff, k=6).select("feature", "value", _r("pd", D6))
+
+
 def q_method_rank(spark, sf):
     p, names, beta, means = _p_two(spark, sf)
     params = rollup.params_table(spark, names)
@@ -409,6 +467,9 @@ def q_summary_facts(spark, sf):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "sql_source": q_sql_source,
+    "csv_roundtrip": q_csv_roundtrip,
+    "latest_run": q_latest_run,
     "first_child_left_join": q_first_child_left_join,
     "left_join_flag": q_left_join_flag,
     "preview": q_preview,
@@ -448,11 +509,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_pdp_1d": q_tree_pdp_1d,
     "tree_pdp_2d": q_tree_pdp_2d,
     "perm_importance": q_perm_importance,
+    "perm_by_parameter": q_perm_by_parameter,
+    "shap_top5": q_shap_top5,
     "param_rollup": q_param_rollup,
     "significant_terms": q_significant_terms,
     "topk_abs_coef": q_topk_abs_coef,
     "term_labels": q_term_labels,
     "pdp_effect_rank": q_pdp_effect_rank,
+    "pdp_top_series": q_pdp_top_series,
     "method_rank": q_method_rank,
     "summary_facts": q_summary_facts,
 }

@@ -102,6 +102,24 @@ def _skew_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "sql_source": "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_size > 25",
+
+    "csv_roundtrip": """
+SELECT p_partkey, p_brand, CAST(nullif(p_size, 1) AS DOUBLE) AS p_size, p_retailprice FROM part""",
+
+    "latest_run": """
+SELECT '20000102_000000' AS run_id, "column", n_levels, ord FROM (
+  SELECT 'p_brand' AS "column", count(DISTINCT p_brand) AS n_levels, 0 AS ord FROM part
+  UNION ALL SELECT 'p_type', count(DISTINCT p_type), 1 FROM part)""",
+
+    "pdp_top_series": """
+WITH d AS (SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_type = 'LARGE' AS DOUBLE) AS x2, p_retailprice AS y FROM part),
+""" + _two_feature_cte("d", "x1", "x2", "y") + """,
+gr AS (SELECT DISTINCT 'p_size' AS feature, x1 AS v FROM d UNION ALL SELECT DISTINCT 'is_large', x2 FROM d)
+SELECT feature, v AS value,
+       round(a + b1*m1 + b2*m2 + CASE WHEN feature = 'p_size' THEN b1 * (v - m1) ELSE b2 * (v - m2) END, 6) AS pd
+FROM gr, h""",
+
     "first_child_left_join": """
 WITH fc AS (SELECT o_custkey, min(o_orderkey) AS first_child FROM orders GROUP BY o_custkey)
 SELECT c.c_custkey, c.c_mktsegment, c.c_acctbal, fc.first_child,

@@ -35,3 +35,13 @@ def test_first_child_left_join_semantics(spark):
                                       not_null=["asm"])
     got = sorted((r.id, r.first_child, r.d) for r in out.collect())
     assert got == [(1, 10, 1.0), (1, 10, 2.0), (2, 20, None)]
+
+
+def test_salted_left_join_is_exact_under_a_hot_key(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "k long, l string")
+    right = spark.createDataFrame([(1, float(i)) for i in range(500)] + [(2, 1.0), (2, 2.0)], "rk long, v double")
+    out = joins.salted_left_join(left, right, "k", "rk", hot=[1], buckets=7)
+    ref = left.join(right, left.k == right.rk, "left")
+    key = lambda r: (r.k if r.k is not None else -1, r.l, r.rk if r.rk is not None else -1, r.v if r.v is not None else -1.0)
+    assert sorted(map(key, out.collect())) == sorted(map(key, ref.collect()))
+    assert joins.hot_keys(right, "rk") == [1]

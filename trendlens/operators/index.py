@@ -23,8 +23,12 @@ def stable_index(df: DataFrame, key: Sequence[str], out: str = "row_idx",
     """Add a 0-based contiguous index in ``key`` order; returns (df, n)."""
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n_parts, *key).sortWithinPartitions(*key)
-                 .withColumn("_mid", F.monotonically_increasing_id()))
+    # tie-breaker: a hash of the whole row, so a key holding many rows is
+    # split across range partitions (identical rows are interchangeable)
+    tie = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tie")
+    order = [*key, "_tie"]
+    ordered = (df.withColumn("_tie", tie).repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+                 .withColumn("_mid", F.monotonically_increasing_id()).drop("_tie"))
     pid = F.shiftright(F.col("_mid"), _POS_BITS)
     counts = ordered.groupBy(pid.alias("_pid")).count().collect()  # one row per partition
     offsets, run = [], 0

@@ -128,6 +128,19 @@ def q_one_hot_dropfirst(spark, sf):
     return fs.transform(df, keep=["l_orderkey", "l_linenumber"])
 
 
+def q_feature_parameters(spark, sf):
+    """The fitted features table of frame L with lineage,
+    the substring-compat attribution, linear labels and display names."""
+    from trendlens.functions.labels import linear_label, parameter_of
+
+    df, fs = _l_features(spark, sf)
+    t = fs.table(spark)
+    return t.select("feature", "parameter", "level", "kind",
+                    parameter_of(F.col("feature"), list(fr.L_ROLES.parameters)).alias("parameter_compat"),
+                    linear_label(F.col("parameter"), F.col("level"), F.col("feature")).alias("label"),
+                    display_name(F.col("feature")).alias("display"))
+
+
 def q_zscore(spark, sf):
     out = encode.zscore(fr.frame_l(spark, sf), ["l_quantity", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", *[_r(c, D8) for c in ["l_quantity", "l_discount", "l_tax"]])
@@ -480,6 +493,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lump_topn": q_lump_topn,
     "level_profile": q_level_profile,
     "one_hot_dropfirst": q_one_hot_dropfirst,
+    "feature_parameters": q_feature_parameters,
     "zscore": q_zscore,
     "feature_matrix_long": q_feature_matrix_long,
     "skew_check": q_skew_check,

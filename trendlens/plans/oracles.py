@@ -179,6 +179,27 @@ SELECT l_orderkey, l_linenumber,
        CAST(l_linestatus = 'O' AS DOUBLE) AS cat__l_linestatus_O
 FROM L""",
 
+    "feature_parameters": "WITH " + L_CTE + r""",
+lv AS (SELECT 'l_returnflag' AS parameter, l_returnflag AS level, 0 AS o FROM L GROUP BY l_returnflag
+       UNION ALL SELECT 'l_linestatus', l_linestatus, 1 FROM L GROUP BY l_linestatus
+       UNION ALL SELECT 'o_orderpriority', o_orderpriority, 2 FROM L GROUP BY o_orderpriority),
+ref AS (SELECT parameter, min(level) AS r FROM lv GROUP BY parameter),
+f AS (SELECT 'cat__' || lv.parameter || '_' || level AS feature, lv.parameter, level, 'categorical' AS kind
+      FROM lv JOIN ref ON ref.parameter = lv.parameter WHERE level <> r
+      UNION ALL SELECT 'num__' || p, p, CAST(NULL AS VARCHAR), 'numeric'
+      FROM (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) v(p))
+SELECT feature, parameter, level, kind,
+       CASE WHEN strpos(feature, 'l_returnflag') > 0 THEN 'l_returnflag'
+            WHEN strpos(feature, 'l_linestatus') > 0 THEN 'l_linestatus'
+            WHEN strpos(feature, 'o_orderpriority') > 0 THEN 'o_orderpriority'
+            WHEN strpos(feature, 'l_quantity') > 0 THEN 'l_quantity'
+            WHEN strpos(feature, 'l_discount') > 0 THEN 'l_discount'
+            WHEN strpos(feature, 'l_tax') > 0 THEN 'l_tax' END AS parameter_compat,
+       CASE WHEN level IS NOT NULL THEN parameter || ' = ' || level ELSE parameter END AS label,
+       array_to_string(list_transform(string_split(replace(replace(feature, ':', ' × '), '_', ' '), ' '),
+                                      lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS display
+FROM f""",
+
     "zscore": "WITH " + L_CTE + """
 SELECT l_orderkey, l_linenumber,
   round((l_quantity - avg(l_quantity) OVER ()) / coalesce(nullif(stddev_pop(l_quantity) OVER (), 0), 1), 8) AS l_quantity,

@@ -19,6 +19,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SALT_BUCKETS = 32
+HOT_FRACTION = 0.02
+
+
+def hot_keys(right: DataFrame, key: str, fraction: float = HOT_FRACTION) -> list:
+    """Keys holding more than ``fraction`` of the right side's rows.
+
+    Exact counts from a key-only aggregate (map-side partial counts); at most
+    1/fraction keys can qualify, so the list is bounded by construction.
+    """
+    counts = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = right.select(key).count()
+    if total == 0:
+        return []
+    return [r[key] for r in counts.where(F.col("_n") > F.lit(fraction * total)).select(key).collect()]
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str,
+                     hot: list | None = None, buckets: int = SALT_BUCKETS) -> DataFrame:
+    """LEFT JOIN that stays balanced when a few keys hold a large share of
+    the right side.
+
+    Rows of hot keys are split: the right side gets a salt in [0, buckets)
+    from a hash of its columns, the (few) left rows of hot keys are
+    replicated once per salt, and the two are INNER joined on (key, salt) --
+    every right row meets exactly one replica, and a hot key always has a
+    match, so no pair is lost or duplicated.  Everything else is a plain
+    left join.  Sort-merge/skew handling of AQE covers the left side; this
+    covers the right side, which AQE cannot split for a left outer join.
+    """
+    hot = hot_keys(right, rkey) if hot is None else hot
+    if not hot:
+        return left.join(right, left[lkey] == right[rkey], "left")
+    hot_l = F.col(lkey).isin(hot)
+    hot_r = F.col(rkey).isin(hot)
+    plain = left.where(~hot_l | F.col(lkey).isNull()).join(
+        right.where(~hot_r), F.col(lkey) == F.col(rkey), "left")
+    salt_r = right.where(hot_r).withColumn(
+        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(buckets)))
+    salt_l = left.where(hot_l).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    hot_part = salt_l.join(salt_r, (salt_l[lkey] == salt_r[rkey]) & (salt_l["_salt"] == salt_r["_salt"]),
+                           "inner").drop("_salt")
+    return plain.unionByName(hot_part.select(*plain.columns))
+
+
 @dataclass
 class Measurement:
     table: DataFrame
@@ -42,7 +87,7 @@ def left_join_flag(left: DataFrame, right: DataFrame, left_key: str, right_key:
     survive with NULLs) and lets it reach the right side's scan.
     """
     r = right.where(keep_when) if keep_when is not None else right
-    return left.join(r, left[left_key] == r[right_key], "left")
+    return salted_left_join(left, r, left_key, right_key)
 
 
 def first_child_left_join(parent: DataFrame, parent_id: str, bridge: DataFrame, bridge_parent: str,
@@ -55,7 +100,7 @@ def first_child_left_join(parent: DataFrame, parent_id: str, bridge: DataFrame,
         names = list(m.aliases or m.columns)
         r = m.table.where(m.keep_when) if m.keep_when is not None else m.table
         r = r.select(F.col(m.key).alias(f"_k{i}"), *[F.col(c).alias(a) for c, a in zip(m.columns, names)])
-        out = out.join(r, out["_first"] == r[f"_k{i}"], "left").drop(f"_k{i}")
+        out = salted_left_join(out, r, "_first", f"_k{i}").drop(f"_k{i}")
     for c in not_null:
         out = out.where(F.col(c).isNotNull())
     return out.withColumnRenamed("_first", "first_child")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendlens.functions.linalg import gauss_legendre_01
-from trendlens.operators.forest import LeafTable
+from trendlens.operators.forest import LeafTable, broadcast_leaves
 from trendlens.operators.gram import ensure_parallel
 from trendlens.operators.index import stable_index
 
@@ -87,7 +87,7 @@ def shap_importance(df: DataFrame, names: Sequence[str], lt: LeafTable, *, dedup
     materialising the n x p SHAP matrix: each task emits per-feature partial
     sums, merged by a p-row aggregate."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(lt)
+    bc = broadcast_leaves(spark, lt)
     names = list(names)
     src = _dedupe(df, names) if dedupe else df.select(*names).withColumn("_cnt", F.lit(1.0))
     schema = "feature_idx int, s_abs double, s_sgn double, n double"
@@ -118,7 +118,7 @@ def shap_importance(df: DataFrame, names: Sequence[str], lt: LeafTable, *, dedup
 def shap_values(df: DataFrame, names: Sequence[str], lt: LeafTable, keep: Sequence[str]) -> DataFrame:
     """G1: per-row SHAP values, long form ``keep..., feature, phi``."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(lt)
+    bc = broadcast_leaves(spark, lt)
     names, keep = list(names), list(keep)
     key_fields = [df.schema[c] for c in keep]
     schema = T.StructType(key_fields + [T.StructField("phi", T.ArrayType(T.DoubleType())),
@@ -146,7 +146,7 @@ def shap_values(df: DataFrame, names: Sequence[str], lt: LeafTable, keep: Sequen
 def shap_additivity(df: DataFrame, names: Sequence[str], lt: LeafTable, prediction: str = "prediction") -> DataFrame:
     """Max |base + sum(phi) - model prediction| (prediction from Spark ML)."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(lt)
+    bc = broadcast_leaves(spark, lt)
     names = list(names)
     base = lt.base_value
 
@@ -235,7 +235,7 @@ def _pd_indicator(lt: LeafTable, j: int, values: np.ndarray) -> np.ndarray:
 
 def tree_pdp_1d(grid: DataFrame, lt: LeafTable) -> DataFrame:
     """G6 ('recursion' method): PD_j(g) = sum_leaf w_leaf(j) * 1[g in leaf]."""
-    bc = grid.sparkSession.sparkContext.broadcast(lt)
+    bc = broadcast_leaves(grid.sparkSession, lt)
 
     def run(it):
         tab = bc.value
@@ -264,7 +264,7 @@ def feature_pairs(grid: DataFrame, pairs: Sequence[tuple[int, int]] | None, n_fe
 
 def tree_pdp_2d(grid: DataFrame, lt: LeafTable, pairs=None) -> DataFrame:
     """PD_{a,b}(g1, g2) = A_a diag(w) A_b^T per feature pair."""
-    bc = grid.sparkSession.sparkContext.broadcast(lt)
+    bc = broadcast_leaves(grid.sparkSession, lt)
     pr = feature_pairs(grid, pairs, lt.n_features)
 
     def run(it):

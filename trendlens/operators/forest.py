@@ -45,6 +45,24 @@ class LeafTable:
     def max_path(self) -> int:
         return int(self.feat.shape[1])
 
+    @property
+    def nbytes(self) -> int:
+        return int(sum(a.nbytes for a in (self.feat, self.lo, self.hi, self.z, self.value, self.tree)))
+
+
+MAX_BROADCAST_BYTES = 1 << 30
+
+
+def broadcast_leaves(spark: SparkSession, lt: LeafTable, limit: int = MAX_BROADCAST_BYTES):
+    """Broadcast the leaf table after checking its size.  It is bounded by
+    trees * 2**max_depth * max_depth (13 MB at 200 trees of depth 8); a forest
+    over the limit must be explained in tree groups (SHAP and PD are sums
+    over trees), so it is refused here rather than shipped."""
+    if lt.nbytes > limit:
+        raise ValueError(f"leaf table of {lt.nbytes} bytes exceeds the broadcast limit {limit}; "
+                         "use fewer/shallower trees or explain tree groups separately")
+    return spark.sparkContext.broadcast(lt)
+
 
 def fit_forest(df: DataFrame, label: str, features_col: str = "features", *, trees: int = TREES,
                max_depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = 32,

@@ -129,10 +129,31 @@ def compare_methods(spark: SparkSession, tables: dict, params: DataFrame,
 
 
 def summary_facts(coefs: DataFrame, fit: DataFrame, importance: DataFrame | None = None,
-                  skew: DataFrame | None = None, alpha: float = ALPHA) -> DataFrame:
+                  skew: DataFrame | None = None, alpha: float = ALPHA, *,
+                  reference_levels: dict | None = None, metrics: DataFrame | None = None,
+                  cv: DataFrame | None = None) -> DataFrame:
     """H6: narrative facts per target as rows
-    ``target, section, ord, subject, value, text``."""
+    ``target, section, ord, subject, value, text``: reference levels,
+    intercept, significant and marginal terms with direction and size, R²,
+    model metrics (R², MAE, RMSE), CV mean ± std, top SHAP features with
+    direction, skew notes."""
     parts = []
+    if reference_levels:
+        spark = coefs.sparkSession
+        ref = spark.createDataFrame([(c, str(v)) for c, v in reference_levels.items()], "subject string, lvl string")
+        parts.append(ref.select(F.lit(None).cast("string").alias("target"), F.lit("reference").alias("section"),
+                                F.lit(0).alias("ord"), "subject", F.lit(None).cast("double").alias("value"),
+                                F.format_string("%s: baseline level is %s", F.col("subject"), F.col("lvl")).alias("text")))
+    if metrics is not None:
+        parts.append(metrics.select("target", F.lit("metrics").alias("section"), F.lit(0).alias("ord"),
+                                    F.lit("r2").alias("subject"), F.col("r2").alias("value"),
+                                    F.format_string("R² = %.4f, MAE = %.4f, RMSE = %.4f", F.col("r2"), F.col("mae"),
+                                                    F.col("rmse")).alias("text")))
+    if cv is not None:
+        parts.append(cv.select("target", F.lit("cv").alias("section"), F.lit(0).alias("ord"),
+                               F.lit("cv_r2").alias("subject"), F.col("cv_mean").alias("value"),
+                               F.format_string("Cross-validated R² = %.4f ± %.4f", F.col("cv_mean"),
+                                               F.col("cv_std")).alias("text")))
     icp = coefs.where(F.col("term") == "Intercept").select(
         "target", F.lit("intercept").alias("section"), F.lit(0).alias("ord"),
         F.lit("Intercept").alias("subject"), F.col("coef").alias("value"),

@@ -177,7 +177,10 @@ def summarize(spark: SparkSession, run: Run, alpha: float = 0.05) -> dict:
         methods["permutation"] = out["permutation_by_parameter"].select(
             "target", "parameter", F.col("importance").alias("value"))
     out["method_rank"] = rollup.compare_methods(spark, methods, params)
-    out["summary_facts"] = rollup.summary_facts(t["coefficients"], t["fit"], t.get("shap_importance"), t["skew"], alpha)
+    cv = stats.score_summary(t["forest_cv"]) if "forest_cv" in t else None
+    out["summary_facts"] = rollup.summary_facts(
+        t["coefficients"], t["fit"], t.get("shap_importance"), t["skew"], alpha,
+        reference_levels=run.features.reference_levels, metrics=t.get("forest_metrics"), cv=cv)
     return out
 
 

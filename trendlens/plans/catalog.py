@@ -31,9 +31,10 @@ def q_first_child_left_join(spark, sf):
     cu = fr.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     od = fr.table(spark, sf, "orders").select("o_custkey", "o_orderkey")
     li = fr.table(spark, sf, "lineitem")
+    od_all = fr.table(spark, sf, "orders")
     ms = [joins.Measurement(li, "l_orderkey", ["l_extendedprice"], F.col("l_returnflag") != "R", ["dls_price"]),
-          joins.Measurement(li.where(F.col("l_linenumber") == 1), "l_orderkey", ["l_quantity"],
-                            F.col("l_linestatus") != "O", ["entrap_qty"])]
+          joins.Measurement(od_all, "o_orderkey", ["o_totalprice"], F.col("o_orderstatus") != "P",
+                            ["entrap_total"])]
     return joins.first_child_left_join(cu, "c_custkey", od, "o_custkey", "o_orderkey", ms,
                                        not_null=["c_mktsegment"])
 
@@ -57,7 +58,7 @@ def q_sql_source(spark, sf):
     fr.table(spark, sf, "part").createOrReplaceTempView("part")
     from trendlens.sources.load import read_sql
 
-    return read_sql(spark, "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_size > 25")
+    return read_sql(spark, "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_brand IS NOT NULL")
 
 
 def q_csv_roundtrip(spark, sf):

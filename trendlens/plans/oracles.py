@@ -102,7 +102,7 @@ def _skew_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
-    "sql_source": "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_size > 25",
+    "sql_source": "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_brand IS NOT NULL",
 
     "csv_roundtrip": """
 SELECT p_partkey, p_brand, CAST(nullif(p_size, 1) AS DOUBLE) AS p_size, p_retailprice FROM part""",
@@ -123,12 +123,11 @@ FROM gr, h""",
     "first_child_left_join": """
 WITH fc AS (SELECT o_custkey, min(o_orderkey) AS first_child FROM orders GROUP BY o_custkey)
 SELECT c.c_custkey, c.c_mktsegment, c.c_acctbal, fc.first_child,
-       d.l_extendedprice AS dls_price, e.l_quantity AS entrap_qty
+       d.l_extendedprice AS dls_price, e.o_totalprice AS entrap_total
 FROM customer c
 LEFT JOIN fc ON fc.o_custkey = c.c_custkey
 LEFT JOIN lineitem d ON d.l_orderkey = fc.first_child AND d.l_returnflag <> 'R'
-LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 1) e
-       ON e.l_orderkey = fc.first_child AND e.l_linestatus <> 'O'
+LEFT JOIN orders e ON e.o_orderkey = fc.first_child AND e.o_orderstatus <> 'P'
 WHERE c.c_mktsegment IS NOT NULL""",
 
     "left_join_flag": """

@@ -61,6 +61,20 @@ class PCAResult:
                  .select("pc", "rank", "feature", "loading", "ratio"))
 
 
+    def summary(self, k: int = 5, max_pcs: int = 15, threshold: float = 0.95) -> DataFrame:
+        """D7 report: ``component, variance_explained, cumulative_variance,
+        top_features`` ("name(|loading|)" joined in rank order), for the
+        first min(n_threshold, max_pcs) components."""
+        top = self.top(k, max_pcs, threshold)
+        item = F.struct(F.col("rank"), F.format_string("%s(%.3f)", F.col("feature"), F.abs("loading")).alias("s"))
+        lists = top.groupBy("pc").agg(F.array_sort(F.collect_list(item)).alias("_l"))  # <= k per pc
+        return (lists.join(self.variance, "pc")
+                .select("pc", F.concat(F.lit("PC"), F.col("pc").cast("string")).alias("component"),
+                        F.format_string("%.3f", F.col("ratio")).alias("variance_explained"),
+                        F.format_string("%.3f", F.col("cumulative")).alias("cumulative_variance"),
+                        F.array_join(F.transform("_l", lambda x: x["s"]), ", ").alias("top_features")))
+
+
 def pca(df: DataFrame, features: Sequence) -> PCAResult:
     specs = _as_specs(features)
     names = [n for n, _ in specs]

@@ -285,6 +285,11 @@ def q_pca_top_contributors(spark, sf):
     return res.top(k=5).select("pc", "rank", "feature", "loading", "ratio")
 
 
+def q_pca_summary(spark, sf):
+    df, fs = _l_features(spark, sf)
+    return pca.pca(df, fs.specs).summary()
+
+
 # ------------------------------------------------------------ linear twins
 
 def _p_simple(spark, sf):
@@ -513,6 +518,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interaction_status": q_interaction_status,
     "pca_variance": q_pca_variance,
     "pca_top_contributors": q_pca_top_contributors,
+    "pca_summary": q_pca_summary,
     "linear_shap_importance": q_linear_shap_importance,
     "linear_pdp_1d": q_linear_pdp_1d,
     "linear_pdp_2d": q_linear_pdp_2d,

@@ -334,9 +334,11 @@ def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key:
     p = len(names)
     base, n = stable_index(df.select(*key, label, *names), list(key))
     base = base.select("row_idx", label, *names)
-    e = F.col(label).cast("double") - F.col("prediction")
-    r2_expr = 1 - F.sum(e * e) / (F.var_pop(F.col(label).cast("double")) * F.count(F.lit(1)))
-    r2_base = score(base).agg(r2_expr.alias("r2")).first()["r2"]  # one number
+    y = F.col(label).cast("double")
+    st = base.agg(F.var_pop(y).alias("vy"), F.count(F.lit(1)).alias("n")).first()
+    sst = float(st["vy"]) * float(st["n"])  # same for every permuted variant: y is untouched
+    e = y - F.col("prediction")
+    r2_base = 1.0 - score(base).agg(F.sum(e * e).alias("sse")).first()["sse"] / sst
     # donor ranks of ALL repeats from one distributed sort: key (repeat, hash)
     reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
     h = base.select(F.col("row_idx").alias("donor_idx"), reps).withColumn(
@@ -351,7 +353,15 @@ def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key:
                  *[(F.col(f"_d{i}") if i == j else F.col(c)).alias(c) for i, c in enumerate(names)])
         for j in range(p)]))
     perm = joined.select("repeat", label, variants.alias("v")).select("repeat", label, "v.*")
-    r2 = score(perm).groupBy("repeat", "feature_idx").agg(r2_expr.alias("r2_perm"))
+    # score each distinct permuted vector once: SSE = sum y^2 - 2 f sum y + n f^2
+    # per (repeat, feature, vector) -- exact, and map-side partial sums make
+    # repeated vectors cheap before the model ever runs
+    grouped = perm.groupBy("repeat", "feature_idx", *names).agg(
+        F.sum(y).alias("_sy"), F.sum(y * y).alias("_syy"), F.count(F.lit(1)).alias("_n"))
+    f = F.col("prediction")
+    sse = F.col("_syy") - 2 * f * F.col("_sy") + F.col("_n") * f * f
+    r2 = score(grouped).groupBy("repeat", "feature_idx").agg(
+        (F.lit(1.0) - F.sum(sse) / F.lit(sst)).alias("r2_perm"))
     fmap = F.create_map(*[x for i, nm in enumerate(names) for x in (F.lit(i), F.lit(nm))])
     return r2.select("feature_idx", fmap[F.col("feature_idx")].alias("feature"), "repeat",
                      F.lit(r2_base).alias("r2_base"), "r2_perm",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,6 +204,8 @@ def q_ols_by_group(spark, sf):
 
 
 def _l_features(spark, sf):
+    """Cleaned, lumped L frame and its fitted features (re-read per pass:
+    cheaper than caching at these sizes; ``analysis.analyze`` persists)."""
     df = clean.drop_missing(_l_lumped(spark, sf), fr.L_ROLES.columns)
     fs = encode.fit_features(df, list(fr.L_ROLES.categoricals), list(fr.L_ROLES.numerics))
     return df, fs
@@ -333,12 +336,14 @@ _FOREST_CACHE: dict = {}
 
 
 def _forest(spark, sf, trees=forest.TREES, depth=forest.MAX_DEPTH):
-    key = (sf, trees, depth)
+    # one fitted forest per (application, data, parameters); a new session never sees stale frames
+    key = (spark.sparkContext.applicationId, sf, trees, depth)
     if key not in _FOREST_CACHE:
         p = clean.drop_missing(clean.lump_levels(fr.frame_p(spark, sf), list(fr.P_ROLES.categoricals)),
                                fr.P_ROLES.columns)
         fs = encode.fit_features(p, list(fr.P_ROLES.categoricals), list(fr.P_ROLES.numerics))
-        wide = fs.transform(p, keep=["p_partkey", "p_retailprice"])
+        # read by training, SHAP, PDP grids and permutation: cached like an estimator input
+        wide = fs.transform(p, keep=["p_partkey", "p_retailprice"]).persist(StorageLevel.MEMORY_AND_DISK)
         vec = forest.assemble(wide, fs.names, keep=["p_partkey", "p_retailprice"])
         model = forest.fit_forest(vec, "p_retailprice", trees=trees, max_depth=depth)
         lt = forest.leaf_table(spark, model, len(fs.names))

@@ -20,20 +20,17 @@ from pyspark.sql import functions as F
 
 
 SALT_BUCKETS = 32
-HOT_FRACTION = 0.02
+HOT_ROWS = 1_000_000  # a key is hot when its rows alone exceed one task's worth
 
 
-def hot_keys(right: DataFrame, key: str, fraction: float = HOT_FRACTION) -> list:
-    """Keys holding more than ``fraction`` of the right side's rows.
+def hot_keys(right: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
+    """Keys with more than ``min_rows`` rows on the right side.
 
-    Exact counts from a key-only aggregate (map-side partial counts); at most
-    1/fraction keys can qualify, so the list is bounded by construction.
+    One exact, key-only aggregate (map-side partial counts).  At most
+    total/min_rows keys can qualify, so the collected list is bounded.
     """
     counts = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = right.select(key).count()
-    if total == 0:
-        return []
-    return [r[key] for r in counts.where(F.col("_n") > F.lit(fraction * total)).select(key).collect()]
+    return [r[key] for r in counts.where(F.col("_n") > F.lit(min_rows)).select(key).collect()]
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str,

@@ -81,3 +81,16 @@ def test_yeo_johnson_lambda_is_mle(spark):
     assert abs(lam - best) < 2e-3
     t = np.array([r.x_transformed for r in out.select("x_transformed").collect()])
     assert abs(t.mean()) < 1e-9 and abs(t.std() - 1) < 1e-9
+
+
+def test_lumping_levels_from_one_job(spark):
+    rows = [(f"L{i:02d}",) for i in range(12) for _ in range(3)] + [("Z",)] * 5
+    df = spark.createDataFrame(rows, "c string")
+    keep, levels = clean.fit_lumping_levels(df, ["c"], top_n=10)
+    assert set(keep["c"]) == {"Z"} | {f"L{i:02d}" for i in range(9)}
+    assert levels["c"] == sorted(keep["c"] + ["Other"])
+    keep2, levels2 = clean.fit_lumping_levels(df, ["c"], top_n=20)
+    assert "Other" not in levels2["c"] and len(levels2["c"]) == 13
+    lumped = clean.apply_lumping(df, keep)
+    got = sorted(r.c for r in lumped.select("c").distinct().collect())
+    assert got == levels["c"]

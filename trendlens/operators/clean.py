@@ -98,6 +98,39 @@ def top_levels(counts: DataFrame, top_n: int, salt_buckets: int = 64) -> DataFra
                .where(F.col("rank") <= top_n))
 
 
+def fit_lumping_levels(df: DataFrame, cols: Sequence[str], top_n: int = 10, other: str = OTHER,
+                       null_level: str = NULL_LEVEL, salt_buckets: int = 64) -> tuple[dict, dict]:
+    """Like ``fit_lumping`` and, from the SAME job, the sorted levels each
+    column has after lumping (kept levels, plus ``other`` when any level was
+    lumped) -- so encoders downstream need no extra pass to discover them.
+
+    Distinct-level totals come from per-bucket sizes carried by the first
+    window stage (one row per bucket), so the collected result stays bounded:
+    at most N kept rows plus ``salt_buckets`` size rows per column.
+    """
+    if not cols:
+        return {}, {}
+    counts = level_counts(stringify(df, cols, null_level), cols)
+    order = [F.col("n").desc(), F.col("level").asc()]
+    wb = W.partitionBy("column", "_b")
+    pre = (counts.withColumn("_b", F.pmod(F.xxhash64("level"), F.lit(salt_buckets)))
+                 .withColumn("_r", F.row_number().over(wb.orderBy(*order)))
+                 .withColumn("_bs", F.count(F.lit(1)).over(wb))
+                 .where(F.col("_r") <= top_n))
+    ranked = pre.withColumn("rank", F.row_number().over(W.partitionBy("column").orderBy(*order)))
+    rows = ranked.where((F.col("rank") <= top_n) | (F.col("_r") == 1)).select(
+        "column", "level", "rank", "_r", "_bs").collect()
+    keep = {c: [] for c in cols}
+    total = {c: 0 for c in cols}
+    for r in rows:
+        if r["rank"] <= top_n:
+            keep[r["column"]].append(r["level"])
+        if r["_r"] == 1:
+            total[r["column"]] += int(r["_bs"])
+    levels = {c: sorted(set(keep[c]) | ({other} if total[c] > len(keep[c]) else set())) for c in cols}
+    return keep, levels
+
+
 def fit_lumping(df: DataFrame, cols: Sequence[str], top_n: int = 10,
                 null_level: str = NULL_LEVEL) -> dict:
     """Kept levels per column: the N most frequent (ties: level ascending).

@@ -62,7 +62,7 @@ class FeatureSet:
 
 def fit_features(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[str],
                  reference_levels: dict | None = None, scale: bool = True,
-                 max_levels: int = MAX_LEVELS) -> FeatureSet:
+                 max_levels: int = MAX_LEVELS, levels: dict | None = None) -> FeatureSet:
     """Fit the encoder/scaler (one aggregate for all statistics).
 
     Categoricals are expected as strings (``stringify``/``lump_levels``).
@@ -71,7 +71,11 @@ def fit_features(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
     divided by the population std (zero std -> 1).
     """
     reference_levels = dict(reference_levels or {})
-    levels, num_stats = _profile(df, categoricals, numerics, max_levels)
+    if levels is not None:  # already known (e.g. from the lumping fit): numerics only
+        _, num_stats = _profile(df, [], numerics, max_levels)
+        levels = {c: sorted(levels[c]) for c in categoricals}
+    else:
+        levels, num_stats = _profile(df, categoricals, numerics, max_levels)
     feats: list[Feature] = []
     for c in categoricals:
         lv = levels[c]

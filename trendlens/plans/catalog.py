@@ -120,8 +120,11 @@ def q_level_profile(spark, sf):
 
 # ----------------------------------------------------------------- features
 
-def _l_lumped(spark, sf):
-    return clean.lump_levels(fr.frame_l(spark, sf), list(fr.L_ROLES.categoricals))
+def _l_lumped(spark, sf, with_levels: bool = False):
+    L = fr.frame_l(spark, sf)
+    keep, levels = clean.fit_lumping_levels(L, list(fr.L_ROLES.categoricals))
+    out = clean.apply_lumping(L, keep)
+    return (out, levels) if with_levels else out
 
 
 def q_one_hot_dropfirst(spark, sf):
@@ -205,9 +208,11 @@ def q_ols_by_group(spark, sf):
 
 def _l_features(spark, sf):
     """Cleaned, lumped L frame and its fitted features (re-read per pass:
-    cheaper than caching at these sizes; ``analysis.analyze`` persists)."""
-    df = clean.drop_missing(_l_lumped(spark, sf), fr.L_ROLES.columns)
-    fs = encode.fit_features(df, list(fr.L_ROLES.categoricals), list(fr.L_ROLES.numerics))
+    cheaper than caching at these sizes; ``analysis.analyze`` persists).
+    Levels come from the lumping fit; one more pass fits the numerics."""
+    lumped, levels = _l_lumped(spark, sf, with_levels=True)
+    df = clean.drop_missing(lumped, fr.L_ROLES.columns)
+    fs = encode.fit_features(df, list(fr.L_ROLES.categoricals), list(fr.L_ROLES.numerics), levels=levels)
     return df, fs
 
 
@@ -262,14 +267,18 @@ def q_interaction_cells_d2(spark, sf):
 
 
 def q_interaction_coefs_all_depths(spark, sf):
-    df = clean.drop_missing(_l_lumped(spark, sf), fr.L_ROLES.columns)
-    fit = interact.interactions(df, list(fr.L_ROLES.categoricals), list(fr.L_ROLES.numerics), ["net"])
+    lumped, levels = _l_lumped(spark, sf, with_levels=True)
+    df = clean.drop_missing(lumped, fr.L_ROLES.columns)
+    fit = interact.interactions(df, list(fr.L_ROLES.categoricals), list(fr.L_ROLES.numerics), ["net"],
+                                levels=levels)
     return fit.coefficients.select("target", "depth", "term", "label", "coef", "std_err", "p")
 
 
 def q_interaction_status(spark, sf):
-    df = clean.drop_missing(_l_lumped(spark, sf), fr.L_ROLES.columns)
-    fit = interact.interactions(df, list(fr.L_ROLES.categoricals), list(fr.L_ROLES.numerics), ["net"])
+    lumped, levels = _l_lumped(spark, sf, with_levels=True)
+    df = clean.drop_missing(lumped, fr.L_ROLES.columns)
+    fit = interact.interactions(df, list(fr.L_ROLES.categoricals), list(fr.L_ROLES.numerics), ["net"],
+                                levels=levels)
     return fit.status.select("target", "depth", "n_columns", "status", "n", "rank")
 
 

@@ -53,7 +53,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="trendlens-ckpt-")
+        if sc.master.startswith("local"):
+            # single machine (tests): a private temp folder is shared by all tasks
+            conf_dir = tempfile.mkdtemp(prefix="trendlens-ckpt-")
+        else:
+            # cluster without a configured folder: use the session's shared warehouse location
+            wh = spark.conf.get("spark.sql.warehouse.dir")
+            conf_dir = os.path.join(wh, "_trendlens_checkpoints")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 

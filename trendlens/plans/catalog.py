@@ -297,6 +297,13 @@ def q_pca_top_contributors(spark, sf):
     return res.top(k=5).select("pc", "rank", "feature", "loading", "ratio")
 
 
+def q_pca_components_for(spark, sf):
+    """Components needed for 80 % and 95 % of the variance."""
+    df = fr.frame_l(spark, sf)
+    fs = encode.fit_features(df, [], ["l_quantity", "l_discount"])
+    return pca.pca(df, fs.specs).components_for()
+
+
 def q_pca_summary(spark, sf):
     df, fs = _l_features(spark, sf)
     return pca.pca(df, fs.specs).summary()
@@ -317,6 +324,13 @@ def q_linear_shap_importance(spark, sf):
     return imp.select("feature", _r("mean_abs_shap", D6))
 
 
+def q_linear_shap_values(spark, sf):
+    """G1 (linear twin): per-row SHAP values phi = b (x - mean)."""
+    p, beta = _p_simple(spark, sf)
+    ph = explain.linear_shap(p, [("p_size", F.col("p_size"))], beta)
+    return ph.select("p_partkey", F.round(F.col("phi_p_size"), D6).alias("phi_p_size"))
+
+
 def q_linear_pdp_1d(spark, sf):
     p, beta = _p_simple(spark, sf)
     grid = explain.pdp_grid(p, ["p_size"])
@@ -385,6 +399,12 @@ def q_tree_shap_additivity(spark, sf):
     return add.select((F.col("max_abs_error") < 1e-6).alias("additive"), "n")
 
 
+def q_tree_shap_values(spark, sf):
+    """G1: per-row tree SHAP values (long form) for every part."""
+    fs, wide, vec, model, lt = _forest(spark, sf)
+    return explain.shap_values(wide, fs.names, lt, keep=["p_partkey"])
+
+
 def q_tree_pdp_1d(spark, sf):
     fs, wide, vec, model, lt = _forest(spark, sf)
     return explain.tree_pdp_1d(explain.pdp_grid(wide, fs.names), lt)
@@ -462,6 +482,31 @@ def _two_effects(spark, sf):
     return explain.pdp_effect(explain.linear_pdp_1d(grid, beta, means, names))
 
 
+def q_coef_by_parameter(spark, sf):
+    """Sum |coef| per input column (lineage), intercept excluded."""
+    p, names, beta, means = _p_two(spark, sf)
+    fit = linear.regression(p, names, ["p_retailprice"])
+    feats = spark.createDataFrame([(n, n) for n in names], "feature string, parameter string")
+    coefs = rollup.with_parameters(fit.coefficients, feats)
+    out = rollup.coef_by_parameter(coefs, rollup.params_table(spark, names))
+    return out.select("target", "parameter", _r("sum_abs_coef", D6))
+
+
+def q_pdp_effect_by_parameter(spark, sf):
+    """Mean / max / count of PD effects per input column."""
+    eff = _two_effects(spark, sf).withColumn("target", F.lit("p_retailprice"))
+    p, names, beta, means = _p_two(spark, sf)
+    feats = spark.createDataFrame([(n, n) for n in names], "feature string, parameter string")
+    out = rollup.pdp_effect_by_parameter(eff, feats, rollup.params_table(spark, names))
+    return out.select("parameter", _r("effect_mean", D6), _r("effect_max", D6), "n_features")
+
+
+def q_cv_summary(spark, sf):
+    """CV mean and population std of the fold R^2."""
+    out = stats.score_summary(linear.cv_r2(_p_folds(spark, sf), ["p_size"], ["p_retailprice"]))
+    return out.select("target", _r("cv_mean", D8), _r("cv_std", D8), "folds")
+
+
 def q_pdp_effect_rank(spark, sf):
     eff = _two_effects(spark, sf).withColumn("target", F.lit("p_retailprice"))
     top = rollup.top_k(eff, 10, F.col("effect").desc(), by=["target"])
@@ -533,7 +578,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pca_variance": q_pca_variance,
     "pca_top_contributors": q_pca_top_contributors,
     "pca_summary": q_pca_summary,
+    "pca_components_for": q_pca_components_for,
     "linear_shap_importance": q_linear_shap_importance,
+    "linear_shap_values": q_linear_shap_values,
     "linear_pdp_1d": q_linear_pdp_1d,
     "linear_pdp_2d": q_linear_pdp_2d,
     "forest_metrics": q_forest_metrics,
@@ -541,6 +588,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_shap_importance": q_tree_shap_importance,
     "tree_shap_additivity": q_tree_shap_additivity,
     "tree_shap_by_parameter": q_tree_shap_by_parameter,
+    "tree_shap_values": q_tree_shap_values,
     "tree_pdp_1d": q_tree_pdp_1d,
     "tree_pdp_2d": q_tree_pdp_2d,
     "perm_importance": q_perm_importance,
@@ -550,6 +598,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "significant_terms": q_significant_terms,
     "topk_abs_coef": q_topk_abs_coef,
     "term_labels": q_term_labels,
+    "coef_by_parameter": q_coef_by_parameter,
+    "pdp_effect_by_parameter": q_pdp_effect_by_parameter,
+    "cv_summary": q_cv_summary,
     "pdp_effect_rank": q_pdp_effect_rank,
     "pdp_top_series": q_pdp_top_series,
     "method_rank": q_method_rank,

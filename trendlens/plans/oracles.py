@@ -299,6 +299,39 @@ SELECT 'p_size' AS f1, v1, 'is_large' AS f2, v2, round(a + b1 * v1 + b2 * v2, 6)
 
     "tree_shap_additivity": "SELECT true AS additive, count(*) AS n FROM part",
 
+    "linear_shap_values": """
+WITH s AS (SELECT regr_slope(p_retailprice, p_size) AS b, avg(p_size) AS m FROM part)
+SELECT p_partkey, round(b * (p_size - m), 6) AS phi_p_size FROM part, s""",
+
+    "coef_by_parameter": """
+WITH d AS (SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_type = 'LARGE' AS DOUBLE) AS x2, p_retailprice AS y FROM part),
+""" + _two_feature_cte("d", "x1", "x2", "y") + """
+SELECT 'p_retailprice' AS target, 'p_size' AS parameter, round(abs(b1), 6) AS sum_abs_coef FROM h
+UNION ALL SELECT 'p_retailprice', 'is_large', round(abs(b2), 6) FROM h""",
+
+    "pdp_effect_by_parameter": """
+WITH d AS (SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_type = 'LARGE' AS DOUBLE) AS x2, p_retailprice AS y FROM part),
+""" + _two_feature_cte("d", "x1", "x2", "y") + """,
+ef AS (SELECT 'p_size' AS parameter, abs(b1) * ((SELECT max(x1) FROM d) - (SELECT min(x1) FROM d)) AS e FROM h
+       UNION ALL SELECT 'is_large', abs(b2) * ((SELECT max(x2) FROM d) - (SELECT min(x2) FROM d)) FROM h)
+SELECT parameter, round(e, 6) AS effect_mean, round(e, 6) AS effect_max, CAST(1 AS BIGINT) AS n_features FROM ef""",
+
+    "cv_summary": """
+WITH d AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y,
+                  CAST(ntile(5) OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS fold FROM part),
+k AS (SELECT DISTINCT fold AS k FROM d),
+tr AS (SELECT k.k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM k JOIN d ON d.fold <> k.k GROUP BY k.k),
+mm AS (SELECT fold, avg(y) AS ym FROM d GROUP BY fold),
+te AS (SELECT d.fold, 1 - sum(power(y - (a + b * x), 2)) / sum(power(y - ym, 2)) AS r2
+       FROM d JOIN tr ON tr.k = d.fold JOIN mm ON mm.fold = d.fold GROUP BY d.fold)
+SELECT 'p_retailprice' AS target, round(avg(r2), 8) AS cv_mean, round(stddev_pop(r2), 8) AS cv_std,
+       count(*) AS folds FROM te""",
+
+    "pca_components_for": "WITH " + L_CTE + """,
+c AS (SELECT (1 + abs(corr(l_quantity, l_discount))) / 2 AS r1 FROM L)
+SELECT CAST(CASE WHEN r1 >= 0.8 THEN 1 ELSE 2 END AS INTEGER) AS n_80,
+       CAST(CASE WHEN r1 >= 0.95 THEN 1 ELSE 2 END AS INTEGER) AS n_95 FROM c""",
+
     "param_rollup": "WITH " + _d2_cte() + """,
 sg AS (SELECT co.* FROM co, crit WHERE kind <> 'i' AND abs(coef / se) > tc)
 SELECT 'net' AS target, parameter, round(sum(abs(coef)), 4) AS sum_abs_coef FROM (

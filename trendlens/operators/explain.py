@@ -33,40 +33,77 @@ from trendlens.operators.index import stable_index
 
 GRID_RESOLUTION = 100
 PERCENTILES = (0.05, 0.95)
-_CELLS = 1 << 21  # rows * leaves * path * nodes per chunk (memory bound)
+_CELLS = 1 << 19  # rows * leaves * path * nodes per chunk (cache-sized)
 
 
 # ------------------------------------------------------------------ tree SHAP
 
-def shap_kernel(x: np.ndarray, lt: LeafTable) -> np.ndarray:
+class _KernelCache:
+    """Row-independent pieces of the SHAP kernel, built once per task.
+
+    With o binary, each path factor (1-t) z + t o is either a = (1-t) z + t
+    or b = (1-t) z.  In log space the per-leaf product over the path is
+    sum(log b) + o . (log a - log b): a batched matrix product over the
+    path slots.  The leave-one-out quotient 1/f splits the same way
+    (1/b + o (1/a - 1/b)), so no (rows x leaves x path x nodes) array is ever
+    materialised."""
+
+    def __init__(self, lt: LeafTable, rows: int):
+        m = lt.max_path
+        q = max(1, (m + 1) // 2)
+        self.tq, self.wq = gauss_legendre_01(q)
+        valid = lt.feat >= 0
+        z = np.where(valid, lt.z, 1.0)
+        t = self.tq[None, None, :]
+        a = np.where(valid[..., None], (1.0 - t) * z[..., None] + t, 1.0)   # (L, m, Q)
+        b = np.where(valid[..., None], (1.0 - t) * z[..., None], 1.0)
+        self.c = np.log(b).sum(axis=1)                                       # (L, Q)
+        self.d = np.log(a) - np.log(b)                                       # (L, m, Q)
+        self.ib_t = np.ascontiguousarray((1.0 / b).transpose(0, 2, 1))      # (L, Q, m)
+        self.e_t = np.ascontiguousarray((1.0 / a - 1.0 / b).transpose(0, 2, 1))
+        self.zs = np.where(valid, lt.z, 0.0)
+        self.valid = valid
+        self.fi = np.where(valid, lt.feat, 0)
+        self.step = max(1, _CELLS // max(1, rows * m))
+        self.chunks = []
+        for s in range(0, lt.value.shape[0], self.step):
+            e = min(lt.value.shape[0], s + self.step)
+            f = self.fi[s:e]
+            scatter = np.zeros((f.size, lt.n_features))
+            scatter[np.arange(f.size), f.reshape(-1)] = self.valid[s:e].reshape(-1)
+            self.chunks.append((s, e, scatter))
+
+
+def shap_kernel(x: np.ndarray, lt: LeafTable, cache: _KernelCache | None = None) -> np.ndarray:
     """SHAP values (B x p) of rows ``x`` for the forest in ``lt``."""
-    b, p = x.shape
-    m = lt.max_path
-    q = max(1, (m + 1) // 2)
-    tq, wq = gauss_legendre_01(q)
-    phi = np.zeros((b, lt.n_features))
-    n_leaves = lt.value.shape[0]
-    step = max(1, _CELLS // max(1, b * m * q))
-    for s in range(0, n_leaves, step):
-        e = min(n_leaves, s + step)
-        f = lt.feat[s:e]
-        valid = f >= 0
-        fi = np.where(valid, f, 0)
-        xf = x[:, fi]                                            # (B, Lc, m)
-        o = (((xf > lt.lo[s:e]) & (xf <= lt.hi[s:e])) | ~valid).astype(float)
-        z = lt.z[s:e]
-        fac = (1.0 - tq) * z[None, :, :, None] + tq * o[..., None]   # (B, Lc, m, Q)
-        full = fac.prod(axis=2)                                  # (B, Lc, Q)
-        w = ((full[:, :, None, :] / fac) * wq).sum(axis=-1)      # (B, Lc, m)
-        contrib = lt.value[s:e][None, :, None] * (o - z[None]) * w
-        contrib = np.where(valid[None], contrib, 0.0)
-        onehot = np.zeros((f.size, lt.n_features))
-        flat = fi.reshape(-1)
-        onehot[np.arange(f.size), flat] = valid.reshape(-1)
-        phi += contrib.reshape(b, -1) @ onehot
+    n = x.shape[0]
+    kc = cache or _KernelCache(lt, n)
+    phi = np.zeros((n, lt.n_features))
+    for s, e, scatter in kc.chunks:
+        xf = x[:, kc.fi[s:e]].transpose(1, 0, 2)                           # (Lc, B, m)
+        o = (((xf > lt.lo[s:e][:, None, :]) & (xf <= lt.hi[s:e][:, None, :]))
+             | ~kc.valid[s:e][:, None, :]).astype(float)
+        fw = np.exp(kc.c[s:e][:, None, :] + o @ kc.d[s:e]) * kc.wq        # (Lc, B, Q)
+        w = fw @ kc.ib_t[s:e] + o * (fw @ kc.e_t[s:e])                      # (Lc, B, m)
+        w *= (o - kc.zs[s:e][:, None, :]) * lt.value[s:e][:, None, None]
+        phi += w.transpose(1, 0, 2).reshape(n, -1) @ scatter
     return phi
 
 
+_ROWS = 256
+
+
+def _shap_rows(x: np.ndarray, lt: LeafTable, cache: dict) -> np.ndarray:
+    out = []
+    for i in range(0, len(x), _ROWS):
+        blk = x[i:i + _ROWS]
+        key = len(blk)
+        if key not in cache:
+            cache[key] = _KernelCache(lt, key)
+        out.append(shap_kernel(blk, lt, cache[key]))
+    return np.vstack(out) if out else np.zeros((0, lt.n_features))
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """CPU-bound Python kernels need parallel tasks, not big partitions: AQE
     would coalesce a small shuffle output into one task, so the number of
@@ -94,12 +131,13 @@ def shap_importance(df: DataFrame, names: Sequence[str], lt: LeafTable, *, dedup
 
     def run(it):
         tab = bc.value
+        cache: dict = {}
         for pdf in it:
             if pdf.empty:
                 continue
             x = pdf[names].to_numpy(dtype=float)
             c = pdf["_cnt"].to_numpy(dtype=float)
-            phi = np.vstack([shap_kernel(x[i:i + 256], tab) for i in range(0, len(x), 256)])
+            phi = _shap_rows(x, tab, cache)
             yield pd.DataFrame({"feature_idx": np.arange(len(names), dtype=np.int32),
                                 "s_abs": (np.abs(phi) * c[:, None]).sum(axis=0),
                                 "s_sgn": (phi * c[:, None]).sum(axis=0),
@@ -127,11 +165,12 @@ def shap_values(df: DataFrame, names: Sequence[str], lt: LeafTable, keep: Sequen
 
     def run(it):
         tab = bc.value
+        cache: dict = {}
         for pdf in it:
             if pdf.empty:
                 continue
             x = pdf[names].to_numpy(dtype=float)
-            phi = np.vstack([shap_kernel(x[i:i + 256], tab) for i in range(0, len(x), 256)])
+            phi = _shap_rows(x, tab, cache)
             out = pdf[keep].copy()
             out["phi"] = list(phi)
             out["base"] = base
@@ -152,11 +191,12 @@ def shap_additivity(df: DataFrame, names: Sequence[str], lt: LeafTable, predicti
 
     def run(it):
         tab = bc.value
+        cache: dict = {}
         for pdf in it:
             if pdf.empty:
                 continue
             x = pdf[names].to_numpy(dtype=float)
-            phi = np.vstack([shap_kernel(x[i:i + 256], tab) for i in range(0, len(x), 256)])
+            phi = _shap_rows(x, tab, cache)
             err = np.abs(base + phi.sum(axis=1) - pdf[prediction].to_numpy(dtype=float))
             yield pd.DataFrame({"max_err": [float(err.max())], "n": [len(x)]})
 

@@ -373,7 +373,9 @@ def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key:
     names = list(names)
     p = len(names)
     base, n = stable_index(df.select(*key, label, *names), list(key))
-    base = base.select("row_idx", label, *names)
+    # read four times (baseline, donors, receivers, variance): written once to
+    # the shared checkpoint folder, which also pins the index if executors die
+    base = base.select("row_idx", label, *names).checkpoint(eager=True)
     y = F.col(label).cast("double")
     st = base.agg(F.var_pop(y).alias("vy"), F.count(F.lit(1)).alias("n")).first()
     sst = float(st["vy"]) * float(st["n"])  # same for every permuted variant: y is untouched

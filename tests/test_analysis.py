@@ -26,3 +26,12 @@ def test_end_to_end_run_and_rollup(spark):
     analysis.write_run({"fit": t["fit"]}, base, "20260102_000000")
     latest = results.latest_run(spark, base, "fit")
     assert {r.run_id for r in latest.collect()} == {"20260102_000000"} and rid == "20260101_000000"
+
+
+def test_significant_only_restricts_pdp_to_top_shap(spark):
+    df = frames.frame_p(spark, SF001)
+    roles = Roles(["p_brand", "p_type"], ["p_size"], ["p_retailprice"])
+    opts = analysis.Options(trees=5, max_depth=3, significant_only=True, pdp_top_k=3, run_interactions=False)
+    run = analysis.analyze(spark, df, roles, opts)
+    assert run.tables["pdp_1d"].select("feature").distinct().count() == 3
+    assert run.tables["pdp_2d"].select("f1", "f2").distinct().count() == 3

@@ -44,6 +44,7 @@ class Options:
     interaction_max_depth: int | None = None
     interaction_max_columns: int = interact.MAX_COLUMNS
     pdp_pairs: bool = True
+    pdp_top_k: int = 5
     key: tuple = ()
 
 
@@ -56,21 +57,28 @@ class Run:
 
 
 def prepare(df: DataFrame, roles: Roles, opts: Options) -> tuple[DataFrame, encode.FeatureSet]:
+    """Clean, persist (every fit and model reads it), then fit lumping and
+    the encoder on the cached rows; the lumped frame is a projection of the
+    cached one, so later passes read the cache too."""
     load.check_roles(df, roles)
+    keep_cols = list(dict.fromkeys([*opts.key, *roles.columns,
+                                    *[f"{t}Std" for t in roles.targets if f"{t}Std" in df.columns]]))
+    df = df.select(*keep_cols)
     if opts.dropna_required:
         df = clean.drop_missing(df, roles.columns)
     else:
         df = clean.impute_mean(df, list(roles.numerics))
-    df = clean.lump_levels(df, list(roles.categoricals), top_n=opts.lump_top_n)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    keep, levels = clean.fit_lumping_levels(df, list(roles.categoricals), top_n=opts.lump_top_n)
+    df = clean.apply_lumping(df, keep)
     fs = encode.fit_features(df, list(roles.categoricals), list(roles.numerics),
-                             reference_levels=roles.reference_levels)
+                             reference_levels=roles.reference_levels, levels=levels)
     return df, fs
 
 
 def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | None = None) -> Run:
     opts = opts or Options()
     df, fs = prepare(df, roles, opts)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     counts = clean.target_null_counts(df, list(roles.targets)).collect()
     targets = [r["target"] for r in counts if not r["all_null"]]
     run = Run(roles, fs)
@@ -109,13 +117,22 @@ def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | No
                 cvs.append(forest_cv(vec, tgt, keep, opts).withColumn("target", F.lit(tgt)))
             if opts.run_shap or opts.run_pdp:
                 lt = forest.leaf_table(spark, model, len(fs.names))
+                imp = None
                 if opts.run_shap:
-                    imps.append(explain.shap_importance(sub, fs.names, lt).withColumn("target", F.lit(tgt)))
+                    imp = explain.shap_importance(sub, fs.names, lt).withColumn("target", F.lit(tgt))
+                    imps.append(imp)
                 if opts.run_pdp:
                     grid = explain.pdp_grid(sub, fs.names)
+                    pairs = None
+                    if opts.significant_only and imp is not None:
+                        # as the reference: curves and surfaces for the top SHAP features only
+                        top = [r["feature_idx"] for r in rollup.top_k(
+                            imp, opts.pdp_top_k, F.col("mean_abs_shap").desc()).select("feature_idx").collect()]
+                        grid = grid.where(F.col("feature_idx").isin(top))
+                        pairs = [(i, j) for a, i in enumerate(sorted(top)) for j in sorted(top)[a + 1:]]
                     pd1s.append(explain.tree_pdp_1d(grid, lt).withColumn("target", F.lit(tgt)))
                     if opts.pdp_pairs:
-                        pd2s.append(explain.tree_pdp_2d(grid, lt).withColumn("target", F.lit(tgt)))
+                        pd2s.append(explain.tree_pdp_2d(grid, lt, pairs).withColumn("target", F.lit(tgt)))
             if opts.run_permutation and keep:
                 from pyspark.ml.feature import VectorAssembler
 

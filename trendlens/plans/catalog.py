@@ -257,8 +257,10 @@ def q_metrics_by_group(spark, sf):
 # --------------------------------------------------------------- interactions
 
 def _d2_fit(spark, sf):
-    df = clean.lump_levels(fr.frame_l(spark, sf), ["l_returnflag", "o_orderpriority"])
-    return interact.interactions(df, ["l_returnflag", "o_orderpriority"], [], ["net"], max_depth=2)
+    L = fr.frame_l(spark, sf)
+    keep, levels = clean.fit_lumping_levels(L, ["l_returnflag", "o_orderpriority"])
+    df = clean.apply_lumping(L, keep)
+    return interact.interactions(df, ["l_returnflag", "o_orderpriority"], [], ["net"], max_depth=2, levels=levels)
 
 
 def q_interaction_cells_d2(spark, sf):

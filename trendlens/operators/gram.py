@@ -46,11 +46,19 @@ def _as_specs(cols) -> list[ColSpec]:
 
 def ensure_parallel(df: DataFrame, factor: int = 2) -> DataFrame:
     """Give CPU-bound stages (Python kernels, tree training) at least
-    ``factor x defaultParallelism`` tasks.  Only inputs with fewer partitions
-    (e.g. one small file) are repartitioned; large inputs already have
-    thousands of splits and pass through without an extra shuffle."""
+    ``factor x defaultParallelism`` tasks.
+
+    Decided from the input files (``inputFiles`` lists them; nothing runs):
+    an input of fewer files than the target (e.g. one small file) is spread
+    by a round-robin repartition; a large table has thousands of files, and
+    therefore splits, and passes through without an extra shuffle.
+    """
     target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < target:
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # inputs without files (e.g. local data)
+        n_files = 0
+    if n_files < target:
         return df.repartition(target)
     return df
 

@@ -30,7 +30,8 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(_DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = "16g"
+    # fits the 7 GB bench budget; override with TRENDLENS_DRIVER_MEMORY
+    conf["spark.driver.memory"] = os.environ.get("TRENDLENS_DRIVER_MEMORY", "6g")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)

@@ -84,6 +84,10 @@ def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | No
     run = Run(roles, fs)
     t = run.tables
     t["features"] = fs.table(spark)
+    if opts.key:
+        # Preview rows and the feature matrix, written once (not once per target)
+        t["preview"] = results.preview(df, list(opts.key))
+        t["feature_matrix"] = encode.feature_long(df, fs, list(opts.key))
     t["drop_audit"] = clean.drop_audit(df, roles.columns)
     t["levels"] = clean.level_profile(df, list(roles.categoricals))
     t["skew"] = stats.skew_check(df, list(roles.numerics) + targets)

@@ -47,6 +47,21 @@ def q_left_join_flag(spark, sf):
     return j.select("c_custkey", "o_orderkey", "o_totalprice")
 
 
+def q_salted_left_join(spark, sf):
+    """C1 under skew: regions LEFT JOIN their customers, where every region
+    key holds a large share of the right side.  Keys above a quarter of one
+    task's fair share are salted; the result must equal the plain join."""
+    reg = fr.table(spark, sf, "region")
+    cust = (fr.table(spark, sf, "customer").join(fr.table(spark, sf, "nation"),
+                                                 F.col("c_nationkey") == F.col("n_nationkey"))
+            .select("n_regionkey", "c_custkey", "c_acctbal"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = cust.count() // (4 * parts)  # one small count: the threshold scales with the table
+    hot = joins.hot_keys(cust, "n_regionkey", min_rows=max(share, 1))
+    out = joins.salted_left_join(reg, cust, "r_regionkey", "n_regionkey", hot=hot)
+    return out.select("r_regionkey", "r_name", "c_custkey", "c_acctbal")
+
+
 def q_preview(spark, sf):
     # (orderkey, linenumber) is not unique in the driver data: order by every output column
     key = ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "net"]
@@ -551,6 +566,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip": q_csv_roundtrip,
     "latest_run": q_latest_run,
     "first_child_left_join": q_first_child_left_join,
+    "salted_left_join": q_salted_left_join,
     "left_join_flag": q_left_join_flag,
     "preview": q_preview,
     "drop_audit": q_drop_audit,

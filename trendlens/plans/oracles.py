@@ -130,6 +130,11 @@ LEFT JOIN lineitem d ON d.l_orderkey = fc.first_child AND d.l_returnflag <> 'R'
 LEFT JOIN orders e ON e.o_orderkey = fc.first_child AND e.o_orderstatus <> 'P'
 WHERE c.c_mktsegment IS NOT NULL""",
 
+    "salted_left_join": """
+SELECT r_regionkey, r_name, c_custkey, c_acctbal
+FROM region LEFT JOIN (SELECT n_regionkey, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey) c
+     ON r_regionkey = c.n_regionkey""",
+
     "left_join_flag": """
 SELECT c_custkey, o_orderkey, o_totalprice
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P'""",

@@ -135,3 +135,17 @@ def test_pca_two_standardised_variables(spark):
     assert abs(v[0][1] - (1 + r) / 2) < 1e-10 and abs(v[1][2] - 1.0) < 1e-12
     n = res.components_for().first()
     assert n.n_95 == 2
+
+
+def test_grouped_predict_joins_per_group_coefficients(spark):
+    df, pdf = _df(spark)
+    fit = linear.regression(df, ["x1"], ["y"], use_wls=False, by=["g"])
+    scored = {r.id: r.prediction for r in linear.predict(df, fit.coefficients, ["x1"], "y", by=["g"]).collect()}
+    for g, sub in pdf.groupby("g"):
+        b = np.polyfit(sub.x1, sub.y, 1)
+        for i, x in zip(sub.id, sub.x1):
+            assert abs(scored[i] - (b[1] + b[0] * x)) < 1e-8
+    import pytest
+
+    with pytest.raises(ValueError, match="pass by="):
+        linear.predict(df, fit.coefficients, ["x1"], "y")

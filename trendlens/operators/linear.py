@@ -168,15 +168,28 @@ def cv_r2(df: DataFrame, features: Sequence, targets: Sequence[str], fold_col: s
 
 
 def predict(df: DataFrame, coefficients: DataFrame, features: Sequence, target: str,
-            out: str = "prediction") -> DataFrame:
-    """Score rows with a fitted coefficient table (small: one row per term).
-
-    The coefficient vector is a bounded object (p + 1 numbers), so it is
-    read once and inlined as literals; the scoring stays a codegen expression.
+            out: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """Score rows with a fitted coefficient table.
+
+    Ungrouped fit: the coefficient vector is a bounded object (p + 1
+    numbers), read once and inlined as literals, so scoring stays a codegen
+    expression.  Grouped fit (``by``): the table is pivoted to one row per
+    group and joined on the group keys (AQE broadcasts it when its measured
+    size is small), so any number of groups scales.
     """
     specs = _as_specs(features)
-    rows = (coefficients.where(F.col("target") == target)
-            .select("term_idx", "coef").collect())
+    coefs = coefficients.where(F.col("target") == target)
+    if by:
+        wide = coefs.groupBy(*by).agg(*[
+            F.max(F.when(F.col("term_idx") == i, F.col("coef"))).alias(f"_b{i}") for i in range(len(specs) + 1)])
+        expr = F.coalesce(F.col("_b0"), F.lit(0.0))
+        for i, (_, c) in enumerate(specs, start=1):
+            expr = expr + F.coalesce(F.col(f"_b{i}"), F.lit(0.0)) * c.cast("double")
+        return df.join(wide, list(by), "left").withColumn(out, expr).drop(*[f"_b{i}" for i in range(len(specs) + 1)])
+    extra = set(coefs.columns) - {f.name for f in _COEF_FIELDS}
+    if extra:
+        raise ValueError(f"coefficients are grouped by {sorted(extra)}; pass by=")
+    rows = coefs.select("term_idx", "coef").collect()  # p + 1 rows
     beta = {int(r["term_idx"]): float(r["coef"]) for r in rows}
     expr = F.lit(beta.get(0, 0.0))
     for i, (_, c) in enumerate(specs, start=1):

@@ -260,11 +260,7 @@ def q_linear_cv_r2(spark, sf):
 def q_metrics_by_group(spark, sf):
     p = fr.frame_p(spark, sf)
     fit = linear.regression(p, ["p_size"], ["p_retailprice"], by=["p_type"])
-    beta = fit.coefficients.groupBy("p_type").agg(
-        F.max(F.when(F.col("term") == "Intercept", F.col("coef"))).alias("_b0"),
-        F.max(F.when(F.col("term") == "p_size", F.col("coef"))).alias("_b1"))
-    # one row per group; AQE broadcasts it when its measured size is small
-    scored = p.join(beta, "p_type").withColumn("prediction", F.col("_b0") + F.col("_b1") * F.col("p_size"))
+    scored = linear.predict(p, fit.coefficients, ["p_size"], "p_retailprice", by=["p_type"])
     m = stats.metrics(scored, "p_retailprice", "prediction", by=["p_type"])
     return m.select("p_type", "n", _r("r2", D8), _r("mae", D6), _r("rmse", D6))
 

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reference works on one-shot reads (a CSV file or a SQL query); it has no
+streams, watermarks, windows or stateful operators, so none are built here.
+Every operator in this package is a DataFrame -> DataFrame function, so a
+caller who does have a stream can apply them per micro-batch with
+``writeStream.foreachBatch``; the moment pass in particular is additive, so
+per-batch moment tables can be summed and solved later.
+"""

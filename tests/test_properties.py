@@ -48,3 +48,38 @@ def test_jdbc_reader_is_configured_not_run(spark):
     r = load.jdbc_reader(spark, "jdbc:postgresql://db.invalid/x", "SELECT 1 AS a", user="u", password="p",
                          partition_column="a", lower=0, upper=10, num_partitions=4)
     assert type(r).__name__ == "DataFrameReader"
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(min_value=2, max_value=4), min_size=1, max_size=3),
+       st.integers(min_value=0, max_value=2), st.integers(min_value=0, max_value=999))
+def test_contrast_coding_is_full_rank_on_factorial_data(spark, level_counts, n_num, seed):
+    import itertools
+
+    from trendlens.operators import interact
+
+    cats = [f"c{i}" for i in range(len(level_counts))]
+    nums = [f"x{i}" for i in range(n_num)]
+    levels = {c: [f"{c}_{j}" for j in range(k)] for c, k in zip(cats, level_counts)}
+    rng = np.random.default_rng(seed)
+    cells = list(itertools.product(*[levels[c] for c in cats]))
+    reps = 3 * (2 ** n_num) + 2
+    rows = [dict(zip(cats, cell)) | {x: float(rng.normal()) for x in nums} for cell in cells for _ in range(reps)]
+    for d in range(1, len(cats) + n_num + 1):
+        cols = interact.design(cats, nums, levels, d)
+        mat = np.array([[np.prod([(r[f] == lv) if lv is not None else r[f] for f, lv in c.spec]) for c in cols[1:]]
+                        for r in rows], dtype=float).reshape(len(rows), -1)
+        mat = np.column_stack([np.ones(len(rows)), mat])
+        assert np.linalg.matrix_rank(mat) == mat.shape[1], (level_counts, n_num, d)
+        # same span as the over-parameterised design (all level combinations of every d-way term)
+        over = [np.ones(len(rows))]
+        for term in itertools.combinations(cats + nums, d):
+            tc = [f for f in term if f in levels]
+            tn = [f for f in term if f not in levels]
+            for combo in itertools.product(*[levels[f] for f in tc]):
+                over.append(np.array([np.prod([r[f] == v for f, v in zip(tc, combo)] + [r[x] for x in tn])
+                                      for r in rows], dtype=float))
+        over = np.column_stack(over)
+        r_over = np.linalg.matrix_rank(over)
+        assert np.linalg.matrix_rank(mat) == r_over
+        assert np.linalg.matrix_rank(np.column_stack([mat, over])) == r_over

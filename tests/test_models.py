@@ -149,3 +149,16 @@ def test_grouped_predict_joins_per_group_coefficients(spark):
 
     with pytest.raises(ValueError, match="pass by="):
         linear.predict(df, fit.coefficients, ["x1"], "y")
+
+
+def test_shared_moments_equal_stacked_for_complete_targets(spark):
+    df, pdf = _df(spark)
+    df = df.withColumn("y2", df.y * 3 - df.x2)
+    a = linear.regression(df, ["x1", "x2"], ["y", "y2"], use_wls=False)
+    b = linear.regression(df, ["x1", "x2"], ["y", "y2"], use_wls=False, targets_complete=True)
+    ca = sorted((r.target, r.term, round(r.coef, 9), round(r.std_err, 9)) for r in a.coefficients.collect())
+    cb = sorted((r.target, r.term, round(r.coef, 9), round(r.std_err, 9)) for r in b.coefficients.collect())
+    assert ca == cb
+    fa = sorted((r.target, r.n, round(r.r2, 10)) for r in a.fit.collect())
+    fb = sorted((r.target, r.n, round(r.r2, 10)) for r in b.fit.collect())
+    assert fa == fb

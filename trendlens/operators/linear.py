@@ -62,15 +62,23 @@ def _key_fields(df: DataFrame, by: Sequence[str]):
 def regression(df: DataFrame, features: Sequence, targets: Sequence[str], *,
                use_wls: bool = True, weights: dict | None = None,
                by: Sequence[str] = (), alpha: float = 0.05,
-               method: str = "auto") -> LinearFit:
+               method: str = "auto", targets_complete: bool = False) -> LinearFit:
     """Fit y_t ~ 1 + features for every target t (and every ``by`` group).
 
     ``features``: column names or ``(name, Column)`` pairs (e.g. from
     ``FeatureSet.specs``).  Rows with a missing target or weight are skipped
     per target, rows with a missing feature are skipped.
+
+    ``targets_complete=True`` (every row has every target, e.g. after
+    dropping missing values) with no per-target weights uses ONE shared
+    moment matrix over (1, x, y_1..y_t): no row is duplicated per target and
+    each target's system is a sub-matrix of it.
     """
     specs = _as_specs(features)
     by = list(by)
+    weighted = any(wls_weight(df, t, use_wls)[1] == "WLS" for t in targets) or bool(weights)
+    if targets_complete and len(targets) > 1 and not weighted:
+        return _shared_regression(df, specs, list(targets), by, alpha, method)
     feat_cols = [c.cast("double").alias(f"_f{i}") for i, (_, c) in enumerate(specs)]
     stacked = stack_targets(df, targets, [F.col(c) for c in by] + feat_cols, use_wls, weights)
     cols = [(f"_f{i}", F.col(f"_f{i}")) for i in range(len(specs))] + [("y", F.col("y"))]
@@ -84,6 +92,39 @@ def regression(df: DataFrame, features: Sequence, targets: Sequence[str], *,
     return LinearFit(coef, fit, mom, terms)
 
 
+def _shared_regression(df, specs, targets, by, alpha, method) -> LinearFit:
+    p = len(specs)
+    cols = ([(f"_f{i}", c.cast("double")) for i, (_, c) in enumerate(specs)]
+            + [(f"_y{j}", F.col(t).cast("double")) for j, t in enumerate(targets)])
+    shared = moments(df, {"shared": cols}, by=by, method=method)
+    key_fields = _key_fields(df, by)
+    schema = T.StructType(key_fields + [T.StructField("target", T.StringType()),
+                                        T.StructField("method", T.StringType()),
+                                        T.StructField("_block", T.StringType()),
+                                        T.StructField("_k", T.IntegerType()),
+                                        T.StructField("_g", T.ArrayType(T.DoubleType()))])
+    from trendlens.functions.linalg import pack, unpack
+
+    def split(it):
+        for pdf in it:
+            out = []
+            for r in pdf.to_dict("records"):
+                g = np.asarray(r["_g"], dtype=float)
+                k = int(r["_k"])
+                m = unpack(g[:-1], k)
+                for j, t in enumerate(targets):
+                    idx = list(range(p + 1)) + [p + 1 + j]
+                    sub = m[np.ix_(idx, idx)]
+                    out.append([r[c] for c in by] + [t, "OLS", "linear", p + 2,
+                                                     np.append(pack(sub), g[-1]).tolist()])
+            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+
+    mom = shared.mapInPandas(split, schema).persist()
+    terms = ["Intercept"] + [n for n, _ in specs]
+    return LinearFit(_solve_table(mom, by, key_fields, terms, alpha),
+                     _fit_table(mom, by, key_fields, alpha), mom, terms)
+
+
 _COEF_FIELDS = [T.StructField("target", T.StringType()), T.StructField("term", T.StringType()),
                 T.StructField("term_idx", T.IntegerType()),
                 T.StructField("coef", T.DoubleType()), T.StructField("std_err", T.DoubleType()),

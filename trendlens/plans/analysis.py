@@ -95,7 +95,8 @@ def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | No
     p = pca.pca(df, fs.specs)
     t["pca_variance"], t["pca_loadings"], t["pca_top"] = p.variance, p.loadings, p.top()
 
-    fit = linear.regression(df, fs.specs, targets, use_wls=opts.use_wls, alpha=opts.alpha)
+    fit = linear.regression(df, fs.specs, targets, use_wls=opts.use_wls, alpha=opts.alpha,
+                            targets_complete=opts.dropna_required)
     coefs = rollup.with_parameters(fit.coefficients, t["features"])
     if opts.significant_only:
         coefs = coefs.where((F.col("p") < opts.alpha) | (F.col("term") == "Intercept"))

@@ -552,7 +552,7 @@ def q_method_rank(spark, sf):
 
 def q_summary_facts(spark, sf):
     df, fs = _l_features(spark, sf)
-    fit = linear.regression(df, fs.specs, ["net", "l_extendedprice"])
+    fit = linear.regression(df, fs.specs, ["net", "l_extendedprice"], targets_complete=True)
     sk = stats.skew_check(df, list(fr.L_ROLES.numerics) + list(fr.L_ROLES.targets))
     return rollup.summary_facts(fit.coefficients, fit.fit, skew=sk)
 

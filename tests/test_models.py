@@ -162,3 +162,20 @@ def test_shared_moments_equal_stacked_for_complete_targets(spark):
     fa = sorted((r.target, r.n, round(r.r2, 10)) for r in a.fit.collect())
     fb = sorted((r.target, r.n, round(r.r2, 10)) for r in b.fit.collect())
     assert fa == fb
+
+
+def test_interactions_multi_target_with_own_nulls(spark):
+    rng = np.random.default_rng(8)
+    a = rng.choice(["p", "q"], 120)
+    x = rng.normal(size=120)
+    y1 = (a == "q") * 1.5 + 2 * x + rng.normal(size=120)
+    y2 = np.where(np.arange(120) % 5 == 0, np.nan, y1 * -1 + x)
+    pdf = pd.DataFrame({"a": a, "x": x, "y1": y1, "y2": y2})
+    sdf = spark.createDataFrame(pdf).withColumn("y2", F.when(~F.isnan("y2"), F.col("y2")))
+    both = interact.interactions(sdf, ["a"], ["x"], ["y1", "y2"])
+    one = interact.interactions(sdf, ["a"], ["x"], ["y1"])
+    c_both = {(r.depth, r.term): r.coef for r in both.coefficients.where("target = 'y1'").collect()}
+    c_one = {(r.depth, r.term): r.coef for r in one.coefficients.collect()}
+    assert c_both.keys() == c_one.keys() and all(abs(c_both[k] - c_one[k]) < 1e-9 for k in c_one)
+    n2 = {r.depth: r.n for r in both.status.where("target = 'y2'").collect()}
+    assert set(n2.values()) == {120 - 24}

@@ -254,15 +254,29 @@ def _design_moments(df: DataFrame, categoricals, numerics, targets, designs) ->
                         out = out * cache[key]
                 return out
 
+            ys = {t: pdf[t].to_numpy(dtype=float, na_value=np.nan) for t in targets}
+            oks = {t: ok_in & ~np.isnan(ys[t]) for t in targets}
+            same = all(np.array_equal(oks[targets[0]], oks[t]) for t in targets[1:])
             for b, cols in specs.items():
                 x = np.empty((n, len(cols) + 1))
                 x[:, 0] = 1.0
                 for i, spec in enumerate(cols):
                     x[:, i + 1] = column(spec)
+                k = x.shape[1]
+                if same:
+                    # one product for all targets: each target is a sub-matrix
+                    ok = oks[targets[0]]
+                    z = np.column_stack([x[ok]] + [ys[t][ok] for t in targets])
+                    full = z.T @ z
+                    for j, t in enumerate(targets):
+                        idx = list(range(k)) + [k + j]
+                        gm = full[np.ix_(idx, idx)]
+                        vec = np.append(gm[np.triu_indices(k + 1)], float(ok.sum()))
+                        acc[(t, b)] = acc[(t, b)] + vec if (t, b) in acc else vec
+                    continue
                 for t in targets:
-                    y = pdf[t].to_numpy(dtype=float, na_value=np.nan)
-                    ok = ok_in & ~np.isnan(y)
-                    z = np.column_stack([x[ok], y[ok]])
+                    ok = oks[t]
+                    z = np.column_stack([x[ok], ys[t][ok]])
                     gm = z.T @ z
                     vec = np.append(gm[np.triu_indices(gm.shape[0])], float(ok.sum()))
                     acc[(t, b)] = acc[(t, b)] + vec if (t, b) in acc else vec

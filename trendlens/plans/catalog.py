@@ -279,6 +279,29 @@ def q_interaction_cells_d2(spark, sf):
     return c.select("target", "term", "label", _r("coef", D4), _r("std_err", D4), _r("t", D6))
 
 
+def _num_d1_fit(spark, sf):
+    return interact.interactions(fr.frame_l(spark, sf), [], ["l_discount", "l_tax"], ["net"], max_depth=1)
+
+
+def q_interaction_numeric_d1(spark, sf):
+    """E7 with numeric inputs only: net ~ 1 + l_discount + l_tax."""
+    c = _num_d1_fit(spark, sf).coefficients
+    return c.select("target", "depth", "term", "label", _r("coef", D4), _r("std_err", D4), _r("t", D6))
+
+
+def q_significant_terms_numeric(spark, sf):
+    """B11 + H3 on a model whose terms are significant."""
+    top = rollup.top_significant_terms(_num_d1_fit(spark, sf).coefficients, k=20)
+    return top.select("target", "depth", "term", _r("coef", D4), "rank")
+
+
+def q_param_rollup_numeric(spark, sf):
+    """Sum |coef| of significant terms per parameter."""
+    params = rollup.params_table(spark, ["l_discount", "l_tax"])
+    out = rollup.coef_by_parameter(_num_d1_fit(spark, sf).coefficients, params, alpha=0.05, by=("target", "depth"))
+    return out.select("target", "depth", "parameter", _r("sum_abs_coef", D4))
+
+
 def q_interaction_coefs_all_depths(spark, sf):
     lumped, levels = _l_lumped(spark, sf, with_levels=True)
     df = clean.drop_missing(lumped, fr.L_ROLES.columns)
@@ -587,6 +610,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "linear_cv_r2": q_linear_cv_r2,
     "metrics_by_group": q_metrics_by_group,
     "interaction_cells_d2": q_interaction_cells_d2,
+    "interaction_numeric_d1": q_interaction_numeric_d1,
+    "significant_terms_numeric": q_significant_terms_numeric,
+    "param_rollup_numeric": q_param_rollup_numeric,
     "interaction_coefs_all_depths": q_interaction_coefs_all_depths,
     "interaction_status": q_interaction_status,
     "pca_variance": q_pca_variance,

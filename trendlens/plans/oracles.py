@@ -78,6 +78,17 @@ co AS (
 crit AS (SELECT """ + _tcrit("dfr") + """ AS tc FROM sig)"""
 
 
+def _num_d1_cte() -> str:
+    """Coefficients of net ~ 1 + l_discount + l_tax (the depth-1 interaction
+    model of two numeric inputs) from the centred 2x2 closed form."""
+    return (L_CTE + ",\n" + _two_feature_cte("L", "l_discount", "l_tax", "net") + """,
+co AS (SELECT 'Intercept' AS term, 'Intercept' AS label, a AS coef,
+              sqrt(s2 * (1.0/n + (m1*m1*s22 - 2*m1*m2*s12 + m2*m2*s11)/det)) AS se FROM h
+       UNION ALL SELECT 'Q("l_discount")', 'l_discount', b1, sqrt(s2*s22/det) FROM h
+       UNION ALL SELECT 'Q("l_tax")', 'l_tax', b2, sqrt(s2*s11/det) FROM h),
+crit AS (SELECT """ + _tcrit("(SELECT n - 3 FROM h)") + """ AS tc)""")
+
+
 def _corr_sql() -> str:
     cols = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
     parts = []
@@ -282,6 +293,19 @@ FROM d GROUP BY p_type""",
     "interaction_cells_d2": "WITH " + _d2_cte() + """
 SELECT 'net' AS target, term, label, round(coef, 4) AS coef, round(se, 4) AS std_err, round(coef / se, 6) AS t FROM co""",
 
+    "interaction_numeric_d1": "WITH " + _num_d1_cte() + """
+SELECT 'net' AS target, 1 AS depth, term, label, round(coef, 4) AS coef, round(se, 4) AS std_err,
+       round(coef / se, 6) AS t FROM co""",
+
+    "significant_terms_numeric": "WITH " + _num_d1_cte() + """,
+sg AS (SELECT co.*, row_number() OVER (ORDER BY abs(coef) DESC, term ASC) AS rk
+       FROM co, crit WHERE term <> 'Intercept' AND abs(coef / se) > tc)
+SELECT 'net' AS target, 1 AS depth, term, round(coef, 4) AS coef, CAST(rk AS INTEGER) AS rank FROM sg WHERE rk <= 20""",
+
+    "param_rollup_numeric": "WITH " + _num_d1_cte() + """
+SELECT 'net' AS target, 1 AS depth, label AS parameter, round(abs(coef), 4) AS sum_abs_coef
+FROM co, crit WHERE term <> 'Intercept' AND abs(coef / se) > tc""",
+
     "pca_variance": "WITH " + L_CTE + """,
 c AS (SELECT abs(corr(l_quantity, l_discount)) AS r FROM L)
 SELECT 1 AS pc, round((1 + r) / 2, 8) AS ratio, round((1 + r) / 2, 8) AS cumulative FROM c

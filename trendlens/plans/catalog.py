@@ -212,6 +212,20 @@ def q_wls_simple(spark, sf):
     return _coef_out(linear.regression(fr.frame_w(spark, sf), ["avg_qty"], ["avg_price"], use_wls=True))
 
 
+def _fit_out(fit: linear.LinearFit):
+    return fit.fit.select("target", "method", "n", "rank", "df_resid", _r("r2", D8))
+
+
+def q_ols_fit_stats(spark, sf):
+    """N, rank, residual df and R^2 of an OLS fit."""
+    return _fit_out(linear.regression(fr.frame_l(spark, sf), ["l_quantity"], ["net"]))
+
+
+def q_wls_fit_stats(spark, sf):
+    """The same for WLS, where R^2 is weighted and centred on the weighted mean."""
+    return _fit_out(linear.regression(fr.frame_w(spark, sf), ["avg_qty"], ["avg_price"], use_wls=True))
+
+
 def q_ols_two_feature(spark, sf):
     return _coef_out(linear.regression(fr.frame_l(spark, sf), ["l_quantity", "l_discount"], ["net"]))
 
@@ -604,6 +618,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "yeo_johnson_fitted": q_yeo_johnson_fitted,
     "ols_simple": q_ols_simple,
     "wls_simple": q_wls_simple,
+    "ols_fit_stats": q_ols_fit_stats,
+    "wls_fit_stats": q_wls_fit_stats,
     "ols_two_feature": q_ols_two_feature,
     "ols_by_group": q_ols_by_group,
     "ols_full_coefs": q_ols_full_coefs,

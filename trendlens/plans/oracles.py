@@ -256,6 +256,20 @@ SELECT 'avg_price' AS target, 'Intercept' AS term, round(a, 4) AS coef, round(se
 UNION ALL
 SELECT 'avg_price', 'avg_qty', round(b, 4), round(se_b, 4), round(b / se_b, 6) FROM e""",
 
+    "ols_fit_stats": "WITH " + L_CTE + """
+SELECT 'net' AS target, 'OLS' AS method, CAST(regr_count(net, l_quantity) AS BIGINT) AS n, 2 AS rank,
+       CAST(regr_count(net, l_quantity) - 2 AS DOUBLE) AS df_resid, round(regr_r2(net, l_quantity), 8) AS r2 FROM L""",
+
+    "wls_fit_stats": """
+WITH W AS (SELECT l_partkey, avg(l_quantity) AS x, avg(l_extendedprice) AS y,
+                  stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY l_partkey HAVING count(*) >= 2),
+d AS (SELECT x, y, 1.0 / (sd * sd + 0.000001) AS w FROM W WHERE sd IS NOT NULL),
+m AS (SELECT sum(w * x) / sum(w) AS xw, sum(w * y) / sum(w) AS yw, count(*) AS n FROM d),
+c AS (SELECT sum(w * (x - xw) * (x - xw)) AS sxx, sum(w * (x - xw) * (y - yw)) AS sxy,
+             sum(w * (y - yw) * (y - yw)) AS syy FROM d, m)
+SELECT 'avg_price' AS target, 'WLS' AS method, n, 2 AS rank, CAST(n - 2 AS DOUBLE) AS df_resid,
+       round(sxy * sxy / (sxx * syy), 8) AS r2 FROM c, m""",
+
     "ols_two_feature": "WITH " + L_CTE + ",\n" + _two_feature_cte("L", "l_quantity", "l_discount", "net") + """
 SELECT 'net' AS target, 'Intercept' AS term, round(a, 4) AS coef,
        round(sqrt(s2 * (1.0/n + (m1*m1*s22 - 2*m1*m2*s12 + m2*m2*s11)/det)), 4) AS std_err,

@@ -45,3 +45,11 @@ def test_salted_left_join_is_exact_under_a_hot_key(spark):
     key = lambda r: (r.k if r.k is not None else -1, r.l, r.rk if r.rk is not None else -1, r.v if r.v is not None else -1.0)
     assert sorted(map(key, out.collect())) == sorted(map(key, ref.collect()))
     assert joins.hot_keys(right, "rk", min_rows=100) == [1]
+
+
+def test_salted_left_join_same_key_name(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k long, l string")
+    right = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (3, 9.0)], "k long, v double")
+    out = joins.salted_left_join(left, right, "k", "k", hot=[1], buckets=4)
+    got = sorted((r[0], r[1], r[3]) for r in out.collect())
+    assert got == [(1, "a", 1.0), (1, "a", 2.0), (1, "a", 3.0), (2, "b", None)]

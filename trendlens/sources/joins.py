@@ -51,14 +51,14 @@ def salted_left_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str,
         return left.join(right, left[lkey] == right[rkey], "left")
     hot_l = F.col(lkey).isin(hot)
     hot_r = F.col(rkey).isin(hot)
-    plain = left.where(~hot_l | F.col(lkey).isNull()).join(
-        right.where(~hot_r), F.col(lkey) == F.col(rkey), "left")
+    lw, rw = left.where(~hot_l | F.col(lkey).isNull()), right.where(~hot_r)
+    plain = lw.join(rw, lw[lkey] == rw[rkey], "left")
     salt_r = right.where(hot_r).withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(buckets)))
-    salt_l = left.where(hot_l).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    hot_part = salt_l.join(salt_r, (salt_l[lkey] == salt_r[rkey]) & (salt_l["_salt"] == salt_r["_salt"]),
-                           "inner").drop("_salt")
-    return plain.unionByName(hot_part.select(*plain.columns))
+        "_salt_r", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(buckets)))
+    salt_l = left.where(hot_l).withColumn("_salt_l", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    hot_part = salt_l.join(salt_r, (salt_l[lkey] == salt_r[rkey]) & (salt_l["_salt_l"] == salt_r["_salt_r"]),
+                           "inner").drop("_salt_l", "_salt_r")
+    return plain.union(hot_part)  # same column order: left columns, then right columns
 
 
 @dataclass

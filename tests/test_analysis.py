@@ -35,3 +35,14 @@ def test_significant_only_restricts_pdp_to_top_shap(spark):
     run = analysis.analyze(spark, df, roles, opts)
     assert run.tables["pdp_1d"].select("feature").distinct().count() == 3
     assert run.tables["pdp_2d"].select("f1", "f2").distinct().count() == 3
+
+
+def test_drop_audit_counts_the_raw_input(spark):
+    df = frames.frame_p(spark, SF001).withColumn("p_size", F.expr("nullif(p_size, 1)"))
+    roles = Roles(["p_type"], ["p_size"], ["p_retailprice"])
+    opts = analysis.Options(run_forest=False, run_interactions=False)
+    run = analysis.analyze(spark, df, roles, opts)
+    a = run.tables["drop_audit"].first()
+    n_null = df.where("p_size IS NULL").count()
+    assert a.rows_before == df.count() and a.rows_dropped == n_null and n_null > 0
+    assert run.tables["fit"].first().n == df.count() - n_null

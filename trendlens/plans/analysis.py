@@ -78,6 +78,7 @@ def prepare(df: DataFrame, roles: Roles, opts: Options) -> tuple[DataFrame, enco
 
 def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | None = None) -> Run:
     opts = opts or Options()
+    raw = df
     df, fs = prepare(df, roles, opts)
     counts = clean.target_null_counts(df, list(roles.targets)).collect()
     targets = [r["target"] for r in counts if not r["all_null"]]
@@ -88,7 +89,7 @@ def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | No
         # Preview rows and the feature matrix, written once (not once per target)
         t["preview"] = results.preview(df, list(opts.key))
         t["feature_matrix"] = encode.feature_long(df, fs, list(opts.key))
-    t["drop_audit"] = clean.drop_audit(df, roles.columns)
+    t["drop_audit"] = clean.drop_audit(raw, roles.columns)  # on the input, before cleaning
     t["levels"] = clean.level_profile(df, list(roles.categoricals))
     t["skew"] = stats.skew_check(df, list(roles.numerics) + targets)
     t["correlation"] = stats.correlation(df, list(roles.numerics))

@@ -94,3 +94,20 @@ def test_lumping_levels_from_one_job(spark):
     lumped = clean.apply_lumping(df, keep)
     got = sorted(r.c for r in lumped.select("c").distinct().collect())
     assert got == levels["c"]
+
+
+def test_yeo_johnson_window_moves_for_edge_optimum(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vals = np.exp(rng.normal(0, 2.5, size=300))  # very skewed: lambda far below 0
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    lam = stats.fit_yeo_johnson(df, ["x"], lo=0.0, hi=1.0)["x"][0]
+
+    def llf(l):
+        t = ((vals + 1) ** l - 1) / l if abs(l) > 1e-12 else np.log1p(vals)
+        return -len(vals) / 2 * np.log(t.var()) + (l - 1) * np.log1p(vals).sum()
+
+    grid = np.linspace(-6, 2, 16001)
+    best = grid[np.argmax([llf(g) for g in grid])]
+    assert best < 0.0 and abs(lam - best) < 2e-3

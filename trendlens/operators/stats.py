@@ -173,6 +173,19 @@ def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], lo: float = -3.0, hi: fl
     """
     grids = {c: [lo + (hi - lo) * k / (points - 1) for k in range(points)] for c in cols}
     step = (hi - lo) / (points - 1)
+    # an optimum on the edge of the window moves the window outward (bounded)
+    for _ in range(3):
+        best = _yj_pass(df, cols, grids)
+        moved = False
+        for c in cols:
+            lam, g = best[c][1], grids[c]
+            if lam <= g[0] + 1e-12 or lam >= g[-1] - 1e-12:
+                width = g[-1] - g[0]
+                start = g[0] - width + step if lam <= g[0] + 1e-12 else g[-1] - step
+                grids[c] = [start + width * k / (points - 1) for k in range(points)]
+                moved = True
+        if not moved:
+            break
     best = {}
     for _ in range(passes):
         best = _yj_pass(df, cols, grids)

@@ -47,6 +47,12 @@ def bucket_of(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as column ``name``, computed once a row: a generator
+    keeps later filters and lambdas from taking in the expression itself."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (a bijection), elementwise on uint64."""
     x = x ^ (x >> np.uint64(30))

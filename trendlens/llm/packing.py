@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trendlens.llm.common import cut, prepare
-from trendlens.llm.tokens import Encoder, blocks, vocabulary_path
+from trendlens.llm.tokens import encoder, vocabulary_path
 
 SLICE_ROWS = 200_000
 END = 0
@@ -100,25 +100,23 @@ def _pieces(path: str, capacity: int):
     """Token pieces of every document: where each begins, how long it is, and
     the checksum of its ids."""
     def run(batches):
-        enc = Encoder(path)
+        enc = encoder(path)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            texts = [t or "" for t in texts]
+            ids = batch.column(0)
             row, nth, start, length, crc = [], [], [], [], []
-            for lo, hi in blocks(texts):
-                for i, b in enumerate(enc.encode(texts[lo:hi]), lo):
-                    b += end
-                    n = len(b) // 4
-                    at = 0
-                    for k in range(-(-n // capacity)):
-                        size = (n - 1) % capacity + 1 if k == 0 else capacity
-                        row.append(i)
-                        nth.append(k)
-                        start.append(at)
-                        length.append(size)
-                        crc.append(zlib.crc32(memoryview(b)[4 * at:4 * (at + size)]))
-                        at += size
+            for i, _, b in enc.encode_all(batch.column(1)):
+                b += end
+                n = len(b) // 4
+                at = 0
+                for k in range(-(-n // capacity)):
+                    size = (n - 1) % capacity + 1 if k == 0 else capacity
+                    row.append(i)
+                    nth.append(k)
+                    start.append(at)
+                    length.append(size)
+                    crc.append(zlib.crc32(memoryview(b)[4 * at:4 * (at + size)]))
+                    at += size
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(row, pa.int64())), pa.array(nth, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())],

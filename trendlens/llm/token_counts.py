@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendlens.llm.common import prepare
-from trendlens.llm.tokens import Encoder, blocks, vocabulary_path
+from trendlens.llm.tokens import encoder, vocabulary_path
 
 RULES = ("start", "end", "majority", "split")
 
@@ -72,38 +72,36 @@ _OUT = ("section int, name string, start long, `end` long, tokens double, crossi
 
 def _attribute(path: str, rule: str, spans: bool):
     def run(batches):
-        enc = Encoder(path)
+        enc = encoder(path)
         size = enc.token_bytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             given_spans = batch.column(2).to_pylist() if spans else None
-            for first, last in blocks(texts):
-                row, sec, name, lo, hi, got, cross, total = [], [], [], [], [], [], [], []
-                for i, b in enumerate(enc.encode(texts[first:last]), first):
-                    begin, stop = token_spans(texts[i], np.frombuffer(b, "<u4"), size)
-                    if spans:
-                        s = [x for x in (given_spans[i] or []) if x and x["start"] is not None and x["end"] is not None]
-                        a = np.array([x["start"] for x in s], np.int64)
-                        z = np.array([x["end"] for x in s], np.int64)
-                        name += [x["name"] for x in s]
-                    else:
-                        a, z = line_spans(texts[i])
-                        name += [None] * len(a)
-                    n, c = attribute(begin, stop, a, z, rule)
-                    row += [i] * len(a)
-                    sec += range(len(a))
-                    lo.append(a)
-                    hi.append(z)
-                    got.append(n)
-                    cross.append(c)
-                    total += [len(begin)] * len(a)
-                if row:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row, pa.int64())), pa.array(sec, pa.int32()),
-                         pa.array(name, pa.string()), *[pa.array(np.concatenate(x).astype(np.int64)) for x in (lo, hi)],
-                         pa.array(np.concatenate(got).astype(float)), pa.array(np.concatenate(cross).astype(np.int64)),
-                         pa.array(total, pa.int64())],
-                        ["doc_id", "section", "name", "start", "end", "tokens", "crossing", "doc_tokens"])
+            row, sec, name, lo, hi, got, cross, total = [], [], [], [], [], [], [], []
+            for i, text, ids in enc.encode_all(batch.column(1)):
+                begin, stop = token_spans(text, np.frombuffer(ids, "<u4"), size)
+                if spans:
+                    s = [x for x in (given_spans[i] or []) if x and x["start"] is not None and x["end"] is not None]
+                    a = np.array([x["start"] for x in s], np.int64)
+                    z = np.array([x["end"] for x in s], np.int64)
+                    name += [x["name"] for x in s]
+                else:
+                    a, z = line_spans(text)
+                    name += [None] * len(a)
+                n, c = attribute(begin, stop, a, z, rule)
+                row += [i] * len(a)
+                sec += range(len(a))
+                lo.append(a)
+                hi.append(z)
+                got.append(n)
+                cross.append(c)
+                total += [len(begin)] * len(a)
+            if row:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(sec, pa.int32()),
+                     pa.array(name, pa.string()), *[pa.array(np.concatenate(x).astype(np.int64)) for x in (lo, hi)],
+                     pa.array(np.concatenate(got).astype(float)), pa.array(np.concatenate(cross).astype(np.int64)),
+                     pa.array(total, pa.int64())],
+                    ["doc_id", "section", "name", "start", "end", "tokens", "crossing", "doc_tokens"])
     return run
 
 

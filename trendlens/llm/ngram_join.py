@@ -13,8 +13,8 @@ Every text is a set of hashed word shingles.  Two texts link when
   differing shingle, so bit counts bound the overlap from above.
 * What survives is settled by intersecting the exact shingle arrays.
 
-Candidates are tried in two rounds.  First each text of a bucket against the
-bucket's least id; after joining these links into components, only pairs of
+Candidates are tried in two rounds.  First each text against the least of its
+buckets' least ids that the bounds admit; after joining these links into components, only pairs of
 different components go through the tiles.  A group of thousands of near
 copies therefore costs a star, not a square, and no link between components
 is lost.
@@ -174,7 +174,6 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     sent = spark.sparkContext.broadcast(screen.view(np.uint64))
     sets = cut(docs.select(F.col("id"), slot.alias("slot"), "text")
                .mapInArrow(_screened_sets(k, sent), "id long, s array<long>"), "sets")
-    sets = sets.join(ids.distinct(), "id", "left_semi")
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     got = two.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"),
@@ -207,11 +206,11 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, k: int = 4, percent:
     shared = cut(rows.join(buckets, "h").select("h", "id", "head", "size"), "buckets")
     slim = reps.select("id", "n", *_BITS)
 
-    # round one: every text against its buckets' least id
+    # round one: every text against one bucket's least id
     star = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     star = (star.join(slim.select(F.col("id").alias("a"), F.struct("n", *_BITS).alias("x")), "a")
             .join(slim.select(F.col("id").alias("b"), F.struct("n", *_BITS).alias("y")), "b")
-            .where(_may_link("x", "y", percent)).select("a", "b").distinct())
+            .where(_may_link("x", "y", percent)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     first = cut(_verify(cut(star, "star"), docs, k, percent), "links1")
     comp = cut(components(first, "a", "b"), "comp1")
 

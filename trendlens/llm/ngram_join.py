@@ -34,6 +34,8 @@ from trendlens.llm.common import (chunks, cut, lists, mix, prepare, sequence_has
 from trendlens.llm.components import components
 
 BITMAP_WORDS = 8
+WIDE_WORDS = 256          # for sets too large for the short bitmap to tell apart
+WIDE_FROM = 1000
 TILE_ROWS = 1000
 HOT_MIN = 32
 HOT_LIMIT = 1 << 20       # common shingles sent to tasks: 8 MB at most
@@ -80,20 +82,25 @@ def _prefix_tokens(k: int, percent: int):
     return run
 
 
+def _parity(s: np.ndarray, words: int) -> np.ndarray:
+    """Bitmap with a bit set where an odd number of the set's shingles falls."""
+    slot = np.bincount((s >> np.uint64(3)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
+    return np.packbits(slot.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _describe(k: int, percent: int, hot):
     """Per text: size, set key, parity bitmap and prefix (common shingles last)."""
     def run(batches):
         common = hot.value
         for batch in batches:
-            n, k1, k2, bits, prefix = [], [], [], [], []
+            n, k1, k2, bits, prefix, wide = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     k1.append(mix(s + np.uint64(1)).sum(dtype=np.uint64))
                 k2.append(np.bitwise_xor.reduce(mix(s + np.uint64(2))) if len(s) else np.uint64(0))
-                slot = np.bincount((s >> np.uint64(3)).astype(np.int64) & (64 * BITMAP_WORDS - 1),
-                                   minlength=64 * BITMAP_WORDS) & 1
-                bits.append(np.packbits(slot.astype(np.uint8), bitorder="little").view(np.int64))
+                bits.append(_parity(s, BITMAP_WORDS))
+                wide.append(_parity(s, WIDE_WORDS) if len(s) >= WIDE_FROM else np.zeros(0, np.int64))
                 if len(common):
                     is_hot = np.isin(s, common, assume_unique=True)
                     s = np.concatenate([s[~is_hot], s[is_hot]])
@@ -102,8 +109,9 @@ def _describe(k: int, percent: int, hot):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(n, np.int64)), pa.array(np.array(k1, np.uint64).view(np.int64)),
                  pa.array(np.array(k2, np.uint64).view(np.int64)),
-                 *[pa.array(b[:, i].copy()) for i in range(BITMAP_WORDS)], lists(prefix, pa.int64())],
-                ["id", "n", "k1", "k2", *_BITS, "prefix"])
+                 *[pa.array(b[:, i].copy()) for i in range(BITMAP_WORDS)], lists(prefix, pa.int64()),
+                 lists(wide, pa.int64())],
+                ["id", "n", "k1", "k2", *_BITS, "prefix", "wide"])
     return run
 
 
@@ -161,6 +169,16 @@ def _may_link(x: str, y: str, percent: int) -> Column:
             & (_differing_bits(x, y) * (100 + percent) <= (nx + ny) * (100 - percent)))
 
 
+def _narrowed(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) without those that the wide bitmaps rule out."""
+    x, y = (wide.select(F.col("id").alias(c), F.struct("n", "wide").alias(f"w{c}")) for c in "ab")
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    bits = F.aggregate(F.zip_with("wa.wide", "wb.wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0),
+                       lambda t, v: t + v)
+    apart = bits * (100 + percent) > (F.col("wa.n") + F.col("wb.n")) * (100 - percent)
+    return both.where(~F.coalesce(apart, F.lit(False))).select("a", "b")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Exact overlap of ``pairs`` (a, b); keeps those that link."""
     spark = pairs.sparkSession
@@ -194,13 +212,14 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, k: int = 4, percent:
     prepare(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     hot = df.sparkSession.sparkContext.broadcast(_common_shingles(docs, k, percent))
-    shape = "id long, n long, k1 long, k2 long, " + ", ".join(f"{b} long" for b in _BITS) + ", prefix array<long>"
+    shape = "id long, n long, k1 long, k2 long, " + ", ".join(f"{b} long" for b in _BITS) + ", prefix array<long>, wide array<long>"
     described = cut(docs.mapInArrow(_describe(k, percent, hot), shape), "described")
     key = ["k1", "k2", "n"]
     full = described.where("id is not null and n > 0")
     # equal sets: any row of a class has the same bitmap and prefix
     reps = cut(full.groupBy(*key).agg(F.min("id").alias("id"), *[F.first(b).alias(b) for b in _BITS],
-                                      F.first("prefix").alias("prefix")), "reps")
+                                      F.first("prefix").alias("prefix"), F.first("wide").alias("wide")), "reps")
+    wide = reps.where(F.size("wide") > 0).select("id", "n", "wide")
     rows = reps.select("id", F.explode("prefix").alias("h"))
     buckets = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("head")).where("size > 1")
     shared = cut(rows.join(buckets, "h").select("h", "id", "head", "size"), "buckets")
@@ -210,7 +229,8 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, k: int = 4, percent:
     star = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     star = (star.join(slim.select(F.col("id").alias("a"), F.struct("n", *_BITS).alias("x")), "a")
             .join(slim.select(F.col("id").alias("b"), F.struct("n", *_BITS).alias("y")), "b")
-            .where(_may_link("x", "y", percent)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+            .where(_may_link("x", "y", percent)).select("a", "b"))
+    star = _narrowed(star, wide, percent).groupBy("b").agg(F.min("a").alias("a"))
     first = cut(_verify(cut(star, "star"), docs, k, percent), "links1")
     comp = cut(components(first, "a", "b"), "comp1")
 
@@ -227,8 +247,8 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, k: int = 4, percent:
     once = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))
     near = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.lo") == F.col("y.lo"))
                   & (F.col("x.hi") == F.col("y.hi")) & apart & once & _may_link("x", "y", percent))
-    second = _verify(cut(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "near"),
-                     docs, k, percent)
+    near = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    second = _verify(cut(_narrowed(near, wide, percent), "near"), docs, k, percent)
     links = cut(first.union(second).distinct(), "links")
 
     comp = cut(components(links, "a", "b"), "comp")

@@ -66,3 +66,17 @@ def test_weighted_r2_is_weighted_centred():
     ybar = np.average(y, weights=w)
     r2 = 1 - (w * (y - xd @ beta) ** 2).sum() / (w * (y - ybar) ** 2).sum()
     assert math.isclose(s["r2"], r2, rel_tol=1e-10)
+
+
+def test_large_mean_column_keeps_its_slope():
+    x = 1.7e9 + np.arange(10007.0)
+    y = 3.0 + 2e-4 * (x - 1.7e9)
+    shift = np.array([x.mean(), y.mean()])
+    z = np.column_stack([np.ones(len(x)), x - shift[0], y - shift[1]])
+    s = solve_moments(pack(z.T @ z), 3, len(x), shift=shift)
+    assert s["rank"] == 2 and math.isclose(s["coef"][1], 2e-4, rel_tol=1e-9) and s["r2"] > 1 - 1e-9
+
+
+def test_t_tail_at_huge_df():
+    assert abs(t_sf2(1.0, 1e13) - 0.31731050786) < 1e-9
+    assert abs(t_sf2(1.0, 2e7) - t_sf2(1.0, 9e6)) < 1e-7

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from trendlens.operators import interact, linear, pca
@@ -179,3 +180,14 @@ def test_interactions_multi_target_with_own_nulls(spark):
     assert c_both.keys() == c_one.keys() and all(abs(c_both[k] - c_one[k]) < 1e-9 for k in c_one)
     n2 = {r.depth: r.n for r in both.status.where("target = 'y2'").collect()}
     assert set(n2.values()) == {120 - 24}
+
+
+@pytest.mark.parametrize("parts", [4, 16, 50])
+def test_index_and_folds_hold_beyond_the_range_sample(spark, parts):
+    from trendlens.operators.index import stable_index
+
+    n = 20_000
+    df = spark.range(0, n).withColumn("k", F.xxhash64("id"))
+    idx, m = stable_index(df, ["k"], num_partitions=parts)
+    r = idx.agg(F.countDistinct("row_idx").alias("d"), F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi")).first()
+    assert (m, r["d"], r["lo"], r["hi"]) == (n, n, 0, n - 1)

@@ -38,52 +38,58 @@ def pack(m: np.ndarray) -> np.ndarray:
     return m[np.triu_indices(m.shape[0])]
 
 
-def _pinv_psd(a: np.ndarray, rank_tol: float = RANK_TOL):
-    """Pseudo-inverse and rank of a PSD matrix.
-
-    Rank is decided on the equilibrated matrix (scale-free); the inverse of a
-    full-rank matrix is taken there and un-scaled, while a deficient one is
-    inverted unscaled so the minimum-norm solution is the unscaled one.
-    """
+def _solve_centred(a: np.ndarray, raw_diag: np.ndarray, rank_tol: float = RANK_TOL):
+    """Generalised inverse of a centred moment matrix, and a basis of its null
+    space.  Rank is decided on the equilibrated matrix (scale-free); a column
+    whose spread is lost in its own round-off counts as constant."""
     k = a.shape[0]
     if k == 0:
-        return a.copy(), 0
-    d = np.sqrt(np.clip(np.diag(a), 0.0, None))
-    d[d == 0] = 1.0
-    s = a / np.outer(d, d)
+        return a.copy(), np.zeros((0, 0))
+    var = np.diag(a)
+    flat = var <= 1e-13 * np.maximum(raw_diag, 0.0)
+    d = np.sqrt(np.where(flat, 1.0, var))
+    s = np.where(flat[:, None] | flat[None, :], 0.0, a / np.outer(d, d))
     w, v = np.linalg.eigh(s)
-    wmax = w.max() if w.size else 0.0
-    keep = w > wmax * rank_tol if wmax > 0 else np.zeros_like(w, dtype=bool)
-    rank = int(keep.sum())
-    if rank == k:
-        inv_s = (v[:, keep] / w[keep]) @ v[:, keep].T
-        return inv_s / np.outer(d, d), rank
-    w2, v2 = np.linalg.eigh(a)
-    order = np.argsort(w2)[::-1][:rank]
-    inv = (v2[:, order] / w2[order]) @ v2[:, order].T
-    return inv, rank
-
-
-def solve_moments(g, k: int, n: float, *, alpha: float = 0.05, has_intercept: bool = True):
+    keep = w > max(w.max(), 0.0) * rank_tol
+    u = v / d[:, None]
+    return (u[:, keep] / w[keep]) @ u[:, keep].T, u[:, ~keep]
+
+
+def solve_moments(g, k: int, n: float, *, alpha: float = 0.05, shift=None):
     """Least squares from a moment matrix over (1, x_1..x_p, y).
 
-    Returns a dict with coefficient arrays (coef, std_err, t, p, ci_lo,
-    ci_hi) aligned to (Intercept, x_1..x_p) and fit statistics.
+    Columns may have been shifted by ``shift`` (p + 1 numbers, near their
+    means) before the moments were summed; the moments are centred here, so
+    large means cost no precision.  A deficient system gets the minimum-norm
+    solution in the unshifted columns.  Returns a dict with coefficient arrays
+    (coef, std_err, t, p, ci_lo, ci_hi) aligned to (Intercept, x_1..x_p) and
+    fit statistics.
     """
     n = float(round(n))  # merged partial counts carry float round-off
     m = unpack(g, k)
-    a = m[:-1, :-1]
-    b = m[:-1, -1]
-    yy = m[-1, -1]
+    shift = np.zeros(k - 1) if shift is None else np.asarray(shift, dtype=float)
     sw = m[0, 0]
-    sy = m[0, -1]
-    inv, rank = _pinv_psd(a)
-    beta = inv @ b
-    rss = max(yy - 2.0 * beta @ b + beta @ a @ beta, 0.0)
-    tss = yy - (sy * sy / sw if (has_intercept and sw > 0) else 0.0)
+    mean = m[0, 1:] / sw if sw > 0 else np.zeros(k - 1)
+    c = m[1:, 1:] - np.outer(m[0, 1:], mean)
+    a, b, tss = c[:-1, :-1], c[:-1, -1], max(c[-1, -1], 0.0)
+    inv, null = _solve_centred(a, np.diag(m)[1:-1])
+    slopes = inv @ b
+    centre = mean + shift
+    x, y = centre[:-1], centre[-1]
+    beta = np.concatenate([[y - slopes @ x], slopes])
+    full = np.empty((k - 1, k - 1))
+    full[0, 0] = (1.0 / sw if sw > 0 else 0.0) + x @ inv @ x
+    full[0, 1:] = full[1:, 0] = -inv @ x
+    full[1:, 1:] = inv
+    if null.size:
+        basis = np.linalg.qr(np.vstack([-x @ null, null]))[0]
+        project = np.eye(k - 1) - basis @ basis.T
+        beta, full = project @ beta, project @ full @ project
+    rank = k - 1 - null.shape[1] if sw > 0 else 0
+    rss = max(tss - slopes @ b, 0.0)
     df_resid = n - rank
     sigma2 = rss / df_resid if df_resid > 0 else float("nan")
-    se = np.sqrt(np.clip(np.diag(inv) * sigma2, 0.0, None)) if df_resid > 0 else np.full(len(beta), np.nan)
+    se = np.sqrt(np.clip(np.diag(full) * sigma2, 0.0, None)) if df_resid > 0 else np.full(len(beta), np.nan)
     with np.errstate(divide="ignore", invalid="ignore"):
         tval = np.where(se > 0, beta / se, np.nan)
     pval = np.array([t_sf2(float(t), df_resid) if np.isfinite(t) else float("nan") for t in tval])
@@ -97,9 +103,11 @@ def solve_moments(g, k: int, n: float, *, alpha: float = 0.05, has_intercept: bo
     }
 
 
-def fold_score(beta: np.ndarray, g_fold, k: int) -> tuple[float, float, float]:
+def fold_score(beta: np.ndarray, g_fold, k: int, shift=None) -> tuple[float, float, float]:
     """SSE, SST, n-weight of a held-out fold from its own moment matrix."""
     m = unpack(g_fold, k)
+    if shift is not None:  # the same line over shifted columns
+        beta = np.concatenate([[beta[0] + beta[1:] @ shift[:-1] - shift[-1]], beta[1:]])
     a, b, yy = m[:-1, :-1], m[:-1, -1], m[-1, -1]
     sw, sy = m[0, 0], m[0, -1]
     sse = yy - 2.0 * beta @ b + beta @ a @ beta

@@ -11,6 +11,7 @@ import math
 
 _EPS = 1e-15
 _TINY = 1e-300
+NORMAL_FROM = 1e7
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -58,6 +59,11 @@ def t_sf2(t: float, df: float) -> float:
         return float("nan")
     if math.isinf(t):
         return 0.0
+    if df > NORMAL_FROM:
+        # the incomplete beta cancels for large df; expand about the normal tail
+        z = abs(t)
+        pdf = math.exp(-z * z / 2.0) / math.sqrt(2.0 * math.pi)
+        return min(1.0, math.erfc(z / math.sqrt(2.0)) + pdf * (z + z ** 3) / (2.0 * df))
     x = df / (df + t * t)
     return betainc(df / 2.0, 0.5, x)
 

@@ -371,6 +371,17 @@ def pdp_effect(pdp: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
 
 # --------------------------------------------------- permutation importance
 
+def permutation_pairs(base: DataFrame, n: int, repeats: int, seed: int = 0) -> DataFrame:
+    """``repeat, donor_idx, rank``: for every repeat a bijection of the row
+    indices 0..n-1 (``row_idx`` of ``base``), from one distributed sort by
+    (repeat, seeded hash)."""
+    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
+    h = base.select(F.col("row_idx").alias("donor_idx"), reps).withColumn(
+        "_h", F.xxhash64(F.col("donor_idx"), F.lit(seed), F.col("repeat")))
+    ranked, _ = stable_index(h, ["repeat", "_h", "donor_idx"], out="_g")
+    return ranked.select("repeat", "donor_idx", (F.col("_g") - F.col("repeat") * F.lit(n)).alias("rank"))
+
+
 def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key: Sequence[str],
                            score: Callable[[DataFrame], DataFrame], *, repeats: int = 10,
                            seed: int = 0) -> DataFrame:
@@ -396,12 +407,7 @@ def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key:
     sst = float(st["vy"]) * float(st["n"])  # same for every permuted variant: y is untouched
     e = y - F.col("prediction")
     r2_base = 1.0 - score(base).agg(F.sum(e * e).alias("sse")).first()["sse"] / sst
-    # donor ranks of ALL repeats from one distributed sort: key (repeat, hash)
-    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-    h = base.select(F.col("row_idx").alias("donor_idx"), reps).withColumn(
-        "_h", F.xxhash64(F.col("donor_idx"), F.lit(seed), F.col("repeat")))
-    ranked, _ = stable_index(h, ["repeat", "_h", "donor_idx"], out="_g")
-    ranked = ranked.select("repeat", "donor_idx", (F.col("_g") - F.col("repeat") * F.lit(n)).alias("rank"))
+    ranked = permutation_pairs(base, n, repeats, seed)
     donor = ranked.join(base.select(F.col("row_idx").alias("donor_idx"),
                                     *[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)]), "donor_idx")
     joined = base.join(donor, base["row_idx"] == donor["rank"])

@@ -1,11 +1,11 @@
 """Stable contiguous row index and k-fold assignment.
 
 A global ``row_number()`` window would pull every row into one partition.
-Instead: range-partition by the key, sort inside partitions, take the
-position inside the partition from ``monotonically_increasing_id`` and add
-the partition's offset (prefix sum of per-partition counts: one small row
-per partition).  The result is deterministic for a unique key, so a lost
-executor recomputes the same index.
+Instead: range-partition by the key, sort inside partitions, number the rows
+there, and write that copy to the shared checkpoint folder.  Range bounds are
+sampled anew whenever such a plan runs, so counts and rows must come from one
+stored copy; offsets are the prefix sum of its per-partition counts (one small
+row per partition).  The index is the rank in key order, whatever the bounds.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendlens.session import scratch_path
+
 _POS_BITS = 33
 
 
@@ -27,8 +29,10 @@ def stable_index(df: DataFrame, key: Sequence[str], out: str = "row_idx",
     # split across range partitions (identical rows are interchangeable)
     tie = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tie")
     order = [*key, "_tie"]
-    ordered = (df.withColumn("_tie", tie).repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-                 .withColumn("_mid", F.monotonically_increasing_id()).drop("_tie"))
+    path = scratch_path(spark, "index")
+    (df.withColumn("_tie", tie).repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+       .withColumn("_mid", F.monotonically_increasing_id()).drop("_tie").write.parquet(path))
+    ordered = spark.read.parquet(path)
     pid = F.shiftright(F.col("_mid"), _POS_BITS)
     counts = ordered.groupBy(pid.alias("_pid")).count().collect()  # one row per partition
     offsets, run = [], 0

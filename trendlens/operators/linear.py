@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendlens.functions.linalg import fold_score, solve_moments
-from trendlens.operators.gram import _as_specs, moments
+from trendlens.operators.gram import _as_specs, moments, not_missing
 
 WLS_EPS = 1e-6
 
@@ -41,8 +41,18 @@ def wls_weight(df: DataFrame, target: str, use_wls: bool = True) -> tuple[Column
     return F.lit(1.0), "OLS"
 
 
+def column_means(df: DataFrame, cols: Sequence[Column]) -> np.ndarray:
+    """Mean of every column over its own non-missing rows (0 where there are
+    none): moments are taken about these, so columns far from zero keep their
+    precision.  One aggregate of one row."""
+    if not cols:
+        return np.zeros(0)
+    row = df.agg(*[F.avg(F.when(not_missing(c), c.cast("double"))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    return np.array([x if x is not None and np.isfinite(x) else 0.0 for x in row], dtype=float)
+
+
 def stack_targets(df: DataFrame, targets: Sequence[str], keep: Sequence[Column],
-                  use_wls: bool = True, weights: dict | None = None) -> DataFrame:
+                  use_wls: bool = True, weights: dict | None = None, means: dict | None = None) -> DataFrame:
     items = []
     for t in targets:
         if weights and t in weights:
@@ -50,7 +60,7 @@ def stack_targets(df: DataFrame, targets: Sequence[str], keep: Sequence[Column],
         else:
             w, method = wls_weight(df, t, use_wls)
         items.append(F.struct(F.lit(t).alias("target"), F.lit(method).alias("method"),
-                              F.col(t).cast("double").alias("y"), w.cast("double").alias("w")))
+                              (F.col(t).cast("double") - F.lit(float((means or {}).get(t, 0.0)))).alias("y"), w.cast("double").alias("w")))
     s = df.select(*keep, F.explode(F.array(*items)).alias("_t"))
     return s.select(*[c for c in s.columns if c != "_t"], "_t.target", "_t.method", "_t.y", "_t.w")
 
@@ -79,23 +89,32 @@ def regression(df: DataFrame, features: Sequence, targets: Sequence[str], *,
     weighted = any(wls_weight(df, t, use_wls)[1] == "WLS" for t in targets) or bool(weights)
     if targets_complete and len(targets) > 1 and not weighted:
         return _shared_regression(df, specs, list(targets), by, alpha, method)
-    feat_cols = [c.cast("double").alias(f"_f{i}") for i, (_, c) in enumerate(specs)]
-    stacked = stack_targets(df, targets, [F.col(c) for c in by] + feat_cols, use_wls, weights)
+    shift, y_shift = _shifts(df, specs, targets)
+    feat_cols = [(c.cast("double") - F.lit(float(m))).alias(f"_f{i}") for i, ((_, c), m) in enumerate(zip(specs, shift))]
+    stacked = stack_targets(df, targets, [F.col(c) for c in by] + feat_cols, use_wls, weights, y_shift)
     cols = [(f"_f{i}", F.col(f"_f{i}")) for i in range(len(specs))] + [("y", F.col("y"))]
     # tiny (one row per group): cached so coefficient and fit tables share one scan
     mom = moments(stacked, {"linear": cols}, weight=F.col("w"),
                   by=by + ["target", "method"], method=method).persist()
     terms = ["Intercept"] + [n for n, _ in specs]
     key_fields = _key_fields(df, by)
-    coef = _solve_table(mom, by, key_fields, terms, alpha)
-    fit = _fit_table(mom, by, key_fields, alpha)
+    shifts = {t: np.append(shift, y_shift[t]) for t in targets}
+    coef = _solve_table(mom, by, key_fields, terms, alpha, shifts)
+    fit = _fit_table(mom, by, key_fields, alpha, shifts)
     return LinearFit(coef, fit, mom, terms)
 
 
+def _shifts(df: DataFrame, specs, targets: Sequence[str]) -> tuple[np.ndarray, dict[str, float]]:
+    means = column_means(df, [c for _, c in specs] + [F.col(t) for t in targets])
+    return means[:len(specs)], {t: float(m) for t, m in zip(targets, means[len(specs):])}
+
+
 def _shared_regression(df, specs, targets, by, alpha, method) -> LinearFit:
     p = len(specs)
-    cols = ([(f"_f{i}", c.cast("double")) for i, (_, c) in enumerate(specs)]
-            + [(f"_y{j}", F.col(t).cast("double")) for j, t in enumerate(targets)])
+    shift, y_shift = _shifts(df, specs, targets)
+    shifts = {t: np.append(shift, y_shift[t]) for t in targets}
+    cols = ([(f"_f{i}", c.cast("double") - F.lit(float(m))) for i, ((_, c), m) in enumerate(zip(specs, shift))]
+            + [(f"_y{j}", F.col(t).cast("double") - F.lit(y_shift[t])) for j, t in enumerate(targets)])
     shared = moments(df, {"shared": cols}, by=by, method=method)
     key_fields = _key_fields(df, by)
     schema = T.StructType(key_fields + [T.StructField("target", T.StringType()),
@@ -121,8 +140,8 @@ def _shared_regression(df, specs, targets, by, alpha, method) -> LinearFit:
 
     mom = shared.mapInPandas(split, schema).persist()
     terms = ["Intercept"] + [n for n, _ in specs]
-    return LinearFit(_solve_table(mom, by, key_fields, terms, alpha),
-                     _fit_table(mom, by, key_fields, alpha), mom, terms)
+    return LinearFit(_solve_table(mom, by, key_fields, terms, alpha, shifts),
+                     _fit_table(mom, by, key_fields, alpha, shifts), mom, terms)
 
 
 _COEF_FIELDS = [T.StructField("target", T.StringType()), T.StructField("term", T.StringType()),
@@ -137,7 +156,7 @@ _FIT_FIELDS = [T.StructField("target", T.StringType()), T.StructField("method",
                T.StructField("rss", T.DoubleType()), T.StructField("sigma2", T.DoubleType())]
 
 
-def _solve_table(mom: DataFrame, by, key_fields, terms, alpha) -> DataFrame:
+def _solve_table(mom: DataFrame, by, key_fields, terms, alpha, shifts) -> DataFrame:
     schema = T.StructType(key_fields + _COEF_FIELDS)
     names = [f.name for f in schema.fields]
 
@@ -147,7 +166,7 @@ def _solve_table(mom: DataFrame, by, key_fields, terms, alpha) -> DataFrame:
             for r in pdf.to_dict("records"):
                 g = np.asarray(r["_g"], dtype=float)
                 k = int(r["_k"])
-                s = solve_moments(g[:-1], k, float(g[-1]), alpha=alpha)
+                s = solve_moments(g[:-1], k, float(g[-1]), alpha=alpha, shift=shifts[r["target"]])
                 for i, term in enumerate(terms):
                     out.append([r[c] for c in by] + [
                         r["target"], term, i, s["coef"][i], s["std_err"][i], s["t"][i],
@@ -157,7 +176,7 @@ def _solve_table(mom: DataFrame, by, key_fields, terms, alpha) -> DataFrame:
     return mom.mapInPandas(solve, schema)
 
 
-def _fit_table(mom: DataFrame, by, key_fields, alpha) -> DataFrame:
+def _fit_table(mom: DataFrame, by, key_fields, alpha, shifts) -> DataFrame:
     schema = T.StructType(key_fields + _FIT_FIELDS)
     names = [f.name for f in schema.fields]
 
@@ -166,7 +185,7 @@ def _fit_table(mom: DataFrame, by, key_fields, alpha) -> DataFrame:
             out = []
             for r in pdf.to_dict("records"):
                 g = np.asarray(r["_g"], dtype=float)
-                s = solve_moments(g[:-1], int(r["_k"]), float(g[-1]), alpha=alpha)
+                s = solve_moments(g[:-1], int(r["_k"]), float(g[-1]), alpha=alpha, shift=shifts[r["target"]])
                 out.append([r[c] for c in by] + [
                     r["target"], r["method"], int(s["n"]), s["rank"], float(s["df_resid"]),
                     s["r2"], s["rss"], s["sigma2"]])
@@ -184,8 +203,10 @@ def cv_r2(df: DataFrame, features: Sequence, targets: Sequence[str], fold_col: s
     Output: ``target, fold, r2``.
     """
     specs = _as_specs(features)
-    feat_cols = [c.cast("double").alias(f"_f{i}") for i, (_, c) in enumerate(specs)]
-    stacked = stack_targets(df, targets, [F.col(fold_col)] + feat_cols, use_wls)
+    shift, y_shift = _shifts(df, specs, targets)
+    shifts = {t: np.append(shift, y_shift[t]) for t in targets}
+    feat_cols = [(c.cast("double") - F.lit(float(m))).alias(f"_f{i}") for i, ((_, c), m) in enumerate(zip(specs, shift))]
+    stacked = stack_targets(df, targets, [F.col(fold_col)] + feat_cols, use_wls, means=y_shift)
     cols = [(f"_f{i}", F.col(f"_f{i}")) for i in range(len(specs))] + [("y", F.col("y"))]
     mom = moments(stacked, {"linear": cols}, weight=F.col("w"), by=["target", fold_col])
     # all folds of a target meet in one task: one row per fold, bounded by k
@@ -200,8 +221,9 @@ def cv_r2(df: DataFrame, features: Sequence, targets: Sequence[str], fold_col: s
         out = []
         for f in sorted(gs):
             train = total - gs[f]
-            s = solve_moments(train[:-1], k, float(train[-1]))
-            sse, sst, _ = fold_score(s["coef"], gs[f][:-1], k)
+            about = shifts[pdf["target"].iloc[0]]
+            s = solve_moments(train[:-1], k, float(train[-1]), shift=about)
+            sse, sst, _ = fold_score(s["coef"], gs[f][:-1], k, about)
             out.append([pdf["target"].iloc[0], f, 1.0 - sse / sst if sst > 0 else float("nan")])
         return pd.DataFrame(out, columns=["target", "fold", "r2"])
 

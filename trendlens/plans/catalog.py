@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trendlens.functions.labels import clean_term, display_name
 from trendlens.operators import clean, encode, explain, forest, interact, linear, pca, rollup, stats
-from trendlens.operators.index import kfold
+from trendlens.operators.index import kfold, stable_index
 from trendlens.plans import frames as fr
 from trendlens.sources import joins, results
 
@@ -33,9 +33,9 @@ def q_first_child_left_join(spark, sf):
     od = fr.table(spark, sf, "orders").select("o_custkey", "o_orderkey")
     li = fr.table(spark, sf, "lineitem")
     od_all = fr.table(spark, sf, "orders")
-    ms = [joins.Measurement(li, "l_orderkey", ["l_extendedprice"], F.col("l_returnflag") != "R", ["dls_price"]),
+    ms = [joins.Measurement(li, "l_orderkey", ["l_extendedprice"], F.col("l_returnflag") != "R", ["line_price"]),
           joins.Measurement(od_all, "o_orderkey", ["o_totalprice"], F.col("o_orderstatus") != "P",
-                            ["entrap_total"])]
+                            ["order_total"])]
     return joins.first_child_left_join(cu, "c_custkey", od, "o_custkey", "o_orderkey", ms,
                                        not_null=["c_mktsegment"])
 
@@ -62,6 +62,45 @@ def q_salted_left_join(spark, sf):
     return out.select("r_regionkey", "r_name", "c_custkey", "c_acctbal")
 
 
+def q_salted_left_nulls(spark, sf):
+    """C1 with a null-heavy right key: customers of two regions out of five
+    lose their region key, and every key above the threshold is salted."""
+    reg = fr.table(spark, sf, "region")
+    key = F.when(~F.col("n_regionkey").isin(1, 3), F.col("n_regionkey"))
+    cust = (fr.table(spark, sf, "customer").join(fr.table(spark, sf, "nation"),
+                                                 F.col("c_nationkey") == F.col("n_nationkey"))
+            .select(key.alias("rkey"), "c_custkey", "c_acctbal"))
+    out = joins.salted_left_join(reg, cust, "r_regionkey", "rkey", min_rows=7)
+    return out.select("r_regionkey", "r_name", "c_custkey", "c_acctbal")
+
+
+def q_fold_sizes(spark, sf):
+    """Rows of every contiguous fold (the first n mod k have one more)."""
+    return _p_folds(spark, sf).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key"),
+                                                   F.max("p_partkey").alias("last_key"))
+
+
+def q_perm_pairing(spark, sf):
+    """Every repeat pairs each row with one donor and uses each donor once."""
+    base, n = stable_index(fr.table(spark, sf, "part").select("p_partkey"), ["p_partkey"])
+    base = base.select("row_idx")
+    pairs = explain.permutation_pairs(base, n, repeats=3)
+    j = base.join(pairs, base["row_idx"] == pairs["rank"])
+    return j.groupBy("repeat").agg(F.count(F.lit(1)).alias("receivers"), F.countDistinct("row_idx").alias("rows"),
+                                   F.countDistinct("donor_idx").alias("donors"))
+
+
+def q_ols_large_mean(spark, sf):
+    """E1-E4 on a column far from zero: epoch seconds that span under three hours."""
+    o = fr.table(spark, sf, "orders").select(
+        (F.lit(1.7e9) + F.pmod("o_orderkey", F.lit(10007))).alias("at"), F.col("o_totalprice").cast("double").alias("price"))
+    out = linear.regression(o, ["at"], ["price"]).coefficients
+    # the normal tail: with thousands of rows Student's t differs beyond the places compared
+    return out.where("term = 'at'").select("term", _r("coef", D8), _r("std_err", D8), _r("t", D6),
+                                           (F.col("p").between(0, 1) & (F.col("ci_lo") < F.col("coef"))
+                                            & (F.col("ci_hi") > F.col("coef"))).alias("bounded"))
+
+
 def q_preview(spark, sf):
     # (orderkey, linenumber) is not unique in the driver data: order by every output column
     key = ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "net"]
@@ -136,7 +175,7 @@ def q_level_profile(spark, sf):
 # ----------------------------------------------------------------- features
 
 def _l_lumped(spark, sf, with_levels: bool = False):
-    L = fr.frame_l(spark, sf)
+    L = clean.drop_missing(fr.frame_l(spark, sf), fr.L_ROLES.columns)
     keep, levels = clean.fit_lumping_levels(L, list(fr.L_ROLES.categoricals))
     out = clean.apply_lumping(L, keep)
     return (out, levels) if with_levels else out
@@ -412,8 +451,8 @@ def _forest(spark, sf, trees=forest.TREES, depth=forest.MAX_DEPTH):
     # one fitted forest per (application, data, parameters); a new session never sees stale frames
     key = (spark.sparkContext.applicationId, sf, trees, depth)
     if key not in _FOREST_CACHE:
-        p = clean.drop_missing(clean.lump_levels(fr.frame_p(spark, sf), list(fr.P_ROLES.categoricals)),
-                               fr.P_ROLES.columns)
+        p = clean.lump_levels(clean.drop_missing(fr.frame_p(spark, sf), fr.P_ROLES.columns),
+                              list(fr.P_ROLES.categoricals))
         fs = encode.fit_features(p, list(fr.P_ROLES.categoricals), list(fr.P_ROLES.numerics))
         # read by training, SHAP, PDP grids and permutation: cached like an estimator input
         wide = fs.transform(p, keep=["p_partkey", "p_retailprice"]).persist(StorageLevel.MEMORY_AND_DISK)
@@ -600,6 +639,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_run": q_latest_run,
     "first_child_left_join": q_first_child_left_join,
     "salted_left_join": q_salted_left_join,
+    "salted_left_nulls": q_salted_left_nulls,
+    "fold_sizes": q_fold_sizes,
+    "perm_pairing": q_perm_pairing,
+    "ols_large_mean": q_ols_large_mean,
     "left_join_flag": q_left_join_flag,
     "preview": q_preview,
     "drop_audit": q_drop_audit,

@@ -134,13 +134,28 @@ FROM gr, h""",
     "first_child_left_join": """
 WITH fc AS (SELECT o_custkey, min(o_orderkey) AS first_child FROM orders GROUP BY o_custkey)
 SELECT c.c_custkey, c.c_mktsegment, c.c_acctbal, fc.first_child,
-       d.l_extendedprice AS dls_price, e.o_totalprice AS entrap_total
+       d.l_extendedprice AS line_price, e.o_totalprice AS order_total
 FROM customer c
 LEFT JOIN fc ON fc.o_custkey = c.c_custkey
 LEFT JOIN lineitem d ON d.l_orderkey = fc.first_child AND d.l_returnflag <> 'R'
 LEFT JOIN orders e ON e.o_orderkey = fc.first_child AND e.o_orderstatus <> 'P'
 WHERE c.c_mktsegment IS NOT NULL""",
 
+    "salted_left_nulls": """
+SELECT r_regionkey, r_name, c_custkey, c_acctbal FROM region LEFT JOIN (
+  SELECT CASE WHEN n_regionkey NOT IN (1, 3) THEN n_regionkey END AS rkey, c_custkey, c_acctbal
+  FROM customer JOIN nation ON c_nationkey = n_nationkey) c ON r_regionkey = rkey""",
+    "fold_sizes": """
+SELECT CAST(f - 1 AS INTEGER) AS fold, count(*) AS n, min(p_partkey) AS first_key, max(p_partkey) AS last_key
+FROM (SELECT p_partkey, ntile(5) OVER (ORDER BY p_partkey) AS f FROM part) GROUP BY f""",
+    "perm_pairing": """
+SELECT CAST(r AS INTEGER) AS repeat, count(*) AS receivers, count(DISTINCT p_partkey) AS rows,
+  count(DISTINCT p_partkey) AS donors FROM part, range(3) t(r) GROUP BY r""",
+    "ols_large_mean": """
+WITH d AS (SELECT CAST(o_orderkey % 10007 AS DOUBLE) AS x, CAST(o_totalprice AS DOUBLE) AS y FROM orders),
+s AS (SELECT regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, count(*) AS n FROM d),
+e AS (SELECT b, sqrt((syy - b * b * sxx) / (n - 2) / sxx) AS se FROM s)
+SELECT 'at' AS term, round(b, 8) AS coef, round(se, 8) AS std_err, round(b / se, 6) AS t, true AS bounded FROM e""",
     "salted_left_join": """
 SELECT r_regionkey, r_name, c_custkey, c_acctbal
 FROM region LEFT JOIN (SELECT n_regionkey, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey) c

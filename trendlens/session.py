@@ -89,9 +89,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
             # single machine (tests): a private temp folder is shared by all tasks
             conf_dir = tempfile.mkdtemp(prefix="trendlens-ckpt-")
         else:
-            # cluster without a configured folder: use the session's shared warehouse location
-            wh = spark.conf.get("spark.sql.warehouse.dir")
-            conf_dir = os.path.join(wh, "_trendlens_checkpoints")
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 

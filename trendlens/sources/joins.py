@@ -18,44 +18,50 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendlens.session import scratch_path
 
-SALT_BUCKETS = 32
 HOT_ROWS = 1_000_000  # a key is hot when its rows alone exceed one task's worth
 
 
-def hot_keys(right: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
-    """Keys with more than ``min_rows`` rows on the right side.
+def hot_keys(right: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
+    """``_hot, _buckets``: keys with more than ``min_rows`` rows on the right
+    side and the number of salts that brings each below it.
 
-    One exact, key-only aggregate (map-side partial counts).  At most
-    total/min_rows keys can qualify, so the collected list is bounded.
+    One exact, key-only aggregate (map-side partial counts).  A null key
+    matches nothing and is never hot.
     """
-    counts = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return [r[key] for r in counts.where(F.col("_n") > F.lit(min_rows)).select(key).collect()]
+    counts = right.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > F.lit(min_rows)).select(
+        "_hot", F.ceil(F.col("_n") / F.lit(min_rows)).cast("int").alias("_buckets"))
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str,
-                     hot: list | None = None, buckets: int = SALT_BUCKETS) -> DataFrame:
+                     hot: DataFrame | None = None, min_rows: int = HOT_ROWS) -> DataFrame:
     """LEFT JOIN that stays balanced when a few keys hold a large share of
     the right side.
 
-    Rows of hot keys are split: the right side gets a salt in [0, buckets)
-    from a hash of its columns, the (few) left rows of hot keys are
+    Rows of hot keys are split: the right side gets a salt below the key's
+    ``_buckets`` from a hash of its columns, the (few) left rows of hot keys are
     replicated once per salt, and the two are INNER joined on (key, salt) --
     every right row meets exactly one replica, and a hot key always has a
-    match, so no pair is lost or duplicated.  Everything else is a plain
-    left join.  Sort-merge/skew handling of AQE covers the left side; this
-    covers the right side, which AQE cannot split for a left outer join.
+    match, so no pair is lost or duplicated.  Everything else, null keys
+    included, is a plain left join.  Hot keys stay a table, stored once and
+    joined.  AQE's skew handling covers the left side; this covers the right
+    side, which AQE cannot split for a left outer join.
     """
-    hot = hot_keys(right, rkey) if hot is None else hot
-    if not hot:
+    spark = left.sparkSession
+    path = scratch_path(spark, "hot-keys")
+    (hot_keys(right, rkey, min_rows) if hot is None else hot).write.parquet(path)
+    hot = spark.read.parquet(path)
+    if hot.isEmpty():
         return left.join(right, left[lkey] == right[rkey], "left")
-    hot_l = F.col(lkey).isin(hot)
-    hot_r = F.col(rkey).isin(hot)
-    lw, rw = left.where(~hot_l | F.col(lkey).isNull()), right.where(~hot_r)
+    lw = left.join(hot, left[lkey] == hot["_hot"], "left_anti")
+    rw = right.join(hot, right[rkey] == hot["_hot"], "left_anti")
     plain = lw.join(rw, lw[lkey] == rw[rkey], "left")
-    salt_r = right.where(hot_r).withColumn(
-        "_salt_r", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(buckets)))
-    salt_l = left.where(hot_l).withColumn("_salt_l", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    salt_r = right.join(hot, right[rkey] == hot["_hot"]).withColumn(
+        "_salt_r", F.pmod(F.xxhash64(*[right[c] for c in right.columns]), F.col("_buckets"))).drop("_hot", "_buckets")
+    salt_l = left.join(hot, left[lkey] == hot["_hot"]).withColumn(
+        "_salt_l", F.explode(F.expr("sequence(0, _buckets - 1)"))).drop("_hot", "_buckets")
     hot_part = salt_l.join(salt_r, (salt_l[lkey] == salt_r[rkey]) & (salt_l["_salt_l"] == salt_r["_salt_r"]),
                            "inner").drop("_salt_l", "_salt_r")
     return plain.union(hot_part)  # same column order: left columns, then right columns

@@ -21,11 +21,13 @@ NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def read_csv(spark: SparkSession, path: str, roles: Roles | None = None) -> DataFrame:
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "FAILFAST").csv(path))
+def read_csv(spark: SparkSession, path: str, roles: Roles | None = None, multi_line: bool = False) -> DataFrame:
+    """A1.  Quotes inside quoted fields are doubled.  ``multi_line`` admits line
+    breaks inside quotes; a file is then one task, so it is off by default."""
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+           .option("multiLine", multi_line).option("mode", "FAILFAST").csv(path))
     na = F.array(*[F.lit(v) for v in NA_VALUES])
-    cols = {c: F.when(~F.array_contains(na, F.trim(F.col(c))), F.col(c)) for c in raw.columns}
+    cols = {c: F.when(~F.array_contains(na, F.col(c)), F.col(c)) for c in raw.columns}
     df = raw.select(*[cols[c].alias(c) for c in raw.columns])
     if roles is None:
         return df

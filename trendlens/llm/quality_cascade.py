@@ -50,7 +50,7 @@ def _repeats(hashes: np.ndarray, text: np.ndarray):
         key = mix(hashes ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     order = np.argsort(key, kind="stable")
     s = key[order]
-    return order, np.concatenate([[False], s[1:] == s[:-1]])
+    return order, np.concatenate([[False], s[1:] == s[:-1]])[:len(s)]
 
 
 class Facts:

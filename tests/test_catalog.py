@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as se
 from conftest import SF001
+from trendlens.plans.oracles import ORACLES
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels"]
 
@@ -26,7 +27,7 @@ def _norm(v):
     return repr(v)
 
 
-@pytest.mark.parametrize("name", sorted(se.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
     sdf = se.queries()[name](spark, SF001)
     cols = sorted(sdf.columns)

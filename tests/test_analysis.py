@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import SF001
+from trendlens.operators import forest
 from trendlens.plans import analysis, frames
 from trendlens.roles import Roles
 from trendlens.session import scratch_path
@@ -21,6 +22,17 @@ def test_end_to_end_run_and_rollup(spark):
     mr = s["method_rank"].collect()
     assert {r.parameter for r in mr} <= {"p_brand", "p_type", "p_size"} and mr
     assert s["summary_facts"].where("section = 'fit'").count() == 2
+    assert {"pca_summary", "shap_values", "target_values", "permutation"} <= set(t)
+    everything = scratch_path(spark, "all")
+    analysis.write_run({**t, **s}, everything, "r1")
+    for name in {**t, **s}:
+        assert set({**t, **s}[name].columns) <= set(results.latest_run(spark, everything, name).columns), name
+    again = {name: results.latest_run(spark, everything, name).count() for name in ("feature_matrix", "shap_values")}
+    assert again == {"feature_matrix": df.count(), "shap_values": 2 * df.count() * len(run.features.names)}
+    paths = analysis.write_models(spark, run.models, everything, "r1")
+    vec = forest.assemble(run.features.transform(df, keep=["p_partkey"]), run.features.names, keep=["p_partkey"])
+    again = forest.load_model(paths["p_retailprice"]).transform(vec)
+    assert again.exceptAll(run.models["p_retailprice"].transform(vec)).count() == 0
     base = scratch_path(spark, "results")
     rid = analysis.write_run({"fit": t["fit"], "coefficients": t["coefficients"]}, base, "20260101_000000")
     analysis.write_run({"fit": t["fit"]}, base, "20260102_000000")

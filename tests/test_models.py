@@ -118,11 +118,44 @@ def test_interaction_d2_equals_cell_means(spark):
     assert st == {1: "fitted", 2: "fitted"}
 
 
-def test_wide_depth_becomes_status_row(spark):
-    pdf = pd.DataFrame({"a": list("xyzxyz") * 5, "b": list("pqrstu") * 5, "y": np.arange(30.0)})
-    fit = interact.interactions(spark.createDataFrame(pdf), ["a", "b"], [], ["y"], max_columns=10)
-    st = {r.depth: r.status for r in fit.status.collect()}
-    assert st[1] == "fitted" and st[2] == "too_wide"
+def test_wide_depth_is_fitted(spark):
+    pdf = pd.DataFrame({"a": [f"a{i % 40}" for i in range(3000)], "b": [f"b{i % 27}" for i in range(3000)],
+                        "y": np.arange(3000.0) % 17})
+    fit = interact.interactions(spark.createDataFrame(pdf), ["a", "b"], [], ["y"])
+    st = {r.depth: (r.status, r.n_columns, r["rank"]) for r in fit.status.collect()}
+    assert st[2] == ("fitted", 1080, 1080) and fit.coefficients.where("depth = 2").count() == 1080
+
+
+def test_failing_depth_leaves_the_others(spark):
+    # squares of x stay finite, those of x times z do not
+    pdf = pd.DataFrame({"x": [1e90, 2e90, 4e90, 5e90], "z": [1e90, 7e90, 2e90, 3e90], "y": [1.0, 2.0, 3.0, 5.0]})
+    fit = interact.interactions(spark.createDataFrame(pdf), [], ["x", "z"], ["y"])
+    assert {r.depth: r.status for r in fit.status.collect()} == {1: "fitted", 2: "failed"}
+    assert {r.depth for r in fit.coefficients.collect()} == {1}
+
+
+def test_moments_keep_two_columns_of_one_name(spark):
+    from trendlens.functions.linalg import unpack
+    from trendlens.operators import gram
+
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 5.0)], "a double, b double")
+    r = gram.moments(df, [("same", F.col("a")), ("same", F.col("b"))], method="arrow").first()
+    m = unpack(r["_g"][:-1], 3)
+    assert m[1, 1] == 10.0 and m[1, 2] == 17.0 and m[2, 2] == 29.0
+
+
+def test_many_levels_encode_to_sparse_vectors(spark):
+    from trendlens.operators import encode
+
+    df = spark.range(4500).select("id", F.concat(F.lit("v"), F.col("id") % 1500).alias("c"), F.col("id").alias("x"))
+    fs = encode.fit_features(df, ["c"], ["x"])
+    assert len(fs.names) == 1500
+    where = {f: i for i, f in enumerate(fs.names)}
+    rows = fs.vector(df, ["id", "c"]).collect()
+    assert len(rows) == 4500
+    for r in rows:
+        hot = [i for i in r.features.indices if i < 1499]
+        assert hot == ([where[f"cat__c_{r.c}"]] if r.c != "v0" else [])
 
 
 def test_pca_two_standardised_variables(spark):

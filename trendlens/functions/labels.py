@@ -1,4 +1,5 @@
-"""Label expressions (B10, B12-B14) as built-in string functions."""
+"""Label expressions (B10, B13, B14) as built-in string functions.  Labels of interaction
+terms (B12) come from the design itself, see ``operators.interact.design``."""
 
 from __future__ import annotations
 
@@ -8,20 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def clean_term(term: Column) -> Column:
-    """Formula term -> display label.
-
-    ``Q("x")`` -> ``x``; ``C(x)``/``C("x")`` -> ``x``; ``[T.v]``/``[v]`` ->
-    `` = v``; ``:`` -> `` × ``; anything containing Intercept -> Intercept.
-    """
-    t = F.regexp_replace(term, r'Q\("([^"]+)"\)', "$1")
-    t = F.regexp_replace(t, r'C\("?([^")]+)"?\)', "$1")
-    t = F.regexp_replace(t, r"\[T\.(.*?)\]", " = $1")
-    t = F.regexp_replace(t, r"\[(.*?)\]", " = $1")
-    t = F.regexp_replace(t, ":", " × ")
-    return F.when(F.instr(term, "Intercept") > 0, F.lit("Intercept")).otherwise(t)
-
-
 def linear_label(parameter: Column, level: Column, feature: Column) -> Column:
     """``Col = Value`` for one-hot features (from lineage), the
     parameter name for numerics, ``Intercept`` kept."""

@@ -15,8 +15,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 1000
-
 
 @dataclass
 class Feature:
@@ -48,11 +46,28 @@ class FeatureSet:
         return df.select(*cols, *[f.expr.alias(f.name) for f in self.features])
 
     def vector(self, df: DataFrame, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-
-        wide = self.transform(df, keep=list(keep))
-        va = VectorAssembler(inputCols=self.names, outputCol=out, handleInvalid="error")
-        return va.transform(wide).select(*keep, out)
+        """``keep...`` and one sparse vector a row, in the order of ``features``.  Levels are
+        looked up, so the cost of a row does not grow with their number; the reference
+        level, an unseen one and null have no entry."""
+        from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+
+        labels: dict[str, list[str]] = {}
+        nums = []
+        for f in self.features:
+            if f.kind == "categorical":
+                labels.setdefault(f.parameter, []).append(f.level)
+            else:
+                nums.append(f.expr.alias(f"_x{len(nums)}"))
+        cats = [f"_c{i}" for i in range(len(labels))]
+        parts = [f"_x{i}" for i in range(len(nums))]
+        got = df.select(*keep, *[F.col(c).cast("string").alias(a) for c, a in zip(labels, cats)], *nums)
+        if cats:
+            for c, known in zip(cats, labels.values()):
+                got = StringIndexerModel.from_labels(known, c, f"_i{c}", handleInvalid="keep").transform(got)
+            hot = [f"_h{c}" for c in cats]
+            got = OneHotEncoder(inputCols=[f"_i{c}" for c in cats], outputCols=hot, dropLast=True).fit(got).transform(got)
+            parts = hot + parts
+        return VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep").transform(got).select(*keep, out)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """``idx, feature, parameter, level, kind`` (bounded: one row per feature)."""
@@ -62,7 +77,7 @@ class FeatureSet:
 
 def fit_features(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[str],
                  reference_levels: dict | None = None, scale: bool = True,
-                 max_levels: int = MAX_LEVELS, levels: dict | None = None) -> FeatureSet:
+                 levels: dict | None = None) -> FeatureSet:
     """Fit the encoder/scaler (one aggregate for all statistics).
 
     Categoricals are expected as strings (``stringify``/``lump_levels``).
@@ -72,10 +87,10 @@ def fit_features(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
     """
     reference_levels = dict(reference_levels or {})
     if levels is not None:  # already known (e.g. from the lumping fit): numerics only
-        _, num_stats = _profile(df, [], numerics, max_levels)
+        _, num_stats = _profile(df, [], numerics)
         levels = {c: sorted(levels[c]) for c in categoricals}
     else:
-        levels, num_stats = _profile(df, categoricals, numerics, max_levels)
+        levels, num_stats = _profile(df, categoricals, numerics)
     feats: list[Feature] = []
     for c in categoricals:
         lv = levels[c]
@@ -96,14 +111,12 @@ def fit_features(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
     return FeatureSet(feats, reference_levels, levels)
 
 
-def _profile(df: DataFrame, cats: Sequence[str], nums: Sequence[str], max_levels: int):
+def _profile(df: DataFrame, cats: Sequence[str], nums: Sequence[str]):
     """ONE scan for the whole encoder fit: categorical levels and numeric
     mean / population std come out of a single stacked aggregate.
 
-    The grouped result is bounded by the number of distinct levels; it is
-    cached, checked per column against ``max_levels`` (a p-row job on the
-    cache) and only then collected, so a runaway categorical never reaches
-    the driver.
+    One row a level comes to the driver: the levels are the model's columns.
+    A column of ids is lumped first (``clean.lump_levels``).
     """
     if not cats and not nums:
         return {}, {}
@@ -114,32 +127,21 @@ def _profile(df: DataFrame, cats: Sequence[str], nums: Sequence[str], max_levels
     numset = set(nums)
     st = (df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
             .groupBy("column", "level")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-            .persist())
-    try:
-        if cats:
-            wide = (st.where(~F.col("column").isin(list(numset)) if numset else F.lit(True))
-                      .groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-                      .where(F.col("n") > max_levels).collect())
-            if wide:
-                raise ValueError(f"columns {[r['column'] for r in wide]} have more than "
-                                 f"{max_levels} levels; lump them first")
-        levels = {c: [] for c in cats}
-        num_stats = {c: (0.0, 1.0) for c in nums}
-        for r in st.collect():
-            c = r["column"]
-            if c in numset and r["level"] is None:
-                num_stats[c] = (r["mean"], r["std"])
-            if c in levels:
-                levels[c].append(r["level"])
-        return {c: sorted(v) for c, v in levels.items()}, num_stats
-    finally:
-        st.unpersist()
-
-
-def _distinct_levels(df: DataFrame, cols: Sequence[str], max_levels: int) -> dict:
-    """Sorted distinct levels per column (bounded, see ``_profile``)."""
-    return _profile(df, cols, [], max_levels)[0]
+            .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")))
+    levels = {c: [] for c in cats}
+    num_stats = {c: (0.0, 1.0) for c in nums}
+    for r in st.collect():
+        c = r["column"]
+        if c in numset and r["level"] is None:
+            num_stats[c] = (r["mean"], r["std"])
+        if c in levels and r["level"] is not None:
+            levels[c].append(r["level"])
+    return {c: sorted(v) for c, v in levels.items()}, num_stats
+
+
+def _distinct_levels(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Sorted distinct levels per column (see ``_profile``)."""
+    return _profile(df, cols, [])[0]
 
 
 def one_hot(df: DataFrame, fs: FeatureSet, keep: Sequence[str]) -> DataFrame:
@@ -153,8 +155,9 @@ def zscore(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame
     return df.select(*keep, *[f.expr.alias(f.parameter) for f in fs.features])
 
 
-def feature_long(df: DataFrame, fs: FeatureSet, keep: Sequence[str], nonzero_only: bool = True) -> DataFrame:
-    """Long (sparse) feature matrix: ``keep..., feature, value``."""
+def feature_long(df: DataFrame, fs: FeatureSet, keep: Sequence[str], nonzero_only: bool = False) -> DataFrame:
+    """Long feature matrix: ``keep..., feature, value``; every cell, or the
+    cells that are not zero."""
     items = [F.struct(F.lit(f.name).alias("feature"), f.expr.alias("value")) for f in fs.features]
     out = df.select(*keep, F.explode(F.array(*items)).alias("s")).select(*keep, "s.feature", "s.value")
     return out.where(F.col("value") != 0) if nonzero_only else out

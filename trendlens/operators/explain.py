@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from trendlens.functions.linalg import gauss_legendre_01
 from trendlens.operators.forest import LeafTable, broadcast_leaves
-from trendlens.operators.gram import ensure_parallel
+from trendlens.operators.gram import spread
 from trendlens.operators.index import stable_index
 
 GRID_RESOLUTION = 100
@@ -176,7 +176,7 @@ def shap_values(df: DataFrame, names: Sequence[str], lt: LeafTable, keep: Sequen
             out["base"] = base
             yield out
 
-    wide = ensure_parallel(df.select(*keep, *names)).mapInPandas(run, schema)
+    wide = spread(df.select(*keep, *names)).mapInPandas(run, schema)
     return (wide.select(*keep, "base", F.posexplode("phi").alias("feature_idx", "phi"))
                 .withColumn("feature", F.element_at(F.array(*[F.lit(n) for n in names]),
                                                     F.col("feature_idx") + 1)))
@@ -200,7 +200,7 @@ def shap_additivity(df: DataFrame, names: Sequence[str], lt: LeafTable, predicti
             err = np.abs(base + phi.sum(axis=1) - pdf[prediction].to_numpy(dtype=float))
             yield pd.DataFrame({"max_err": [float(err.max())], "n": [len(x)]})
 
-    parts = ensure_parallel(df.select(*names, prediction)).mapInPandas(run, "max_err double, n long")
+    parts = spread(df.select(*names, prediction)).mapInPandas(run, "max_err double, n long")
     return parts.agg(F.max("max_err").alias("max_abs_error"), F.sum("n").alias("n"))
 
 
@@ -387,48 +387,42 @@ def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key:
                            seed: int = 0) -> DataFrame:
     """Drop in R^2 when one feature column is permuted.
 
-    A permutation is a pairing of row index i with donor index pi(i): donors
-    are ranked by a seeded hash (deterministic under recomputation) with the
-    same distributed stable index, and joined back by index -- two equi-join
-    shuffles per repeat, no global sort into one task.  For every permuted
-    row, p variants (one per permuted feature) are scored by ``score`` (a
-    DataFrame -> DataFrame with ``prediction``; e.g. a Spark ML model), and
-    R^2 is aggregated per (repeat, feature).
+    A permutation pairs the rows with donors ranked by a seeded hash (see
+    ``permutation_pairs``), joined by index.  A variant differs from its row
+    only where the donor's value does, so the row's own prediction is kept once
+    and just the differing variants are scored by ``score`` (DataFrame ->
+    DataFrame with ``prediction``; e.g. a Spark ML model) where the joined row
+    is: what leaves a task is one sum a (repeat, feature).
     Output: ``feature_idx, feature, repeat, r2_base, r2_perm, importance``.
     """
     names = list(names)
-    p = len(names)
-    base, n = stable_index(df.select(*key, label, *names), list(key))
-    # read four times (baseline, donors, receivers, variance): written once to
-    # the shared checkpoint folder, which also pins the index if executors die
-    base = base.select("row_idx", label, *names).checkpoint(eager=True)
+    spark = df.sparkSession
+    index, n = stable_index(df.select(*key, label, *names), list(key))
+    base = (score(index.select("row_idx", label, *names))
+            .select("row_idx", label, *names, F.col("prediction").alias("_f0")).checkpoint(eager=True))
     y = F.col(label).cast("double")
-    st = base.agg(F.var_pop(y).alias("vy"), F.count(F.lit(1)).alias("n")).first()
+    e0 = y - F.col("_f0")
+    st = base.agg(F.var_pop(y).alias("vy"), F.count(F.lit(1)).alias("n"), F.sum(e0 * e0).alias("sse")).first()
     sst = float(st["vy"]) * float(st["n"])  # same for every permuted variant: y is untouched
-    e = y - F.col("prediction")
-    r2_base = 1.0 - score(base).agg(F.sum(e * e).alias("sse")).first()["sse"] / sst
-    ranked = permutation_pairs(base, n, repeats, seed)
-    donor = ranked.join(base.select(F.col("row_idx").alias("donor_idx"),
-                                    *[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)]), "donor_idx")
+    r2_base = 1.0 - st["sse"] / sst
+    donor = permutation_pairs(base, n, repeats, seed).join(
+        base.select(F.col("row_idx").alias("donor_idx"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)]),
+        "donor_idx")
     joined = base.join(donor, base["row_idx"] == donor["rank"])
-    variants = F.explode(F.array(*[
-        F.struct(F.lit(j).alias("feature_idx"),
-                 *[(F.col(f"_d{i}") if i == j else F.col(c)).alias(c) for i, c in enumerate(names)])
-        for j in range(p)]))
-    perm = joined.select("repeat", label, variants.alias("v")).select("repeat", label, "v.*")
-    # score each distinct permuted vector once: SSE = sum y^2 - 2 f sum y + n f^2
-    # per (repeat, feature, vector) -- exact, and map-side partial sums make
-    # repeated vectors cheap before the model ever runs
-    grouped = perm.groupBy("repeat", "feature_idx", *names).agg(
-        F.sum(y).alias("_sy"), F.sum(y * y).alias("_syy"), F.count(F.lit(1)).alias("_n"))
-    f = F.col("prediction")
-    sse = F.col("_syy") - 2 * f * F.col("_sy") + F.col("_n") * f * f
-    r2 = score(grouped).groupBy("repeat", "feature_idx").agg(
-        (F.lit(1.0) - F.sum(sse) / F.lit(sst)).alias("r2_perm"))
-    fmap = F.create_map(*[x for i, nm in enumerate(names) for x in (F.lit(i), F.lit(nm))])
-    return r2.select("feature_idx", fmap[F.col("feature_idx")].alias("feature"), "repeat",
-                     F.lit(r2_base).alias("r2_base"), "r2_perm",
-                     (F.lit(r2_base) - F.col("r2_perm")).alias("importance"))
+    differs = F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_d{i}")), F.lit(i)) for i, c in enumerate(names)])
+    variants = (joined.select("*", F.explode(F.array_compact(differs)).alias("feature_idx"))
+                .select("repeat", "feature_idx", label, "_f0",
+                        *[F.when(F.col("feature_idx") == i, F.col(f"_d{i}")).otherwise(F.col(c)).alias(c)
+                          for i, c in enumerate(names)]))
+    e1 = y - F.col("prediction")
+    delta = (score(variants).groupBy("repeat", "feature_idx")
+             .agg((F.sum(e1 * e1 - e0 * e0) / F.lit(sst)).alias("_drop")))
+    grid = (spark.createDataFrame(list(enumerate(names)), "feature_idx int, feature string")
+            .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))))
+    drop = F.coalesce(F.col("_drop"), F.lit(0.0))
+    return (grid.join(delta, ["feature_idx", "repeat"], "left")
+            .select("feature_idx", "feature", "repeat", F.lit(r2_base).alias("r2_base"),
+                    (F.lit(r2_base) - drop).alias("r2_perm"), drop.alias("importance")))
 
 
 def permutation_summary(perm: DataFrame, features: DataFrame | None = None) -> DataFrame:

@@ -79,9 +79,9 @@ def fit_forest(df: DataFrame, label: str, features_col: str = "features", *, tre
                                # more nodes per pass over the data; node-id cache is
                                # checkpointed to the shared folder, cutting lineage
                                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
-    from trendlens.operators.gram import ensure_parallel
+    from trendlens.operators.gram import spread
 
-    return rf.fit(ensure_parallel(df))
+    return rf.fit(spread(df))
 
 
 def save_model(spark: SparkSession, model, path: str | None = None) -> str:
@@ -91,6 +91,13 @@ def save_model(spark: SparkSession, model, path: str | None = None) -> str:
     return path
 
 
+def load_model(path: str):
+    """A model stored by ``save_model``."""
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    return RandomForestRegressionModel.load(path)
+
+
 def leaf_table(spark: SparkSession, model, n_features: int, path: str | None = None) -> LeafTable:
     path = save_model(spark, model, path)
     nodes = (spark.read.parquet(f"{path}/data")

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+PARTITIONS = "spark.trendlens.partitions"
+FAN_IN = 256  # partial vectors summed by one task of the first merge level
 SQL_MAX_K = 13  # 1 + 12 columns -> 91 sums: below codegen's field limit
 
 ColSpec = tuple[str, Column]
@@ -44,23 +46,12 @@ def _as_specs(cols) -> list[ColSpec]:
     return out
 
 
-def ensure_parallel(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Give CPU-bound stages (Python kernels, tree training) at least
-    ``factor x defaultParallelism`` tasks.
-
-    Decided from the input files (``inputFiles`` lists them; nothing runs):
-    an input of fewer files than the target (e.g. one small file) is spread
-    by a round-robin repartition; a large table has thousands of files, and
-    therefore splits, and passes through without an extra shuffle.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    try:
-        n_files = len(df.inputFiles())
-    except Exception:  # inputs without files (e.g. local data)
-        n_files = 0
-    if n_files < target:
-        return df.repartition(target)
-    return df
+def spread(df: DataFrame) -> DataFrame:
+    """Input of a CPU-bound stage (Python kernels, tree training), dealt over
+    ``spark.trendlens.partitions`` tasks if the caller set that; else as it
+    comes from the scan, without a shuffle."""
+    n = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def not_missing(c: Column) -> Column:
@@ -107,14 +98,17 @@ def _sql_moments(df, name, cols, weight, by):
 
 def _arrow_moments(df, specs, weight, by):
     # flatten all distinct column expressions into positional inputs
-    names: list[str] = []
+    names: list[tuple[str, int]] = []
     exprs: list[Column] = []
     index: dict[str, list[int]] = {}
-    seen: dict[str, int] = {}
+    seen: dict[tuple[str, int], int] = {}
     for b, cols in specs.items():
         idx = []
+        times: dict[str, int] = {}
         for nm, c in cols:
-            key = f"{nm}"
+            # blocks share columns by name; two columns of one name in a block stay two
+            key = (nm, times.get(nm, 0))
+            times[nm] = key[1] + 1
             if key not in seen:
                 seen[key] = len(names)
                 names.append(key)
@@ -123,7 +117,7 @@ def _arrow_moments(df, specs, weight, by):
         index[b] = idx
     w = (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w")
     key_fields = [df.schema[c] for c in by]
-    src = ensure_parallel(df.select(*[F.col(c) for c in by], w, *exprs))
+    src = spread(df.select(*[F.col(c) for c in by], w, *exprs))
     out_schema = T.StructType(
         [T.StructField(f.name, f.dataType, True) for f in key_fields]
         + [T.StructField("_block", T.StringType()),
@@ -164,7 +158,7 @@ def _arrow_moments(df, specs, weight, by):
         if acc:
             rows_out = []
             for (key, b), vec in acc.items():
-                rows_out.append(list(key) + [b, vec.tolist()])
+                rows_out.append(list(key) + [b, vec])
             yield pd.DataFrame(rows_out, columns=list(by) + ["_block", "_g"])
 
     parts = src.mapInPandas(partial, out_schema)
@@ -172,11 +166,13 @@ def _arrow_moments(df, specs, weight, by):
 
 
 def merge_partials(parts: DataFrame, by: Sequence[str], k_by_block: Mapping[str, int]) -> DataFrame:
-    """Element-wise sum of per-task partial moment vectors (``g`` arrays)
-    per (by..., block) with ``Summarizer.sum``: a JVM aggregate with
-    map-side partial merge, so every task ships one small row per group."""
-    merged = (parts.groupBy(*by, "_block")
-              .agg(Summarizer.sum(array_to_vector("_g")).alias("_gv")))
+    """Element-wise sum of per-task partial moment vectors (``_g`` arrays) per
+    (by..., block) in two levels: ``FAN_IN`` neighbouring tasks first, then
+    their sums, so no reducer takes one vector of every task."""
+    level = parts.select(*by, "_block", array_to_vector("_g").alias("_gv"),
+                         F.floor(F.spark_partition_id() / FAN_IN).alias("_level"))
+    first = level.groupBy(*by, "_block", "_level").agg(Summarizer.sum(F.col("_gv")).alias("_gv"))
+    merged = first.groupBy(*by, "_block").agg(Summarizer.sum(F.col("_gv")).alias("_gv"))
     k_of = F.create_map(*[x for b, k in k_by_block.items() for x in (F.lit(b), F.lit(k))])
     return merged.select(*by, "_block", k_of[F.col("_block")].alias("_k"),
                          vector_to_array("_gv").alias("_g"))

@@ -30,8 +30,6 @@ from trendlens.functions.linalg import solve_moments
 from trendlens.operators.encode import _distinct_levels
 from trendlens.operators.gram import moments
 
-MAX_COLUMNS = 4000
-
 
 @dataclass
 class DesignColumn:
@@ -149,62 +147,48 @@ _STATUS = T.StructType([
 
 
 def interactions(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[str],
-                 targets: Sequence[str], *, max_depth: int | None = None,
-                 max_columns: int = MAX_COLUMNS, alpha: float = 0.05,
+                 targets: Sequence[str], *, max_depth: int | None = None, alpha: float = 0.05,
                  levels: dict | None = None) -> InteractionFit:
+    """Fit every depth up to ``max_depth`` (default: all inputs).  A task holds one dense
+    moment matrix a depth and target, so very wide depths are the caller's to limit by
+    ``max_depth`` or by lumping; a depth that cannot be solved gets a ``failed`` status
+    row and no coefficients."""
     categoricals = [c for c in categoricals if c in df.columns]
     numerics = [c for c in numerics if c in df.columns]
     n_inputs = len(categoricals) + len(numerics)
     if n_inputs == 0:
         raise ValueError("no input columns for interaction models")
-    levels = levels or _distinct_levels(df, categoricals, 1000)
+    levels = levels or _distinct_levels(df, categoricals)
     top = n_inputs if max_depth is None else min(max_depth, n_inputs)
-    designs, skipped = {}, {}
-    for d in range(1, top + 1):
-        cols = design(categoricals, numerics, levels, d)
-        if len(cols) > max_columns:
-            skipped[d] = len(cols)
-        else:
-            designs[d] = cols
-    spark = df.sparkSession
-    mom = _design_moments(df, categoricals, numerics, targets, designs).persist() if designs else None
+    designs = {d: design(categoricals, numerics, levels, d) for d in range(1, top + 1)}
+    mom = _design_moments(df, categoricals, numerics, targets, designs)
     meta = {f"d{d}": [(dc.term, dc.label, list(dc.parameters)) for dc in cols] for d, cols in designs.items()}
+    n_coef, n_stat = len(_COEF.fields) - 2, len(_STATUS.fields) - 2
 
     def solve(it):
+        # one row a coefficient, and one (term_idx -1) with the depth's status
         for pdf in it:
             out = []
             for tgt, blk, k, g in zip(pdf["target"], pdf["_block"], pdf["_k"], pdf["_g"]):
                 g = np.asarray(g, dtype=float)
-                s = solve_moments(g[:-1], int(k), float(g[-1]), alpha=alpha)
-                d = int(blk[1:])
-                for i, (term, label, params) in enumerate(meta[blk]):
-                    out.append([tgt, d, i, term, label, params, s["coef"][i], s["std_err"][i],
-                                s["t"][i], s["p"][i], s["ci_lo"][i], s["ci_hi"][i]])
-            yield pd.DataFrame(out, columns=[f.name for f in _COEF.fields])
-
-    def status(it):
-        for pdf in it:
-            out = []
-            for tgt, blk, k, g in zip(pdf["target"], pdf["_block"], pdf["_k"], pdf["_g"]):
-                g = np.asarray(g, dtype=float)
+                d, n = int(blk[1:]), int(round(g[-1]))
                 try:
+                    if not np.isfinite(g).all():
+                        raise ArithmeticError("the moments of this depth overflow")
                     s = solve_moments(g[:-1], int(k), float(g[-1]), alpha=alpha)
-                    out.append([tgt, int(blk[1:]), int(k) - 1, "fitted", int(round(g[-1])), s["rank"], s["r2"]])
                 except Exception:  # isolate a failing depth (E8)
-                    out.append([tgt, int(blk[1:]), int(k) - 1, "failed", int(round(g[-1])), None, None])
-            yield pd.DataFrame(out, columns=[f.name for f in _STATUS.fields])
+                    out.append([tgt, d, -1] + [None] * (n_coef - 1) + [int(k) - 1, "failed", n, None, None])
+                    continue
+                out.append([tgt, d, -1] + [None] * (n_coef - 1) + [int(k) - 1, "fitted", n, s["rank"], s["r2"]])
+                for i, (term, label, params) in enumerate(meta[blk]):
+                    out.append([tgt, d, i, term, label, params, s["coef"][i], s["std_err"][i], s["t"][i],
+                                s["p"][i], s["ci_lo"][i], s["ci_hi"][i]] + [None] * n_stat)
+            yield pd.DataFrame(out, columns=[f.name for f in solved_schema.fields])
 
-    if mom is not None:
-        coef = mom.mapInPandas(solve, _COEF)
-        st = mom.mapInPandas(status, _STATUS)
-    else:
-        coef = spark.createDataFrame([], _COEF)
-        st = spark.createDataFrame([], _STATUS)
-    if skipped:
-        extra = spark.createDataFrame(
-            [(t, d, n, "too_wide", None, None, None) for t in targets for d, n in skipped.items()], _STATUS)
-        st = st.unionByName(extra)
-    return InteractionFit(coef, st, designs)
+    solved_schema = T.StructType(_COEF.fields + _STATUS.fields[2:])
+    solved = mom.mapInPandas(solve, solved_schema).persist()
+    return InteractionFit(solved.where("term_idx >= 0").select(*_COEF.names),
+                          solved.where("term_idx < 0").select(*_STATUS.names), designs)
 
 
 def _design_moments(df: DataFrame, categoricals, numerics, targets, designs) -> DataFrame:
@@ -215,11 +199,11 @@ def _design_moments(df: DataFrame, categoricals, numerics, targets, designs) ->
     level indicators and numeric columns and adds its X^T X to a per-task
     accumulator.  One row per (task, target, depth) leaves each task.
     """
-    from trendlens.operators.gram import ensure_parallel, merge_partials
+    from trendlens.operators.gram import spread, merge_partials
 
     cats, nums, targets = list(categoricals), list(numerics), list(targets)
     specs = {f"d{d}": [dc.spec for dc in cols[1:]] for d, cols in designs.items()}
-    src = ensure_parallel(df.select(*[F.col(c).cast("string").alias(c) for c in cats],
+    src = spread(df.select(*[F.col(c).cast("string").alias(c) for c in cats],
                                     *[F.col(c).cast("double").alias(c) for c in nums + targets if c not in cats]))
     schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("_block", T.StringType()),
                            T.StructField("_g", T.ArrayType(T.DoubleType()))])
@@ -281,7 +265,7 @@ def _design_moments(df: DataFrame, categoricals, numerics, targets, designs) ->
                     vec = np.append(gm[np.triu_indices(gm.shape[0])], float(ok.sum()))
                     acc[(t, b)] = acc[(t, b)] + vec if (t, b) in acc else vec
         if acc:
-            yield pd.DataFrame([[t, b, v.tolist()] for (t, b), v in acc.items()],
+            yield pd.DataFrame([[t, b, v] for (t, b), v in acc.items()],
                                columns=["target", "_block", "_g"])
 
     parts = src.mapInPandas(partial, schema)

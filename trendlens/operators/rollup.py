@@ -131,12 +131,13 @@ def compare_methods(spark: SparkSession, tables: dict, params: DataFrame,
 def summary_facts(coefs: DataFrame, fit: DataFrame, importance: DataFrame | None = None,
                   skew: DataFrame | None = None, alpha: float = ALPHA, *,
                   reference_levels: dict | None = None, metrics: DataFrame | None = None,
-                  cv: DataFrame | None = None) -> DataFrame:
+                  cv: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """H6: narrative facts per target as rows
     ``target, section, ord, subject, value, text``: reference levels,
     intercept, significant and marginal terms with direction and size, R²,
     model metrics (R², MAE, RMSE), CV mean ± std, top SHAP features with
-    direction, skew notes."""
+    direction, skew notes.  ``terms`` (an interaction coefficient table): the
+    significant and marginal terms are taken from it, by label."""
     parts = []
     if reference_levels:
         spark = coefs.sparkSession
@@ -159,6 +160,8 @@ def summary_facts(coefs: DataFrame, fit: DataFrame, importance: DataFrame | None
         F.lit("Intercept").alias("subject"), F.col("coef").alias("value"),
         F.format_string("Baseline (intercept) is %.4f", F.col("coef")).alias("text"))
     parts.append(icp)
+    if terms is not None:
+        coefs = terms.select("target", F.col("label").alias("term"), "coef", "p")
     sig = coefs.where((F.col("term") != "Intercept") & (F.col("p") < alpha))
     w = W.partitionBy("target").orderBy(F.abs("coef").desc(), F.col("term"))
     parts.append(sig.withColumn("ord", F.row_number().over(w)).select(

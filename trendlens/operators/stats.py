@@ -119,10 +119,10 @@ def _yj_pass(df: DataFrame, cols: Sequence[str], grids: dict) -> dict:
     import numpy as np
     import pandas as pd
 
-    from trendlens.operators.gram import ensure_parallel, merge_partials
+    from trendlens.operators.gram import spread, merge_partials
 
     cols = list(cols)
-    src = ensure_parallel(df.select(*[_clean(c).alias(f"_y{i}") for i, c in enumerate(cols)]))
+    src = spread(df.select(*[_clean(c).alias(f"_y{i}") for i, c in enumerate(cols)]))
     lam_of = {c: np.asarray(grids[c], dtype=float) for c in cols}
     schema = "_block string, _g array<double>"
 

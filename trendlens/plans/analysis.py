@@ -37,12 +37,11 @@ class Options:
     run_shap: bool = True
     run_pdp: bool = True
     run_interactions: bool = True
-    run_permutation: bool = False
+    run_permutation: bool = True
     trees: int = forest.TREES
     max_depth: int = forest.MAX_DEPTH
     cv_folds: int = 5
     interaction_max_depth: int | None = None
-    interaction_max_columns: int = interact.MAX_COLUMNS
     pdp_pairs: bool = True
     pdp_top_k: int = 5
     key: tuple = ()
@@ -86,15 +85,17 @@ def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | No
     t = run.tables
     t["features"] = fs.table(spark)
     if opts.key:
-        # Preview rows and the feature matrix, written once (not once per target)
+        # Preview rows, the feature matrix (one sparse vector a row) and the targets, once
         t["preview"] = results.preview(df, list(opts.key))
-        t["feature_matrix"] = encode.feature_long(df, fs, list(opts.key))
+        t["feature_matrix"] = fs.vector(df, list(opts.key))
+        t["target_values"] = df.select(*opts.key, *[c for c in targets if c not in opts.key])
     t["drop_audit"] = clean.drop_audit(raw, roles.columns)  # on the input, before cleaning
     t["levels"] = clean.level_profile(df, list(roles.categoricals))
     t["skew"] = stats.skew_check(df, list(roles.numerics) + targets)
     t["correlation"] = stats.correlation(df, list(roles.numerics))
     p = pca.pca(df, fs.specs)
     t["pca_variance"], t["pca_loadings"], t["pca_top"] = p.variance, p.loadings, p.top()
+    t["pca_summary"] = p.summary()
 
     fit = linear.regression(df, fs.specs, targets, use_wls=opts.use_wls, alpha=opts.alpha,
                             targets_complete=opts.dropna_required)
@@ -105,14 +106,13 @@ def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | No
 
     if opts.run_interactions:
         it = interact.interactions(df, list(roles.categoricals), list(roles.numerics), targets,
-                                   max_depth=opts.interaction_max_depth,
-                                   max_columns=opts.interaction_max_columns, alpha=opts.alpha)
+                                   max_depth=opts.interaction_max_depth, alpha=opts.alpha)
         t["interactions"], t["interaction_status"] = it.coefficients, it.status
 
     if opts.run_forest:
         keep = list(opts.key)
         wide = fs.transform(df, keep=keep + targets)
-        imps, pd1s, pd2s, mets, cvs, perms = [], [], [], [], [], []
+        imps, phis, pd1s, pd2s, mets, cvs, perms = [], [], [], [], [], [], []
         for tgt in targets:
             sub = wide.where(F.col(tgt).isNotNull())
             vec = forest.assemble(sub, fs.names, keep=keep + [tgt])
@@ -127,6 +127,8 @@ def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | No
                 if opts.run_shap:
                     imp = explain.shap_importance(sub, fs.names, lt).withColumn("target", F.lit(tgt))
                     imps.append(imp)
+                    if keep:
+                        phis.append(explain.shap_values(sub, fs.names, lt, keep).withColumn("target", F.lit(tgt)))
                 if opts.run_pdp:
                     grid = explain.pdp_grid(sub, fs.names)
                     pairs = None
@@ -146,7 +148,7 @@ def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | No
                 perm = explain.permutation_importance(sub, fs.names, tgt, keep,
                                                       lambda d, m=model: m.transform(va.transform(d)))
                 perms.append(explain.permutation_summary(perm, t["features"]).withColumn("target", F.lit(tgt)))
-        for name, parts in (("forest_metrics", mets), ("forest_cv", cvs), ("shap_importance", imps),
+        for name, parts in (("forest_metrics", mets), ("forest_cv", cvs), ("shap_importance", imps), ("shap_values", phis),
                             ("pdp_1d", pd1s), ("pdp_2d", pd2s), ("permutation", perms)):
             if parts:
                 out = parts[0]
@@ -203,7 +205,8 @@ def summarize(spark: SparkSession, run: Run, alpha: float = 0.05) -> dict:
     cv = stats.score_summary(t["forest_cv"]) if "forest_cv" in t else None
     out["summary_facts"] = rollup.summary_facts(
         t["coefficients"], t["fit"], t.get("shap_importance"), t["skew"], alpha,
-        reference_levels=run.features.reference_levels, metrics=t.get("forest_metrics"), cv=cv)
+        reference_levels=run.features.reference_levels, metrics=t.get("forest_metrics"), cv=cv,
+        terms=t.get("interactions"))
     return out
 
 
@@ -215,3 +218,9 @@ def write_run(tables: dict, base: str, run_id: str | None = None) -> str:
         part = ["target"] if "target" in df.columns else []
         results.write_result(df, base, name, run_id, part)
     return run_id
+
+
+def write_models(spark: SparkSession, models: dict, base: str, run_id: str) -> dict:
+    """Every target's forest under ``base/models``; returns target -> path."""
+    return {t: forest.save_model(spark, m, f"{base.rstrip('/')}/models/run_id={run_id}/target={t}")
+            for t, m in models.items()}

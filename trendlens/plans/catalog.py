@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendlens.functions.labels import clean_term, display_name
+from trendlens.functions.labels import display_name
 from trendlens.operators import clean, encode, explain, forest, interact, linear, pca, rollup, stats
 from trendlens.operators.index import kfold, stable_index
 from trendlens.plans import frames as fr
@@ -206,6 +206,14 @@ def q_zscore(spark, sf):
 
 
 def q_feature_matrix_long(spark, sf):
+    df = _l_lumped(spark, sf)
+    fs = encode.fit_features(df, ["l_returnflag", "l_linestatus"], ["l_quantity"])
+    out = encode.feature_long(df, fs, ["l_orderkey", "l_linenumber"], nonzero_only=True)
+    return out.select("l_orderkey", "l_linenumber", "feature", _r("value", D8))
+
+
+def q_feature_cells(spark, sf):
+    """Every cell of the feature matrix, zeros included."""
     df = _l_lumped(spark, sf)
     fs = encode.fit_features(df, ["l_returnflag", "l_linestatus"], ["l_quantity"])
     out = encode.feature_long(df, fs, ["l_orderkey", "l_linenumber"])
@@ -561,7 +569,7 @@ def q_topk_abs_coef(spark, sf):
 
 def q_term_labels(spark, sf):
     c = _d2_fit(spark, sf).coefficients.where(F.col("depth") == 2)
-    return c.select("term", clean_term(F.col("term")).alias("label"),
+    return c.select("term", "label",
                     display_name(F.col("term")).alias("display"))
 
 
@@ -655,6 +663,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_parameters": q_feature_parameters,
     "zscore": q_zscore,
     "feature_matrix_long": q_feature_matrix_long,
+    "feature_cells": q_feature_cells,
     "skew_check": q_skew_check,
     "corr_matrix": q_corr_matrix,
     "yeo_johnson_fixed": q_yeo_johnson_fixed,

@@ -245,6 +245,13 @@ UNION ALL SELECT l_orderkey, l_linenumber, 'cat__l_linestatus_O', CAST(1.0 AS DO
 UNION ALL SELECT l_orderkey, l_linenumber, 'num__l_quantity', round((l_quantity - m) / s, 8)
           FROM L, st WHERE (l_quantity - m) / s <> 0""",
 
+    "feature_cells": "WITH " + L_CTE + """,
+st AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM L)
+SELECT l_orderkey, l_linenumber, 'cat__l_returnflag_N' AS feature, CAST(l_returnflag = 'N' AS DOUBLE) AS value FROM L
+UNION ALL SELECT l_orderkey, l_linenumber, 'cat__l_returnflag_R', CAST(l_returnflag = 'R' AS DOUBLE) FROM L
+UNION ALL SELECT l_orderkey, l_linenumber, 'cat__l_linestatus_O', CAST(l_linestatus = 'O' AS DOUBLE) FROM L
+UNION ALL SELECT l_orderkey, l_linenumber, 'num__l_quantity', round((l_quantity - m) / s, 8) FROM L, st""",
+
     "skew_check": _skew_sql(),
 
     "corr_matrix": _corr_sql(),
@@ -407,15 +414,11 @@ SELECT 'net' AS target, term, round(coef, 4) AS coef,
        CASE WHEN coef < 0 THEN 'negative' ELSE 'positive' END AS direction, CAST(rk AS INTEGER) AS rank
 FROM tk WHERE rk <= 20""",
 
-    "term_labels": "WITH " + _d2_cte() + r""",
-t1 AS (SELECT term, regexp_replace(term, 'Q\("([^"]+)"\)', '\1', 'g') AS x FROM co),
-t2 AS (SELECT term, regexp_replace(x, 'C\("?([^")]+)"?\)', '\1', 'g') AS x FROM t1),
-t3 AS (SELECT term, regexp_replace(x, '\[T\.(.*?)\]', ' = \1', 'g') AS x FROM t2),
-t4 AS (SELECT term, replace(regexp_replace(x, '\[(.*?)\]', ' = \1', 'g'), ':', ' × ') AS x FROM t3)
-SELECT term, CASE WHEN strpos(term, 'Intercept') > 0 THEN 'Intercept' ELSE x END AS label,
+    "term_labels": "WITH " + _d2_cte() + """
+SELECT term, label,
        array_to_string(list_transform(string_split(replace(replace(term, ':', ' × '), '_', ' '), ' '),
                                       lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS display
-FROM t4""",
+FROM co""",
 
     "pdp_effect_rank": """
 WITH d AS (SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_type = 'LARGE' AS DOUBLE) AS x2, p_retailprice AS y FROM part),

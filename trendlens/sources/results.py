@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 def new_run_id() -> str:
-    return _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
+    return _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
 
 
 def preview(df: DataFrame, key: Sequence[str], n: int = 5) -> DataFrame:
@@ -35,8 +35,14 @@ def write_result(df: DataFrame, base: str, name: str, run_id: str,
 
 
 def latest_run(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """Rows of the newest run only.  The max(run_id) is a tiny
-    aggregate over partition values; the filter then prunes partitions."""
-    t = spark.read.parquet(f"{base.rstrip('/')}/{name}")
-    newest = t.agg(F.max("run_id").alias("m")).first()["m"]
-    return t.where(F.col("run_id") == F.lit(newest))
+    """Rows of the newest run only.  The newest is found by listing the
+    run folders; no other run's files are listed or read."""
+    root = f"{base.rstrip('/')}/{name}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    runs = [p for p in (s.getPath().getName() for s in listed) if p.startswith("run_id=")]
+    if not runs:
+        raise ValueError(f"no run of {name!r} under {base}")
+    newest = max(runs)
+    return (spark.read.option("basePath", root).parquet(f"{root}/{newest}")
+            .withColumn("run_id", F.lit(newest.split("=", 1)[1])))

@@ -30,6 +30,7 @@ from trendlens.functions.linalg import gauss_legendre_01
 from trendlens.operators.forest import LeafTable, broadcast_leaves
 from trendlens.operators.gram import spread
 from trendlens.operators.index import stable_index
+from trendlens.operators.stats import exact_quantiles
 
 GRID_RESOLUTION = 100
 PERCENTILES = (0.05, 0.95)
@@ -236,40 +237,35 @@ def pdp_grid(df: DataFrame, names: Sequence[str], resolution: int = GRID_RESOLUT
              percentiles: tuple = PERCENTILES) -> DataFrame:
     """G6 grid: sorted distinct values when a feature has fewer than
     ``resolution`` of them, else ``resolution`` evenly spaced points between
-    the percentiles.  Output ``feature_idx, feature, values``.
+    the (exact, interpolated) percentiles; null and NaN are no values.
+    Output ``feature_idx, feature, values``: at most ``resolution`` a feature.
 
     One HyperLogLog pass screens the features: a continuous feature (estimate
-    far above ``resolution``) goes straight to ``percentile_approx`` and never
-    has its distinct values shuffled; only features that may be small get an
-    exact distinct count, which is then bounded by the screen.
+    far above ``resolution``) never has its distinct values shuffled; only
+    features that may be small get an exact distinct count, which is then
+    bounded by the screen.
     """
     names = list(names)
     if resolution >= APPROX_SCREEN:
         raise ValueError("resolution must stay below the approximate-distinct screen")
     est = df.agg(*[F.approx_count_distinct(F.col(n)).alias(f"_a{i}") for i, n in enumerate(names)]).first()
-    maybe_small = [i for i in range(len(names)) if est[f"_a{i}"] <= APPROX_SCREEN]
     items = [F.struct(F.lit(i).alias("feature_idx"), F.col(n).cast("double").alias("value"))
-             for i, n in enumerate(names)]
-    long = df.select(F.explode(F.array(*items)).alias("s")).select("s.*")
-    fmap = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
-    spark = df.sparkSession
-    screened = spark.createDataFrame([(i,) for i in maybe_small] or [(-1,)], "feature_idx int")
-    small_long = long.join(F.broadcast(screened), "feature_idx", "left_semi")
-    distinct = small_long.groupBy("feature_idx", "value").agg(F.count(F.lit(1)).alias("_c"))
-    per = distinct.groupBy("feature_idx").agg(F.count(F.lit(1)).alias("n_distinct"),
-                                              F.array_sort(F.collect_list("value")).alias("values"))
-    small_vals = per.where(F.col("n_distinct") < resolution).select("feature_idx", "values")
-    exact_big = per.where(F.col("n_distinct") >= resolution).select("feature_idx")
-    big_ids = [i for i in range(len(names)) if i not in maybe_small]
-    big = spark.createDataFrame([(i,) for i in big_ids] or [(-1,)], "feature_idx int").unionByName(exact_big)
-    pct = (long.join(F.broadcast(big), "feature_idx", "left_semi")
-               .groupBy("feature_idx")
-               .agg(F.percentile_approx("value", F.array(*[F.lit(p) for p in percentiles]), 100000).alias("q")))
-    steps = F.sequence(F.lit(0), F.lit(resolution - 1))
-    lin = pct.select("feature_idx", F.transform(
-        steps, lambda k: F.col("q")[0] + (F.col("q")[1] - F.col("q")[0]) * k / F.lit(resolution - 1)).alias("values"))
-    return (small_vals.unionByName(lin)
-            .select("feature_idx", fmap[F.col("feature_idx")].alias("feature"), "values"))
+             for i, n in enumerate(names) if est[f"_a{i}"] <= APPROX_SCREEN]
+    values = {}
+    if items:
+        long = df.select(F.explode(F.array(*items)).alias("s")).select("s.*").where(
+            F.col("value").isNotNull() & ~F.isnan("value"))
+        per = long.distinct().groupBy("feature_idx").agg(F.array_sort(F.collect_list("value")).alias("values"))
+        values = {r["feature_idx"]: r["values"] for r in per.where(F.size("values") < resolution).collect()}
+    wide = [i for i in range(len(names)) if i not in values]
+    if wide:
+        ends = exact_quantiles(df, [names[i] for i in wide], percentiles)
+        for i in wide:
+            lo, hi = ends[names[i]]
+            if lo is not None:
+                values[i] = [lo + (hi - lo) * k / (resolution - 1) for k in range(resolution)]
+    return df.sparkSession.createDataFrame([(i, names[i], values[i]) for i in sorted(values)],
+                                           "feature_idx int, feature string, values array<double>")
 
 
 def _pd_weights(lt: LeafTable, keep: set) -> np.ndarray:

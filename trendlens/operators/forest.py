@@ -66,15 +66,17 @@ def broadcast_leaves(spark: SparkSession, lt: LeafTable, limit: int = MAX_BROADC
 
 def fit_forest(df: DataFrame, label: str, features_col: str = "features", *, trees: int = TREES,
                max_depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = 32,
-               feature_subset: str = "all", min_instances: int = 1):
+               feature_subset: str = "all", min_instances: int = 1, bootstrap: bool = True):
     """E5: bootstrap forest, every feature considered at each split (the
     reference's regression forest default).  ``max_depth`` is bounded (Spark
-    allows <= 30); depth also bounds the leaf table and SHAP cost."""
+    allows <= 30); depth also bounds the leaf table and SHAP cost.  A column
+    offers at most ``max_bins`` - 1 cuts (all midpoints when it has no more
+    distinct values); ``bootstrap=False`` trains every tree on all rows."""
     from pyspark.ml.regression import RandomForestRegressor
 
     rf = RandomForestRegressor(featuresCol=features_col, labelCol=label, numTrees=trees,
                                maxDepth=max_depth, seed=seed, maxBins=max_bins,
-                               featureSubsetStrategy=feature_subset, bootstrap=True,
+                               featureSubsetStrategy=feature_subset, bootstrap=bootstrap,
                                subsamplingRate=1.0, minInstancesPerNode=min_instances,
                                # more nodes per pass over the data; node-id cache is
                                # checkpointed to the shared folder, cutting lineage

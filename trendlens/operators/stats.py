@@ -7,10 +7,12 @@ results stacked to long form by ``explode`` over a tiny one-row result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 SKEW_THRESHOLD = 1.0
 
@@ -61,6 +63,56 @@ def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
               .otherwise(F.col("r")))
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bins: int = 1024) -> dict:
+    """Percentiles of every column, interpolated linearly between exact order
+    statistics: ``{col: [value per prob]}`` (``None`` without finite values;
+    null, NaN and infinite values are ignored).
+
+    Order statistics are found by counting, not by sorting.  A pass counts
+    ``bins`` bins between the bounds known to hold each wanted rank and
+    narrows the bounds to the least and greatest value of the bin that has it,
+    until both are one value.  A pass is one scan with map-side counts; one
+    row a wanted rank comes back.
+    """
+    x = [F.when(F.abs(_clean(c)) < float("inf"), _clean(c)) for c in cols]
+    head = df.agg(*[e for i, c in enumerate(x) for e in (
+        F.count(c).alias(f"_n{i}"), F.min(c).alias(f"_a{i}"), F.max(c).alias(f"_b{i}"))]).first()
+    need = {(i, p): (head[f"_n{i}"] - 1) * p for i in range(len(x)) if head[f"_n{i}"] for p in probs}
+    known, bounds = {}, {}  # (column, rank) -> value; (column, rank) -> (least, greatest, rows before)
+    for (i, _), at in need.items():
+        for rank in (math.floor(at), math.ceil(at)):
+            bounds[i, rank] = (head[f"_a{i}"], head[f"_b{i}"], 0)
+    while True:
+        known |= {k: lo for k, (lo, hi, _) in bounds.items() if lo == hi}
+        bounds = {k: b for k, b in bounds.items() if k not in known}
+        if not bounds:
+            break
+        ids = list(bounds)
+        items = []
+        for t, (i, rank) in enumerate(ids):
+            lo, hi, _ = bounds[i, rank]
+            # halves: the width of the range must not overflow
+            part = (x[i] / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * bins
+            items.append(F.when(x[i].between(lo, hi), F.struct(
+                F.lit(t).alias("t"), F.least(F.floor(part).cast("int"), F.lit(bins - 1)).alias("bin"), x[i].alias("x"))))
+        counts = (df.select(F.explode(F.array_compact(F.array(*items))).alias("s")).groupBy("s.t", "s.bin")
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi")))
+        sums = F.sum("n").over(W.partitionBy("t").orderBy("bin"))
+        wanted = F.element_at(F.array(*[F.lit(k[1] - bounds[k][2]).cast("long") for k in ids]), F.col("t") + 1)
+        rows = (counts.withColumn("upto", sums)
+                .where((F.col("upto") > wanted) & (F.col("upto") - F.col("n") <= wanted)).collect())
+        bounds = {ids[r["t"]]: (r["lo"], r["hi"], bounds[ids[r["t"]]][2] + r["upto"] - r["n"]) for r in rows}
+
+    def value(i, p):
+        if (i, p) not in need:
+            return None
+        at = need[i, p]
+        lo, hi = known[i, math.floor(at)], known[i, math.ceil(at)]
+        return lo + (hi - lo) * (at - math.floor(at))
+
+    return {c: [value(i, p) for p in probs] for i, c in enumerate(cols)}
+
+
 def metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
     """R^2, MAE, RMSE (grouped by ``by``) in one aggregate."""
     e = F.col(y).cast("double") - F.col(yhat).cast("double")
@@ -109,13 +161,11 @@ def yj_numpy(x, lam):
     return np.where(pos, a, b)
 
 
-def _yj_pass(df: DataFrame, cols: Sequence[str], grids: dict) -> dict:
+def _yj_pass(df: DataFrame, cols: Sequence[str], grids: dict, centre: dict) -> dict:
     """One scan: for every column and every grid lambda, the sums of the
-    transform and of its square (Arrow batches, numpy), merged across tasks
-    with the moment-merge aggregate.  Returns the best (llf, lambda, mean,
+    transform and of its square, both less the transform of ``centre`` (Arrow
+    batches, numpy), merged across tasks with the moment-merge aggregate.  Returns the best (llf, lambda, mean,
     std) per column."""
-    import math
-
     import numpy as np
     import pandas as pd
 
@@ -124,6 +174,7 @@ def _yj_pass(df: DataFrame, cols: Sequence[str], grids: dict) -> dict:
     cols = list(cols)
     src = spread(df.select(*[_clean(c).alias(f"_y{i}") for i, c in enumerate(cols)]))
     lam_of = {c: np.asarray(grids[c], dtype=float) for c in cols}
+    shift = {c: yj_numpy(np.array([[centre[c] or 0.0]]), lam_of[c][None, :]) for c in cols}
     schema = "_block string, _g array<double>"
 
     def partial(it):
@@ -134,9 +185,10 @@ def _yj_pass(df: DataFrame, cols: Sequence[str], grids: dict) -> dict:
                 x = x[~np.isnan(x)]
                 if x.size == 0:
                     continue
-                psi = yj_numpy(x[:, None], lam_of[c][None, :])
-                vec = np.concatenate([psi.sum(axis=0), (psi * psi).sum(axis=0),
-                                      [float(x.size), float((np.sign(x) * np.log1p(np.abs(x))).sum())]])
+                with np.errstate(over="ignore", invalid="ignore"):  # such a lambda is passed over
+                    psi = yj_numpy(x[:, None], lam_of[c][None, :]) - shift[c]
+                    vec = np.concatenate([psi.sum(axis=0), (psi * psi).sum(axis=0),
+                                          [float(x.size), float((np.sign(x) * np.log1p(np.abs(x))).sum())]])
                 acc[c] = acc[c] + vec if c in acc else vec
         if acc:
             yield pd.DataFrame({"_block": list(acc), "_g": [v.tolist() for v in acc.values()]})
@@ -151,13 +203,13 @@ def _yj_pass(df: DataFrame, cols: Sequence[str], grids: dict) -> dict:
         if g is not None:
             G = len(lams)
             sa, sb, n, sl = g[:G], g[G:2 * G], g[2 * G], g[2 * G + 1]
-            for lam, a, b in zip(lams, sa, sb):
+            for lam, a, b, s in zip(lams, sa, sb, shift[c][0]):
                 var = b / n - (a / n) ** 2
                 if not (var > 0) or math.isinf(var) or math.isnan(var):
                     continue
                 llf = -n / 2.0 * math.log(var) + (lam - 1.0) * sl
                 if math.isnan(cand[0]) or llf > cand[0]:
-                    cand = (llf, float(lam), a / n, math.sqrt(var))
+                    cand = (llf, float(lam), a / n + float(s), math.sqrt(var))
         best[c] = cand
     return best
 
@@ -168,18 +220,25 @@ def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], lo: float = -3.0, hi: fl
 
     Each pass is ONE scan evaluating every grid lambda of every column
     (sums of the transform and its square give the profile likelihood);
-    three passes of 401 points reach a lambda resolution of ~5e-7.
+    three passes of 401 points reach a lambda resolution of ~5e-7.  Where the
+    likelihood still grows when the transform leaves the range of doubles, the
+    last lambda inside it is returned.
     Returns ``{col: (lambda, mean, std)}`` of the transformed column.
     """
     grids = {c: [lo + (hi - lo) * k / (points - 1) for k in range(points)] for c in cols}
     step = (hi - lo) / (points - 1)
-    # an optimum on the edge of the window moves the window outward (bounded)
-    for _ in range(3):
-        best = _yj_pass(df, cols, grids)
+    means = df.agg(*[F.avg(_clean(c)).alias(f"_m{i}") for i, c in enumerate(cols)]).first()
+    centre = {c: means[f"_m{i}"] for i, c in enumerate(cols)}
+    # an optimum on the edge of the window moves the window outward, as long as the likelihood grows
+    likelihood = {c: -math.inf for c in cols}
+    while True:
+        best = _yj_pass(df, cols, grids, centre)
         moved = False
         for c in cols:
             lam, g = best[c][1], grids[c]
-            if lam <= g[0] + 1e-12 or lam >= g[-1] - 1e-12:
+            grew = best[c][0] > likelihood[c]
+            likelihood[c] = best[c][0]
+            if grew and (lam <= g[0] + 1e-12 or lam >= g[-1] - 1e-12):
                 width = g[-1] - g[0]
                 start = g[0] - width + step if lam <= g[0] + 1e-12 else g[-1] - step
                 grids[c] = [start + width * k / (points - 1) for k in range(points)]
@@ -188,7 +247,7 @@ def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], lo: float = -3.0, hi: fl
             break
     best = {}
     for _ in range(passes):
-        best = _yj_pass(df, cols, grids)
+        best = _yj_pass(df, cols, grids, centre)
         grids = {}
         for c in cols:
             lam = best[c][1]

@@ -40,6 +40,8 @@ class Options:
     run_permutation: bool = True
     trees: int = forest.TREES
     max_depth: int = forest.MAX_DEPTH
+    max_bins: int = 32
+    bootstrap: bool = True
     cv_folds: int = 5
     interaction_max_depth: int | None = None
     pdp_pairs: bool = True
@@ -116,7 +118,8 @@ def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | No
         for tgt in targets:
             sub = wide.where(F.col(tgt).isNotNull())
             vec = forest.assemble(sub, fs.names, keep=keep + [tgt])
-            model = forest.fit_forest(vec, tgt, trees=opts.trees, max_depth=opts.max_depth)
+            model = forest.fit_forest(vec, tgt, trees=opts.trees, max_depth=opts.max_depth,
+                                      max_bins=opts.max_bins, bootstrap=opts.bootstrap)
             run.models[tgt] = model
             mets.append(stats.metrics(model.transform(vec), tgt, "prediction").withColumn("target", F.lit(tgt)))
             if keep:
@@ -164,7 +167,8 @@ def forest_cv(vec: DataFrame, label: str, key, opts: Options) -> DataFrame:
     folded = kfold(vec, list(key), k=opts.cv_folds).persist(StorageLevel.MEMORY_AND_DISK)
     outs = []
     for k in range(opts.cv_folds):
-        m = forest.fit_forest(folded.where(F.col("fold") != k), label, trees=opts.trees, max_depth=opts.max_depth)
+        m = forest.fit_forest(folded.where(F.col("fold") != k), label, trees=opts.trees, max_depth=opts.max_depth,
+                              max_bins=opts.max_bins, bootstrap=opts.bootstrap)
         outs.append(stats.metrics(m.transform(folded.where(F.col("fold") == k)), label, "prediction")
                     .select(F.lit(k).alias("fold"), "r2"))
     out = outs[0]

@@ -172,6 +172,12 @@ def q_level_profile(spark, sf):
     return clean.level_profile(fr.frame_p(spark, sf), ["p_brand", "p_type", "p_size"], warn_at=20)
 
 
+def q_lump_nulls(spark, sf):
+    """A missing category is the level ``nan``; it takes part in lumping."""
+    p = fr.frame_p(spark, sf).withColumn("p_brand", F.when(F.col("p_size") % 3 != 0, F.col("p_brand")))
+    return clean.lump_levels(p, ["p_brand"], top_n=10).select("p_partkey", "p_brand")
+
+
 # ----------------------------------------------------------------- features
 
 def _l_lumped(spark, sf, with_levels: bool = False):
@@ -245,6 +251,12 @@ def q_yeo_johnson_fitted(spark, sf):
     return sk.select(F.lit("value").alias("column"), F.lit(lam).alias("lambda"), "skew_after")
 
 
+def q_yeo_johnson_lambda(spark, sf):
+    """The maximum-likelihood lambda of a skewed column, to three places."""
+    lam = stats.fit_yeo_johnson(fr.frame_v(spark, sf), ["value"])["value"][0]
+    return spark.createDataFrame([("value", round(lam, 3))], "column string, lambda double")
+
+
 # ------------------------------------------------------------ linear models
 
 def _coef_out(fit: linear.LinearFit, by=()):
@@ -282,6 +294,18 @@ def q_ols_by_group(spark, sf):
                      by=["p_type"])
 
 
+def q_ols_inference(spark, sf):
+    """P value and confidence limits of the slope in every group."""
+    c = linear.regression(fr.frame_p(spark, sf), ["p_size"], ["p_retailprice"], by=["p_type"]).coefficients
+    return c.where("term = 'p_size'").select("p_type", _r("p", D6), _r("ci_lo", D4), _r("ci_hi", D4))
+
+
+def q_significance_bands(spark, sf):
+    """Significant, marginal and other slopes, one group a brand."""
+    c = linear.regression(fr.frame_p(spark, sf), ["p_size"], ["p_retailprice"], by=["p_brand"]).coefficients
+    return c.where("term = 'p_size'").select("p_brand", _r("p", D6), rollup.significance_band().alias("band"))
+
+
 def _l_features(spark, sf):
     """Cleaned, lumped L frame and its fitted features (re-read per pass:
     cheaper than caching at these sizes; ``analysis.analyze`` persists).
@@ -406,6 +430,28 @@ def q_pca_summary(spark, sf):
     return pca.pca(df, fs.specs).summary()
 
 
+def _pca_two(spark, sf):
+    L = fr.frame_l(spark, sf)
+    return pca.pca(L, [("quantity", F.col("l_quantity")), ("price", F.col("l_extendedprice") / 1000)])
+
+
+def q_pca_loadings(spark, sf):
+    """Loadings of two unscaled columns, the largest of each positive."""
+    return _pca_two(spark, sf).loadings.select("pc", "feature", _r("loading", D6))
+
+
+def q_pca_top_two(spark, sf):
+    """Contributors in order of |loading| up to the 95 % component."""
+    return _pca_two(spark, sf).top(k=5).select("pc", "rank", "feature", _r("loading", D6), _r("ratio", D8))
+
+
+def q_pdp_grid_percentiles(spark, sf):
+    """G6 grid: distinct values, or 100 points between exact percentiles."""
+    g = explain.pdp_grid(fr.frame_l(spark, sf), ["l_extendedprice", "l_quantity"])
+    return g.select("feature", F.posexplode("values").alias("point", "value")).select(
+        "feature", "point", _r("value", D6))
+
+
 # ------------------------------------------------------------ linear twins
 
 def _p_simple(spark, sf):
@@ -546,6 +592,96 @@ def q_perm_by_parameter(spark, sf):
     return rollup.restrict(s.groupBy("parameter").agg(F.sum("importance_mean").alias("importance")), params)
 
 
+# ----------------------------------- one tree of one split: closed forms
+
+def _stump_input(spark, sf):
+    p = fr.frame_p(spark, sf).select("p_partkey", F.col("p_size").cast("double").alias("p_size"),
+                                     (F.col("p_type") == "LARGE").cast("double").alias("is_large"), "p_retailprice")
+    names = ["p_size", "is_large"]
+    return p, names, forest.assemble(p, names, keep=["p_partkey", "p_retailprice"])
+
+
+_STUMP = {"trees": 1, "max_depth": 1, "max_bins": 256, "bootstrap": False}
+
+
+def _stump(spark, sf):
+    """A forest of one tree with one split, every midpoint a candidate."""
+    p, names, vec = _stump_input(spark, sf)
+    model = forest.fit_forest(vec, "p_retailprice", **_STUMP)
+    return p, names, vec, model, forest.leaf_table(spark, model, len(names))
+
+
+def _rz(c, d):
+    return (F.round(F.col(c), d) + F.lit(0.0)).alias(c)  # no negative zero
+
+
+def q_stump_leaves(spark, sf):
+    """E5: split feature, interval, cover and value of both leaves."""
+    p, names, vec, model, lt = _stump(spark, sf)
+    rows = [(names[int(f)], None if lo == float("-inf") else float(lo), None if hi == float("inf") else float(hi),
+             float(z), float(v)) for f, lo, hi, z, v in zip(lt.feat[:, 0], lt.lo[:, 0], lt.hi[:, 0], lt.z[:, 0], lt.value)]
+    out = spark.createDataFrame(rows, "feature string, above double, upto double, cover double, value double")
+    return out.select("feature", "above", "upto", _r("cover", D8), _r("value", D6))
+
+
+def q_stump_metrics(spark, sf):
+    """In-sample scores of the fitted tree."""
+    p, names, vec, model, lt = _stump(spark, sf)
+    return stats.metrics(model.transform(vec), "p_retailprice", "prediction").select(
+        "n", _r("r2", D8), _r("mae", D6), _r("rmse", D6))
+
+
+def q_stump_cv_r2(spark, sf):
+    """Five contiguous folds, a tree for each trained on the others."""
+    from trendlens.plans.analysis import Options, forest_cv
+
+    p, names, vec = _stump_input(spark, sf)
+    return forest_cv(vec, "p_retailprice", ["p_partkey"], Options(**_STUMP)).select("fold", _r("r2", D8))
+
+
+def q_stump_shap_values(spark, sf):
+    """G1: the split feature's SHAP value is prediction - base, the other's is 0."""
+    p, names, vec, model, lt = _stump(spark, sf)
+    return explain.shap_values(p, names, lt, keep=["p_partkey"]).select(
+        "p_partkey", "feature", _rz("phi", D6), _r("base", D6))
+
+
+def q_stump_shap_importance(spark, sf):
+    """The top 20 features by mean |SHAP|."""
+    p, names, vec, model, lt = _stump(spark, sf)
+    top = rollup.top_k(explain.shap_importance(p, names, lt), 20, F.col("mean_abs_shap").desc())
+    return top.select("rank", "feature", _rz("mean_abs_shap", D6), _rz("mean_shap", D6), "n")
+
+
+def q_stump_signed_shap(spark, sf):
+    """Features ranked by the signed mean over the large parts only."""
+    p, names, vec, model, lt = _stump(spark, sf)
+    imp = explain.shap_importance(p.where("is_large = 1"), names, lt)
+    signed = imp.withColumn("mean_shap", _rz("mean_shap", D6))
+    return rollup.top_k(signed, 5, F.col("mean_shap").desc()).select("rank", "feature", "mean_shap")
+
+
+def q_stump_shap_by_parameter(spark, sf):
+    """Importance summed per input column by lineage."""
+    p, names, vec, model, lt = _stump(spark, sf)
+    imp = explain.shap_importance(p, names, lt).withColumn("target", F.lit("p_retailprice"))
+    feats = spark.createDataFrame([("p_size", "p_size"), ("is_large", "p_type")], "feature string, parameter string")
+    out = rollup.shap_by_parameter(imp, feats, rollup.params_table(spark, ["p_size", "p_type"]))
+    return out.select("target", "parameter", _rz("importance", D6))
+
+
+def q_stump_pdp_1d(spark, sf):
+    """A step in the split feature, the mean in the other."""
+    p, names, vec, model, lt = _stump(spark, sf)
+    return explain.tree_pdp_1d(explain.pdp_grid(p, names), lt).select("feature", "value", _r("pd", D6))
+
+
+def q_stump_pdp_2d(spark, sf):
+    """The step again, over both features' grids."""
+    p, names, vec, model, lt = _stump(spark, sf)
+    return explain.tree_pdp_2d(explain.pdp_grid(p, names), lt).select("f1", "v1", "f2", "v2", _r("pd", D6))
+
+
 # ------------------------------------------------------------------ roll-ups
 
 def q_param_rollup(spark, sf):
@@ -713,4 +849,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pdp_top_series": q_pdp_top_series,
     "method_rank": q_method_rank,
     "summary_facts": q_summary_facts,
+    "lump_nulls": q_lump_nulls,
+    "yeo_johnson_lambda": q_yeo_johnson_lambda,
+    "ols_inference": q_ols_inference,
+    "significance_bands": q_significance_bands,
+    "pca_loadings": q_pca_loadings,
+    "pca_top_two": q_pca_top_two,
+    "pdp_grid_percentiles": q_pdp_grid_percentiles,
+    "stump_leaves": q_stump_leaves,
+    "stump_metrics": q_stump_metrics,
+    "stump_cv_r2": q_stump_cv_r2,
+    "stump_shap_values": q_stump_shap_values,
+    "stump_shap_importance": q_stump_shap_importance,
+    "stump_signed_shap": q_stump_signed_shap,
+    "stump_shap_by_parameter": q_stump_shap_by_parameter,
+    "stump_pdp_1d": q_stump_pdp_1d,
+    "stump_pdp_2d": q_stump_pdp_2d,
 }

@@ -18,7 +18,7 @@ PRESENT = " AND ".join([f"{c} IS NOT NULL" for c in _STR]
                        + [f"({c} IS NOT NULL AND NOT isnan({c}))" for c in _DBL])
 
 # large-df Student t critical value for alpha = 0.05 (Cornish-Fisher, 2 terms)
-Z975 = "1.959963984540054"
+Z975 = "1.959963984540054e0"
 
 
 def _tcrit(df: str) -> str:
@@ -112,7 +112,162 @@ def _skew_sql() -> str:
             + "\nUNION ALL ".join(parts))
 
 
+def _slope_p_cte(by: str) -> str:
+    """Two-sided p of each group's slope: Simpson's rule over the density of
+    Student's t between 0 and |t| (2000 panels)."""
+    return f"""s AS (SELECT {by}, regr_slope(p_retailprice, p_size) AS b, regr_sxx(p_retailprice, p_size) AS sxx,
+             regr_syy(p_retailprice, p_size) AS syy, regr_sxy(p_retailprice, p_size) AS sxy,
+             CAST(count(*) - 2 AS DOUBLE) AS dfr FROM part GROUP BY {by}),
+e AS (SELECT *, sqrt((syy - b * sxy) / dfr / sxx) AS se FROM s),
+a AS (SELECT *, abs(b / se) AS t, exp(lgamma((dfr + 1) / 2) - lgamma(dfr / 2)) / sqrt(dfr * pi()) AS c FROM e),
+w AS (SELECT i, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS wt FROM range(2001) r(i)),
+pv AS (SELECT {by}, any_value(b) AS b, any_value(se) AS se, any_value(dfr) AS dfr,
+              1 - 2 * any_value(t) / 2000 / 3 * sum(wt * c * power(1 + power(t * i / 2000, 2) / dfr, -(dfr + 1) / 2)) AS p
+       FROM a, w GROUP BY {by})"""
+
+
+def _tcrit4(df: str) -> str:
+    z = Z975
+    return (_tcrit(df)[:-1]
+            + f" + (3*power({z},7) + 19*power({z},5) + 17*power({z},3) - 15*{z}) / (384.0 * power({df}, 3))"
+            + f" + (79*power({z},9) + 776*power({z},7) + 1482*power({z},5) - 1920*power({z},3) - 945*{z})"
+            + f" / (92160.0 * power({df}, 4)))")
+
+
+# eigenvalues and signed unit eigenvectors of the covariance of two columns
+_PCA_TWO = """z AS (SELECT l_quantity AS a, l_extendedprice / 1000 AS b FROM L),
+cv AS (SELECT var_samp(a) AS s11, var_samp(b) AS s22, covar_samp(a, b) AS s12 FROM z),
+ev AS (SELECT *, (s11 + s22 + sqrt(power(s11 - s22, 2) + 4 * s12 * s12)) / 2 AS l1,
+              (s11 + s22 - sqrt(power(s11 - s22, 2) + 4 * s12 * s12)) / 2 AS l2 FROM cv),
+un AS (SELECT (l1 - s22) / sqrt(power(l1 - s22, 2) + s12 * s12) AS u, s12 / sqrt(power(l1 - s22, 2) + s12 * s12) AS v FROM ev),
+lo AS (SELECT 1 AS pc, 'quantity' AS feature, u * CASE WHEN abs(u) >= abs(v) THEN sign(u) ELSE sign(v) END AS loading FROM un
+       UNION ALL SELECT 1, 'price', v * CASE WHEN abs(u) >= abs(v) THEN sign(u) ELSE sign(v) END FROM un
+       UNION ALL SELECT 2, 'quantity', -v * CASE WHEN abs(v) > abs(u) THEN sign(-v) ELSE sign(u) END FROM un
+       UNION ALL SELECT 2, 'price', u * CASE WHEN abs(v) > abs(u) THEN sign(-v) ELSE sign(u) END FROM un)"""
+
+# the best single split of price over p_size and is_large, and its two means
+_STUMP_D = """d AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x1, CAST(p_type = 'LARGE' AS DOUBLE) AS x2,
+                  CAST(p_retailprice AS DOUBLE) AS y FROM part)"""
+_STUMP = _STUMP_D + """,
+lg AS (SELECT 'p_size' AS feature, x1 AS v, y - (SELECT avg(y) FROM d) AS e FROM d
+       UNION ALL SELECT 'is_large', x2, y - (SELECT avg(y) FROM d) FROM d),
+gr AS (SELECT feature, v, count(*) AS n, sum(e) AS s FROM lg GROUP BY feature, v),
+cu AS (SELECT feature, v, lead(v) OVER w AS nxt, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+              sum(n) OVER (PARTITION BY feature) AS nt, sum(s) OVER (PARTITION BY feature) AS st
+       FROM gr WINDOW w AS (PARTITION BY feature ORDER BY v)),
+sp AS (SELECT feature AS sf, (v + nxt) / 2 AS thr, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) AS gain
+       FROM cu WHERE nxt IS NOT NULL ORDER BY gain DESC LIMIT 1),
+sd AS (SELECT d.*, CASE WHEN sf = 'p_size' THEN x1 ELSE x2 END <= thr AS lft FROM d, sp),
+lv AS (SELECT avg(y) FILTER (WHERE lft) AS ml, avg(y) FILTER (WHERE NOT lft) AS mr,
+              avg(CAST(lft AS DOUBLE)) AS pl, avg(y) AS base FROM sd),
+ft AS (SELECT * FROM (VALUES ('p_size'), ('is_large')) t(feature)),
+ph AS (SELECT p_partkey, x2, feature, CASE WHEN feature <> sf THEN 0.0::DOUBLE WHEN lft THEN ml - base ELSE mr - base END AS phi
+       FROM sd, sp, lv, ft)"""
+
 ORACLES: dict[str, str] = {
+    "lump_nulls": """
+WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_brand ELSE 'nan' END AS b FROM part),
+k AS (SELECT b FROM (SELECT b, row_number() OVER (ORDER BY count(*) DESC, b ASC) AS rk FROM p GROUP BY b) WHERE rk <= 10)
+SELECT p_partkey, CASE WHEN b IN (SELECT b FROM k) THEN b ELSE 'Other' END AS p_brand FROM p""",
+
+    "yeo_johnson_lambda": """
+WITH e AS (SELECT value AS x FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+c AS (SELECT count(*) AS n, sum(sign(x) * ln(1 + abs(x))) AS sl FROM e),
+g AS (SELECT CAST(i AS DOUBLE) / 10 AS lam FROM range(-30, 51) r(i)),
+o AS (SELECT lam, CASE WHEN x >= 0 THEN CASE WHEN lam = 0 THEN ln(1 + x) ELSE (power(1 + x, lam) - 1) / lam END
+                       ELSE CASE WHEN lam = 2 THEN -ln(1 - x) ELSE -(power(1 - x, 2 - lam) - 1) / (2 - lam) END END AS psi
+      FROM e, g),
+b AS (SELECT lam FROM o, c GROUP BY lam, n, sl ORDER BY -n / 2.0 * ln(var_pop(psi)) + (lam - 1) * sl DESC LIMIT 1),
+g2 AS (SELECT round(lam + CAST(i AS DOUBLE) / 1000, 3) AS lam FROM b, range(-100, 101) r(i)),
+o2 AS (SELECT lam, CASE WHEN x >= 0 THEN CASE WHEN lam = 0 THEN ln(1 + x) ELSE (power(1 + x, lam) - 1) / lam END
+                        ELSE CASE WHEN lam = 2 THEN -ln(1 - x) ELSE -(power(1 - x, 2 - lam) - 1) / (2 - lam) END END AS psi
+       FROM e, g2)
+SELECT 'value' AS "column", lam AS "lambda" FROM (
+  SELECT lam FROM o2, c GROUP BY lam, n, sl ORDER BY -n / 2.0 * ln(var_pop(psi)) + (lam - 1) * sl DESC LIMIT 1)""",
+
+    "ols_inference": "WITH " + _slope_p_cte("p_type") + """
+SELECT p_type, round(p, 6) AS p, round(b - se * """ + _tcrit4("dfr") + """, 4) AS ci_lo,
+       round(b + se * """ + _tcrit4("dfr") + """, 4) AS ci_hi FROM pv""",
+
+    "significance_bands": "WITH " + _slope_p_cte("p_brand") + """
+SELECT p_brand, round(p, 6) AS p, CASE WHEN p < 0.05 THEN 'significant' WHEN p < 0.1 THEN 'marginal'
+                                       ELSE 'not significant' END AS band FROM pv""",
+
+    "pca_loadings": "WITH " + L_CTE + """,
+""" + _PCA_TWO + """
+SELECT pc, feature, round(loading, 6) AS loading FROM lo""",
+
+    "pca_top_two": "WITH " + L_CTE + """,
+""" + _PCA_TWO + """
+SELECT pc, CAST(row_number() OVER (PARTITION BY pc ORDER BY abs(loading) DESC, feature) AS INTEGER) AS rank, feature,
+       round(loading, 6) AS loading, round(CASE WHEN pc = 1 THEN l1 ELSE l2 END / (l1 + l2), 8) AS ratio
+FROM lo, ev WHERE pc = 1 OR l1 / (l1 + l2) < 0.95""",
+
+    "pdp_grid_percentiles": "WITH " + L_CTE + """,
+v AS (SELECT 'l_extendedprice' AS feature, l_extendedprice AS x FROM L UNION ALL SELECT 'l_quantity', l_quantity FROM L),
+n AS (SELECT feature, count(DISTINCT x) AS nd, quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi
+      FROM v GROUP BY feature),
+u AS (SELECT DISTINCT feature, x FROM v)
+SELECT feature, CAST(i AS INTEGER) AS point, round(lo + (hi - lo) * i / 99, 6) AS value FROM n, range(100) r(i) WHERE nd >= 100
+UNION ALL
+SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY x) - 1 AS INTEGER), round(x, 6)
+FROM u JOIN n USING (feature) WHERE nd < 100""",
+
+    "stump_leaves": "WITH " + _STUMP + """
+SELECT sf AS feature, CAST(NULL AS DOUBLE) AS above, thr AS upto, round(pl, 8) AS cover, round(ml, 6) AS value FROM sp, lv
+UNION ALL SELECT sf, thr, NULL, round(1 - pl, 8), round(mr, 6) FROM sp, lv""",
+
+    "stump_metrics": "WITH " + _STUMP + """,
+r AS (SELECT y, y - CASE WHEN lft THEN ml ELSE mr END AS e FROM sd, lv)
+SELECT count(*) AS n, round(1 - sum(e * e) / (var_pop(y) * count(*)), 8) AS r2, round(avg(abs(e)), 6) AS mae,
+       round(sqrt(sum(e * e) / count(*)), 6) AS rmse FROM r""",
+
+    "stump_cv_r2": "WITH " + _STUMP_D + """,
+f AS (SELECT *, CAST(ntile(5) OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS fold FROM d),
+tr AS (SELECT k, x1, x2, y, y - avg(y) OVER (PARTITION BY k) AS e FROM f, range(5) r(k) WHERE fold <> k),
+lg AS (SELECT k, 'p_size' AS feature, x1 AS v, e FROM tr UNION ALL SELECT k, 'is_large', x2, e FROM tr),
+gr AS (SELECT k, feature, v, count(*) AS n, sum(e) AS s FROM lg GROUP BY k, feature, v),
+cu AS (SELECT k, feature, v, lead(v) OVER w AS nxt, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+              sum(n) OVER (PARTITION BY k, feature) AS nt, sum(s) OVER (PARTITION BY k, feature) AS st
+       FROM gr WINDOW w AS (PARTITION BY k, feature ORDER BY v)),
+sp AS (SELECT k, feature AS sf, (v + nxt) / 2 AS thr,
+              row_number() OVER (PARTITION BY k ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC) AS rk
+       FROM cu WHERE nxt IS NOT NULL),
+lv AS (SELECT k, any_value(sf) AS sf, any_value(thr) AS thr,
+              avg(y) FILTER (WHERE CASE WHEN sf = 'p_size' THEN x1 ELSE x2 END <= thr) AS ml,
+              avg(y) FILTER (WHERE CASE WHEN sf = 'p_size' THEN x1 ELSE x2 END > thr) AS mr
+       FROM tr JOIN (SELECT * FROM sp WHERE rk = 1) b USING (k) GROUP BY k),
+te AS (SELECT fold, y, y - CASE WHEN CASE WHEN sf = 'p_size' THEN x1 ELSE x2 END <= thr THEN ml ELSE mr END AS e
+       FROM f JOIN lv ON lv.k = f.fold)
+SELECT fold, round(1 - sum(e * e) / (var_pop(y) * count(*)), 8) AS r2 FROM te GROUP BY fold""",
+
+    "stump_shap_values": "WITH " + _STUMP + """
+SELECT p_partkey, feature, round(phi, 6) AS phi, round(base, 6) AS base FROM ph, lv""",
+
+    "stump_shap_importance": "WITH " + _STUMP + """,
+im AS (SELECT feature, avg(abs(phi)) AS m, count(*) AS n FROM ph GROUP BY feature)
+SELECT CAST(row_number() OVER (ORDER BY m DESC, feature) AS INTEGER) AS rank, feature, round(m, 6) AS mean_abs_shap,
+       CAST(0 AS DOUBLE) AS mean_shap, n FROM im""",
+
+    "stump_signed_shap": "WITH " + _STUMP + """,
+im AS (SELECT feature, round(avg(phi), 6) AS m FROM ph WHERE x2 = 1 GROUP BY feature)
+SELECT CAST(row_number() OVER (ORDER BY m DESC, feature) AS INTEGER) AS rank, feature, m AS mean_shap FROM im""",
+
+    "stump_shap_by_parameter": "WITH " + _STUMP + """
+SELECT 'p_retailprice' AS target, CASE feature WHEN 'is_large' THEN 'p_type' ELSE feature END AS parameter,
+       round(avg(abs(phi)), 6) AS importance FROM ph GROUP BY feature""",
+
+    "stump_pdp_1d": "WITH " + _STUMP + """,
+gd AS (SELECT DISTINCT 'p_size' AS feature, x1 AS v FROM d UNION ALL SELECT DISTINCT 'is_large', x2 FROM d)
+SELECT feature, v AS value, round(CASE WHEN feature <> sf THEN base WHEN v <= thr THEN ml ELSE mr END, 6) AS pd
+FROM gd, sp, lv""",
+
+    "stump_pdp_2d": "WITH " + _STUMP + """,
+g1 AS (SELECT DISTINCT x1 AS v1 FROM d), g2 AS (SELECT DISTINCT x2 AS v2 FROM d)
+SELECT 'p_size' AS f1, v1, 'is_large' AS f2, v2,
+       round(CASE WHEN CASE WHEN sf = 'p_size' THEN v1 ELSE v2 END <= thr THEN ml ELSE mr END, 6) AS pd
+FROM g1, g2, sp, lv""",
+
     "sql_source": "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_brand IS NOT NULL",
 
     "csv_roundtrip": """

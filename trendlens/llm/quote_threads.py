@@ -81,21 +81,20 @@ def link_replies(df: DataFrame, conv_col: str, turn_col: str, text_col: str) ->
 
 def threads(nodes: DataFrame) -> DataFrame:
     """``conv, turn, parent, by_quote, thread, depth``: the root turn of each
-    message and its distance, by pointer doubling (one join a doubling)."""
-    t = nodes.select("conv", "turn", "parent", "by_quote", F.coalesce("parent", "turn").alias("up"),
-                     F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    t = cut(t, "threads")
-    while True:
-        a = t.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        t2 = t.join(a, ["conv", "up"], "left").select(
-            "conv", "turn", "parent", "by_quote", F.coalesce("up2", "up").alias("up"),
-            (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-            (F.coalesce("up2", "up") != F.col("up")).alias("moved"))
-        t2 = cut(t2, "threads")
-        moved = t2.where("moved").limit(1).count()
-        t = t2.drop("moved")
-        if not moved:
-            return t.withColumnRenamed("up", "thread")
+    message and its distance, by pointer doubling.  A doubling joins only the
+    messages whose pointer has not reached its root yet."""
+    t = cut(nodes.select("conv", "turn", "parent", "by_quote", F.coalesce("parent", "turn").alias("up"),
+                         F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+                         F.col("parent").isNull().alias("done")), "threads")
+    done, rest = t.where("done"), t.where("not done")
+    while rest.limit(1).count():
+        at = done.unionByName(rest).select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"),
+                                           F.col("depth").alias("d2"), F.col("done").alias("done2"))
+        t = cut(rest.join(at, ["conv", "up"]).select(
+            "conv", "turn", "parent", "by_quote", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"),
+            F.col("done2").alias("done")), "threads")
+        done, rest = done.unionByName(t.where("done")), t.where("not done")
+    return done.drop("done").withColumnRenamed("up", "thread")
 
 
 def format_chats(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:

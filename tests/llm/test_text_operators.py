@@ -66,6 +66,33 @@ def test_jaccard_join_of_a_large_group_and_shared_passage(spark):
     assert got == best
 
 
+def test_all_links_match_brute_force_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 16)     # several tiles a bucket
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(40):          # a near-copy group, some texts twice and one in upper case
+        w = list(base)
+        for j in range(i % 4):
+            w[(31 * i + 50 * j) % 200] = f"x{i}_{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(40, rows[5][1]), (41, rows[6][1].upper()), (42, "alone in this table with its own words"), (43, None), (None, rows[1][1])]
+    rows += [(2, "second text of an id that is in the group already"), (44, "second text of an id that is in the group already"),
+             (7, rows[8][1]), (0, "tail " + rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    join = ngram_join.jaccard_join(df, "doc_id", "text")
+    sets = [(i, frozenset(tuple(t.lower().split()[j:j + 4]) for j in range(len(t.split()) - 3)))
+            for i, t in rows if i is not None and t]
+    alike = {(a, b) for (a, x), (b, y) in itertools.product(sets, sets) if a != b and 100 * len(x & y) >= 85 * len(x | y)}
+    want = {i: sum(a == i for a, _ in alike) for i, _ in rows if i is not None}
+    got = join.link_counts.collect()
+    assert len(got) == len(want) and {r["doc_id"]: r["n_links"] for r in got} == want
+    different = {frozenset((x, y)) for _, x in sets for _, y in sets if x != y and 100 * len(x & y) >= 85 * len(x | y)}
+    links = join.links.collect()
+    assert len(links) == len({(r["a"], r["ka"], r["b"], r["kb"]) for r in links}) == len(different)
+    assert sorted(r["shared"] for r in links) == sorted(len(frozenset.intersection(*p)) for p in different)
+    assert join.connecting.count() < len(different)
+
+
 def test_hmm_base_and_forward(spark, docs):
     got = {r["doc_id"]: r for r in hmm.hmm_scores(docs, "doc_id", "text", search_passes=2, full_passes=1).collect()}
     rows = docs.select("doc_id", "text").collect()

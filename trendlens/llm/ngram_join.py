@@ -13,16 +13,20 @@ Every text is a set of hashed word shingles.  Two texts link when
   differing shingle, so bit counts bound the overlap from above.
 * What survives is settled by intersecting the exact shingle arrays.
 
-Candidates are tried in two rounds.  First each text against the least of its
-buckets' least ids that the bounds admit; after joining these links into components, only pairs of
-different components go through the tiles.  A group of thousands of near
-copies therefore costs a star, not a square, and no link between components
-is lost.
+For components, candidates are tried in two rounds.  First each text against
+the least of its buckets' least ids that the bounds admit; after joining these
+links into components, only pairs of different components go through the tiles.
+A group of thousands of near copies therefore costs a star, not a square, and
+no link between components is lost.  These connecting links are a part of all
+links.  ``JaccardJoin.links`` is all of them: every pair of a bucket goes
+through the tiles and is settled, so its work and size grow with the number of
+links.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +48,67 @@ SCREEN_WORDS = 1 << 18    # the id screen sent to tasks: 2 MB
 
 @dataclass(frozen=True)
 class JaccardJoin:
-    """``sets``: one row per input row (id, n); ``links``: exact links between
-    representatives (a, b, shared, n_a, n_b); ``members``: id, representative,
-    component."""
+    """``sets``: one row per input row (id, n); ``connecting``: links that join
+    the components, not all links; ``members``: id, representative, component
+    and ``set``, which tells apart representatives with several texts.
+
+    Representatives stand for the texts with their set, so texts with equal
+    sets link without a row in ``links``."""
 
     sets: DataFrame
-    links: DataFrame
+    connecting: DataFrame
     members: DataFrame
+    search: _Search
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """Every link between different sets: a, ka, b, kb (``representative``
+        and ``set`` of either side), shared, n_a, n_b; computed when first asked for."""
+        s = self.search
+        tiles = _tiled(s.shared.select("h", "id", "k1", "size").join(s.slim, ["id", "k1"]))
+        pairs = _tile_pairs(tiles, F.struct("x.id", "x.k1") < F.struct("y.id", "y.k1"), s.percent)
+        return cut(_verify(cut(_narrowed(pairs, s.wide, s.percent), "pairs"), s.docs, s.k, s.percent), "all-links")
+
+    @cached_property
+    def link_counts(self) -> DataFrame:
+        """``doc_id, n_links``: with how many other ids a text of the id links;
+        one row per id that is not null."""
+        rows = self.members.select("id", F.struct("representative", "set").alias("c")).distinct()
+        several = rows.groupBy("id").count().where("count > 1").select("id")
+        # texts of one set have the same neighbours: count once a set, but by id where an id has several sets
+        many = cut(rows.join(several, "id", "left_semi"), "several")
+        lone = cut(rows.join(several, "id", "left_anti"), "lone")
+        a, b = F.struct(F.col("a").alias("representative"), F.col("ka").alias("set")), \
+            F.struct(F.col("b").alias("representative"), F.col("kb").alias("set"))
+        sets = rows.select("c").distinct()
+        near = self.links.select(a.alias("c"), b.alias("other"))
+        near = cut(near.union(near.select("other", "c")).union(sets.select("c", F.col("c").alias("other"))).distinct(), "near-sets")
+        ones = lone.groupBy("c").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("c", "other")
+        other = many.select(F.col("c").alias("other"), F.col("id").alias("with"))
+
+        def reached(units: DataFrame, by: str) -> DataFrame:
+            left = units.join(near, "c").select(by, "other").distinct()
+            one = left.join(ones, "other").groupBy(by).agg(F.sum("m").alias("m"))
+            more = left.join(other, "other").select(by, "with").distinct().groupBy(by).agg(F.count(F.lit(1)).alias("w"))
+            return (units.select(by).distinct().join(one, by, "left").join(more, by, "left")
+                    .select(by, (F.coalesce("m", F.lit(0)) + F.coalesce("w", F.lit(0)) - 1).alias("n_links")))
+
+        single = lone.join(reached(lone.select("c").distinct(), "c"), "c").select("id", "n_links")
+        got = single.union(reached(many, "id"))
+        ids = self.sets.where("id is not null").select("id").distinct()
+        return ids.join(got, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@dataclass(frozen=True)
+class _Search:
+    """What the tiles of all links are made of; tables in shared storage."""
+
+    docs: DataFrame
+    shared: DataFrame
+    slim: DataFrame
+    wide: DataFrame
+    k: int
+    percent: int
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -82,6 +140,11 @@ def _prefix_tokens(k: int, percent: int):
     return run
 
 
+def _set_key(s: np.ndarray) -> np.uint64:
+    with np.errstate(over="ignore"):
+        return mix(s + np.uint64(1)).sum(dtype=np.uint64)
+
+
 def _parity(s: np.ndarray, words: int) -> np.ndarray:
     """Bitmap with a bit set where an odd number of the set's shingles falls."""
     slot = np.bincount((s >> np.uint64(3)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
@@ -96,8 +159,7 @@ def _describe(k: int, percent: int, hot):
             n, k1, k2, bits, prefix, wide = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    k1.append(mix(s + np.uint64(1)).sum(dtype=np.uint64))
+                k1.append(_set_key(s))
                 k2.append(np.bitwise_xor.reduce(mix(s + np.uint64(2))) if len(s) else np.uint64(0))
                 bits.append(_parity(s, BITMAP_WORDS))
                 wide.append(_parity(s, WIDE_WORDS) if len(s) >= WIDE_FROM else np.zeros(0, np.int64))
@@ -128,8 +190,10 @@ def _screened_sets(k: int, screen):
             if len(keep) == 0:
                 continue
             part = batch.take(pa.array(keep))
-            sets = [s.view(np.int64) for s in shingle_sets(part.column(2), k)]
-            yield pa.RecordBatch.from_arrays([part.column(0), lists(sets, pa.int64())], ["id", "s"])
+            sets = list(shingle_sets(part.column(2), k))
+            key = np.array([_set_key(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(key), lists([s.view(np.int64) for s in sets], pa.int64())], ["id", "k1", "s"])
     return run
 
 
@@ -170,17 +234,40 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 
 
 def _narrowed(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) without those that the wide bitmaps rule out."""
-    x, y = (wide.select(F.col("id").alias(c), F.struct("n", "wide").alias(f"w{c}")) for c in "ab")
-    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    """``pairs`` (a, ka, b, kb) without those that the wide bitmaps rule out."""
+    x, y = (wide.select(F.col("id").alias(c), F.col("k1").alias(f"k{c}"), F.struct("n", "wide").alias(f"w{c}"))
+            for c in "ab")
+    both = pairs.join(x, ["a", "ka"], "left").join(y, ["b", "kb"], "left")
     bits = F.aggregate(F.zip_with("wa.wide", "wb.wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0),
                        lambda t, v: t + v)
     apart = bits * (100 + percent) > (F.col("wa.n") + F.col("wb.n")) * (100 - percent)
-    return both.where(~F.coalesce(apart, F.lit(False))).select("a", "b")
+    return both.where(~F.coalesce(apart, F.lit(False))).select(*_PAIR)
+
+
+_PAIR = ["a", "ka", "b", "kb"]
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """``rows`` of buckets (h, size) once for every tile they are in."""
+    n_blocks = F.ceil(F.col("size") / TILE_ROWS).cast("int")
+    block = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
+    return (rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+            .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+            .drop("size", "other"))
+
+
+def _tile_pairs(tiles: DataFrame, wanted: Column, percent: int) -> DataFrame:
+    """Pairs of a tile (x, y) that are ``wanted`` and may link."""
+    x, y = tiles.alias("x"), tiles.alias("y")
+    once = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))
+    near = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.lo") == F.col("y.lo"))
+                  & (F.col("x.hi") == F.col("y.hi")) & wanted & once & _may_link("x", "y", percent))
+    return near.select(F.col("x.id").alias("a"), F.col("x.k1").alias("ka"), F.col("y.id").alias("b"),
+                       F.col("y.k1").alias("kb")).distinct()
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Exact overlap of ``pairs`` (a, b); keeps those that link."""
+    """Exact overlap of ``pairs`` (a, ka, b, kb); keeps those that link."""
     spark = pairs.sparkSession
     slots = 64 * SCREEN_WORDS
     slot = F.pmod(F.xxhash64("id"), F.lit(slots))
@@ -191,10 +278,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     screen[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     sent = spark.sparkContext.broadcast(screen.view(np.uint64))
     sets = cut(docs.select(F.col("id"), slot.alias("slot"), "text")
-               .mapInArrow(_screened_sets(k, sent), "id long, s array<long>"), "sets")
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    got = two.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"),
+               .mapInArrow(_screened_sets(k, sent), "id long, k1 long, s array<long>"), "sets")
+    x, y = (sets.select(F.col("id").alias(c), F.col("k1").alias(f"k{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
+    two = pairs.join(x, ["a", "ka"]).join(y, ["b", "kb"])
+    got = two.select(*_PAIR, F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"),
                      F.size("sa").cast("long").alias("n_a"), F.size("sb").cast("long").alias("n_b"))
     return got.where(F.col("shared") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).distinct()
 
@@ -219,35 +306,29 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, k: int = 4, percent:
     # equal sets: any row of a class has the same bitmap and prefix
     reps = cut(full.groupBy(*key).agg(F.min("id").alias("id"), *[F.first(b).alias(b) for b in _BITS],
                                       F.first("prefix").alias("prefix"), F.first("wide").alias("wide")), "reps")
-    wide = reps.where(F.size("wide") > 0).select("id", "n", "wide")
-    rows = reps.select("id", F.explode("prefix").alias("h"))
-    buckets = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("head")).where("size > 1")
-    shared = cut(rows.join(buckets, "h").select("h", "id", "head", "size"), "buckets")
-    slim = reps.select("id", "n", *_BITS)
+    wide = reps.where(F.size("wide") > 0).select("id", "k1", "n", "wide")
+    rows = reps.select("id", "k1", F.explode("prefix").alias("h"))
+    buckets = (rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "k1")).alias("head"))
+               .where("size > 1"))
+    shared = cut(rows.join(buckets, "h").select("h", "id", "k1", "head", "size"), "buckets")
+    slim = reps.select("id", "k1", "n", *_BITS)
 
     # round one: every text against one bucket's least id
-    star = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    star = (star.join(slim.select(F.col("id").alias("a"), F.struct("n", *_BITS).alias("x")), "a")
-            .join(slim.select(F.col("id").alias("b"), F.struct("n", *_BITS).alias("y")), "b")
-            .where(_may_link("x", "y", percent)).select("a", "b"))
-    star = _narrowed(star, wide, percent).groupBy("b").agg(F.min("a").alias("a"))
+    star = (shared.where("id <> head.id").select(F.col("head.id").alias("a"), F.col("head.k1").alias("ka"),
+                                                 F.col("id").alias("b"), F.col("k1").alias("kb")).distinct())
+    x, y = (slim.select(F.col("id").alias(c), F.col("k1").alias(f"k{c}"), F.struct("n", *_BITS).alias(f"s{c}"))
+            for c in "ab")
+    star = star.join(x, ["a", "ka"]).join(y, ["b", "kb"]).where(_may_link("sa", "sb", percent)).select(*_PAIR)
+    star = (_narrowed(star, wide, percent).groupBy("b", "kb").agg(F.min(F.struct("a", "ka")).alias("least"))
+            .select("least.a", "least.ka", "b", "kb"))
     first = cut(_verify(cut(star, "star"), docs, k, percent), "links1")
     comp = cut(components(first, "a", "b"), "comp1")
 
     # round two: pairs of different components, tile by tile
-    tagged = (shared.select("h", "id", "size").join(slim, "id")
+    tagged = (shared.select("h", "id", "k1", "size").join(slim, ["id", "k1"])
               .join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    n_blocks = F.ceil(F.col("size") / TILE_ROWS).cast("int")
-    block = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
-    tiles = (tagged.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-             .select("h", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                     "block", "id", "component", "n", *_BITS))
-    x, y = tiles.alias("x"), tiles.alias("y")
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    once = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))
-    near = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.lo") == F.col("y.lo"))
-                  & (F.col("x.hi") == F.col("y.hi")) & apart & once & _may_link("x", "y", percent))
-    near = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    near = _tile_pairs(_tiled(tagged), apart, percent)
     second = _verify(cut(_narrowed(near, wide, percent), "near"), docs, k, percent)
     links = cut(first.union(second).distinct(), "links")
 
@@ -255,7 +336,8 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, k: int = 4, percent:
     rep_of = reps.select(*key, F.col("id").alias("representative"))
     members = (full.select("id", *key).join(rep_of, key)
                .join(comp.withColumnRenamed("id", "representative"), "representative", "left")
-               .select("id", "representative", F.coalesce("component", "representative").alias("component")))
+               .select("id", "representative", F.col("k1").alias("set"),
+                       F.coalesce("component", "representative").alias("component")))
     # an id with several texts is one node
     several = members.groupBy("id").agg(F.min("component").alias("component"), F.max("component").alias("most"))
     ties = several.where("component <> most")
@@ -263,8 +345,9 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, k: int = 4, percent:
                        .join(ties.select(F.col("id").alias("x")), "x", "left_semi"), "x", "y")
     members = (members.join(again.select(F.col("id").alias("component"), F.col("component").alias("joined")),
                             "component", "left")
-               .select("id", "representative", F.coalesce("joined", "component").alias("component")))
-    return JaccardJoin(described.select("id", "n"), links, cut(members.distinct(), "members"))
+               .select("id", "representative", "set", F.coalesce("joined", "component").alias("component")))
+    return JaccardJoin(described.select("id", "n"), links, cut(members.distinct(), "members"),
+                       _Search(docs, shared, slim, wide, k, percent))
 
 
 def with_component(join: JaccardJoin) -> DataFrame:

@@ -109,6 +109,17 @@ def test_hmm_base_and_forward(spark, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_every_hmm_pass_sees_all_training_texts(spark, docs, monkeypatch):
+    # four copies: more than the 400,000 training tokens up to which a budget would not show
+    many = docs.crossJoin(spark.range(4).select("id")).selectExpr("doc_id * 4 + id as doc_id", "repeat(concat(text, ' '), 10) as text")
+    one = hmm.baum_welch
+    seen = []
+    monkeypatch.setattr(hmm, "baum_welch", lambda m, seqs, prior: (seen.append(seqs.count()), m if len(seen) > 1 else one(m, seqs, prior))[1])
+    r = hmm.hmm_scores(many, "doc_id", "text").collect()
+    assert r[0]["train_tokens"] > 400_000
+    assert seen == [sum(not x["held_out"] for x in r)] * 13
+
+
 def test_forward_is_exact_and_expected_counts_add_up():
     rng = np.random.default_rng(0)
     k, n = 3, 5

@@ -7,9 +7,8 @@ their last two bytes; within such a class a word has its additive-smoothed
 unigram share, which also gives unseen words a place.  Baum-Welch runs as one
 job an iteration: every task computes expected counts for its texts, a sum by
 class joins them, and the driver, which holds one row a class, re-estimates.
-First iterations use a slice of the training texts to find the states; the last
-``full_passes`` use all of them.  For the expected counts a text is cut into
-blocks of ``BLOCK`` tokens; scores come from the scaled forward recursion over
+Every iteration uses all training texts.  For the expected counts a text is cut
+into blocks of ``BLOCK`` tokens; scores come from the scaled forward recursion over
 whole texts and are exact for the model.
 
 Words are known to tasks by 64-bit hash.  The ``FREQUENT`` most frequent words
@@ -296,10 +295,13 @@ def _forward(sent):
     return run
 
 
-def hmm_scores(df: DataFrame, id_col: str, text_col: str, states: int = 8, search_passes: int = 8,
-               search_tokens: int = 400_000, full_passes: int = 3, seed: int = 4) -> DataFrame:
+def hmm_scores(df: DataFrame, id_col: str, text_col: str, states: int = 8, search_passes: int = 10,
+               full_passes: int = 3, seed: int = 4) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per input row.
 
+    The Baum-Welch passes are ``search_passes`` and ``full_passes`` together;
+    each is over all training texts, whatever their number.
+
     Rows whose crc32 of the id, mod 10, is 0 are held out of learning (a null
     id counts as empty text, whose crc32 is 0).  A null or empty text is its
     end mark alone.  Repeated rows are separate texts.  With no training rows
@@ -344,11 +346,8 @@ def hmm_scores(df: DataFrame, id_col: str, text_col: str, states: int = 8, searc
     model = _first_model(states, unigram, seed)
     if n_train:
         train = coded.where("not held_out")
-        share = search_tokens / n_train
-        passes = [share] * search_passes + [8 * share] * 2 + [1.0] * full_passes
-        slot = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "seq"), F.lit(1 << 20))
-        for p in passes:
-            model = baum_welch(model, train if p >= 1 else train.where(slot < int(p * (1 << 20)) + 1), prior * len(prior))
+        for _ in range(search_passes + full_passes):
+            model = baum_welch(model, train, prior * len(prior))
 
     # rows get a number from the stored copy, whose partitions do not move
     numbered = cut(coded.withColumn("row", F.monotonically_increasing_id()), "rows")

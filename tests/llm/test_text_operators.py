@@ -276,6 +276,18 @@ def test_language_on_held_out_and_odd_rows(spark, odd):
     assert byte_cnn.language_report(odd.where("false"), "doc_id", "text", "lang").count() == 0
 
 
+def test_language_learns_every_label(spark):
+    def text(i, j):              # every label has two letters of its own
+        return "".join((chr(0x4E00 + 64 * i), chr(0x4E00 + 64 * i + 7), " ")[(j + k * k) % 3] for k in range(120 + j))
+
+    rows = [(100 * i + j, text(i, j), f"l{i:02d}") for i in range(70) for j in range(30 if i < 64 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crops, labels = byte_cnn.labelled_sample(df, "doc_id", "text", "lang", 400, 140, 600)
+    assert set(labels) == {y for _, _, y in rows} and set(collections.Counter(labels).values()) <= {1, 2}
+    got = byte_cnn.language_report(df, "doc_id", "text", "lang").where("doc_id >= 6400").collect()
+    assert len(got) == 18 and sum(r["lang_pred"] == f"l{r['doc_id'] // 100}" for r in got) >= 16
+
+
 def test_licences_on_odd_rows(spark, odd):
     df = odd.select("doc_id", "text").union(spark.createDataFrame(
         [(20, "Some prose.\nreleased UNDER the  MIT license\nmore"), (None, "Licensed under CC BY-NC 4.0!")],

@@ -2,7 +2,7 @@
 
 Windows of ``WINDOW`` bytes go through filters of several widths, max pooling
 over the window and a softmax layer.  The network is trained in numpy on a
-bounded sample of labelled rows (``docs_per_label``, ``max_labels``) and then
+bounded sample of rows of every label (``docs_per_label``, ``max_crops``) and then
 applied to fixed-length windows that tile every whole text; a text's
 probabilities are the mean over its windows, weighted by the bytes each holds.
 
@@ -29,6 +29,7 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 BLOCK = 128
 UNKNOWN = "und"
+LABELS_PER_STEPS = 16
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -64,12 +65,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(texts: list[bytes], labels: list[str], *, dim: int = 8, filters: int = 16, steps: int = 400,
           batch: int = 64, rate: float = 0.01, seed: int = 9) -> Network | None:
     """Fit the network with Adam on random windows of ``texts``; labels are
-    drawn evenly.  Crops of different lengths teach it short texts."""
-    names = tuple(sorted(set(labels)))
-    texts_of = [[_FOLD[np.frombuffer(t, np.uint8)] for t, y in zip(texts, labels) if y == n and t] for n in names]
-    names, texts_of = tuple(n for n, t in zip(names, texts_of) if t), [t for t in texts_of if t]
+    drawn evenly, so ``steps`` is for up to ``LABELS_PER_STEPS`` labels and grows
+    in proportion beyond.  Crops of different lengths teach it short texts."""
+    by: dict[str, list[np.ndarray]] = {}
+    for t, y in zip(texts, labels):
+        if t:
+            by.setdefault(y, []).append(_FOLD[np.frombuffer(t, np.uint8)])
+    names = tuple(sorted(by))
+    texts_of = [by[n] for n in names]
     if not names:
         return None
+    steps = -(-steps * max(len(names), LABELS_PER_STEPS) // LABELS_PER_STEPS)
     rng = np.random.default_rng(seed)
     p = {"E": rng.normal(0, 0.5, (256, dim)), "O": rng.normal(0, 0.1, (len(WIDTHS) * filters, len(names))),
          "o": np.zeros(len(names))}
@@ -183,30 +189,33 @@ def _score(sent, text_at: int, letter_at: int):
 
 
 def labelled_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, docs_per_label: int,
-                    max_labels: int, chars: int) -> tuple[list[bytes], list[str]]:
-    """At most ``docs_per_label`` crops for each of the ``max_labels`` most
-    frequent labels; a crop begins at a place drawn from the row's hash."""
+                    max_crops: int, chars: int) -> tuple[list[bytes], list[str]]:
+    """At most ``docs_per_label`` crops for every label with a training row, and
+    fewer each, but one at least, when that makes more than ``max_crops``; a
+    crop begins at a place drawn from the row's hash."""
     h = F.pmod(F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)), F.lit(1 << 30))
     rows = df.where(F.col(label_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
     rows = rows.where(bucket_of(id_col) % 4 != 2)
-    sizes = rows.groupBy(F.col(label_col).cast("string").alias("y")).count().orderBy(
-        F.desc("count"), "y").limit(max_labels).collect()
+    rows = rows.select(F.col(label_col).cast("string").alias("y"), h.alias("h"), F.col(text_col).alias("text"))
+    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()
     if not sizes:
         return [], []
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["y"]), F.lit(
-        int(min(1.0, 2 * docs_per_label / r["count"]) * (1 << 30))))])
-    room = F.greatest(F.length(text_col) - F.lit(chars), F.lit(0)) + 1
-    some = rows.select(F.col(label_col).cast("string").alias("y"), h.alias("h"),
-                       F.col(text_col).substr((F.pmod(h, room) + 1).cast("int"), F.lit(chars)).alias("t"))
-    some = some.where(F.col("h") < share[F.col("y")])
+    each = max(1, min(docs_per_label, max_crops // len(sizes)))
+    # about twice the rows wanted, and in any case the one with the least hash
+    below = df.sparkSession.createDataFrame(
+        [(r["y"], max(r["least"] + 1, int(min(1.0, (2 * each + 20) / r["n"]) * (1 << 30)))) for r in sizes],
+        "y string, below long")
+    room = F.greatest(F.length("text") - F.lit(chars), F.lit(0)) + 1
+    some = rows.join(F.broadcast(below), "y").where(F.col("h") < F.col("below")).select(
+        "y", "h", F.col("text").substr((F.pmod("h", room) + 1).cast("int"), F.lit(chars)).alias("t"))
     rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))
-    got = some.withColumn("r", rank).where(F.col("r") <= docs_per_label).orderBy("y", "r").collect()
+    got = some.withColumn("r", rank).where(F.col("r") <= each).orderBy("y", "r").collect()
     return [r["t"].encode() for r in got], [r["y"] for r in got]
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, docs_per_label: int = 400,
-        max_labels: int = 64, chars: int = 600, **kw) -> Network | None:
-    return train(*labelled_sample(df, id_col, text_col, label_col, docs_per_label, max_labels, chars), **kw)
+        max_crops: int = 25_600, chars: int = 600, **kw) -> Network | None:
+    return train(*labelled_sample(df, id_col, text_col, label_col, docs_per_label, max_crops, chars), **kw)
 
 
 def identify(df: DataFrame, text_col: str, net: Network | None) -> DataFrame:

@@ -263,6 +263,22 @@ def test_quality_order_does_not_change_the_verdict(spark, docs, odd):
     assert quality_cascade.quality_report(odd.where("false"), "doc_id", "text").count() == 0
 
 
+def test_shouting_counts_letters_of_every_script(spark):
+    texts = {"ru": "Сегодня утром в городе прошла встреча, где NATO обсуждала новые планы на ближайшие два года",
+             "el": "Σήμερα το πρωί στην πόλη έγινε συνάντηση όπου το NATO συζήτησε νέα σχέδια για δύο χρόνια",
+             "ar": "عقد هذا الصباح في المدينة اجتماع ناقش فيه NATO خططا جديدة للسنوات القليلة القادمة",
+             "odd": "𝒜 少し 漢字 NATO の 文章 です ひとつ ふたつ みっつ よっつ いつつ むっつ ななつ",
+             "en": "this morning in the town a meeting of NATO spoke about new plans for the next two years"}
+    rows = [(k, t) for k, t in texts.items()] + [(k + "!", texts[k].upper()) for k in ("ru", "el", "en")]
+    got = {r["id"]: r["_failed"] for r in quality_cascade.quality_cascade(
+        spark.createDataFrame(rows, "id string, text string"), "text", order=[r.name for r in quality_cascade.RULES]).collect()}
+    assert got == {**dict.fromkeys(texts), **dict.fromkeys(("ru!", "el!", "en!"), "shouting")}
+    buf = np.frombuffer("".join(texts.values()).encode(), np.uint8)
+    facts = quality_cascade.Facts(buf, np.cumsum([0, *(len(t.encode()) for t in texts.values())]))
+    assert facts.n_upper.tolist() == [sum(c.isupper() for c in t) for t in texts.values()]
+    assert facts.n_letters.tolist() == [sum(c.isalpha() for c in t) for t in texts.values()]
+
+
 def test_language_on_held_out_and_odd_rows(spark, odd):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = byte_cnn.language_report(df, "doc_id", "text", "lang").collect()

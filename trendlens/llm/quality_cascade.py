@@ -34,6 +34,7 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 _STARTS_CHAR = np.array([(b & 0xC0) != 0x80 for b in range(256)], np.int64)
 _UPPER = np.array([65 <= b <= 90 for b in range(256)], np.int64)
 _ASCII = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)], np.int64)
+_LEAD = np.array([b & (0x1F if b < 0xE0 else 0x0F if b < 0xF0 else 0x07) for b in range(256)], np.int64)
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)], np.int64)
 
 
@@ -53,6 +54,18 @@ def _repeats(hashes: np.ndarray, text: np.ndarray):
     return order, np.concatenate([[False], s[1:] == s[:-1]])[:len(s)]
 
 
+def _beyond_ascii(buf: np.ndarray):
+    """Where each character beyond ASCII starts, and whether it is upper case and a letter."""
+    at = np.flatnonzero(buf >= 0xC0)
+    code = _LEAD[buf[at]]
+    for i, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        more = buf[at] >= least
+        code[more] = code[more] << 6 | buf[np.minimum(at[more] + i, len(buf) - 1)] & 0x3F
+    kinds, which = np.unique(code, return_inverse=True)
+    chars = [chr(c) if c <= 0x10FFFF else "" for c in kinds]
+    return (at, np.array([c.isupper() for c in chars], bool)[which], np.array([c.isalpha() for c in chars], bool)[which])
+
+
 class Facts:
     """Counts of every text of one chunk, one array entry a text."""
 
@@ -135,13 +148,21 @@ class Facts:
         again = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
         return np.bincount(text[1:][again], minlength=self.n)[:self.n]
 
+    @cached_property
+    def _cases(self):
+        """Upper-case letters and all letters, of any script."""
+        upper, letter = _UPPER[self.buf], _ASCII[self.buf]
+        at, is_upper, is_letter = _beyond_ascii(self.buf)
+        upper[at], letter[at] = is_upper, is_letter
+        return _per_text(upper, self.off), _per_text(letter, self.off)
+
     @cached_property
     def n_upper(self) -> np.ndarray:
-        return _per_text(_UPPER[self.buf], self.off)
+        return self._cases[0]
 
     @cached_property
-    def n_ascii_letters(self) -> np.ndarray:
-        return _per_text(_ASCII[self.buf], self.off)
+    def n_letters(self) -> np.ndarray:
+        return self._cases[1]
 
     @cached_property
     def n_letter_words(self) -> np.ndarray:
@@ -160,7 +181,7 @@ RULES = (
     Rule("few_words", lambda f: f.n_words < 10),
     Rule("repeated_windows", lambda f: 100 * f.n_repeat_words > 20 * f.n_words),
     Rule("symbols", lambda f: 100 * f.n_symbols > 10 * f.n_words),
-    Rule("shouting", lambda f: 2 * f.n_upper > f.n_ascii_letters),
+    Rule("shouting", lambda f: 2 * f.n_upper > f.n_letters),
     Rule("repeated_lines", lambda f: 100 * f.n_dup_lines > 60 * f.n_lines),
     Rule("stutter", lambda f: 100 * f.n_stutters > 20 * f.n_words),
     Rule("word_length", lambda f: (f.word_chars < 2 * f.n_words) | (f.word_chars > 20 * f.n_words)),

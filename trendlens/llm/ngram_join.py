@@ -8,8 +8,8 @@ Every text is a set of hashed word shingles.  Two texts link when
   fixed order.  The order puts shingles that are common among those prefixes
   last, so shared passages do not make candidates of unrelated texts.
 * A bucket (texts sharing a prefix shingle) is cut into tiles of bounded size.
-  Inside a tile, pairs are bounded by size (only neighbouring size bands can
-  link) and by a 512-bit parity bitmap of the set: each differing bit is one
+  Tiles are cut by the hash of the id; there are no size bands.
+  Inside a tile, each pair is bounded by its two sizes and by a 512-bit parity bitmap of the set: each differing bit is one
   differing shingle, so bit counts bound the overlap from above.
 * What survives is settled by intersecting the exact shingle arrays.
 

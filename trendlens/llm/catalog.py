@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendlens.llm import (byte_cnn, graph_ann, hmm, licences, mixing, ngram_join, packing, quality_cascade,
-                           quote_threads, token_counts)
+from trendlens.llm import (byte_cnn, chat_repair, graph_ann, hmm, licences, mixing, ngram_join, packing, periodic_runs,
+                           quality_cascade, quote_threads, token_counts, url_filter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +56,30 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_repair.damaged(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return chat_repair.repair_report(rows, "conv_id", "turn", "role", "text", "gone")
+
+
+# fixed values: the rules of the contract
+URL_RULES = (url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"),
+             url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
+             url_filter.Rule("block", "net", "/fr/"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_report(_table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_periodic_tails(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return periodic_runs.periodic_report(docs, "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard, op2_graph_neighbours, op3_token_counts, op4_hmm_scores, op5_source_mix,
                             op6_quote_threads, op7_best_fit_packing, op8_quality_cascade, op9_byte_language,
-                            op10_licence_scan)}
+                            op10_licence_scan, op11_chat_repair, op12_url_filter, op13_periodic_runs)}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

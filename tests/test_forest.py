@@ -19,32 +19,35 @@ def tiny(spark):
     names = ["a", "b", "c"]
     vec = forest.assemble(df, names, keep=["id", "y"])
     model = forest.fit_forest(vec, "y", trees=5, max_depth=4, seed=1)
-    lt = forest.leaf_table(spark, model, 3)
-    return pdf, df, vec, names, model, lt
+    trees = forest.tree_tables(spark, model, 3, group_nodes=40)
+    return pdf, df, vec, names, model, trees
 
 
-def _value(lt, x, s):
+def _value(leaves, x, s):
     """Path-dependent expectation of the forest given features in s."""
-    valid = lt.feat >= 0
     tot = 0.0
-    for leaf in range(len(lt.value)):
-        w = lt.value[leaf]
-        for k in range(lt.feat.shape[1]):
-            if not valid[leaf, k]:
-                continue
-            f = lt.feat[leaf, k]
-            if f in s:
-                w *= float(lt.lo[leaf, k] < x[f] <= lt.hi[leaf, k])
-            else:
-                w *= lt.z[leaf, k]
+    for leaf in leaves:
+        w = leaf.value
+        for f, a, u, z in zip(leaf.feature, leaf.above, leaf.upto, leaf.share):
+            w *= float(a < x[f] <= u) if f in s else z
         tot += w
     return tot
 
 
-def test_tree_shap_equals_brute_force_shapley(tiny):
-    pdf, df, vec, names, model, lt = tiny
+def _phi(spark, df, names, trees):
+    rows = explain.shap_values(df, names, trees, keep=["id"]).collect()
+    out = np.zeros((df.count(), len(names)))
+    for r in rows:
+        out[r.id, r.feature_idx] = r.phi
+    return out
+
+
+def test_tree_shap_equals_brute_force_shapley(spark, tiny):
+    pdf, df, vec, names, model, trees = tiny
+    assert trees.n_groups > 1
+    lt = trees.leaves(spark).collect()
     x = pdf[names].to_numpy()[:6]
-    phi = explain.shap_kernel(x, lt)
+    phi = _phi(spark, df, names, trees)
     p = len(names)
     for r in range(len(x)):
         for j in range(p):
@@ -57,27 +60,29 @@ def test_tree_shap_equals_brute_force_shapley(tiny):
             assert abs(phi[r, j] - ref) < 1e-9
 
 
-def test_additivity_against_spark_predictions(tiny):
+def test_additivity_against_spark_predictions(spark, tiny):
     pdf, df, vec, names, model, lt = tiny
     out = explain.shap_additivity(model.transform(vec), names, lt).first()
     assert out.max_abs_error < 1e-9 and out.n == len(pdf)
     imp = {r.feature: r.mean_abs_shap for r in explain.shap_importance(df, names, lt).collect()}
-    x = pdf[names].to_numpy()
-    ref = np.abs(explain.shap_kernel(x, lt)).mean(axis=0)
+    ref = np.abs(_phi(spark, df, names, lt)).mean(axis=0)
     assert all(abs(imp[n] - ref[i]) < 1e-9 for i, n in enumerate(names))
 
 
-def test_pdp_recursion_equals_path_expectation(tiny):
-    pdf, df, vec, names, model, lt = tiny
+def test_pdp_recursion_equals_path_expectation(spark, tiny):
+    pdf, df, vec, names, model, trees = tiny
+    lt = trees.leaves(spark).collect()
     grid = explain.pdp_grid(df, names, resolution=10)
-    pd1 = explain.tree_pdp_1d(grid, lt).collect()
+    pd1 = explain.tree_pdp_1d(grid, trees).collect()
+    assert len(pd1) == 22
     for r in pd1[:12]:
         j = names.index(r.feature)
         x = np.zeros(3)
         x[j] = r.value
         assert abs(r.pd - _value(lt, x, {j})) < 1e-9
-    pd2 = explain.tree_pdp_2d(grid, lt).collect()
-    for r in pd2[:12]:
+    pd2 = explain.tree_pdp_2d(grid, trees).collect()
+    assert len(pd2) == 2 * 10 + 2 * 10 + 10 * 10
+    for r in pd2[::9]:
         i, j = names.index(r.f1), names.index(r.f2)
         x = np.zeros(3)
         x[i], x[j] = r.v1, r.v2
@@ -97,3 +102,91 @@ def test_permutation_of_unused_feature_is_zero(spark, tiny):
     s = {r.feature: r.importance_mean for r in explain.permutation_summary(perm).collect()}
     assert s["unused"] == 0.0 and s["b"] > 0
     assert perm.count() == 3 * 4
+
+
+def test_partial_dependence_over_the_data_is_the_average_prediction(spark, tiny, monkeypatch):
+    pdf, df, vec, names, model, trees = tiny
+    lt = trees.leaves(spark).collect()
+    every = pd.concat([pdf, pdf.iloc[:7]], ignore_index=True)
+    grid = explain.pdp_grid(df, names, resolution=6)
+    leaves = explain.leaf_counts(df.union(df.where("id < 7")), names, trees)
+    monkeypatch.setattr(explain, "GRID_CELLS", 7)   # several blocks of features
+
+    def average(values):
+        x = every[names].to_numpy().copy()
+        for j, v in values.items():
+            x[:, j] = v
+        return np.mean([_value(lt, r, {0, 1, 2}) for r in x])
+
+    for r in explain.tree_pdp_1d(grid, trees, leaves).collect():
+        assert abs(r.pd - average({names.index(r.feature): r.value})) < 1e-9
+    got = explain.tree_pdp_2d(grid, trees, leaves=leaves).collect()
+    assert len(got) == 2 * 6 + 2 * 6 + 36
+    for r in got[::5]:
+        assert abs(r.pd - average({names.index(r.f1): r.v1, names.index(r.f2): r.v2})) < 1e-9
+
+
+def test_deep_trees_repeated_features_and_missing_values(spark):
+    """Paths of 20 and more splits on two features; NaN goes the way of large values."""
+    rng = np.random.default_rng(3)
+    n = 400
+    pdf = pd.DataFrame({"id": np.arange(n), "a": rng.integers(0, 40, n).astype(float), "b": rng.integers(0, 9, n).astype(float)})
+    pdf["y"] = np.exp(pdf.a / 4) + pdf.b * rng.normal(size=n)
+    df = spark.createDataFrame(pdf)
+    vec = forest.assemble(df, ["a", "b"], keep=["id", "y"])
+    model = forest.fit_forest(vec, "y", trees=3, max_bins=64, key=["id"])
+    trees = forest.tree_tables(spark, model, 2, group_nodes=300)
+    assert max(t.depth for t in model.trees) > 10 and trees.n_groups > 1
+    got = explain.shap_additivity(model.transform(vec), ["a", "b"], trees).first()
+    scale = float(pdf.y.abs().max())
+    assert got.n == n and got.max_abs_error < 1e-9 * scale
+    odd = df.limit(5).selectExpr("id", "a", "cast(null as double) as b")
+    lt = trees.leaves(spark).collect()
+    for r in explain.shap_sums(odd, ["a", "b"], trees, ["id"]).collect():
+        a = float(pdf.a[r.id])
+        assert abs(r.explained - _value(lt, [a, 1e300], {0, 1})) < 1e-9 * scale
+
+
+def test_a_forest_does_not_depend_on_the_partitions(spark):
+    rng = np.random.default_rng(5)
+    n = 500
+    pdf = pd.DataFrame({"id": np.arange(n), "a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float)})
+    pdf["y"] = pdf.a + pdf.b * rng.normal(size=n)
+    nodes = []
+    for parts in (4, 16):
+        vec = forest.assemble(spark.createDataFrame(pdf.sample(frac=1, random_state=parts)).repartition(parts), ["a", "b"], keep=["id", "y"])
+        model = forest.fit_forest(vec, "y", trees=4, max_depth=6, key=["id"])
+        nodes.append(sorted(map(tuple, forest.tree_tables(spark, model, 2).leaves(spark).select("tree", "leaf", "above", "upto").collect())))
+    assert nodes[0] == nodes[1]
+
+
+def test_a_stored_model_scores_like_the_live_one(spark, tiny):
+    pdf, df, vec, names, model, lt = tiny
+    again = forest.load_model(forest.save_model(spark, model))
+    from pyspark.ml.feature import VectorAssembler
+
+    va = VectorAssembler(inputCols=names, outputCol="features")
+    run = [{(r.feature, r.repeat): r.importance for r in explain.permutation_importance(
+        df, names, "y", ["id"], lambda d, m=m: m.transform(va.transform(d)), repeats=2).collect()} for m in (model, again)]
+    assert run[0].keys() == run[1].keys() and all(abs(run[0][k] - run[1][k]) < 1e-12 for k in run[0])
+
+
+def test_shuffled_index_is_a_bijection_and_importance_matches_plain_python(spark, tiny):
+    for n in (1, 2, 3, 17, 1000):
+        for repeat in (0, 1, 5):
+            got = explain.shuffled_index(np.arange(n), n, 0, np.full(n, repeat))
+            assert sorted(got.tolist()) == list(range(n))
+    pdf, df, vec, names, model, trees = tiny
+    lt = trees.leaves(spark).collect()
+    predict = lambda x: np.array([_value(lt, r, {0, 1, 2}) for r in x])
+    x, y = pdf[names].to_numpy(), pdf["y"].to_numpy()
+    sst = ((y - y.mean()) ** 2).sum()
+    from pyspark.ml.feature import VectorAssembler
+
+    va = VectorAssembler(inputCols=names, outputCol="features")
+    got = explain.permutation_importance(df, names, "y", ["id"], lambda d: model.transform(va.transform(d)), repeats=2).collect()
+    for r in got:
+        v = x.copy()
+        v[:, r.feature_idx] = x[explain.shuffled_index(np.arange(len(x)), len(x), 0, np.full(len(x), r.repeat)), r.feature_idx]
+        want = (((y - predict(v)) ** 2).sum() - ((y - predict(x)) ** 2).sum()) / sst
+        assert abs(r.importance - want) < 1e-9

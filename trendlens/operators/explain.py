@@ -1,18 +1,28 @@
 """Model explanation (G1-G9): tree SHAP, linear SHAP, importance, additivity,
 1-D / 2-D partial dependence, permutation importance.
 
-Tree SHAP (path-dependent, i.e. expectations under the trees' cover
-fractions) is evaluated leaf by leaf.  For a leaf whose path touches the
-feature set U, with cover fraction z_k and indicator o_k(x) of "x satisfies
-the path's conditions on k", the contribution to feature j is
-
-    v * (o_j - z_j) * sum_{S in U\\{j}} |S|!(|U|-|S|-1)!/|U|! prod_S o prod_rest z
-  = v * (o_j - z_j) * integral_0^1 prod_{k != j} ((1-t) z_k + t o_k) dt,
-
-a polynomial integral that Gauss-Legendre quadrature with ceil(depth/2)
-nodes evaluates exactly.  This vectorises over (rows x leaves) in numpy, so
-each Arrow batch is processed with array operations only.  The leaf table is
-broadcast (bounded by trees * 2**depth); rows stream through ``mapInPandas``.
+Rows enter tree SHAP as *signatures*: per feature, the number of the forest's
+thresholds below the value.  Rows of one signature take the same way through
+every tree, so they share their SHAP values exactly, whatever the values were.
+Signatures are hashed to blocks, trees dealt to groups (see ``forest``), and a
+task explains one block by one group; the values of a signature are the sum
+over groups.  A task thus holds one block and one group, however many rows or
+nodes there are.
+
+Tree SHAP is path-dependent (expectations under the trees' cover shares).  For a
+leaf whose path tests the features U, with cover share z_k and indicator o_k(x)
+of "x meets the path's conditions on k", feature j is credited
+
+    v * (o_j - z_j) * integral_0^1 prod_{k != j} ((1-t) z_k + t o_k) dt,
+
+a polynomial that Gauss-Legendre quadrature with ceil(|U|/2) nodes integrates
+exactly.  A depth-first walk keeps the product at the quadrature nodes for all
+rows of the block, and every edge credits its feature with the sum over the
+leaves below it.
+
+Partial dependence needs leaves only, never rows: every task adds up its leaves'
+steps over the grid.  ``leaf_counts`` replaces cover shares by counts of data
+rows, which gives the average prediction over the data.
 """
 
 from __future__ import annotations
@@ -22,187 +32,220 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendlens.functions.linalg import gauss_legendre_01
-from trendlens.operators.forest import LeafTable, broadcast_leaves
+from trendlens.operators.forest import Trees
 from trendlens.operators.gram import spread
 from trendlens.operators.index import stable_index
 from trendlens.operators.stats import exact_quantiles
+from trendlens.session import scratch_path
 
 GRID_RESOLUTION = 100
 PERCENTILES = (0.05, 0.95)
-_CELLS = 1 << 19  # rows * leaves * path * nodes per chunk (cache-sized)
+BLOCK_ROWS = 2048       # signatures explained by one task at a time
+MAX_TASKS = 20_000
+GRID_CELLS = 1024       # grid points of the features that one 2-D task holds
 
 
-# ------------------------------------------------------------------ tree SHAP
+# ----------------------------------------------------------------- signatures
 
-class _KernelCache:
-    """Row-independent pieces of the SHAP kernel, built once per task.
-
-    With o binary, each path factor (1-t) z + t o is either a = (1-t) z + t
-    or b = (1-t) z.  In log space the per-leaf product over the path is
-    sum(log b) + o . (log a - log b): a batched matrix product over the
-    path slots.  The leave-one-out quotient 1/f splits the same way
-    (1/b + o (1/a - 1/b)), so no (rows x leaves x path x nodes) array is ever
-    materialised."""
-
-    def __init__(self, lt: LeafTable, rows: int):
-        m = lt.max_path
-        q = max(1, (m + 1) // 2)
-        self.tq, self.wq = gauss_legendre_01(q)
-        valid = lt.feat >= 0
-        z = np.where(valid, lt.z, 1.0)
-        t = self.tq[None, None, :]
-        a = np.where(valid[..., None], (1.0 - t) * z[..., None] + t, 1.0)   # (L, m, Q)
-        b = np.where(valid[..., None], (1.0 - t) * z[..., None], 1.0)
-        self.c = np.log(b).sum(axis=1)                                       # (L, Q)
-        self.d = np.log(a) - np.log(b)                                       # (L, m, Q)
-        self.ib_t = np.ascontiguousarray((1.0 / b).transpose(0, 2, 1))      # (L, Q, m)
-        self.e_t = np.ascontiguousarray((1.0 / a - 1.0 / b).transpose(0, 2, 1))
-        self.zs = np.where(valid, lt.z, 0.0)
-        self.valid = valid
-        self.fi = np.where(valid, lt.feat, 0)
-        self.step = max(1, _CELLS // max(1, rows * m))
-        self.chunks = []
-        for s in range(0, lt.value.shape[0], self.step):
-            e = min(lt.value.shape[0], s + self.step)
-            f = self.fi[s:e]
-            scatter = np.zeros((f.size, lt.n_features))
-            scatter[np.arange(f.size), f.reshape(-1)] = self.valid[s:e].reshape(-1)
-            self.chunks.append((s, e, scatter))
-
-
-def shap_kernel(x: np.ndarray, lt: LeafTable, cache: _KernelCache | None = None) -> np.ndarray:
-    """SHAP values (B x p) of rows ``x`` for the forest in ``lt``."""
-    n = x.shape[0]
-    kc = cache or _KernelCache(lt, n)
-    phi = np.zeros((n, lt.n_features))
-    for s, e, scatter in kc.chunks:
-        xf = x[:, kc.fi[s:e]].transpose(1, 0, 2)                           # (Lc, B, m)
-        o = (((xf > lt.lo[s:e][:, None, :]) & (xf <= lt.hi[s:e][:, None, :]))
-             | ~kc.valid[s:e][:, None, :]).astype(float)
-        fw = np.exp(kc.c[s:e][:, None, :] + o @ kc.d[s:e]) * kc.wq        # (Lc, B, Q)
-        w = fw @ kc.ib_t[s:e] + o * (fw @ kc.e_t[s:e])                      # (Lc, B, m)
-        w *= (o - kc.zs[s:e][:, None, :]) * lt.value[s:e][:, None, None]
-        phi += w.transpose(1, 0, 2).reshape(n, -1) @ scatter
-    return phi
-
-
-_ROWS = 256
-
-
-def _shap_rows(x: np.ndarray, lt: LeafTable, cache: dict) -> np.ndarray:
-    out = []
-    for i in range(0, len(x), _ROWS):
-        blk = x[i:i + _ROWS]
-        key = len(blk)
-        if key not in cache:
-            cache[key] = _KernelCache(lt, key)
-        out.append(shap_kernel(blk, lt, cache[key]))
-    return np.vstack(out) if out else np.zeros((0, lt.n_features))
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """CPU-bound Python kernels need parallel tasks, not big partitions: AQE
-    would coalesce a small shuffle output into one task, so the number of
-    partitions is set explicitly (at least the session's shuffle setting)."""
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n)
+def _bin_rows(names: Sequence[str], cuts: Sequence[Sequence[float]], batch: pa.RecordBatch) -> np.ndarray:
+    """Bins (rows x features) of a batch; a missing value is above every cut."""
+    at = batch.schema.get_field_index
+    cols = [np.asarray(batch.column(at(n)).cast(pa.float64()).to_numpy(zero_copy_only=False), float) for n in names]
+    kind = np.uint16 if max(map(len, cuts), default=0) < 1 << 16 else np.uint32
+    return np.column_stack([np.searchsorted(c, x, side="left") for c, x in zip(cuts, cols)]).astype(kind)
 
 
-def _dedupe(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Distinct feature vectors with multiplicities (exact: SHAP is a
-    function of the feature vector), spread over parallel tasks."""
-    return _spread(df.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("_cnt")))
+def _packed(bins: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(bins)], pa.binary())
 
 
-def shap_importance(df: DataFrame, names: Sequence[str], lt: LeafTable, *, dedupe: bool = True) -> DataFrame:
-    """``feature_idx, feature, mean_abs_shap, mean_shap, n`` without
-    materialising the n x p SHAP matrix: each task emits per-feature partial
-    sums, merged by a p-row aggregate."""
-    spark = df.sparkSession
-    bc = broadcast_leaves(spark, lt)
-    names = list(names)
-    src = _dedupe(df, names) if dedupe else df.select(*names).withColumn("_cnt", F.lit(1.0))
-    schema = "feature_idx int, s_abs double, s_sgn double, n double"
-
-    def run(it):
-        tab = bc.value
-        cache: dict = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            x = pdf[names].to_numpy(dtype=float)
-            c = pdf["_cnt"].to_numpy(dtype=float)
-            phi = _shap_rows(x, tab, cache)
-            yield pd.DataFrame({"feature_idx": np.arange(len(names), dtype=np.int32),
-                                "s_abs": (np.abs(phi) * c[:, None]).sum(axis=0),
-                                "s_sgn": (phi * c[:, None]).sum(axis=0),
-                                "n": np.full(len(names), c.sum())})
-
-    parts = src.mapInPandas(run, schema)
-    fmap = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
-    return (parts.groupBy("feature_idx")
-                 .agg((F.sum("s_abs") / F.sum("n")).alias("mean_abs_shap"),
-                      (F.sum("s_sgn") / F.sum("n")).alias("mean_shap"),
-                      F.sum("n").cast("long").alias("n"))
-                 .select("feature_idx", fmap[F.col("feature_idx")].alias("feature"),
-                         "mean_abs_shap", "mean_shap", "n"))
-
-
-def shap_values(df: DataFrame, names: Sequence[str], lt: LeafTable, keep: Sequence[str]) -> DataFrame:
-    """G1: per-row SHAP values, long form ``keep..., feature, phi``."""
-    spark = df.sparkSession
-    bc = broadcast_leaves(spark, lt)
-    names, keep = list(names), list(keep)
-    key_fields = [df.schema[c] for c in keep]
-    schema = T.StructType(key_fields + [T.StructField("phi", T.ArrayType(T.DoubleType())),
-                                        T.StructField("base", T.DoubleType())])
-    base = lt.base_value
-
-    def run(it):
-        tab = bc.value
-        cache: dict = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            x = pdf[names].to_numpy(dtype=float)
-            phi = _shap_rows(x, tab, cache)
-            out = pdf[keep].copy()
-            out["phi"] = list(phi)
-            out["base"] = base
-            yield out
-
-    wide = spread(df.select(*keep, *names)).mapInPandas(run, schema)
-    return (wide.select(*keep, "base", F.posexplode("phi").alias("feature_idx", "phi"))
-                .withColumn("feature", F.element_at(F.array(*[F.lit(n) for n in names]),
-                                                    F.col("feature_idx") + 1)))
-
-
-def shap_additivity(df: DataFrame, names: Sequence[str], lt: LeafTable, prediction: str = "prediction") -> DataFrame:
-    """Max |base + sum(phi) - model prediction| (prediction from Spark ML)."""
-    spark = df.sparkSession
-    bc = broadcast_leaves(spark, lt)
-    names = list(names)
-    base = lt.base_value
+def _unpacked(column, n_features: int) -> np.ndarray:
+    """Bins (features x rows) of packed signatures."""
+    joined = b"".join(column)
+    kind = np.uint16 if len(joined) == 2 * n_features * len(column) else np.uint32
+    return np.ascontiguousarray(np.frombuffer(joined, kind).reshape(-1, n_features).T)
+
+
+def with_signature(df: DataFrame, names: Sequence[str], trees: Trees, keep: Sequence[str]) -> DataFrame:
+    """``keep`` columns and the row's signature ``_bins``."""
+    names, keep, cuts = list(names), list(keep), trees.cuts
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("_bins", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*cols, _packed(_bin_rows(fed, cuts, batch))], [*keep, "_bins"])
+
+    fed = [f"_x{i}" for i in range(len(names))]
+    src = df.select(*keep, *[F.col(n).cast("double").alias(x) for n, x in zip(names, fed)])
+    return spread(src).mapInArrow(run, schema)
+
+
+def signatures(df: DataFrame, names: Sequence[str], trees: Trees) -> tuple[DataFrame, int]:
+    """``_bins, _cnt``: the distinct signatures with their numbers of rows (each
+    batch counts its own first), stored, and how many there are."""
+    cuts, spark = trees.cuts, df.sparkSession
+    fed = [f"_x{i}" for i in range(len(names))]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                bins, n = np.unique(_bin_rows(fed, cuts, batch), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([_packed(bins), pa.array(n.astype(np.float64))], ["_bins", "_cnt"])
+
+    src = spread(df.select(*[F.col(n).cast("double").alias(x) for n, x in zip(names, fed)]))
+    path = scratch_path(spark, "signatures")
+    src.mapInArrow(run, "_bins binary, _cnt double").groupBy("_bins").agg(F.sum("_cnt").alias("_cnt")).write.parquet(path)
+    stored = spark.read.schema("_bins binary, _cnt double").parquet(path)
+    return stored, stored.count()
+
+
+def _blocks_by_groups(sig: DataFrame, n: int, table: DataFrame, trees: Trees, run, schema: str) -> DataFrame:
+    """``run(key, signatures, table rows)`` for every block of signatures and tree
+    group.  Both sides are dealt by (block, group): signatures go to every
+    group, groups to every block."""
+    n_blocks = max(1, -(-n // BLOCK_ROWS))
+    parts = min(MAX_TASKS, 4 * n_blocks * trees.n_groups)
+    rows = sig.withColumn("_block", F.pmod(F.xxhash64("_bins"), F.lit(n_blocks)).cast("int")).withColumn(
+        "group", F.explode(F.sequence(F.lit(0), F.lit(trees.n_groups - 1))))
+    every = table.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    deal = [F.col("_block"), F.col("group")]
+    return rows.repartition(parts, *deal).groupBy(*deal).cogroup(
+        every.repartition(parts, *deal).groupBy(*deal)).applyInPandas(run, schema)
 
-    def run(it):
-        tab = bc.value
-        cache: dict = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            x = pdf[names].to_numpy(dtype=float)
-            phi = _shap_rows(x, tab, cache)
-            err = np.abs(base + phi.sum(axis=1) - pdf[prediction].to_numpy(dtype=float))
-            yield pd.DataFrame({"max_err": [float(err.max())], "n": [len(x)]})
 
-    parts = spread(df.select(*names, prediction)).mapInPandas(run, "max_err double, n long")
-    return parts.agg(F.max("max_err").alias("max_abs_error"), F.sum("n").alias("n"))
+# ------------------------------------------------------------------ tree SHAP
+
+def _path_width(low, high, feature) -> int:
+    """The largest number of distinct features on a path."""
+    best, stack = 1, [(0, frozenset())]
+    while stack:
+        at, seen = stack.pop()
+        if low[at] < 0:
+            best = max(best, len(seen))
+        else:
+            seen = seen | {feature[at]}
+            stack += [(low[at], seen), (high[at], seen)]
+    return best
+
+
+def tree_phi(nodes: pd.DataFrame, cuts: Sequence[Sequence[float]], bins: np.ndarray, phi: np.ndarray) -> None:
+    """Add one tree's SHAP values of all rows (``bins``: features x rows) to
+    ``phi`` (features x rows)."""
+    by_id = nodes.set_index("id")
+    low, high = by_id["low"].to_dict(), by_id["high"].to_dict()
+    cover, value = by_id["cover"].to_dict(), by_id["value"].to_dict()
+    inner = by_id[by_id["low"] >= 0]
+    feature = {i: int(f) for i, f in inner["feature"].items()}
+    cut = {i: int(np.searchsorted(cuts[int(f)], c)) for i, f, c in zip(inner.index, inner["feature"], inner["cut"])}
+    t, w = gauss_legendre_01((_path_width(low, high, feature) + 1) // 2)
+    t, w = t[:, None], w[None, :]
+    path: dict[int, tuple] = {}
+
+    def credit(f, state, total, sign):
+        o, z, a, b = state
+        share = np.where(o, (w / a.T) @ total, (w / b.T) @ total)[0]
+        phi[f] += sign * np.where(o, 1.0 - z, -z) * share
+
+    def below(i, g):
+        if low[i] < 0:
+            return value[i] * g
+        f = feature[i]
+        goes_low = bins[f] <= cut[i]
+        old, total = path.get(f), None
+        for child, o in ((low[i], goes_low), (high[i], ~goes_low)):
+            z = cover[child] / cover[i]
+            if old is None:
+                a, b = (1.0 - t) * z + t, (1.0 - t) * z
+                factor = np.where(o, a, b)
+            else:
+                o0, z0, a0, b0 = old
+                z, o = z * z0, o & o0
+                a, b = (1.0 - t) * z + t, (1.0 - t) * z
+                factor = np.where(o, a / a0, np.where(o0, b / a0, b / b0))
+            path[f] = (o, z, a, b)
+            factor *= g
+            part = below(child, factor)
+            credit(f, path[f], part, 1.0)
+            if old is not None:
+                credit(f, old, part, -1.0)
+            total = part if total is None else np.add(total, part, out=total)
+        if old is None:
+            del path[f]
+        else:
+            path[f] = old
+        return total
+
+    below(0, np.ones((len(t), bins.shape[1])))
+
+
+def shap_by_signature(df: DataFrame, names: Sequence[str], trees: Trees) -> DataFrame:
+    """``_bins, _cnt, phi``: SHAP values of every signature of ``df``."""
+    sig, n = signatures(df, names, trees)
+    p, cuts = trees.n_features, trees.cuts
+
+    def run(key, rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or nodes.empty:
+            return pd.DataFrame({"_bins": [], "_cnt": [], "phi": []})
+        bins = _unpacked(rows["_bins"].tolist(), p)
+        phi = np.zeros((p, len(rows)))
+        for _, tree in nodes.groupby("tree", sort=True):
+            tree_phi(tree, cuts, bins, phi)
+        return pd.DataFrame({"_bins": rows["_bins"], "_cnt": rows["_cnt"], "phi": list(phi.T)})
+
+    nodes = trees.nodes(df.sparkSession)
+    parts = _blocks_by_groups(sig, n, nodes, trees, run, "_bins binary, _cnt double, phi array<double>")
+    if trees.n_groups == 1:
+        return parts
+    total = parts.groupBy("_bins").agg(F.first("_cnt").alias("_cnt"), Summarizer.sum(array_to_vector("phi")).alias("_v"))
+    return total.select("_bins", "_cnt", vector_to_array("_v").alias("phi"))
+
+
+def _named(names: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature_idx") + 1)
+
+
+def shap_importance(df: DataFrame, names: Sequence[str], trees: Trees) -> DataFrame:
+    """``feature_idx, feature, mean_abs_shap, mean_shap, n``, summed over
+    signatures with their numbers of rows."""
+    long = shap_by_signature(df, names, trees).select("_cnt", F.posexplode("phi").alias("feature_idx", "phi"))
+    total = F.sum("_cnt")
+    return (long.groupBy("feature_idx")
+                .agg((F.sum(F.abs("phi") * F.col("_cnt")) / total).alias("mean_abs_shap"),
+                     (F.sum(F.col("phi") * F.col("_cnt")) / total).alias("mean_shap"), total.cast("long").alias("n"))
+                .select("feature_idx", _named(names).alias("feature"), "mean_abs_shap", "mean_shap", "n"))
+
+
+def _rows_with_phi(df: DataFrame, names: Sequence[str], trees: Trees, keep: Sequence[str]) -> DataFrame:
+    return with_signature(df, names, trees, keep).join(shap_by_signature(df, names, trees), "_bins")
+
+
+def shap_values(df: DataFrame, names: Sequence[str], trees: Trees, keep: Sequence[str]) -> DataFrame:
+    """G1: per-row SHAP values, long form ``keep..., base, feature_idx, phi, feature``."""
+    return (_rows_with_phi(df, names, trees, keep)
+            .select(*keep, F.lit(trees.base_value).alias("base"), F.posexplode("phi").alias("feature_idx", "phi"))
+            .withColumn("feature", _named(names)))
+
+
+def shap_sums(df: DataFrame, names: Sequence[str], trees: Trees, keep: Sequence[str]) -> DataFrame:
+    """G2 by row: ``keep...`` and ``explained``, base plus all SHAP values."""
+    total = F.aggregate("phi", F.lit(trees.base_value), lambda a, x: a + x)
+    return _rows_with_phi(df, names, trees, keep).select(*keep, total.alias("explained"))
+
+
+def shap_additivity(df: DataFrame, names: Sequence[str], trees: Trees, prediction: str = "prediction") -> DataFrame:
+    """Max |base + sum(phi) - model prediction| (prediction from Spark ML)."""
+    sums = shap_sums(df, names, trees, [prediction])
+    return sums.agg(F.max(F.abs(F.col("explained") - F.col(prediction))).alias("max_abs_error"),
+                    F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------- linear SHAP
@@ -268,38 +311,116 @@ def pdp_grid(df: DataFrame, names: Sequence[str], resolution: int = GRID_RESOLUT
                                            "feature_idx int, feature string, values array<double>")
 
 
-def _pd_weights(lt: LeafTable, keep: set) -> np.ndarray:
-    """Leaf weights: value * product of cover fractions of features not in S."""
-    mask = np.isin(lt.feat, list(keep)) | (lt.feat < 0)
-    return lt.value * np.where(mask, 1.0, lt.z).prod(axis=1)
-
-
-def _pd_indicator(lt: LeafTable, j: int, values: np.ndarray) -> np.ndarray:
-    """(G x L): 1 where grid value is inside the leaf's interval for j (or
-    the leaf's path does not test j)."""
-    hit = lt.feat == j                                   # (L, m)
-    lo = np.where(hit, lt.lo, -np.inf).max(axis=1)
-    hi = np.where(hit, lt.hi, np.inf).min(axis=1)
-    v = values[:, None]
-    return ((v > lo[None, :]) & (v <= hi[None, :])).astype(float)
-
-
-def tree_pdp_1d(grid: DataFrame, lt: LeafTable) -> DataFrame:
-    """G6 ('recursion' method): PD_j(g) = sum_leaf w_leaf(j) * 1[g in leaf]."""
-    bc = broadcast_leaves(grid.sparkSession, lt)
-
-    def run(it):
-        tab = bc.value
-        for pdf in it:
-            out = []
-            for j, fname, vals in zip(pdf["feature_idx"], pdf["feature"], pdf["values"]):
-                vals = np.asarray(vals, dtype=float)
-                pd_ = _pd_indicator(tab, int(j), vals) @ _pd_weights(tab, {int(j)})
-                out.append(pd.DataFrame({"feature": fname, "value": vals, "pd": pd_}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return grid.mapInPandas(run, "feature string, value double, pd double")
+def leaf_counts(df: DataFrame, names: Sequence[str], trees: Trees, pairs: bool = True) -> DataFrame:
+    """Leaves with ``weights``: shares of the rows of ``df`` that meet all
+    conditions of the path, then, per feature of the path, all but its, then
+    (with ``pairs``) per pair of them, all but exactly the two.  The data-weighted
+    counterpart of cover shares."""
+    sig, n = signatures(df, names, trees)
+    p, cuts = trees.n_features, trees.cuts
+    rows_n = sig.agg(F.sum("_cnt")).first()[0] or 1.0
+    lists = ["feature", "above", "upto", "share"]
+
+    def run(key, rows: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        out = leaves.drop(columns="_block")
+        if leaves.empty or rows.empty:
+            out["weights"] = [[0.0]] * len(out)
+            return out.iloc[:0]
+        bins, cnt = _unpacked(rows["_bins"].tolist(), p), rows["_cnt"].to_numpy() / rows_n
+        weights = []
+        for feature, above, upto in zip(leaves["feature"], leaves["above"], leaves["upto"]):
+            m = len(feature)
+            lo = np.array([np.searchsorted(cuts[f], a) if a > -np.inf else -1 for f, a in zip(feature, above)], np.int64)
+            hi = np.array([np.searchsorted(cuts[f], u) if u < np.inf else 1 << 40 for f, u in zip(feature, upto)], np.int64)
+            x = bins[np.asarray(feature, int)]
+            off = (x <= lo[:, None]) | (x > hi[:, None])
+            missed = off.sum(axis=0)
+            one = missed == 1
+            row = [[cnt[missed == 0].sum()], off[:, one] @ cnt[one]]
+            if pairs:
+                two = missed == 2
+                both = (off[:, two] * cnt[two]) @ off[:, two].T
+                row.append(both[np.triu_indices(m, 1)])
+            weights.append(np.concatenate(row))
+        out["weights"] = weights
+        return out
+
+    leaves = trees.leaves(df.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in leaves.schema.fields) + ", weights array<double>"
+    parts = _blocks_by_groups(sig, n, leaves, trees, run, schema)
+    total = parts.groupBy("group", "tree", "leaf").agg(
+        F.first("value").alias("value"), *[F.first(c).alias(c) for c in lists],
+        Summarizer.sum(array_to_vector("weights")).alias("_w"))
+    return total.select("group", "tree", "leaf", "value", *lists, vector_to_array("_w").alias("weights"))
+
+
+class _Steps:
+    """Leaves of one frame, flattened: entry i says that leaf ``leaf[i]`` tests
+    ``feature[i]`` and allows ``(above[i], upto[i]]``."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        sizes = pdf["feature"].map(len).to_numpy(int)
+        flat = lambda c: np.concatenate([np.asarray(x, float) for x in pdf[c]] or [np.zeros(0)])
+        self.n, self.sizes = len(pdf), sizes
+        self.leaf = np.repeat(np.arange(len(pdf)), sizes)
+        self.feature, self.above, self.upto = flat("feature").astype(int), flat("above"), flat("upto")
+        value = pdf["value"].to_numpy(float)
+        if "weights" in pdf:
+            w = list(pdf["weights"])
+            one = np.concatenate([np.asarray(x[1:1 + m]) for x, m in zip(w, sizes)] or [np.zeros(0)])
+            self.whole = value * np.array([x[0] for x in w])           # all conditions met
+            self.extra = value[self.leaf] * one                        # all but this entry's
+            self.pair = [v * np.asarray(x[1 + m:]) for v, x, m in zip(value, w, sizes)]
+        else:
+            share = flat("share")
+            whole = np.ones(len(pdf))
+            np.multiply.at(whole, self.leaf, share)
+            self.whole = value * whole
+            self.extra = self.whole[self.leaf] * (1 / share - 1)
+            self.pair = None
+            self.share = share
+
+    def inside(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """(values x entries) whether a grid value is in the entries' intervals."""
+        return (values[:, None] > self.above[at]) & (values[:, None] <= self.upto[at])
+
+
+def _grid_values(grid: DataFrame) -> dict[int, tuple[str, np.ndarray]]:
+    """The grid on the driver: ``resolution`` values a feature at most."""
+    return {r["feature_idx"]: (r["feature"], np.asarray(r["values"], float))
+            for r in grid.select("feature_idx", "feature", "values").collect()}
+
+
+def _summed(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    return parts.groupBy(*by).agg(Summarizer.sum(array_to_vector("pd")).alias("_v")).select(
+        *by, vector_to_array("_v").alias("pd"))
+
+
+def tree_pdp_1d(grid: DataFrame, trees: Trees, leaves: DataFrame | None = None) -> DataFrame:
+    """Every feature's curve over its grid.  By default the recursion method
+    (cover shares); with ``leaves`` from ``leaf_counts`` the average prediction
+    over the data."""
+    spark = grid.sparkSession
+    values = _grid_values(grid)
+
+    def run(frames):
+        total = {j: np.zeros(len(v)) for j, (_, v) in values.items()}
+        for pdf in frames:
+            steps = _Steps(pdf)
+            for j, (_, v) in values.items():
+                at = np.flatnonzero(steps.feature == j)
+                c = steps.whole[steps.leaf[at]] + steps.extra[at]
+                order = np.argsort(v, kind="stable")
+                edge = np.zeros(len(v) + 1)
+                np.add.at(edge, np.searchsorted(v[order], steps.above[at], side="right"), c)
+                np.add.at(edge, np.searchsorted(v[order], steps.upto[at], side="right"), -c)
+                total[j][order] += steps.whole.sum() - steps.whole[steps.leaf[at]].sum() + np.cumsum(edge)[:-1]
+        yield pd.DataFrame({"feature_idx": list(total), "pd": list(total.values())})
+
+    src = leaves if leaves is not None else trees.leaves(spark)
+    sums = _summed(src.mapInPandas(run, "feature_idx int, pd array<double>"), ["feature_idx"])
+    at = grid.join(sums, "feature_idx").select("feature", F.explode(F.arrays_zip("values", "pd")).alias("g"))
+    return at.select("feature", F.col("g.values").alias("value"), F.col("g.pd").alias("pd"))
 
 
 def feature_pairs(grid: DataFrame, pairs: Sequence[tuple[int, int]] | None, n_features: int) -> DataFrame:
@@ -313,27 +434,93 @@ def feature_pairs(grid: DataFrame, pairs: Sequence[tuple[int, int]] | None, n_fe
     return pdf.join(F.broadcast(g1), "i").join(F.broadcast(g2), "j")
 
 
-def tree_pdp_2d(grid: DataFrame, lt: LeafTable, pairs=None) -> DataFrame:
-    """PD_{a,b}(g1, g2) = A_a diag(w) A_b^T per feature pair."""
-    bc = broadcast_leaves(grid.sparkSession, lt)
-    pr = feature_pairs(grid, pairs, lt.n_features)
+def _feature_blocks(values: dict, cells: int) -> list[list[int]]:
+    blocks, held = [[]], 0
+    for j, (_, v) in values.items():
+        if blocks[-1] and held + len(v) > cells:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(j)
+        held += len(v)
+    return blocks
 
-    def run(it):
-        tab = bc.value
-        for pdf in it:
-            out = []
-            for i, j, f1, f2, v1, v2 in zip(pdf["i"], pdf["j"], pdf["f1"], pdf["f2"], pdf["v1"], pdf["v2"]):
-                v1 = np.asarray(v1, dtype=float)
-                v2 = np.asarray(v2, dtype=float)
-                w = _pd_weights(tab, {int(i), int(j)})
-                mat = (_pd_indicator(tab, int(i), v1) * w) @ _pd_indicator(tab, int(j), v2).T
-                a, b = np.meshgrid(v1, v2, indexing="ij")
-                out.append(pd.DataFrame({"f1": f1, "v1": a.ravel(), "f2": f2, "v2": b.ravel(),
-                                         "pd": mat.ravel()}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
 
-    return pr.mapInPandas(run, "f1 string, v1 double, f2 string, v2 double, pd double")
+def tree_pdp_2d(grid: DataFrame, trees: Trees, pairs=None, leaves: DataFrame | None = None) -> DataFrame:
+    """Every pair's surface.  Features are dealt to blocks of ``GRID_CELLS``
+    grid points; leaves meet every pair of blocks, where the surfaces are one
+    matrix product over leaves.  ``leaves`` as in ``tree_pdp_1d``."""
+    spark = grid.sparkSession
+    values = _grid_values(grid)
+    wanted = set(pairs) if pairs is not None else set(itertools.combinations(sorted(values), 2))
+    wanted = {(i, j) for i, j in wanted if i in values and j in values}
+    blocks = _feature_blocks(values, GRID_CELLS)
+    of = {j: b for b, js in enumerate(blocks) for j in js}
+    meet = sorted({tuple(sorted((of[i], of[j]))) for i, j in wanted})
+
+    def member(steps: _Steps, j: int):
+        """Per grid value and leaf: 1 or 0, and the leaf's weight without j's condition besides the whole."""
+        at = np.flatnonzero(steps.feature == j)
+        hit = np.ones((len(values[j][1]), steps.n))
+        hit[:, steps.leaf[at]] = steps.inside(at, values[j][1])
+        extra = np.zeros(steps.n)
+        extra[steps.leaf[at]] = steps.extra[at]
+        return hit, extra
+
+    def surfaces(steps: _Steps, todo):
+        """Yield (i, j, surface) of the pairs in ``todo``."""
+        js = sorted({j for ij in todo for j in ij})
+        if steps.pair is None:
+            # weights factor: divide by j's share where j is tested
+            rows, at, start = [], {}, 0
+            for j in js:
+                hit, _ = member(steps, j)
+                e = np.flatnonzero(steps.feature == j)
+                hit[:, steps.leaf[e]] /= steps.share[e]
+                at[j] = slice(start, start + len(hit))
+                start += len(hit)
+                rows.append(hit)
+            a = np.vstack(rows)
+            m = (a * steps.whole) @ a.T
+            for i, j in todo:
+                yield i, j, m[at[i], at[j]]
+            return
+        parts = {j: member(steps, j) for j in js}
+        places = {}
+        tested = np.split(steps.feature, np.cumsum(steps.sizes)[:-1])
+        for k, (pair, f) in enumerate(zip(steps.pair, tested)):
+            for x, (u, v) in zip(pair, itertools.combinations(f.tolist(), 2)):
+                if x:
+                    places.setdefault((u, v), []).append((k, x))
+        for i, j in todo:
+            (a, ea), (b, eb) = parts[i], parts[j]
+            out = (a * (steps.whole + ea + eb)) @ b.T
+            both = places.get((min(i, j), max(i, j)))
+            if both:
+                k = np.array([x[0] for x in both])
+                out += (a[:, k] * np.array([x[1] for x in both])) @ b[:, k].T
+            yield i, j, out
+
+    def run(frames):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in frames:
+            for b, part in pdf.groupby("_meet"):
+                x, y = meet[b]
+                todo = sorted(ij for ij in wanted if tuple(sorted((of[ij[0]], of[ij[1]]))) == (x, y))
+                for lo in range(0, len(part), 4096):
+                    for i, j, surface in surfaces(_Steps(part.iloc[lo:lo + 4096]), todo):
+                        total[i, j] = total[i, j] + surface if (i, j) in total else surface.copy()
+        yield pd.DataFrame({"i": [k[0] for k in total], "j": [k[1] for k in total],
+                            "pd": [m.ravel() for m in total.values()]})
+
+    src = leaves if leaves is not None else trees.leaves(spark)
+    met = src.withColumn("_meet", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(meet) - 1)))))
+    if len(meet) > 1:
+        met = met.repartition("_meet", "group")
+    sums = _summed(met.mapInPandas(run, "i int, j int, pd array<double>"), ["i", "j"])
+    pr = feature_pairs(grid, sorted(wanted), trees.n_features).join(sums, ["i", "j"])
+    cell = pr.select("f1", "f2", F.posexplode("v1").alias("a", "v1"), "v2", "pd").select(
+        "f1", "v1", "f2", F.posexplode("v2").alias("b", "v2x"), F.size("v2").alias("w"), "a", "pd")
+    return cell.select("f1", "v1", "f2", F.col("v2x").alias("v2"), F.get("pd", F.col("a") * F.col("w") + F.col("b")).alias("pd"))
 
 
 def linear_pdp_1d(grid: DataFrame, beta: dict, means: dict, names: Sequence[str]) -> DataFrame:
@@ -367,15 +554,45 @@ def pdp_effect(pdp: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
 
 # --------------------------------------------------- permutation importance
 
+_ROUNDS = 6
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser, elementwise on uint64."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def shuffled_index(index: np.ndarray, n: int, seed: int, repeat: np.ndarray) -> np.ndarray:
+    """For every ``repeat`` a bijection of 0..n-1, computed entry by entry: a
+    Feistel network over the next even number of bits, walked until the value
+    is below n (walking a permutation's cycles is a permutation)."""
+    half = max(1, -(-max(1, int(n - 1).bit_length()) // 2))
+    mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
+    key = _scrambled(repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + 1))
+    x = index.astype(np.uint64)
+    todo = np.ones(len(x), bool)
+    with np.errstate(over="ignore"):
+        while todo.any():
+            left, right, k = x[todo] >> shift, x[todo] & mask, key[todo]
+            for r in range(_ROUNDS):
+                left, right = right, left ^ (_scrambled(right + k + np.uint64(r * 0x632BE5AB)) & mask)
+            x[todo] = (left << shift) | right
+            todo[todo] = x[todo] >= n
+    return x.astype(np.int64)
+
+
 def permutation_pairs(base: DataFrame, n: int, repeats: int, seed: int = 0) -> DataFrame:
-    """``repeat, donor_idx, rank``: for every repeat a bijection of the row
-    indices 0..n-1 (``row_idx`` of ``base``), from one distributed sort by
-    (repeat, seeded hash)."""
-    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-    h = base.select(F.col("row_idx").alias("donor_idx"), reps).withColumn(
-        "_h", F.xxhash64(F.col("donor_idx"), F.lit(seed), F.col("repeat")))
-    ranked, _ = stable_index(h, ["repeat", "_h", "donor_idx"], out="_g")
-    return ranked.select("repeat", "donor_idx", (F.col("_g") - F.col("repeat") * F.lit(n)).alias("rank"))
+    """``base`` once a repeat, with ``repeat`` and the row's donor ``donor_idx``:
+    for every repeat a bijection of the row indices 0..n-1 (``row_idx``),
+    computed where the row is."""
+    @F.pandas_udf("long")
+    def donor(index: pd.Series, repeat: pd.Series) -> pd.Series:
+        return pd.Series(shuffled_index(index.to_numpy(), n, seed, repeat.to_numpy()))
+
+    every = base.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    return every.withColumn("donor_idx", donor("row_idx", "repeat"))
 
 
 def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key: Sequence[str],
@@ -383,12 +600,13 @@ def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key:
                            seed: int = 0) -> DataFrame:
     """Drop in R^2 when one feature column is permuted.
 
-    A permutation pairs the rows with donors ranked by a seeded hash (see
-    ``permutation_pairs``), joined by index.  A variant differs from its row
-    only where the donor's value does, so the row's own prediction is kept once
-    and just the differing variants are scored by ``score`` (DataFrame ->
-    DataFrame with ``prediction``; e.g. a Spark ML model) where the joined row
-    is: what leaves a task is one sum a (repeat, feature).
+    Each row's donor in every repeat is computed from its index (see
+    ``permutation_pairs``) and its values come by one join on the index.  A
+    variant differs from its row only where the donor's value does, so the
+    row's own prediction is kept once and just the differing variants are scored
+    by ``score`` (DataFrame -> DataFrame with ``prediction``; e.g. a Spark ML
+    model, fitted or re-read) where the joined row is: what leaves a task is
+    one sum a (repeat, feature).
     Output: ``feature_idx, feature, repeat, r2_base, r2_perm, importance``.
     """
     names = list(names)
@@ -401,12 +619,11 @@ def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key:
     st = base.agg(F.var_pop(y).alias("vy"), F.count(F.lit(1)).alias("n"), F.sum(e0 * e0).alias("sse")).first()
     sst = float(st["vy"]) * float(st["n"])  # same for every permuted variant: y is untouched
     r2_base = 1.0 - st["sse"] / sst
-    donor = permutation_pairs(base, n, repeats, seed).join(
-        base.select(F.col("row_idx").alias("donor_idx"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)]),
-        "donor_idx")
-    joined = base.join(donor, base["row_idx"] == donor["rank"])
+    donors = base.select(F.col("row_idx").alias("donor_idx"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)])
+    # scoring, not the size of its input, sets the number of tasks
+    joined = permutation_pairs(base, n, repeats, seed).join(donors, "donor_idx")
     differs = F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_d{i}")), F.lit(i)) for i, c in enumerate(names)])
-    variants = (joined.select("*", F.explode(F.array_compact(differs)).alias("feature_idx"))
+    variants = (spread(joined).select("*", F.explode(F.array_compact(differs)).alias("feature_idx"))
                 .select("repeat", "feature_idx", label, "_f0",
                         *[F.when(F.col("feature_idx") == i, F.col(f"_d{i}")).otherwise(F.col(c)).alias(c)
                           for i, c in enumerate(names)]))

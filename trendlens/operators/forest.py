@@ -1,12 +1,14 @@
-"""Random forest regression (E5, E6) and its leaf-path table.
+"""Random forest regression (E5, E6) and its stored trees.
 
 Training is Spark ML's ``RandomForestRegressor`` (distributed histogram
-splits).  The fitted forest is saved under the shared checkpoint folder and
-its node table read back with Spark, then flattened into a *leaf-path table*:
-for every leaf, the value and, per feature on its path, the interval
-``(lo, hi]`` the path allows and the product of cover fractions of the path's
-splits on that feature.  Its size is bounded by ``trees * 2**max_depth``
-(never by data), which is what makes it safe to broadcast to SHAP/PDP tasks.
+splits) on a fixed layout of the rows, so that the bootstrap does not depend on
+how the input happened to be split.  The fitted forest is saved under the
+shared checkpoint folder and its node table read back with Spark.  ``tree_tables``
+deals the trees to groups of bounded size and stores two tables: the nodes, and
+one row a leaf with, for every feature on its path, the interval ``(above, upto]``
+that the path allows and the product of the cover shares of its splits on that
+feature.  Paths are built tree by tree in tasks; the driver sees one number a
+tree.
 """
 
 from __future__ import annotations
@@ -15,63 +17,61 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendlens.operators.index import stable_index
 from trendlens.session import scratch_path
 
 TREES = 200
 SEED = 42
-MAX_DEPTH = 8
+MAX_DEPTH = 30             # what Spark ML allows; trees stop earlier when no split gains
+GROUP_NODES = 100_000      # nodes of one tree group (about 6 MB), unless one tree has more
+LAYOUT_ROWS = 4096         # rows of a training partition ...
+LAYOUT_PARTS = 4096        # ... until there are so many partitions
 
 
 @dataclass
-class LeafTable:
-    feat: np.ndarray    # (L, m) int, -1 = padding
-    lo: np.ndarray      # (L, m)
-    hi: np.ndarray      # (L, m)
-    z: np.ndarray       # (L, m) cover fraction product, 1 for padding
-    value: np.ndarray   # (L,) leaf value / number of trees
-    tree: np.ndarray    # (L,)
+class Trees:
+    """Stored tables of a forest: ``nodes`` and ``leaves``, both with the tree's group."""
+    nodes_path: str
+    leaves_path: str
     n_features: int
     n_trees: int
+    n_groups: int
+    n_nodes: int
+    base_value: float      # expected output under the training covers
+    cuts: list             # sorted thresholds of every feature (max_bins - 1 at most)
 
-    @property
-    def base_value(self) -> float:
-        """Expected forest output under the training cover distribution."""
-        return float((self.value * self.z.prod(axis=1)).sum())
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.nodes_path)
 
-    @property
-    def max_path(self) -> int:
-        return int(self.feat.shape[1])
+    def leaves(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.leaves_path)
 
-    @property
-    def nbytes(self) -> int:
-        return int(sum(a.nbytes for a in (self.feat, self.lo, self.hi, self.z, self.value, self.tree)))
 
-
-MAX_BROADCAST_BYTES = 1 << 30
-
-
-def broadcast_leaves(spark: SparkSession, lt: LeafTable, limit: int = MAX_BROADCAST_BYTES):
-    """Broadcast the leaf table after checking its size.  It is bounded by
-    trees * 2**max_depth * max_depth (13 MB at 200 trees of depth 8); a forest
-    over the limit must be explained in tree groups (SHAP and PD are sums
-    over trees), so it is refused here rather than shipped."""
-    if lt.nbytes > limit:
-        raise ValueError(f"leaf table of {lt.nbytes} bytes exceeds the broadcast limit {limit}; "
-                         "use fewer/shallower trees or explain tree groups separately")
-    return spark.sparkContext.broadcast(lt)
+def laid_out(df: DataFrame, key: Sequence[str] | None) -> DataFrame:
+    """``df`` in a layout that follows from its rows alone: blocks of the index
+    in ``key`` order (all columns without a key), each block in order."""
+    order = list(key or [c for c, t in df.dtypes if t != "vector"])
+    idx, n = stable_index(df, order, out="_row")
+    parts = max(1, min(LAYOUT_PARTS, -(-n // LAYOUT_ROWS)))
+    block = F.floor(F.col("_row") * parts / max(1, n)).cast("int")
+    return idx.repartition(parts, block).sortWithinPartitions("_row").drop("_row")
 
 
 def fit_forest(df: DataFrame, label: str, features_col: str = "features", *, trees: int = TREES,
                max_depth: int = MAX_DEPTH, seed: int = SEED, max_bins: int = 32,
-               feature_subset: str = "all", min_instances: int = 1, bootstrap: bool = True):
+               feature_subset: str = "all", min_instances: int = 1, bootstrap: bool = True,
+               key: Sequence[str] | None = None):
     """E5: bootstrap forest, every feature considered at each split (the
-    reference's regression forest default).  ``max_depth`` is bounded (Spark
-    allows <= 30); depth also bounds the leaf table and SHAP cost.  A column
-    offers at most ``max_bins`` - 1 cuts (all midpoints when it has no more
-    distinct values); ``bootstrap=False`` trains every tree on all rows."""
+    reference's regression forest default), grown until no split gains or
+    ``max_depth`` (Spark allows 30).  A column offers at most ``max_bins`` - 1
+    cuts (all midpoints when it has no more distinct values);
+    ``bootstrap=False`` trains every tree on all rows.  With ``key`` rows are
+    laid out in its order first, and the forest does not depend on the input's
+    partitions."""
     from pyspark.ml.regression import RandomForestRegressor
 
     rf = RandomForestRegressor(featuresCol=features_col, labelCol=label, numTrees=trees,
@@ -83,7 +83,7 @@ def fit_forest(df: DataFrame, label: str, features_col: str = "features", *, tre
                                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     from trendlens.operators.gram import spread
 
-    return rf.fit(spread(df))
+    return rf.fit(laid_out(df, key) if key else spread(df))
 
 
 def save_model(spark: SparkSession, model, path: str | None = None) -> str:
@@ -100,75 +100,81 @@ def load_model(path: str):
     return RandomForestRegressionModel.load(path)
 
 
-def leaf_table(spark: SparkSession, model, n_features: int, path: str | None = None) -> LeafTable:
+def _node_table(spark: SparkSession, path: str, weights: Sequence[float]) -> DataFrame:
+    """One row a node: ``low`` is the child for values up to ``cut``.  A 0/1
+    category is split at one half."""
+    cut = F.col("nodeData.split.leftCategoriesOrThreshold")
+    numeric = F.col("nodeData.split.numCategories") < 0
+    left, right = F.col("nodeData.leftChild"), F.col("nodeData.rightChild")
+    only = F.when(F.size(cut) == 1, cut[0])
+    flip = ~numeric & (only == 1.0)
+    at = F.when(left < 0, None).when(numeric, cut[0]).when(only.isin(0.0, 1.0), 0.5).otherwise(
+        F.raise_error(F.lit("only binary categorical splits are supported")).cast("double"))
+    share = F.element_at(F.array(*[F.lit(float(w) / sum(weights)) for w in weights]), F.col("treeID") + 1)
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"),
+        F.when(flip, right).otherwise(left).alias("low"), F.when(flip, left).otherwise(right).alias("high"),
+        F.col("nodeData.split.featureIndex").alias("feature"), at.alias("cut"),
+        F.element_at("nodeData.impurityStats", 1).alias("cover"),
+        F.when(left < 0, F.col("nodeData.prediction") * share).alias("value"))
+
+
+LEAF_SCHEMA = ("group int, tree int, leaf int, value double, feature array<int>, above array<double>, "
+               "upto array<double>, share array<double>")
+
+
+def _leaf_paths(nodes: pd.DataFrame) -> pd.DataFrame:
+    """Leaves of one tree, in order from low to high."""
+    nodes = nodes.set_index("id")
+    low, high = nodes["low"].to_dict(), nodes["high"].to_dict()
+    feature, cut = nodes["feature"].to_dict(), nodes["cut"].to_dict()
+    cover, value = nodes["cover"].to_dict(), nodes["value"].to_dict()
+    rows, stack = [], [(0, {})]
+    while stack:
+        at, path = stack.pop()
+        if low[at] < 0:
+            f = sorted(path)
+            rows.append((value[at], f, *[[path[k][i] for k in f] for i in range(3)]))
+            continue
+        f, c = feature[at], cut[at]
+        above, upto, share = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, a, u in ((high[at], max(above, c), upto), (low[at], above, min(upto, c))):
+            stack.append((child, {**path, f: (a, u, share * cover[child] / cover[at])}))
+    out = pd.DataFrame(rows, columns=["value", "feature", "above", "upto", "share"])
+    out.insert(0, "leaf", np.arange(len(out), dtype=np.int32))
+    out.insert(0, "tree", np.int32(nodes["tree"].iloc[0]))
+    out.insert(0, "group", np.int32(nodes["group"].iloc[0]))
+    return out
+
+
+def tree_tables(spark: SparkSession, model, n_features: int, path: str | None = None,
+                group_nodes: int = GROUP_NODES) -> Trees:
+    """Store the node and leaf tables of a fitted (or re-read) forest.
+
+    Trees are dealt to groups of at most ``group_nodes`` nodes (a larger tree is
+    a group of its own): a group is what one explaining task holds.
+    """
     path = save_model(spark, model, path)
-    nodes = (spark.read.parquet(f"{path}/data")
-             .select("treeID", F.col("nodeData.id").alias("id"),
-                     F.col("nodeData.prediction").alias("prediction"),
-                     F.element_at("nodeData.impurityStats", 1).alias("cover"),
-                     F.col("nodeData.leftChild").alias("left"),
-                     F.col("nodeData.rightChild").alias("right"),
-                     F.col("nodeData.split.featureIndex").alias("feature"),
-                     F.col("nodeData.split.leftCategoriesOrThreshold").alias("cut"),
-                     F.col("nodeData.split.numCategories").alias("ncat"))
-             .toPandas())  # bounded: trees * (2**(max_depth+1) - 1) rows
     weights = list(model.treeWeights)
-    n_trees = len(weights)
-    leaves = []
-    for tid, grp in nodes.groupby("treeID"):
-        by_id = {int(r.id): r for r in grp.itertuples(index=False)}
-        wt = weights[int(tid)] / sum(weights)
-        stack = [(0, {})]
-        while stack:
-            nid, bounds = stack.pop()
-            r = by_id[nid]
-            if r.left < 0:
-                leaves.append((int(tid), float(r.prediction) * wt, bounds))
-                continue
-            f = int(r.feature)
-            cut = list(r.cut)
-            lch, rch = by_id[int(r.left)], by_id[int(r.right)]
-            if int(r.ncat) < 0:
-                thr = float(cut[0])
-                l_iv, r_iv = (-np.inf, thr), (thr, np.inf)
-            else:
-                # categorical split on a 0/1 feature: left set lists categories
-                left_set = {float(c) for c in cut}
-                if left_set == {0.0}:
-                    l_iv, r_iv = (-np.inf, 0.5), (0.5, np.inf)
-                elif left_set == {1.0}:
-                    l_iv, r_iv = (0.5, np.inf), (-np.inf, 0.5)
-                else:
-                    raise ValueError("only binary categorical splits are supported")
-            for child, iv in ((lch, l_iv), (rch, r_iv)):
-                frac = float(child.cover) / float(r.cover) if r.cover else 0.0
-                nb = dict(bounds)
-                lo, hi, z = nb.get(f, (-np.inf, np.inf, 1.0))
-                nb[f] = (max(lo, iv[0]), min(hi, iv[1]), z * frac)
-                stack.append((int(child.id), nb))
-    m = max([len(b) for _, _, b in leaves] + [1])
-    L = len(leaves)
-    feat = np.full((L, m), -1, dtype=np.int64)
-    lo = np.full((L, m), -np.inf)
-    hi = np.full((L, m), np.inf)
-    z = np.ones((L, m))
-    val = np.zeros(L)
-    tree = np.zeros(L, dtype=np.int64)
-    for i, (tid, v, b) in enumerate(leaves):
-        val[i] = v
-        tree[i] = tid
-        for k, (f, (a, c, zz)) in enumerate(sorted(b.items())):
-            feat[i, k], lo[i, k], hi[i, k], z[i, k] = f, a, c, zz
-    return LeafTable(feat, lo, hi, z, val, tree, n_features, n_trees)
-
-
-def predict_leaves(lt: LeafTable, x: np.ndarray) -> np.ndarray:
-    """Forest prediction from the leaf table (used for additivity checks)."""
-    valid = lt.feat >= 0
-    xf = x[:, np.where(valid, lt.feat, 0)]
-    inside = ((xf > lt.lo) & (xf <= lt.hi)) | ~valid
-    hit = inside.all(axis=2)
-    return hit.astype(float) @ lt.value
+    nodes = _node_table(spark, path, weights)
+    sizes = {r["tree"]: r["n"] for r in nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()}
+    group, held, groups = 0, 0, []
+    for t in range(len(weights)):
+        if held and held + sizes[t] > group_nodes:
+            group, held = group + 1, 0
+        held += sizes[t]
+        groups.append(group)
+    of_tree = F.element_at(F.array(*[F.lit(g) for g in groups]), F.col("tree") + 1)
+    nodes_path, leaves_path = scratch_path(spark, "nodes"), scratch_path(spark, "leaves")
+    nodes.withColumn("group", of_tree).write.parquet(nodes_path)
+    stored = spark.read.parquet(nodes_path)
+    stored.groupBy("tree").applyInPandas(_leaf_paths, LEAF_SCHEMA).write.parquet(leaves_path)
+    whole = F.aggregate("share", F.lit(1.0), lambda a, s: a * s)
+    base = spark.read.parquet(leaves_path).agg(F.sum(F.col("value") * whole)).first()[0]
+    cuts = [[] for _ in range(n_features)]
+    for r in stored.where("low >= 0").groupBy("feature").agg(F.sort_array(F.collect_set("cut")).alias("c")).collect():
+        cuts[r["feature"]] = list(r["c"])
+    return Trees(nodes_path, leaves_path, n_features, len(weights), group + 1, sum(sizes.values()), float(base), cuts)
 
 
 def assemble(df: DataFrame, names: Sequence[str], out: str = "features", keep: Sequence[str] = ()) -> DataFrame:

@@ -119,13 +119,13 @@ def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | No
             sub = wide.where(F.col(tgt).isNotNull())
             vec = forest.assemble(sub, fs.names, keep=keep + [tgt])
             model = forest.fit_forest(vec, tgt, trees=opts.trees, max_depth=opts.max_depth,
-                                      max_bins=opts.max_bins, bootstrap=opts.bootstrap)
+                                      max_bins=opts.max_bins, bootstrap=opts.bootstrap, key=keep or None)
             run.models[tgt] = model
             mets.append(stats.metrics(model.transform(vec), tgt, "prediction").withColumn("target", F.lit(tgt)))
             if keep:
                 cvs.append(forest_cv(vec, tgt, keep, opts).withColumn("target", F.lit(tgt)))
             if opts.run_shap or opts.run_pdp:
-                lt = forest.leaf_table(spark, model, len(fs.names))
+                lt = forest.tree_tables(spark, model, len(fs.names))
                 imp = None
                 if opts.run_shap:
                     imp = explain.shap_importance(sub, fs.names, lt).withColumn("target", F.lit(tgt))
@@ -168,7 +168,7 @@ def forest_cv(vec: DataFrame, label: str, key, opts: Options) -> DataFrame:
     outs = []
     for k in range(opts.cv_folds):
         m = forest.fit_forest(folded.where(F.col("fold") != k), label, trees=opts.trees, max_depth=opts.max_depth,
-                              max_bins=opts.max_bins, bootstrap=opts.bootstrap)
+                              max_bins=opts.max_bins, bootstrap=opts.bootstrap, key=key)
         outs.append(stats.metrics(m.transform(folded.where(F.col("fold") == k)), label, "prediction")
                     .select(F.lit(k).alias("fold"), "r2"))
     out = outs[0]

@@ -85,8 +85,7 @@ def q_perm_pairing(spark, sf):
     base, n = stable_index(fr.table(spark, sf, "part").select("p_partkey"), ["p_partkey"])
     base = base.select("row_idx")
     pairs = explain.permutation_pairs(base, n, repeats=3)
-    j = base.join(pairs, base["row_idx"] == pairs["rank"])
-    return j.groupBy("repeat").agg(F.count(F.lit(1)).alias("receivers"), F.countDistinct("row_idx").alias("rows"),
+    return pairs.groupBy("repeat").agg(F.count(F.lit(1)).alias("receivers"), F.countDistinct("row_idx").alias("rows"),
                                    F.countDistinct("donor_idx").alias("donors"))
 
 
@@ -511,8 +510,8 @@ def _forest(spark, sf, trees=forest.TREES, depth=forest.MAX_DEPTH):
         # read by training, SHAP, PDP grids and permutation: cached like an estimator input
         wide = fs.transform(p, keep=["p_partkey", "p_retailprice"]).persist(StorageLevel.MEMORY_AND_DISK)
         vec = forest.assemble(wide, fs.names, keep=["p_partkey", "p_retailprice"])
-        model = forest.fit_forest(vec, "p_retailprice", trees=trees, max_depth=depth)
-        lt = forest.leaf_table(spark, model, len(fs.names))
+        model = forest.fit_forest(vec, "p_retailprice", trees=trees, max_depth=depth, key=["p_partkey"])
+        lt = forest.tree_tables(spark, model, len(fs.names))
         _FOREST_CACHE[key] = (fs, wide, vec, model, lt)
     return _FOREST_CACHE[key]
 
@@ -537,9 +536,8 @@ def q_tree_shap_importance(spark, sf):
 
 def q_tree_shap_additivity(spark, sf):
     fs, wide, vec, model, lt = _forest(spark, sf)
-    pred = model.transform(vec)
-    add = explain.shap_additivity(pred, fs.names, lt)
-    return add.select((F.col("max_abs_error") < 1e-6).alias("additive"), "n")
+    add = explain.shap_additivity(model.transform(vec), fs.names, lt)
+    return add.select(_rz("max_abs_error", D6), "n")
 
 
 def q_tree_shap_values(spark, sf):
@@ -607,8 +605,8 @@ _STUMP = {"trees": 1, "max_depth": 1, "max_bins": 256, "bootstrap": False}
 def _stump(spark, sf):
     """A forest of one tree with one split, every midpoint a candidate."""
     p, names, vec = _stump_input(spark, sf)
-    model = forest.fit_forest(vec, "p_retailprice", **_STUMP)
-    return p, names, vec, model, forest.leaf_table(spark, model, len(names))
+    model = forest.fit_forest(vec, "p_retailprice", **_STUMP, key=["p_partkey"])
+    return p, names, vec, model, forest.tree_tables(spark, model, len(names))
 
 
 def _rz(c, d):
@@ -618,9 +616,11 @@ def _rz(c, d):
 def q_stump_leaves(spark, sf):
     """E5: split feature, interval, cover and value of both leaves."""
     p, names, vec, model, lt = _stump(spark, sf)
-    rows = [(names[int(f)], None if lo == float("-inf") else float(lo), None if hi == float("inf") else float(hi),
-             float(z), float(v)) for f, lo, hi, z, v in zip(lt.feat[:, 0], lt.lo[:, 0], lt.hi[:, 0], lt.z[:, 0], lt.value)]
-    out = spark.createDataFrame(rows, "feature string, above double, upto double, cover double, value double")
+    end = F.lit(float("inf"))
+    out = lt.leaves(spark).select(
+        F.array(*[F.lit(n) for n in names])[F.col("feature")[0]].alias("feature"),
+        F.nullif(F.col("above")[0], -end).alias("above"), F.nullif(F.col("upto")[0], end).alias("upto"),
+        F.col("share")[0].alias("cover"), "value")
     return out.select("feature", "above", "upto", _r("cover", D8), _r("value", D6))
 
 
@@ -682,6 +682,67 @@ def q_stump_pdp_2d(spark, sf):
     return explain.tree_pdp_2d(explain.pdp_grid(p, names), lt).select("f1", "v1", "f2", "v2", _r("pd", D6))
 
 
+def q_stump_pdp_mean(spark, sf):
+    """G6 by average prediction: curves over the large parts' rows only."""
+    p, names, vec, model, lt = _stump(spark, sf)
+    leaves = explain.leaf_counts(p.where("is_large = 1"), names, lt, pairs=False)
+    return explain.tree_pdp_1d(explain.pdp_grid(p, names), lt, leaves).select("feature", "value", _r("pd", D6))
+
+
+def q_stump_pdp_mean_2d(spark, sf):
+    """G7 by average prediction, over the large parts' rows only."""
+    p, names, vec, model, lt = _stump(spark, sf)
+    leaves = explain.leaf_counts(p.where("is_large = 1"), names, lt)
+    return explain.tree_pdp_2d(explain.pdp_grid(p, names), lt, leaves=leaves).select("f1", "v1", "f2", "v2", _r("pd", D6))
+
+
+# ------------------- one tree grown to the end: predictions are cell means
+
+def _deep(spark, sf):
+    p, names, vec = _stump_input(spark, sf)
+    model = forest.fit_forest(vec, "p_retailprice", trees=1, max_bins=256, bootstrap=False, key=["p_partkey"])
+    return p, names, vec, model
+
+
+def q_deep_tree_metrics(spark, sf):
+    """A tree without a depth limit predicts the mean of every (size, large) cell."""
+    p, names, vec, model = _deep(spark, sf)
+    return stats.metrics(model.transform(vec), "p_retailprice", "prediction").select(
+        "n", _r("r2", D8), _r("mae", D6), _r("rmse", D6))
+
+
+def q_deep_shap_sums(spark, sf):
+    """Base and SHAP values of every row of the deep tree add up to its cell's mean."""
+    p, names, vec, model = _deep(spark, sf)
+    trees = forest.tree_tables(spark, model, len(names))
+    return explain.shap_sums(p, names, trees, ["p_partkey"]).select("p_partkey", _r("explained", D6))
+
+
+def q_deep_leaf_totals(spark, sf):
+    """E5: covers of the deep tree's leaves add up to one, their weighted values to the mean."""
+    p, names, vec, model = _deep(spark, sf)
+    trees = forest.tree_tables(spark, model, len(names))
+    share = F.aggregate("share", F.lit(1.0), lambda a, x: a * x)
+    return trees.leaves(spark).agg(F.count(F.lit(1)).alias("leaves"), F.round(F.sum(share), D8).alias("cover"),
+                                   F.round(F.sum(share * F.col("value")), D6).alias("base"))
+
+
+def q_perm_stored_model(spark, sf):
+    """Permutation importance of a model that was saved and read back."""
+    from pyspark.ml.feature import VectorAssembler
+
+    p, names, vec, model = _deep(spark, sf)
+    again = forest.load_model(forest.save_model(spark, model))
+    narrow = VectorAssembler(inputCols=names, outputCol="features")
+    perm = explain.permutation_importance(
+        p.withColumn("unused", F.lit(1.0)), [*names, "unused"], "p_retailprice", ["p_partkey"],
+        lambda d: again.transform(narrow.transform(d)), repeats=3)
+    s = explain.permutation_summary(perm)
+    base = perm.agg(F.max("r2_base").alias("r2_base"))
+    return s.crossJoin(F.broadcast(base)).select(
+        "feature", _r("r2_base", D8), (F.col("importance_mean") > 0).alias("matters"))
+
+
 # ------------------------------------------------------------------ roll-ups
 
 def q_param_rollup(spark, sf):
@@ -865,4 +926,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stump_shap_by_parameter": q_stump_shap_by_parameter,
     "stump_pdp_1d": q_stump_pdp_1d,
     "stump_pdp_2d": q_stump_pdp_2d,
+    "stump_pdp_mean": q_stump_pdp_mean,
+    "stump_pdp_mean_2d": q_stump_pdp_mean_2d,
+    "deep_tree_metrics": q_deep_tree_metrics,
+    "deep_shap_sums": q_deep_shap_sums,
+    "deep_leaf_totals": q_deep_leaf_totals,
+    "perm_stored_model": q_perm_stored_model,
 }

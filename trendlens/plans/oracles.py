@@ -268,6 +268,35 @@ SELECT 'p_size' AS f1, v1, 'is_large' AS f2, v2,
        round(CASE WHEN CASE WHEN sf = 'p_size' THEN v1 ELSE v2 END <= thr THEN ml ELSE mr END, 6) AS pd
 FROM g1, g2, sp, lv""",
 
+    "stump_pdp_mean": "WITH " + _STUMP + """,
+gd AS (SELECT DISTINCT 'p_size' AS feature, x1 AS v FROM d UNION ALL SELECT DISTINCT 'is_large', x2 FROM d),
+av AS (SELECT avg(CASE WHEN lft THEN ml ELSE mr END) AS base_large FROM sd, lv WHERE x2 = 1)
+SELECT feature, v AS value, round(CASE WHEN feature <> sf THEN base_large WHEN v <= thr THEN ml ELSE mr END, 6) AS pd
+FROM gd, sp, lv, av""",
+
+    "stump_pdp_mean_2d": "WITH " + _STUMP + """,
+g1 AS (SELECT DISTINCT x1 AS v1 FROM d), g2 AS (SELECT DISTINCT x2 AS v2 FROM d)
+SELECT 'p_size' AS f1, v1, 'is_large' AS f2, v2,
+       round(CASE WHEN CASE WHEN sf = 'p_size' THEN v1 ELSE v2 END <= thr THEN ml ELSE mr END, 6) AS pd
+FROM g1, g2, sp, lv""",
+
+    "deep_tree_metrics": """
+WITH d AS (SELECT p_retailprice AS y, avg(p_retailprice) OVER (PARTITION BY p_size, p_type = 'LARGE') AS f FROM part)
+SELECT count(*) AS n, round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*)), 8) AS r2, round(avg(abs(y - f)), 6) AS mae,
+       round(sqrt(avg((y - f) * (y - f))), 6) AS rmse FROM d""",
+
+    "deep_shap_sums": """
+SELECT p_partkey, round(avg(p_retailprice) OVER (PARTITION BY p_size, p_type = 'LARGE'), 6) AS explained FROM part""",
+
+    "deep_leaf_totals": """
+SELECT (SELECT count(*) FROM (SELECT DISTINCT p_size, p_type = 'LARGE' FROM part)) AS leaves, CAST(1 AS DOUBLE) AS cover,
+       round(avg(p_retailprice), 6) AS base FROM part""",
+
+    "perm_stored_model": """
+WITH d AS (SELECT p_retailprice AS y, avg(p_retailprice) OVER (PARTITION BY p_size, p_type = 'LARGE') AS f FROM part),
+r AS (SELECT round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*)), 8) AS r2_base FROM d)
+SELECT feature, r2_base, feature <> 'unused' AS matters FROM r, (VALUES ('p_size'), ('is_large'), ('unused')) v(feature)""",
+
     "sql_source": "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part WHERE p_brand IS NOT NULL",
 
     "csv_roundtrip": """
@@ -517,7 +546,7 @@ WITH d AS (SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_type = 'LARGE' AS DOUBLE)
 g1 AS (SELECT DISTINCT x1 AS v1 FROM d), g2 AS (SELECT DISTINCT x2 AS v2 FROM d)
 SELECT 'p_size' AS f1, v1, 'is_large' AS f2, v2, round(a + b1 * v1 + b2 * v2, 6) AS pd FROM g1, g2, h""",
 
-    "tree_shap_additivity": "SELECT true AS additive, count(*) AS n FROM part",
+    "tree_shap_additivity": "SELECT CAST(0 AS DOUBLE) AS max_abs_error, count(*) AS n FROM part",
 
     "linear_shap_values": """
 WITH s AS (SELECT regr_slope(p_retailprice, p_size) AS b, avg(p_size) AS m FROM part)

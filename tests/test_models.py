@@ -126,6 +126,66 @@ def test_wide_depth_is_fitted(spark):
     assert st[2] == ("fitted", 1080, 1080) and fit.coefficients.where("depth = 2").count() == 1080
 
 
+def _raw_design(pdf, cats, nums, levels, d):
+    cols = interact.design(cats, nums, levels, d)
+    return [c.term for c in cols], np.column_stack([np.ones(len(pdf))] + [
+        np.prod([(pdf[f] == lv).astype(float) if lv is not None else pdf[f] for f, lv in c.spec], axis=0) for c in cols[1:]])
+
+
+def test_interactions_from_cells_equal_least_squares_on_rows(spark):
+    rng = np.random.default_rng(21)
+    n = 400
+    pdf = pd.DataFrame({"a": rng.choice(list("pqr"), n), "b": rng.choice(list("uv"), n), "x": rng.normal(50, 3, n),
+                        "z": rng.uniform(-1, 1, n)})
+    pdf["y"] = (pdf.a == "q") * pdf.x + pdf.z * pdf.x + rng.normal(size=n)
+    pdf["w"] = np.where(np.arange(n) % 5 == 0, np.nan, pdf.y * 2 + pdf.z)
+    levels = {"a": ["p", "q", "r"], "b": ["u", "v"]}
+    fit = interact.interactions(spark.createDataFrame(pdf), ["a", "b"], ["x", "z"], ["y", "w"], levels=levels)
+    for t in ("y", "w"):
+        some = pdf[pdf[t].notna()]
+        for d in range(1, 5):
+            terms, m = _raw_design(some, ["a", "b"], ["x", "z"], levels, d)
+            want = np.linalg.lstsq(m, some[t].to_numpy(), rcond=None)[0]
+            got = {r.term: r.coef for r in fit.coefficients.where(f"depth = {d} and target = '{t}'").collect()}
+            assert list(got) and np.allclose([got[x] for x in terms], want, rtol=1e-5, atol=1e-6), (t, d)
+            r = fit.status.where(f"depth = {d} and target = '{t}'").first()
+            assert (r.n, r["rank"], r.status) == (len(some), m.shape[1], "fitted")
+
+
+def test_interactions_on_large_means(spark):
+    """Epoch seconds: an exact line keeps its intercept and slope."""
+    i = np.arange(3000)
+    pdf = pd.DataFrame({"t": 1.7e9 + (i * 7919) % 10007, "z": (i * 31) % 17 / 4.0})
+    pdf["y"] = 2e-4 * pdf.t
+    fit = interact.interactions(spark.createDataFrame(pdf), [], ["t", "z"], ["y"])
+    c = {r.term: r.coef for r in fit.coefficients.where("depth = 1").collect()}
+    assert abs(c["Intercept"]) < 1e-3 and abs(c['Q("t")'] / 2e-4 - 1) < 1e-9 and abs(c['Q("z")']) < 1e-9
+    assert fit.status.where("status = 'fitted'").count() == 2
+
+
+def test_a_wide_depth_is_solved_from_few_cells_or_fails_alone(spark):
+    rng = np.random.default_rng(2)
+    n = 60
+    pdf = pd.DataFrame({c: [f"{c}{v}" for v in rng.integers(0, 11, n)] for c in "abcd"})
+    pdf["y"] = rng.normal(size=n)
+    pdf = pd.concat([pdf, pdf.assign(y=pdf.y + 1)], ignore_index=True)
+    df = spark.createDataFrame(pdf)
+    fit = interact.interactions(df, list("abcd"), [], ["y"])
+    st = {r.depth: r for r in fit.status.collect()}
+    levels = {c: sorted(pdf[c].unique()) for c in "abcd"}
+    assert st[4].status == "fitted" and st[4].n_columns == np.prod([len(levels[c]) for c in "abcd"]) > 5000
+    cells = pdf.groupby(list("abcd")).y.mean()
+    assert st[4]["rank"] == len(cells) and st[4].n == len(pdf)
+    terms, m = _raw_design(pdf, list("abcd"), [], levels, 4)
+    got = {r.term: r.coef for r in fit.coefficients.where("depth = 4").collect()}
+    beta = np.array([got[x] for x in terms])
+    assert np.allclose(m @ beta, pdf.join(cells.rename("f"), on=list("abcd")).f)
+    assert np.allclose(beta, np.linalg.pinv(m) @ pdf.y.to_numpy(), atol=1e-8)
+    narrow = interact.interactions(df, list("abcd"), [], ["y"], max_columns=50)
+    assert {r.depth: r.status for r in narrow.status.collect()} == {1: "fitted", 2: "too wide", 3: "too wide", 4: "too wide"}
+    assert {r.depth for r in narrow.coefficients.collect()} == {1}
+
+
 def test_failing_depth_leaves_the_others(spark):
     # squares of x stay finite, those of x times z do not
     pdf = pd.DataFrame({"x": [1e90, 2e90, 4e90, 5e90], "z": [1e90, 7e90, 2e90, 3e90], "y": [1.0, 2.0, 3.0, 5.0]})

@@ -86,10 +86,15 @@ def solve_moments(g, k: int, n: float, *, alpha: float = 0.05, shift=None):
         project = np.eye(k - 1) - basis @ basis.T
         beta, full = project @ beta, project @ full @ project
     rank = k - 1 - null.shape[1] if sw > 0 else 0
-    rss = max(tss - slopes @ b, 0.0)
+    return inference(beta, np.diag(full), n, rank, max(tss - slopes @ b, 0.0), tss, alpha)
+
+
+def inference(beta, unscaled, n: float, rank: int, rss: float, tss: float, alpha: float = 0.05) -> dict:
+    """Standard errors, t, p and limits from coefficients and the diagonal of
+    the unscaled covariance, with fit statistics."""
     df_resid = n - rank
     sigma2 = rss / df_resid if df_resid > 0 else float("nan")
-    se = np.sqrt(np.clip(np.diag(full) * sigma2, 0.0, None)) if df_resid > 0 else np.full(len(beta), np.nan)
+    se = np.sqrt(np.clip(unscaled * sigma2, 0.0, None)) if df_resid > 0 else np.full(len(beta), np.nan)
     with np.errstate(divide="ignore", invalid="ignore"):
         tval = np.where(se > 0, beta / se, np.nan)
     pval = np.array([t_sf2(float(t), df_resid) if np.isfinite(t) else float("nan") for t in tval])

@@ -8,10 +8,16 @@ into subsets of reduced factors, subsets already spanned are dropped and
 pairs S, S+{f-} are merged into f+), which yields exactly as many columns
 as the design's rank on full factorial data.
 
-Execution: every depth's design columns are Spark expressions; ONE pass
-computes the moment matrices of all depths and all targets together
-(``moments`` with one block per depth), then each (target, depth) is solved
-in a small task.  Raw (unscaled) inputs are used, as in the reference.
+Execution: ONE ``groupBy`` of all categorical inputs gives the *cells*, each
+with sums of products of the numeric inputs (about their means) and targets.
+No row is read again: in a cell every design column is a fixed product of
+numeric inputs or zero, so a depth's moment matrix is assembled from cells, as
+``(i, j, sum)`` triples that Spark adds up, and every (target, depth) is solved
+in a task of its own.  A depth of more than ``max_columns`` columns is solved
+from its cells when they are few, and is else reported as too wide, alone.
+Products of inputs far from zero are expanded about the means, so epoch
+seconds keep their precision.  Raw (unscaled) inputs are used, as in the
+reference.
 """
 
 from __future__ import annotations
@@ -22,13 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendlens.functions.linalg import solve_moments
+from trendlens.functions.linalg import inference, pack, solve_moments
 from trendlens.operators.encode import _distinct_levels
-from trendlens.operators.gram import moments
+from trendlens.operators.gram import not_missing
+from trendlens.operators.linear import column_means
+from trendlens.session import scratch_path
+
+MAX_COLUMNS = 2500      # columns (or cell rows) of one dense solve: 50 MB
+SUMS_IN_SQL = 64        # more sums than this go through one vector aggregate
 
 
 @dataclass
@@ -36,8 +49,16 @@ class DesignColumn:
     term: str       # raw formula-style name
     label: str      # display label, e.g. "a = x × b"
     parameters: tuple
-    expr: Column
-    spec: tuple = ()  # ((factor, level or None), ...): same column, for numpy
+    spec: tuple = ()  # ((factor, level or None for a numeric), ...)
+
+    @property
+    def expr(self) -> Column:
+        """The column over raw inputs."""
+        out = F.lit(1.0)
+        for f, v in self.spec:
+            c = F.col(f).cast("double") if v is None else (F.col(f).cast("string") == F.lit(v)).cast("double")
+            out = out * c
+        return out
 
 
 def _subsets_sorted(factors: Sequence[str]):
@@ -104,23 +125,17 @@ def design(categoricals: Sequence[str], numerics: Sequence[str], levels: dict,
                     if f in cats:
                         lv = levels[f] if coding[f] else levels[f][1:]
                         tag = "" if coding[f] else "T."
-                        per_factor.append([(f'C(Q("{f}"))[{tag}{v}]', f"{f} = {v}",
-                                            (F.col(f).cast("string") == F.lit(v)).cast("double"), (f, v))
-                                           for v in lv])
+                        per_factor.append([(f'C(Q("{f}"))[{tag}{v}]', f"{f} = {v}", (f, v)) for v in lv])
                     else:
-                        per_factor.append([(f'Q("{f}")', f, F.col(f).cast("double"), (f, None))])
+                        per_factor.append([(f'Q("{f}")', f, (f, None))])
                 if not factors:
-                    cols.append(DesignColumn("Intercept", "Intercept", (), F.lit(1.0)))
+                    cols.append(DesignColumn("Intercept", "Intercept", ()))
                     continue
                 # left-most factor varies fastest
                 for combo in itertools.product(*reversed(per_factor)):
                     combo = combo[::-1]
-                    expr = combo[0][2]
-                    for c in combo[1:]:
-                        expr = expr * c[2]
-                    cols.append(DesignColumn(":".join(c[0] for c in combo),
-                                             " × ".join(c[1] for c in combo), tuple(factors), expr,
-                                             tuple(c[3] for c in combo)))
+                    cols.append(DesignColumn(":".join(c[0] for c in combo), " × ".join(c[1] for c in combo),
+                                             tuple(factors), tuple(c[2] for c in combo)))
     return cols
 
 
@@ -146,127 +161,297 @@ _STATUS = T.StructType([
     T.StructField("r2", T.DoubleType())])
 
 
+@dataclass
+class Cells:
+    """Layout of the sums that every cell carries."""
+    categoricals: list
+    numerics: list
+    targets: list
+    subsets: list        # products of numeric inputs, as index tuples, () first
+    sums: dict           # exponent tuple -> place of the sum of that monomial
+    cross: dict          # (target, subset) -> place of the sum of target times product
+    square: dict         # target -> place
+    centre: np.ndarray   # means of the numerics
+    y_centre: dict
+
+    @classmethod
+    def plan(cls, categoricals, numerics, targets, depth, centre, y_centre):
+        q = len(numerics)
+        subsets = [s for r in range(min(depth, q) + 1) for s in itertools.combinations(range(q), r)]
+        sums: dict = {}
+        for a in subsets:
+            for b in subsets:
+                e = tuple((i in a) + (i in b) for i in range(q))
+                sums.setdefault(e, len(sums))
+        at = len(sums)
+        cross = {}
+        for t in targets:
+            for a in subsets:
+                cross[t, a] = at
+                at += 1
+        square = {t: at + i for i, t in enumerate(targets)}
+        return cls(list(categoricals), list(numerics), list(targets), subsets, sums, cross, square, centre, y_centre)
+
+    @property
+    def width(self) -> int:
+        return len(self.sums) + len(self.cross) + len(self.square)
+
+    def expressions(self) -> list[Column]:
+        u = [F.col(f"_n{i}") for i in range(len(self.numerics))]
+
+        def monomial(e):
+            out = F.lit(1.0)
+            for i, n in enumerate(e):
+                for _ in range(n):
+                    out = out * u[i]
+            return out
+
+        out = [monomial(e) for e in self.sums]
+        for t, a in self.cross:
+            e = tuple(int(i in a) for i in range(len(u)))
+            out.append(F.coalesce(F.col(f"_y{self.targets.index(t)}"), F.lit(0.0)) * monomial(e))
+        for t in self.square:
+            y = F.coalesce(F.col(f"_y{self.targets.index(t)}"), F.lit(0.0))
+            out.append(y * y)
+        return out
+
+    def blocks(self, g: np.ndarray, target: str) -> np.ndarray:
+        """Moment matrices (cells x s + 1 x s + 1) over the centred products, then the target."""
+        s = len(self.subsets)
+        q = len(self.numerics)
+        out = np.empty((len(g), s + 1, s + 1))
+        for i, a in enumerate(self.subsets):
+            for j, b in enumerate(self.subsets):
+                out[:, i, j] = g[:, self.sums[tuple((k in a) + (k in b) for k in range(q))]]
+            out[:, i, s] = out[:, s, i] = g[:, self.cross[target, a]]
+        out[:, s, s] = g[:, self.square[target]]
+        return out
+
+    def expansion(self, factors: Sequence[int], keep_constant: bool) -> np.ndarray:
+        """Coefficients of a product of raw inputs over the centred products."""
+        out = np.zeros(len(self.subsets))
+        for i, a in enumerate(self.subsets):
+            if set(a) <= set(factors) and (a or keep_constant):
+                out[i] = np.prod([self.centre[k] for k in factors if k not in a])
+        return out
+
+
+def cell_table(df: DataFrame, cells: Cells) -> DataFrame:
+    """One row a combination of levels (and of present targets, ``_mask``) with
+    the sums of ``cells`` in ``_g``: one scan with map-side partial sums, stored."""
+    spark = df.sparkSession
+    cats = [F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(cells.categoricals)]
+    nums = [(F.col(c).cast("double") - F.lit(float(m))).alias(f"_n{i}")
+            for i, (c, m) in enumerate(zip(cells.numerics, cells.centre))]
+    ys = [F.when(not_missing(F.col(t)), F.col(t).cast("double") - F.lit(cells.y_centre[t])).alias(f"_y{i}")
+          for i, t in enumerate(cells.targets)]
+    rows = df.select(*cats, *nums, *ys)
+    for i in range(len(cats)):
+        rows = rows.where(F.col(f"_c{i}").isNotNull())
+    for i in range(len(nums)):
+        rows = rows.where(not_missing(F.col(f"_n{i}")))
+    mask = F.concat(*[F.when(F.col(f"_y{i}").isNull(), "0").otherwise("1") for i in range(len(ys))])
+    key = [f"_c{i}" for i in range(len(cats))]
+    grouped = rows.withColumn("_mask", mask).groupBy(*key, "_mask")
+    parts = cells.expressions()
+    if len(parts) <= SUMS_IN_SQL:
+        out = grouped.agg(F.array(*[F.sum(e) for e in parts]).alias("_g"))
+    else:
+        out = grouped.agg(Summarizer.sum(array_to_vector(F.array(*parts))).alias("_v"))
+        out = out.select(*key, "_mask", vector_to_array("_v").alias("_g"))
+    path = scratch_path(spark, "cells")
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+class _Layout:
+    """Which design columns a cell activates: at most one a block of columns
+    that share their factors."""
+
+    def __init__(self, cells: Cells, columns: Sequence[DesignColumn], levels: dict):
+        places: dict = {}
+        code = {f: {v: i for i, v in enumerate(levels[f])} for f in levels}
+        for at, dc in enumerate(columns[1:], start=1):
+            places.setdefault(tuple(f for f, _ in dc.spec), []).append((at, dc.spec))
+        self.k, self.blocks, self.vectors, self.levels = len(columns), [], [], levels
+        self.shift = np.zeros(len(columns) - 1)
+        for factors, members in places.items():
+            cats = [f for f in factors if f in levels]
+            nums = [cells.numerics.index(f) for f in factors if f not in levels]
+            shape = [len(levels[f]) + 1 for f in cats]           # the last slot: a level not listed
+            table = np.full(shape, -1, np.int64)
+            for at, spec in members:
+                table[tuple(code[f][v] for f, v in spec if v is not None)] = at
+            self.blocks.append(([cells.categoricals.index(f) for f in cats], table))
+            self.vectors.append(cells.expansion(nums, bool(cats)))
+            if not cats:
+                self.shift[int(table) - 1] = np.prod([cells.centre[i] for i in nums])
+        self.v = np.array(self.vectors).reshape(len(self.blocks), len(cells.subsets))
+
+    def active(self, codes: np.ndarray) -> np.ndarray:
+        """(cells x blocks) design column of every block in every cell, or -1."""
+        return np.column_stack([table[tuple(codes[:, c] for c in cats)] if cats else np.full(len(codes), int(table))
+                                for cats, table in self.blocks]).reshape(len(codes), len(self.blocks))
+
+
+def _codes(pdf: pd.DataFrame, cells: Cells, levels: dict) -> np.ndarray:
+    out = np.empty((len(pdf), len(cells.categoricals)), np.int64)
+    for i, c in enumerate(cells.categoricals):
+        code = pd.Categorical(pdf[f"_c{i}"], categories=list(levels[c])).codes.astype(np.int64)
+        out[:, i] = np.where(code < 0, len(levels[c]), code)
+    return out
+
+
+_TRIPLES = "target string, depth int, i int, j int, v double, n double"
+
+
+def _gram_triples(table: DataFrame, cells: Cells, layouts: dict[int, _Layout], levels: dict) -> DataFrame:
+    """``target, depth, i, j, v``: upper triangle of every depth's moment matrix
+    over (1, columns, target), summed over cells; each batch adds up its own."""
+    chunk = 2000
+
+    def run(frames):
+        for frame in frames:
+            for lo in range(0, len(frame), chunk):
+                pdf = frame.iloc[lo:lo + chunk]
+                g = np.array(pdf["_g"].tolist(), float).reshape(len(pdf), cells.width)
+                codes = _codes(pdf, cells, levels)
+                for ti, t in enumerate(cells.targets):
+                    has = pdf["_mask"].str[ti].to_numpy() == "1"
+                    if not has.any():
+                        continue
+                    m = cells.blocks(g[has], t)
+                    s = len(cells.subsets)
+                    for d, lay in layouts.items():
+                        # rows of v: the intercept, every block, the target
+                        nb = len(lay.blocks)
+                        v = np.zeros((nb + 2, s + 1))
+                        v[0, 0], v[1:nb + 1, :s], v[nb + 1, s] = 1.0, lay.v, 1.0
+                        need = np.flatnonzero(v.any(axis=0))     # what overflows elsewhere stays out
+                        small = np.einsum("ai,cij,bj->cab", v[:, need], m[:, need[:, None], need], v[:, need], optimize=True)
+                        n = int(has.sum())
+                        act = np.column_stack([np.zeros(n, np.int64), lay.active(codes[has]), np.full(n, lay.k, np.int64)])
+                        a, b = np.triu_indices(nb + 2)
+                        ia, ib = act[:, a], act[:, b]
+                        ok = (ia >= 0) & (ib >= 0)
+                        x, y, val = ia[ok], ib[ok], small[:, a, b][ok]
+                        key, at = np.unique(np.minimum(x, y) * (lay.k + 1) + np.maximum(x, y), return_inverse=True)
+                        yield pd.DataFrame({"target": t, "depth": np.int32(d), "i": (key // (lay.k + 1)).astype(np.int32),
+                                            "j": (key % (lay.k + 1)).astype(np.int32),
+                                            "v": np.bincount(at, val, minlength=len(key)),
+                                            "n": np.where(key == 0, m[:, 0, 0].sum(), 0.0)})
+
+    parts = table.mapInPandas(run, _TRIPLES)
+    return parts.groupBy("target", "depth", "i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+
+
 def interactions(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[str],
                  targets: Sequence[str], *, max_depth: int | None = None, alpha: float = 0.05,
-                 levels: dict | None = None) -> InteractionFit:
-    """Fit every depth up to ``max_depth`` (default: all inputs).  A task holds one dense
-    moment matrix a depth and target, so very wide depths are the caller's to limit by
-    ``max_depth`` or by lumping; a depth that cannot be solved gets a ``failed`` status
-    row and no coefficients."""
+                 levels: dict | None = None, max_columns: int = MAX_COLUMNS) -> InteractionFit:
+    """Fit every depth up to ``max_depth`` (default: all inputs).  Depths stand
+    alone: one that is too wide to solve (``too wide``) or cannot be solved
+    (``failed``) has a status row and no coefficients, the others keep theirs.
+
+    A depth with more than ``max_columns`` design columns is solved from its
+    cells, when those make at most ``max_columns`` rows; rows without a
+    level, a numeric input or the target take no part.
+    """
     categoricals = [c for c in categoricals if c in df.columns]
     numerics = [c for c in numerics if c in df.columns]
     n_inputs = len(categoricals) + len(numerics)
     if n_inputs == 0:
         raise ValueError("no input columns for interaction models")
     levels = levels or _distinct_levels(df, categoricals)
+    levels = {c: list(levels[c]) for c in categoricals}
     top = n_inputs if max_depth is None else min(max_depth, n_inputs)
     designs = {d: design(categoricals, numerics, levels, d) for d in range(1, top + 1)}
-    mom = _design_moments(df, categoricals, numerics, targets, designs)
-    meta = {f"d{d}": [(dc.term, dc.label, list(dc.parameters)) for dc in cols] for d, cols in designs.items()}
-    n_coef, n_stat = len(_COEF.fields) - 2, len(_STATUS.fields) - 2
-
-    def solve(it):
-        # one row a coefficient, and one (term_idx -1) with the depth's status
-        for pdf in it:
-            out = []
-            for tgt, blk, k, g in zip(pdf["target"], pdf["_block"], pdf["_k"], pdf["_g"]):
-                g = np.asarray(g, dtype=float)
-                d, n = int(blk[1:]), int(round(g[-1]))
-                try:
-                    if not np.isfinite(g).all():
-                        raise ArithmeticError("the moments of this depth overflow")
-                    s = solve_moments(g[:-1], int(k), float(g[-1]), alpha=alpha)
-                except Exception:  # isolate a failing depth (E8)
-                    out.append([tgt, d, -1] + [None] * (n_coef - 1) + [int(k) - 1, "failed", n, None, None])
-                    continue
-                out.append([tgt, d, -1] + [None] * (n_coef - 1) + [int(k) - 1, "fitted", n, s["rank"], s["r2"]])
-                for i, (term, label, params) in enumerate(meta[blk]):
-                    out.append([tgt, d, i, term, label, params, s["coef"][i], s["std_err"][i], s["t"][i],
-                                s["p"][i], s["ci_lo"][i], s["ci_hi"][i]] + [None] * n_stat)
-            yield pd.DataFrame(out, columns=[f.name for f in solved_schema.fields])
+    means = column_means(df, [F.col(c) for c in [*numerics, *targets]])
+    cells = Cells.plan(categoricals, numerics, list(targets), top, means[:len(numerics)],
+                       {t: float(m) for t, m in zip(targets, means[len(numerics):])})
+    table = cell_table(df, cells)
+    layouts = {d: _Layout(cells, cols, levels) for d, cols in designs.items()}
+    dense = {d: x for d, x in layouts.items() if x.k <= max_columns}
+    wide = {d: x for d, x in layouts.items() if x.k > max_columns}
+    few = bool(wide) and table.count() * (len(cells.subsets) + 1) <= max_columns
+    meta = {d: [(dc.term, dc.label, list(dc.parameters)) for dc in cols] for d, cols in designs.items()}
 
-    solved_schema = T.StructType(_COEF.fields + _STATUS.fields[2:])
-    solved = mom.mapInPandas(solve, solved_schema).persist()
-    return InteractionFit(solved.where("term_idx >= 0").select(*_COEF.names),
-                          solved.where("term_idx < 0").select(*_STATUS.names), designs)
+    def rows(t, d, solve):
+        """One row with the depth's status (term_idx -1), then one a coefficient."""
+        k, n_coef = layouts[d].k, len(_COEF.fields) - 2
+        try:
+            s = solve()
+            if not np.isfinite(s["coef"]).all():
+                raise ArithmeticError("the moments of this depth overflow")
+        except Exception:  # isolate a failing depth (E8)
+            return [[t, d, -1] + [None] * (n_coef - 1) + [k, "failed", None, None, None]]
+        out = [[t, d, -1] + [None] * (n_coef - 1) + [k, "fitted", int(s["n"]), s["rank"], s["r2"]]]
+        for i, (term, label, params) in enumerate(meta[d]):
+            out.append([t, d, i, term, label, params, *[s[c][i] for c in ("coef", "std_err", "t", "p", "ci_lo", "ci_hi")],
+                        *[None] * (len(_STATUS.fields) - 2)])
+        return out
 
+    schema = T.StructType(_COEF.fields + _STATUS.fields[2:])
+    frame = lambda out: pd.DataFrame(out, columns=schema.names)
 
-def _design_moments(df: DataFrame, categoricals, numerics, targets, designs) -> DataFrame:
-    """Moment matrices of every depth's design and every target in ONE scan.
+    def solve_dense(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, d = pdf["target"].iloc[0], int(pdf["depth"].iloc[0])
+        lay = layouts[d]
+        m = np.zeros((lay.k + 1, lay.k + 1))
+        m[pdf["i"], pdf["j"]] = pdf["v"]
+        shift = np.append(lay.shift, cells.y_centre[t])
+        return frame(rows(t, d, lambda: solve_moments(pack(m), lay.k + 1, float(pdf["n"].sum()), alpha=alpha, shift=shift)))
 
-    Only the raw inputs and targets cross into Python (Arrow batches); each
-    batch builds every depth's contrast-coded design with numpy products of
-    level indicators and numeric columns and adds its X^T X to a per-task
-    accumulator.  One row per (task, target, depth) leaves each task.
-    """
-    from trendlens.operators.gram import spread, merge_partials
-
-    cats, nums, targets = list(categoricals), list(numerics), list(targets)
-    specs = {f"d{d}": [dc.spec for dc in cols[1:]] for d, cols in designs.items()}
-    src = spread(df.select(*[F.col(c).cast("string").alias(c) for c in cats],
-                                    *[F.col(c).cast("double").alias(c) for c in nums + targets if c not in cats]))
-    schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("_block", T.StringType()),
-                           T.StructField("_g", T.ArrayType(T.DoubleType()))])
-
-    def partial(it):
-        acc: dict = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            n = len(pdf)
-            ind, num = {}, {}
-            ok_in = np.ones(n, dtype=bool)
-            for c in cats:
-                v = pdf[c].to_numpy(dtype=object)
-                ok_in &= pd.notna(v)
-                ind[c] = v
-            for c in nums:
-                x = pdf[c].to_numpy(dtype=float, na_value=np.nan)
-                ok_in &= ~np.isnan(x)
-                num[c] = x
-            cache: dict = {}
-
-            def column(spec):
-                out = np.ones(n)
-                for f, lvl in spec:
-                    if lvl is None:
-                        out = out * num[f]
-                    else:
-                        key = (f, lvl)
-                        if key not in cache:
-                            cache[key] = (ind[f] == lvl).astype(float)
-                        out = out * cache[key]
-                return out
-
-            ys = {t: pdf[t].to_numpy(dtype=float, na_value=np.nan) for t in targets}
-            oks = {t: ok_in & ~np.isnan(ys[t]) for t in targets}
-            same = all(np.array_equal(oks[targets[0]], oks[t]) for t in targets[1:])
-            for b, cols in specs.items():
-                x = np.empty((n, len(cols) + 1))
-                x[:, 0] = 1.0
-                for i, spec in enumerate(cols):
-                    x[:, i + 1] = column(spec)
-                k = x.shape[1]
-                if same:
-                    # one product for all targets: each target is a sub-matrix
-                    ok = oks[targets[0]]
-                    z = np.column_stack([x[ok]] + [ys[t][ok] for t in targets])
-                    full = z.T @ z
-                    for j, t in enumerate(targets):
-                        idx = list(range(k)) + [k + j]
-                        gm = full[np.ix_(idx, idx)]
-                        vec = np.append(gm[np.triu_indices(k + 1)], float(ok.sum()))
-                        acc[(t, b)] = acc[(t, b)] + vec if (t, b) in acc else vec
-                    continue
-                for t in targets:
-                    ok = oks[t]
-                    z = np.column_stack([x[ok], ys[t][ok]])
-                    gm = z.T @ z
-                    vec = np.append(gm[np.triu_indices(gm.shape[0])], float(ok.sum()))
-                    acc[(t, b)] = acc[(t, b)] + vec if (t, b) in acc else vec
-        if acc:
-            yield pd.DataFrame([[t, b, v] for (t, b), v in acc.items()],
-                               columns=["target", "_block", "_g"])
-
-    parts = src.mapInPandas(partial, schema)
-    return merge_partials(parts, ["target"], {b: len(c) + 2 for b, c in specs.items()})
+    def solve_cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, d = pdf["target"].iloc[0], int(pdf["depth"].iloc[0])
+        g = np.array(pdf["_g"].tolist(), float).reshape(len(pdf), cells.width)
+        return frame(rows(t, d, lambda: _solve_rows(cells, layouts[d], t, g, _codes(pdf, cells, levels), alpha)))
+
+    spark = df.sparkSession
+    solved = spark.createDataFrame([], schema)
+    if dense:
+        solved = _gram_triples(table, cells, dense, levels).groupBy("target", "depth").applyInPandas(solve_dense, schema)
+    every = spark.createDataFrame([(t, i) for i, t in enumerate(targets)], "target string, _t int")
+    if wide and few:
+        # every (target, wide depth) takes the few cells there are
+        copies = every.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in wide])))
+        mine = table.crossJoin(F.broadcast(copies)).where(F.col("_mask").substr(F.col("_t") + 1, F.lit(1)) == "1")
+        solved = solved.unionByName(mine.groupBy("target", "depth").applyInPandas(solve_cells, schema))
+    elif wide:
+        solved = solved.unionByName(spark.createDataFrame(
+            [(t, d, -1, *[None] * 9, x.k, "too wide", None, None, None) for t in targets for d, x in wide.items()], schema))
+    path = scratch_path(spark, "interactions")
+    solved.write.parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
+    return InteractionFit(stored.where("term_idx >= 0").select(*_COEF.names),
+                          stored.where("term_idx < 0").select(*_STATUS.names), designs)
+
+
+def _solve_rows(cells: Cells, lay: _Layout, target: str, g: np.ndarray, codes: np.ndarray, alpha: float) -> dict:
+    """Least squares with more columns than cell rows: every cell's moments are
+    factored into a few rows, and the minimum-norm solution is found among them."""
+    s = len(cells.subsets)
+    w, q = np.linalg.eigh(cells.blocks(g, target))
+    rows = np.sqrt(np.clip(w, 0.0, None))[:, :, None] * q.transpose(0, 2, 1)      # cells x rows x (products, target)
+    act = lay.active(codes)
+    full = lay.v.copy()
+    pure = np.array([not cats for cats, _ in lay.blocks])
+    full[pure, 0] = lay.shift[[int(table) - 1 for cats, table in lay.blocks if not cats]]
+    x = np.zeros((len(g), s + 1, lay.k))
+    x[:, :, 0] = rows[:, :, 0]
+    for b in range(len(lay.blocks)):
+        c = np.flatnonzero(act[:, b] >= 0)
+        x[c, :, act[c, b]] = rows[c, :, :s] @ full[b]
+    x = x.reshape(-1, lay.k)
+    y = (rows[:, :, s] + rows[:, :, 0] * cells.y_centre[target]).reshape(-1)
+    scale = np.sqrt((x * x).sum(axis=0))
+    scale[scale == 0] = 1.0
+    lam, u = np.linalg.eigh((x / scale) @ (x / scale).T)
+    rank = int((lam > lam.max() * 1e-10).sum())
+    z = x.T @ np.linalg.pinv(x @ x.T, rcond=1e-10, hermitian=True)
+    beta = z @ y
+    n = float(g[:, cells.sums[(0,) * len(cells.numerics)]].sum())
+    resid = y - x @ beta
+    ones = rows[:, :, 0].reshape(-1)
+    mean = ones @ y / (ones @ ones)
+    tss = float(((y - mean * ones) ** 2).sum())
+    return inference(beta, np.einsum("ij,ij->i", z, z), n, rank, float(resid @ resid), tss, alpha)

@@ -38,7 +38,7 @@ def pack(m: np.ndarray) -> np.ndarray:
     return m[np.triu_indices(m.shape[0])]
 
 
-def _solve_centred(a: np.ndarray, raw_diag: np.ndarray, rank_tol: float = RANK_TOL):
+def solve_centred(a: np.ndarray, raw_diag: np.ndarray, rank_tol: float = RANK_TOL):
     """Generalised inverse of a centred moment matrix, and a basis of its null
     space.  Rank is decided on the equilibrated matrix (scale-free); a column
     whose spread is lost in its own round-off counts as constant."""
@@ -72,21 +72,51 @@ def solve_moments(g, k: int, n: float, *, alpha: float = 0.05, shift=None):
     mean = m[0, 1:] / sw if sw > 0 else np.zeros(k - 1)
     c = m[1:, 1:] - np.outer(m[0, 1:], mean)
     a, b, tss = c[:-1, :-1], c[:-1, -1], max(c[-1, -1], 0.0)
-    inv, null = _solve_centred(a, np.diag(m)[1:-1])
+    inv, null = solve_centred(a, np.diag(m)[1:-1])
     slopes = inv @ b
-    centre = mean + shift
+    return _about_origin(slopes, inv, null, mean + shift, sw, n, max(tss - slopes @ b, 0.0), tss, alpha)
+
+
+def solve_triangle(r: np.ndarray, n: float, *, alpha: float = 0.05):
+    """Least squares from the triangular factor of rows ``sqrt(w) (1, x_1..x_p, y)``.
+
+    Below its first row the factor is that of the centred columns, and its
+    singular values are theirs, not their squares, so columns that agree in
+    their first ten digits are still told apart.  Result as ``solve_moments``.
+    """
+    n = float(round(n))
+    k = r.shape[0]
+    sw = r[0, 0] ** 2
+    centre = r[0, 1:] / r[0, 0] if sw > 0 else np.zeros(k - 1)
+    x, y = r[1:, 1:-1], r[1:, -1]
+    size = np.sqrt((x * x).sum(axis=0))
+    flat = size <= 1e-13 * np.sqrt((r[:, 1:-1] ** 2).sum(axis=0))
+    d = np.where(flat, 1.0, size)
+    u, sv, vt = np.linalg.svd(np.where(flat, 0.0, x / d), full_matrices=False)
+    keep = sv > max(sv.max(initial=0.0) * 1e-12, 0.0)
+    v = vt.T / d[:, None]
+    fitted = u[:, keep].T @ y
+    slopes = v[:, keep] @ (fitted / sv[keep])
+    inv = (v[:, keep] / sv[keep] ** 2) @ v[:, keep].T
+    rest = y - u[:, keep] @ fitted
+    return _about_origin(slopes, inv, v[:, ~keep], centre, sw, n, float(rest @ rest), float(y @ y), alpha)
+
+
+def _about_origin(slopes, inv, null, centre, sw, n, rss, tss, alpha) -> dict:
+    """Coefficients and inference in the raw columns from a centred solution."""
+    k = len(centre)
     x, y = centre[:-1], centre[-1]
     beta = np.concatenate([[y - slopes @ x], slopes])
-    full = np.empty((k - 1, k - 1))
+    full = np.empty((k, k))
     full[0, 0] = (1.0 / sw if sw > 0 else 0.0) + x @ inv @ x
     full[0, 1:] = full[1:, 0] = -inv @ x
     full[1:, 1:] = inv
     if null.size:
         basis = np.linalg.qr(np.vstack([-x @ null, null]))[0]
-        project = np.eye(k - 1) - basis @ basis.T
+        project = np.eye(k) - basis @ basis.T
         beta, full = project @ beta, project @ full @ project
-    rank = k - 1 - null.shape[1] if sw > 0 else 0
-    return inference(beta, np.diag(full), n, rank, max(tss - slopes @ b, 0.0), tss, alpha)
+    rank = k - null.shape[1] if sw > 0 else 0
+    return inference(beta, np.diag(full), n, rank, rss, tss, alpha)
 
 
 def inference(beta, unscaled, n: float, rank: int, rss: float, tss: float, alpha: float = 0.05) -> dict:

@@ -176,3 +176,47 @@ def merge_partials(parts: DataFrame, by: Sequence[str], k_by_block: Mapping[str,
     k_of = F.create_map(*[x for b, k in k_by_block.items() for x in (F.lit(b), F.lit(k))])
     return merged.select(*by, "_block", k_of[F.col("_block")].alias("_k"),
                          vector_to_array("_gv").alias("_g"))
+
+
+def triangles(df: DataFrame, cols: Sequence, *, weight: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Triangular factors of the rows ``sqrt(w) (1, x_1..x_k)`` by group: a
+    tall-skinny QR.  Every task reduces its rows to one k + 1 by k + 1 triangle
+    a group, batch by batch; triangles are stacked and reduced again, ``FAN_IN``
+    neighbours first, then theirs.  Unlike moments a factor does not square
+    the condition of the columns.  Output: ``by..., _r`` (row-major), ``_n``.
+    """
+    specs, by = _as_specs(cols), list(by)
+    k = len(specs) + 1
+    w = (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w")
+    src = spread(df.select(*by, w, *[c.cast("double").alias(f"_q{i}") for i, (_, c) in enumerate(specs)]))
+    schema = T.StructType([df.schema[c] for c in by] + [T.StructField("_r", T.ArrayType(T.DoubleType())),
+                                                        T.StructField("_n", T.DoubleType())])
+
+    def reduced(rows: np.ndarray) -> np.ndarray:
+        r = np.linalg.qr(rows, mode="r")
+        return np.vstack([r, np.zeros((k - len(r), k))]) if len(r) < k else r
+
+    def factor(frames):
+        acc: dict = {}
+        for pdf in frames:
+            x = np.column_stack([np.ones(len(pdf))] + [pdf[f"_q{i}"].to_numpy(float, na_value=np.nan) for i in range(k - 1)])
+            weights = pdf["_w"].to_numpy(float, na_value=np.nan)
+            ok = ~np.isnan(x).any(axis=1) & ~np.isnan(weights)
+            groups = pdf.groupby(by, sort=False, dropna=False).indices.items() if by else [((), np.arange(len(pdf)))]
+            for key, at in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                at = at[ok[at]]
+                if len(at):
+                    rows = x[at] * np.sqrt(weights[at])[:, None]
+                    r, n = acc.get(key, (np.zeros((0, k)), 0.0))
+                    acc[key] = reduced(np.vstack([r, rows])), n + len(at)
+        if acc:
+            yield pd.DataFrame([[*key, r.ravel(), n] for key, (r, n) in acc.items()], columns=schema.names)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        stack = np.vstack([np.asarray(r).reshape(k, k) for r in pdf["_r"]])
+        return pd.DataFrame([[*[pdf[c].iloc[0] for c in by], reduced(stack).ravel(), pdf["_n"].sum()]], columns=schema.names)
+
+    parts = src.mapInPandas(factor, schema).withColumn("_level", F.floor(F.spark_partition_id() / FAN_IN))
+    first = parts.groupBy(*by, "_level").applyInPandas(merge, schema)
+    return first.groupBy(*(by or [F.lit(0)])).applyInPandas(merge, schema)

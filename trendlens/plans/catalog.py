@@ -279,6 +279,51 @@ def q_ols_fit_stats(spark, sf):
     return _fit_out(linear.regression(fr.frame_l(spark, sf), ["l_quantity"], ["net"]))
 
 
+def q_wls_fallback(spark, sf):
+    """A target none of whose weights can be used is fitted by OLS."""
+    w = fr.frame_w(spark, sf).withColumn("avg_priceStd", F.lit(None).cast("double"))
+    fit = linear.regression(w, ["avg_qty"], ["avg_price"], use_wls=True)
+    return fit.coefficients.join(fit.fit.select("target", "method"), "target").select(
+        "method", "term", _r("coef", D4), _r("std_err", D4))
+
+
+def q_wls_fallback_by_group(spark, sf):
+    """Only the groups without weights fall back."""
+    w = fr.frame_w(spark, sf).withColumn("part", F.pmod("l_partkey", F.lit(3)).cast("int"))
+    w = w.withColumn("avg_priceStd", F.when(F.col("part") != 1, F.col("avg_priceStd")))
+    fit = linear.regression(w, ["avg_qty"], ["avg_price"], use_wls=True, by=["part"])
+    slope = fit.coefficients.where("term = 'avg_qty'")
+    return slope.join(fit.fit.select("part", "method", "n"), "part").select("part", "method", "n", _r("coef", D4))
+
+
+def q_ols_near_collinear(spark, sf):
+    """E1/E3 on two columns that differ in the eighth digit (condition 5e7), by triangular factors."""
+    li = fr.table(spark, sf, "lineitem").select(
+        F.col("l_quantity").cast("double").alias("a"), (F.col("l_quantity") + F.col("l_discount") * F.lit(1e-5)).alias("b"),
+        F.col("l_extendedprice").cast("double").alias("y"))
+    out = linear.regression(li, ["a", "b"], ["y"], method="qr").coefficients
+    return out.where("term = 'b'").select("term", F.round(F.col("coef") * 1e-5, 2).alias("coef"),
+                                          F.round(F.col("std_err") * 1e-5, 2).alias("std_err"), _r("t", D4))
+
+
+def q_ols_many_levels(spark, sf):
+    """E1/B7 with a column for every part key: levels are absorbed, not listed."""
+    li = fr.table(spark, sf, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").cast("double").alias("qty"),
+        F.col("l_extendedprice").cast("double").alias("price"))
+    out = linear.absorbed_regression(li, "part", ["qty"], "price").coefficients
+    return out.select("term", _r("coef", D4), _r("std_err", D4))
+
+
+def q_ols_many_levels_fit(spark, sf):
+    """E4 of the regression with a column for every part key."""
+    li = fr.table(spark, sf, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").cast("double").alias("qty"),
+        F.col("l_extendedprice").cast("double").alias("price"))
+    return linear.absorbed_regression(li, "part", ["qty"], "price").fit.select(
+        "n", "rank", "df_resid", _r("r2", D8))
+
+
 def q_wls_fit_stats(spark, sf):
     """The same for WLS, where R^2 is weighted and centred on the weighted mean."""
     return _fit_out(linear.regression(fr.frame_w(spark, sf), ["avg_qty"], ["avg_price"], use_wls=True))
@@ -869,6 +914,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wls_simple": q_wls_simple,
     "ols_fit_stats": q_ols_fit_stats,
     "wls_fit_stats": q_wls_fit_stats,
+    "wls_fallback": q_wls_fallback,
+    "wls_fallback_by_group": q_wls_fallback_by_group,
+    "ols_near_collinear": q_ols_near_collinear,
+    "ols_many_levels": q_ols_many_levels,
+    "ols_many_levels_fit": q_ols_many_levels_fit,
     "ols_two_feature": q_ols_two_feature,
     "ols_by_group": q_ols_by_group,
     "ols_full_coefs": q_ols_full_coefs,

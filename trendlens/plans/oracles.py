@@ -164,6 +164,14 @@ ft AS (SELECT * FROM (VALUES ('p_size'), ('is_large')) t(feature)),
 ph AS (SELECT p_partkey, x2, feature, CASE WHEN feature <> sf THEN 0.0::DOUBLE WHEN lft THEN ml - base ELSE mr - base END AS phi
        FROM sd, sp, lv, ft)"""
 
+_LEVELS = """d AS (SELECT CAST(l_partkey AS VARCHAR) AS part, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y
+      FROM lineitem),
+m AS (SELECT part, count(*) AS k, avg(x) AS mx, avg(y) AS my FROM d GROUP BY part),
+c AS (SELECT sum((x - mx) * (x - mx)) AS sxx, sum((x - mx) * (y - my)) AS sxy, sum((y - my) * (y - my)) AS syy, count(*) AS n
+      FROM d JOIN m USING (part)),
+s AS (SELECT sxx, n, sxy / sxx AS b, (SELECT count(*) FROM m) AS l, (SELECT min(part) FROM m) AS ref,
+             (syy - sxy * sxy / sxx) / (n - (SELECT count(*) FROM m) - 1) AS s2 FROM c)"""
+
 ORACLES: dict[str, str] = {
     "lump_nulls": """
 WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_brand ELSE 'nan' END AS b FROM part),
@@ -449,6 +457,41 @@ SELECT event_id, round((psi - avg(psi) OVER ()) / stddev_pop(psi) OVER (), 8) AS
     "ols_simple": "WITH " + L_CTE + ",\nd AS (SELECT l_quantity AS x, net AS y FROM L),\n"
                   + _simple_coef_rows("net", "l_quantity", "d"),
 
+    "wls_fallback": """
+WITH d AS (SELECT avg(l_quantity) AS x, avg(l_extendedprice) AS y FROM lineitem GROUP BY l_partkey HAVING count(*) >= 2),
+s AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, avg(x) AS mx, count(*) AS n FROM d),
+r AS (SELECT sum(power(y - a - b * x, 2)) AS rss FROM d, s)
+SELECT 'OLS' AS method, 'Intercept' AS term, round(a, 4) AS coef, round(sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)), 4) AS std_err
+FROM s, r UNION ALL SELECT 'OLS', 'avg_qty', round(b, 4), round(sqrt(rss / (n - 2) / sxx), 4) FROM s, r""",
+
+    "wls_fallback_by_group": """
+WITH d AS (SELECT CAST(l_partkey % 3 AS INTEGER) AS part, avg(l_quantity) AS x, avg(l_extendedprice) AS y,
+                  CASE WHEN l_partkey % 3 = 1 THEN 1.0 ELSE 1.0 / (power(stddev_samp(l_extendedprice), 2) + 0.000001) END AS w
+           FROM lineitem GROUP BY l_partkey HAVING count(*) >= 2),
+m AS (SELECT part, sum(w * x) / sum(w) AS xw, sum(w * y) / sum(w) AS yw, count(*) AS n FROM d GROUP BY part)
+SELECT part, CASE WHEN part = 1 THEN 'OLS' ELSE 'WLS' END AS method, any_value(n) AS n,
+       round(sum(w * (x - xw) * (y - yw)) / sum(w * (x - xw) * (x - xw)), 4) AS coef FROM d JOIN m USING (part) GROUP BY part""",
+
+    "ols_near_collinear": """
+WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS a, ((l_quantity + l_discount * 1e-5::DOUBLE) - l_quantity) * 1e5::DOUBLE AS z,
+                  CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+c AS (SELECT covar_pop(a, a) AS aa, covar_pop(z, z) AS zz, covar_pop(a, z) AS az, covar_pop(a, y) AS ay, covar_pop(z, y) AS zy,
+             covar_pop(y, y) AS yy, count(*) AS n FROM d),
+b AS (SELECT *, (zy * aa - ay * az) / (aa * zz - az * az) AS bz, (ay * zz - zy * az) / (aa * zz - az * az) AS ba FROM c),
+e AS (SELECT bz, sqrt((yy - bz * zy - ba * ay) * n / (n - 3) * aa / (aa * zz - az * az) / n) AS se FROM b)
+SELECT 'b' AS term, round(bz, 2) AS coef, round(se, 2) AS std_err, round(bz / se, 4) AS t FROM e""",
+
+    "ols_many_levels": "WITH " + _LEVELS + """
+SELECT 'qty' AS term, round(b, 4) AS coef, round(sqrt(s2 / sxx), 4) AS std_err FROM s
+UNION ALL SELECT 'Intercept', round(my - b * mx, 4), round(sqrt(s2 * (1.0 / k + mx * mx / sxx)), 4) FROM m, s WHERE part = ref
+UNION ALL SELECT 'cat__part_' || m.part, round(m.my - r.my - b * (m.mx - r.mx), 4),
+  round(sqrt(s2 * (1.0 / m.k + 1.0 / r.k + power(m.mx - r.mx, 2) / sxx)), 4)
+FROM m, s, m r WHERE r.part = ref AND m.part <> ref""",
+
+    "ols_many_levels_fit": "WITH " + _LEVELS + """
+SELECT CAST(n AS BIGINT) AS n, CAST(l + 1 AS INTEGER) AS rank, CAST(n - l - 1 AS DOUBLE) AS df_resid,
+       round(1 - s2 * (n - l - 1) / (SELECT var_pop(y) * count(*) FROM d), 8) AS r2 FROM s""",
+
     "wls_simple": """
 WITH W AS (SELECT l_partkey, avg(l_quantity) AS x, avg(l_extendedprice) AS y,
                   stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY l_partkey HAVING count(*) >= 2),

@@ -219,4 +219,4 @@ def triangles(df: DataFrame, cols: Sequence, *, weight: Column | None = None, by
 
     parts = src.mapInPandas(factor, schema).withColumn("_level", F.floor(F.spark_partition_id() / FAN_IN))
     first = parts.groupBy(*by, "_level").applyInPandas(merge, schema)
-    return first.groupBy(*(by or [F.lit(0)])).applyInPandas(merge, schema)
+    return first.groupBy(*by).applyInPandas(merge, schema)

@@ -236,22 +236,22 @@ class Cells:
         return out
 
 
-def cell_table(df: DataFrame, cells: Cells) -> DataFrame:
-    """One row a combination of levels (and of present targets, ``_mask``) with
-    the sums of ``cells`` in ``_g``: one scan with map-side partial sums, stored."""
+def cell_table(df: DataFrame, cells: Cells, by: Sequence[str] = ()) -> DataFrame:
+    """One row a group, combination of levels and of present targets (``_mask``)
+    with the sums of ``cells`` in ``_g``: one scan with map-side partial sums, stored."""
     spark = df.sparkSession
     cats = [F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(cells.categoricals)]
     nums = [(F.col(c).cast("double") - F.lit(float(m))).alias(f"_n{i}")
             for i, (c, m) in enumerate(zip(cells.numerics, cells.centre))]
     ys = [F.when(not_missing(F.col(t)), F.col(t).cast("double") - F.lit(cells.y_centre[t])).alias(f"_y{i}")
           for i, t in enumerate(cells.targets)]
-    rows = df.select(*cats, *nums, *ys)
+    rows = df.select(*by, *cats, *nums, *ys)
     for i in range(len(cats)):
         rows = rows.where(F.col(f"_c{i}").isNotNull())
     for i in range(len(nums)):
         rows = rows.where(not_missing(F.col(f"_n{i}")))
     mask = F.concat(*[F.when(F.col(f"_y{i}").isNull(), "0").otherwise("1") for i in range(len(ys))])
-    key = [f"_c{i}" for i in range(len(cats))]
+    key = [*by, *[f"_c{i}" for i in range(len(cats))]]
     grouped = rows.withColumn("_mask", mask).groupBy(*key, "_mask")
     parts = cells.expressions()
     if len(parts) <= SUMS_IN_SQL:
@@ -302,60 +302,65 @@ def _codes(pdf: pd.DataFrame, cells: Cells, levels: dict) -> np.ndarray:
     return out
 
 
-_TRIPLES = "target string, depth int, i int, j int, v double, n double"
-
-
-def _gram_triples(table: DataFrame, cells: Cells, layouts: dict[int, _Layout], levels: dict) -> DataFrame:
-    """``target, depth, i, j, v``: upper triangle of every depth's moment matrix
-    over (1, columns, target), summed over cells; each batch adds up its own."""
+def _gram_triples(table: DataFrame, cells: Cells, layouts: dict[int, _Layout], levels: dict, by: list[str]) -> DataFrame:
+    """``by..., target, depth, i, j, v``: upper triangle of every depth's moment
+    matrix over (1, columns, target), summed over cells; each batch adds up its own."""
     chunk = 2000
+    schema = T.StructType([table.schema[c] for c in by] + [
+        T.StructField("target", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("i", T.IntegerType()),
+        T.StructField("j", T.IntegerType()), T.StructField("v", T.DoubleType()), T.StructField("n", T.DoubleType())])
+
+    def triples(pdf, target):
+        """(depth, i, j, v, n) of some cells of one group that have the target."""
+        m = cells.blocks(np.array(pdf["_g"].tolist(), float).reshape(len(pdf), cells.width), target)
+        codes, n, s = _codes(pdf, cells, levels), len(pdf), len(cells.subsets)
+        for d, lay in layouts.items():
+            # rows of v: the intercept, every block, the target
+            nb = len(lay.blocks)
+            v = np.zeros((nb + 2, s + 1))
+            v[0, 0], v[1:nb + 1, :s], v[nb + 1, s] = 1.0, lay.v, 1.0
+            need = np.flatnonzero(v.any(axis=0))     # what overflows elsewhere stays out
+            small = np.einsum("ai,cij,bj->cab", v[:, need], m[:, need[:, None], need], v[:, need], optimize=True)
+            act = np.column_stack([np.zeros(n, np.int64), lay.active(codes), np.full(n, lay.k, np.int64)])
+            a, b = np.triu_indices(nb + 2)
+            x, y = act[:, a], act[:, b]
+            ok = (x >= 0) & (y >= 0)
+            x, y, val = x[ok], y[ok], small[:, a, b][ok]
+            key, at = np.unique(np.minimum(x, y) * (lay.k + 1) + np.maximum(x, y), return_inverse=True)
+            yield d, key // (lay.k + 1), key % (lay.k + 1), np.bincount(at, val, minlength=len(key)), np.where(
+                key == 0, m[:, 0, 0].sum(), 0.0)
 
     def run(frames):
         for frame in frames:
-            for lo in range(0, len(frame), chunk):
-                pdf = frame.iloc[lo:lo + chunk]
-                g = np.array(pdf["_g"].tolist(), float).reshape(len(pdf), cells.width)
-                codes = _codes(pdf, cells, levels)
+            groups = frame.groupby(by, sort=False, dropna=False) if by else [((), frame)]
+            for key, group in groups:
                 for ti, t in enumerate(cells.targets):
-                    has = pdf["_mask"].str[ti].to_numpy() == "1"
-                    if not has.any():
-                        continue
-                    m = cells.blocks(g[has], t)
-                    s = len(cells.subsets)
-                    for d, lay in layouts.items():
-                        # rows of v: the intercept, every block, the target
-                        nb = len(lay.blocks)
-                        v = np.zeros((nb + 2, s + 1))
-                        v[0, 0], v[1:nb + 1, :s], v[nb + 1, s] = 1.0, lay.v, 1.0
-                        need = np.flatnonzero(v.any(axis=0))     # what overflows elsewhere stays out
-                        small = np.einsum("ai,cij,bj->cab", v[:, need], m[:, need[:, None], need], v[:, need], optimize=True)
-                        n = int(has.sum())
-                        act = np.column_stack([np.zeros(n, np.int64), lay.active(codes[has]), np.full(n, lay.k, np.int64)])
-                        a, b = np.triu_indices(nb + 2)
-                        ia, ib = act[:, a], act[:, b]
-                        ok = (ia >= 0) & (ib >= 0)
-                        x, y, val = ia[ok], ib[ok], small[:, a, b][ok]
-                        key, at = np.unique(np.minimum(x, y) * (lay.k + 1) + np.maximum(x, y), return_inverse=True)
-                        yield pd.DataFrame({"target": t, "depth": np.int32(d), "i": (key // (lay.k + 1)).astype(np.int32),
-                                            "j": (key % (lay.k + 1)).astype(np.int32),
-                                            "v": np.bincount(at, val, minlength=len(key)),
-                                            "n": np.where(key == 0, m[:, 0, 0].sum(), 0.0)})
-
-    parts = table.mapInPandas(run, _TRIPLES)
-    return parts.groupBy("target", "depth", "i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+                    have = group[group["_mask"].str[ti] == "1"]
+                    for lo in range(0, len(have), chunk):
+                        for d, i, j, v, n in triples(have.iloc[lo:lo + chunk], t):
+                            out = pd.DataFrame({"target": t, "depth": np.int32(d), "i": i.astype(np.int32),
+                                                "j": j.astype(np.int32), "v": v, "n": n})
+                            for at, c in enumerate(by):
+                                out.insert(at, c, [key[at]] * len(out))
+                            yield out
+
+    parts = table.mapInPandas(run, schema)
+    return parts.groupBy(*by, "target", "depth", "i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
 
 
 def interactions(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[str],
                  targets: Sequence[str], *, max_depth: int | None = None, alpha: float = 0.05,
-                 levels: dict | None = None, max_columns: int = MAX_COLUMNS) -> InteractionFit:
-    """Fit every depth up to ``max_depth`` (default: all inputs).  Depths stand
-    alone: one that is too wide to solve (``too wide``) or cannot be solved
+                 levels: dict | None = None, max_columns: int = MAX_COLUMNS,
+                 by: Sequence[str] = ()) -> InteractionFit:
+    """Fit every depth up to ``max_depth`` (default: all inputs) in every group
+    of ``by``.  Depths stand alone: one that is too wide to solve (``too wide``) or cannot be solved
     (``failed``) has a status row and no coefficients, the others keep theirs.
 
     A depth with more than ``max_columns`` design columns is solved from its
     cells, when those make at most ``max_columns`` rows; rows without a
     level, a numeric input or the target take no part.
     """
+    by = list(by)
     categoricals = [c for c in categoricals if c in df.columns]
     numerics = [c for c in numerics if c in df.columns]
     n_inputs = len(categoricals) + len(numerics)
@@ -368,14 +373,14 @@ def interactions(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
     means = column_means(df, [F.col(c) for c in [*numerics, *targets]])
     cells = Cells.plan(categoricals, numerics, list(targets), top, means[:len(numerics)],
                        {t: float(m) for t, m in zip(targets, means[len(numerics):])})
-    table = cell_table(df, cells)
+    table = cell_table(df, cells, by)
     layouts = {d: _Layout(cells, cols, levels) for d, cols in designs.items()}
     dense = {d: x for d, x in layouts.items() if x.k <= max_columns}
     wide = {d: x for d, x in layouts.items() if x.k > max_columns}
     few = bool(wide) and table.count() * (len(cells.subsets) + 1) <= max_columns
     meta = {d: [(dc.term, dc.label, list(dc.parameters)) for dc in cols] for d, cols in designs.items()}
 
-    def rows(t, d, solve):
+    def rows(key, t, d, solve):
         """One row with the depth's status (term_idx -1), then one a coefficient."""
         k, n_coef = layouts[d].k, len(_COEF.fields) - 2
         try:
@@ -383,14 +388,15 @@ def interactions(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
             if not np.isfinite(s["coef"]).all():
                 raise ArithmeticError("the moments of this depth overflow")
         except Exception:  # isolate a failing depth (E8)
-            return [[t, d, -1] + [None] * (n_coef - 1) + [k, "failed", None, None, None]]
-        out = [[t, d, -1] + [None] * (n_coef - 1) + [k, "fitted", int(s["n"]), s["rank"], s["r2"]]]
+            return [[*key, t, d, -1] + [None] * (n_coef - 1) + [k, "failed", None, None, None]]
+        out = [[*key, t, d, -1] + [None] * (n_coef - 1) + [k, "fitted", int(s["n"]), s["rank"], s["r2"]]]
         for i, (term, label, params) in enumerate(meta[d]):
-            out.append([t, d, i, term, label, params, *[s[c][i] for c in ("coef", "std_err", "t", "p", "ci_lo", "ci_hi")],
+            out.append([*key, t, d, i, term, label, params, *[s[c][i] for c in ("coef", "std_err", "t", "p", "ci_lo", "ci_hi")],
                         *[None] * (len(_STATUS.fields) - 2)])
         return out
 
-    schema = T.StructType(_COEF.fields + _STATUS.fields[2:])
+    schema = T.StructType([df.schema[c] for c in by] + _COEF.fields + _STATUS.fields[2:])
+    mine = lambda pdf: [pdf[c].iloc[0] for c in by]
     frame = lambda out: pd.DataFrame(out, columns=schema.names)
 
     def solve_dense(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -399,31 +405,37 @@ def interactions(df: DataFrame, categoricals: Sequence[str], numerics: Sequence[
         m = np.zeros((lay.k + 1, lay.k + 1))
         m[pdf["i"], pdf["j"]] = pdf["v"]
         shift = np.append(lay.shift, cells.y_centre[t])
-        return frame(rows(t, d, lambda: solve_moments(pack(m), lay.k + 1, float(pdf["n"].sum()), alpha=alpha, shift=shift)))
+        return frame(rows(mine(pdf), t, d, lambda: solve_moments(pack(m), lay.k + 1, float(pdf["n"].sum()), alpha=alpha, shift=shift)))
 
     def solve_cells(pdf: pd.DataFrame) -> pd.DataFrame:
         t, d = pdf["target"].iloc[0], int(pdf["depth"].iloc[0])
         g = np.array(pdf["_g"].tolist(), float).reshape(len(pdf), cells.width)
-        return frame(rows(t, d, lambda: _solve_rows(cells, layouts[d], t, g, _codes(pdf, cells, levels), alpha)))
+        return frame(rows(mine(pdf), t, d, lambda: _solve_rows(cells, layouts[d], t, g, _codes(pdf, cells, levels), alpha)))
 
     spark = df.sparkSession
     solved = spark.createDataFrame([], schema)
     if dense:
-        solved = _gram_triples(table, cells, dense, levels).groupBy("target", "depth").applyInPandas(solve_dense, schema)
+        solved = _gram_triples(table, cells, dense, levels, by).groupBy(*by, "target", "depth").applyInPandas(solve_dense, schema)
+    # wide depths: each with the cells there are, or reported
+    depths = F.explode(F.array(*[F.lit(d) for d in wide]).cast("array<int>")).alias("depth")
     every = spark.createDataFrame([(t, i) for i, t in enumerate(targets)], "target string, _t int")
     if wide and few:
-        # every (target, wide depth) takes the few cells there are
-        copies = every.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in wide])))
-        mine = table.crossJoin(F.broadcast(copies)).where(F.col("_mask").substr(F.col("_t") + 1, F.lit(1)) == "1")
-        solved = solved.unionByName(mine.groupBy("target", "depth").applyInPandas(solve_cells, schema))
+        each = table.crossJoin(F.broadcast(every.select("*", depths)))
+        each = each.where(F.col("_mask").substr(F.col("_t") + 1, F.lit(1)) == "1")
+        solved = solved.unionByName(each.groupBy(*by, "target", "depth").applyInPandas(solve_cells, schema))
     elif wide:
-        solved = solved.unionByName(spark.createDataFrame(
-            [(t, d, -1, *[None] * 9, x.k, "too wide", None, None, None) for t in targets for d, x in wide.items()], schema))
+        groups = table.select(*by).distinct().crossJoin(F.broadcast(every)) if by else every
+        width = F.element_at(F.map_from_arrays(F.array(*[F.lit(d) for d in wide]),
+                                               F.array(*[F.lit(x.k) for x in wide.values()])), F.col("depth"))
+        given = {"term_idx": F.lit(-1), "n_columns": width, "status": F.lit("too wide")}
+        solved = solved.unionByName(groups.select(*by, "target", depths).select(*[
+            given.get(f.name, F.col(f.name) if f.name in (*by, "target", "depth") else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields]))
     path = scratch_path(spark, "interactions")
     solved.write.parquet(path)
     stored = spark.read.schema(schema).parquet(path)
-    return InteractionFit(stored.where("term_idx >= 0").select(*_COEF.names),
-                          stored.where("term_idx < 0").select(*_STATUS.names), designs)
+    return InteractionFit(stored.where("term_idx >= 0").select(*by, *_COEF.names),
+                          stored.where("term_idx < 0").select(*by, *_STATUS.names), designs)
 
 
 def _solve_rows(cells: Cells, lay: _Layout, target: str, g: np.ndarray, codes: np.ndarray, alpha: float) -> dict:

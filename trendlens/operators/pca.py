@@ -31,15 +31,16 @@ _SCHEMA = T.StructType([
 @dataclass
 class PCAResult:
     table: DataFrame
+    by: tuple = ()
 
     @property
     def variance(self) -> DataFrame:
         """``pc, variance, ratio, cumulative``."""
-        return self.table.where(F.col("feature_idx") == 0).select("pc", "variance", "ratio", "cumulative")
+        return self.table.where(F.col("feature_idx") == 0).select(*self.by, "pc", "variance", "ratio", "cumulative")
 
     @property
     def loadings(self) -> DataFrame:
-        return self.table.select("pc", "feature", "loading")
+        return self.table.select(*self.by, "pc", "feature", "loading")
 
     def components_for(self, thresholds: Sequence[float] = (0.8, 0.95)) -> DataFrame:
         """First component whose cumulative ratio reaches each threshold
@@ -49,16 +50,16 @@ class PCAResult:
         for t in thresholds:
             aggs.append(F.coalesce(F.min(F.when(F.col("cumulative") >= F.lit(t) - 1e-12, F.col("pc"))),
                                    F.max("pc")).alias(f"n_{int(round(t * 100))}"))
-        return v.agg(*aggs)  # one row per PCA: p rows in, bounded
+        return v.groupBy(*self.by).agg(*aggs)  # one row per PCA: p rows in, bounded
 
     def top(self, k: int = 5, max_pcs: int = 15, threshold: float = 0.95) -> DataFrame:
         """Top-k features by |loading| for the first min(n_threshold,
         max_pcs) components; ``rank`` 1..k, ties by feature name."""
         ncol = "n_95" if abs(threshold - 0.95) < 1e-9 else "n_80"
         t = self.table.where(F.col("pc") <= F.least(F.col(ncol), F.lit(max_pcs)))
-        w = W.partitionBy("pc").orderBy(F.abs("loading").desc(), F.col("feature").asc())
+        w = W.partitionBy(*self.by, "pc").orderBy(F.abs("loading").desc(), F.col("feature").asc())
         return (t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                 .select("pc", "rank", "feature", "loading", "ratio"))
+                 .select(*self.by, "pc", "rank", "feature", "loading", "ratio"))
 
 
     def summary(self, k: int = 5, max_pcs: int = 15, threshold: float = 0.95) -> DataFrame:
@@ -67,22 +68,26 @@ class PCAResult:
         first min(n_threshold, max_pcs) components."""
         top = self.top(k, max_pcs, threshold)
         item = F.struct(F.col("rank"), F.format_string("%s(%.3f)", F.col("feature"), F.abs("loading")).alias("s"))
-        lists = top.groupBy("pc").agg(F.array_sort(F.collect_list(item)).alias("_l"))  # <= k per pc
-        return (lists.join(self.variance, "pc")
-                .select("pc", F.concat(F.lit("PC"), F.col("pc").cast("string")).alias("component"),
+        lists = top.groupBy(*self.by, "pc").agg(F.array_sort(F.collect_list(item)).alias("_l"))  # <= k per pc
+        return (lists.join(self.variance, [*self.by, "pc"])
+                .select(*self.by, "pc", F.concat(F.lit("PC"), F.col("pc").cast("string")).alias("component"),
                         F.format_string("%.3f", F.col("ratio")).alias("variance_explained"),
                         F.format_string("%.3f", F.col("cumulative")).alias("cumulative_variance"),
                         F.array_join(F.transform("_l", lambda x: x["s"]), ", ").alias("top_features")))
 
 
-def pca(df: DataFrame, features: Sequence) -> PCAResult:
-    specs = _as_specs(features)
+def pca(df: DataFrame, features: Sequence, by: Sequence[str] = ()) -> PCAResult:
+    """Principal components of every group of ``by`` (one without), each solved
+    from its own moments in a task."""
+    specs, by = _as_specs(features), tuple(by)
     names = [n for n, _ in specs]
-    mom = moments(df, {"pca": specs})
+    mom = moments(df, {"pca": specs}, by=by)
+    schema = T.StructType([df.schema[c] for c in by] + _SCHEMA.fields)
 
     def eig(it):
         for pdf in it:
-            for g, k in zip(pdf["_g"], pdf["_k"]):
+            keys = zip(*[pdf[c] for c in by]) if by else [()] * len(pdf)
+            for key, g, k in zip(keys, pdf["_g"], pdf["_k"]):
                 g = np.asarray(g, dtype=float)
                 k = int(k)
                 n = g[-1]
@@ -112,8 +117,8 @@ def pca(df: DataFrame, features: Sequence) -> PCAResult:
                     ratio = w[c] / total if total > 0 else float("nan")
                     cum += ratio
                     for fi, fname in enumerate(names):
-                        rows.append([c + 1, fi, fname, float(vec[fi]), float(w[c]), float(ratio), float(cum),
+                        rows.append([*key, c + 1, fi, fname, float(vec[fi]), float(w[c]), float(ratio), float(cum),
                                      n80, n95])
-                yield pd.DataFrame(rows, columns=[f.name for f in _SCHEMA.fields])
+                yield pd.DataFrame(rows, columns=schema.names)
 
-    return PCAResult(mom.mapInPandas(eig, _SCHEMA))
+    return PCAResult(mom.mapInPandas(eig, schema), by)

@@ -10,8 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 SKEW_THRESHOLD = 1.0
@@ -23,26 +28,31 @@ def _clean(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def _stack(agg: DataFrame, items: list[Column]) -> DataFrame:
-    return agg.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+def _stack(agg: DataFrame, items: list[Column], by: Sequence[str] = ()) -> DataFrame:
+    return agg.select(*by, F.explode(F.array(*items)).alias("s")).select(*by, "s.*")
 
 
-def skew_check(df: DataFrame, cols: Sequence[str], threshold: float = SKEW_THRESHOLD) -> DataFrame:
-    """Population skewness g1 per column (NULL/NaN ignored), flagged
-    when |g1| > threshold; ``ord`` keeps the input column order."""
-    agg = df.agg(*[F.skewness(_clean(c)).alias(f"_s{i}") for i, c in enumerate(cols)])
+def skew_check(df: DataFrame, cols: Sequence[str], threshold: float = SKEW_THRESHOLD, by: Sequence[str] = ()) -> DataFrame:
+    """Population skewness g1 per column (NULL/NaN ignored) and group,
+    flagged when |g1| > threshold; ``ord`` keeps the input column order."""
+    agg = df.groupBy(*by).agg(*[F.skewness(_clean(c)).alias(f"_s{i}") for i, c in enumerate(cols)])
     items = [F.struct(F.lit(i).alias("ord"), F.lit(c).alias("column"), F.col(f"_s{i}").alias("skew"))
              for i, c in enumerate(cols)]
-    out = _stack(agg, items)
+    out = _stack(agg, items, by)
     return out.withColumn("flagged", F.coalesce(F.abs("skew") > F.lit(threshold), F.lit(False)))
 
 
-def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+PAIRS_IN_SQL = 12   # more columns than this are correlated by matrix products
+
+
+def correlation(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """D3: Pearson correlation of every ordered pair over jointly present
-    rows (pairwise deletion).  Computed as covar_pop / (std_pop * std_pop)
-    with ``try_divide`` so a constant column yields NULL instead of a
-    division error."""
+    rows (pairwise deletion), by group.  A constant column has no correlation
+    (null).  Few columns are one aggregate; more, or groups, are matrix
+    products of values and masks (``_masked_correlation``)."""
     cols = [c for c in cols if c in df.columns]
+    if by or len(cols) > PAIRS_IN_SQL:
+        return _masked_correlation(df, cols, list(by))
     aggs, items = [], []
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
@@ -63,6 +73,69 @@ def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
               .otherwise(F.col("r")))
 
 
+def _masked_correlation(df: DataFrame, cols: Sequence[str], by: list[str]) -> DataFrame:
+    """Pairwise-complete correlations of many columns in one Arrow pass.
+
+    With X the values about their means (missing: 0) and M the mask of present
+    ones, M'M, X'M, (X*X)'M and X'X hold every pair's count and sums.  A task
+    adds them up over its batches and emits one row a group and column; these
+    are summed by (group, column), and a group's columns meet in one task: four
+    numbers a pair.
+    """
+    from trendlens.operators.gram import FAN_IN, spread
+    from trendlens.operators.linear import column_means
+
+    p = len(cols)
+    shift = column_means(df, [F.col(c) for c in cols])
+    src = spread(df.select(*by, *[(F.col(c).cast("double") - F.lit(float(m))).alias(f"_x{i}")
+                                  for i, (c, m) in enumerate(zip(cols, shift))]))
+    keys = [df.schema[c] for c in by]
+    part = T.StructType([*keys, T.StructField("_i", T.IntegerType()), T.StructField("_g", T.ArrayType(T.DoubleType()))])
+
+    def sums(frames):
+        acc: dict = {}
+        for pdf in frames:
+            x = pdf[[f"_x{i}" for i in range(p)]].to_numpy(float, na_value=np.nan)
+            mask = (~np.isnan(x)).astype(float)
+            x = np.where(mask > 0, x, 0.0)
+            groups = pdf.groupby(by, sort=False, dropna=False).indices.items() if by else [((), slice(None))]
+            for key, at in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                v, m = x[at], mask[at]
+                got = np.hstack([m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v])
+                acc[key] = acc[key] + got if key in acc else got
+        rows = [[*key, i, g[i]] for key, g in acc.items() for i in range(p)]
+        if rows:
+            yield pd.DataFrame(rows, columns=part.names)
+
+    parts = src.mapInPandas(sums, part).withColumn("_level", F.floor(F.spark_partition_id() / FAN_IN))
+    for at in ([*by, "_i", "_level"], [*by, "_i"]):
+        parts = parts.groupBy(*at).agg(Summarizer.sum(array_to_vector("_g")).alias("_v")).withColumn(
+            "_g", vector_to_array("_v")).drop("_v")
+    out = T.StructType([*keys, T.StructField("col_a", T.StringType()), T.StructField("col_b", T.StringType()),
+                        T.StructField("r", T.DoubleType())])
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = np.array(pdf.sort_values("_i")["_g"].tolist()).reshape(p, 4, p)
+        n, s, ss, xy = g[:, 0], g[:, 1], g[:, 2], g[:, 3]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = s / n
+            var = ss / n - mean * mean
+            var = np.where(var > 1e-14 * (ss / n), var, 0.0)
+            r = (xy / n - mean * mean.T) / np.sqrt(var * var.T)
+        known = np.isfinite(r)
+        r = np.where(known, np.clip(r, -1.0, 1.0), np.nan)
+        np.fill_diagonal(r, np.where(np.diag(known), 1.0, np.nan))
+        a, b = np.meshgrid(np.arange(p), np.arange(p), indexing="ij")
+        frame = pd.DataFrame({"col_a": np.array(cols)[a.ravel()], "col_b": np.array(cols)[b.ravel()], "r": r.ravel()})
+        for i, c in enumerate(by):
+            frame.insert(i, c, [pdf[c].iloc[0]] * len(frame))
+        return frame
+
+    got = parts.groupBy(*by).applyInPandas(pairs, out)
+    return got.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bins: int = 1024) -> dict:
     """Percentiles of every column, interpolated linearly between exact order
     statistics: ``{col: [value per prob]}`` (``None`` without finite values;

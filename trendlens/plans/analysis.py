@@ -216,14 +216,33 @@ def summarize(spark: SparkSession, run: Run, alpha: float = 0.05) -> dict:
 
 def write_run(tables: dict, base: str, run_id: str | None = None) -> str:
     """Every table appended under ``base/<name>`` partitioned by
-    run (and target where present)."""
+    run (and target where present).  The run counts as a result once all of
+    them are there: its record is written last."""
     run_id = run_id or results.new_run_id()
     for name, df in tables.items():
         part = ["target"] if "target" in df.columns else []
         results.write_result(df, base, name, run_id, part)
+        spark = df.sparkSession
+    if tables:
+        results.commit_run(spark, base, run_id, list(tables))
     return run_id
 
 
+def analyze_by(spark: SparkSession, df: DataFrame, by: str, roles: Roles, opts: Options | None = None) -> dict[str, DataFrame]:
+    """One full analysis, forest included, for every value of ``by`` (a
+    dataset column with few values), every table with that column in front.
+    Groups are analysed one after another; each is a distributed run."""
+    out: dict[str, DataFrame] = {}
+    kind = df.schema[by].dataType
+    values = [r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
+    for v in values:
+        run = analyze(spark, df.where(F.col(by) == F.lit(v)), roles, opts)
+        for name, table in {**run.tables, **summarize(spark, run)}.items():
+            named = table.select(F.lit(v).cast(kind).alias(by), *[c for c in table.columns if c != by])
+            out[name] = out[name].unionByName(named, allowMissingColumns=True) if name in out else named
+    return out
+
+
 def write_models(spark: SparkSession, models: dict, base: str, run_id: str) -> dict:
     """Every target's forest under ``base/models``; returns target -> path."""
     return {t: forest.save_model(spark, m, f"{base.rstrip('/')}/models/run_id={run_id}/target={t}")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendlens.functions.labels import display_name
-from trendlens.operators import clean, encode, explain, forest, interact, linear, pca, rollup, stats
+from trendlens.operators import clean, encode, explain, forest, interact, levels, linear, pca, rollup, stats
 from trendlens.operators.index import kfold, stable_index
 from trendlens.plans import frames as fr
 from trendlens.sources import joins, results
@@ -237,6 +237,42 @@ def q_corr_matrix(spark, sf):
     return out.select("col_a", "col_b", _r("r", D8))
 
 
+def q_corr_by_group(spark, sf):
+    """Pairwise-complete correlations by group, with different nulls."""
+    li = fr.table(spark, sf, "lineitem").select(
+        "l_returnflag", F.expr("nullif(l_discount, 0.0D)").alias("disc"), F.expr("if(l_quantity % 5 = 0, null, l_quantity)").alias("qty"),
+        F.col("l_extendedprice").cast("double").alias("price"))
+    out = stats.correlation(li, ["disc", "qty", "price"], by=["l_returnflag"])
+    return out.select("l_returnflag", "col_a", "col_b", _r("r", D8))
+
+
+def q_skew_by_group(spark, sf):
+    """Skewness by group."""
+    out = stats.skew_check(fr.table(spark, sf, "events"), ["value"], by=["event_type"])
+    return out.select("event_type", "column", _r("skew", D6), "flagged")
+
+
+def q_pca_by_group(spark, sf):
+    """Component variances of two standardised columns by group."""
+    li = fr.table(spark, sf, "lineitem")
+    res = pca.pca(li, [("qty", F.col("l_quantity").cast("double")), ("price", F.col("l_extendedprice").cast("double") / 1000)],
+                  by=["l_returnflag"])
+    return res.variance.select("l_returnflag", "pc", _r("variance", D4), _r("ratio", D8))
+
+
+def q_level_dictionary(spark, sf):
+    """Every brand and type with its place among the encoded columns."""
+    p = fr.table(spark, sf, "part")
+    return levels.level_dictionary(p, ["p_brand", "p_type"], {"p_type": "LARGE"})
+
+
+def q_one_hot_entries(spark, sf):
+    """Encoded rows as (index, value) pairs, by joins on the level table."""
+    p = fr.table(spark, sf, "part")
+    d = levels.level_dictionary(p, ["p_brand", "p_type"], {"p_type": "LARGE"})
+    return levels.feature_entries(p, d, ["p_brand", "p_type"], ["p_partkey"], [("num__p_size", F.col("p_size"))])
+
+
 def q_yeo_johnson_fixed(spark, sf):
     out, _ = stats.yeo_johnson(fr.frame_v(spark, sf), ["value"], lambdas={"value": 0.5})
     return out.select("event_id", _r("value_transformed", D8))
@@ -976,6 +1012,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stump_shap_by_parameter": q_stump_shap_by_parameter,
     "stump_pdp_1d": q_stump_pdp_1d,
     "stump_pdp_2d": q_stump_pdp_2d,
+    "corr_by_group": q_corr_by_group,
+    "skew_by_group": q_skew_by_group,
+    "pca_by_group": q_pca_by_group,
+    "level_dictionary": q_level_dictionary,
+    "one_hot_entries": q_one_hot_entries,
     "stump_pdp_mean": q_stump_pdp_mean,
     "stump_pdp_mean_2d": q_stump_pdp_mean_2d,
     "deep_tree_metrics": q_deep_tree_metrics,

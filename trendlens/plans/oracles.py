@@ -164,6 +164,12 @@ ft AS (SELECT * FROM (VALUES ('p_size'), ('is_large')) t(feature)),
 ph AS (SELECT p_partkey, x2, feature, CASE WHEN feature <> sf THEN 0.0::DOUBLE WHEN lft THEN ml - base ELSE mr - base END AS phi
        FROM sd, sp, lv, ft)"""
 
+_DICTIONARY = """lv AS (SELECT 0 AS c, 'p_brand' AS "column", p_brand AS level, count(*) AS n FROM part GROUP BY p_brand
+       UNION ALL SELECT 1, 'p_type', p_type, count(*) FROM part GROUP BY p_type),
+rf AS (SELECT *, CASE WHEN c = 0 THEN level = min(level) OVER (PARTITION BY c) ELSE level = 'LARGE' END AS is_ref FROM lv),
+dict AS (SELECT "column", level, n, CASE WHEN NOT is_ref THEN sum(CASE WHEN is_ref THEN 0 ELSE 1 END) OVER (ORDER BY c, level) - 1 END::BIGINT
+                AS idx, CASE WHEN NOT is_ref THEN 'cat__' || "column" || '_' || level END AS feature FROM rf)"""
+
 _LEVELS = """d AS (SELECT CAST(l_partkey AS VARCHAR) AS part, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y
       FROM lineitem),
 m AS (SELECT part, count(*) AS k, avg(x) AS mx, avg(y) AS my FROM d GROUP BY part),
@@ -448,6 +454,36 @@ UNION ALL SELECT l_orderkey, l_linenumber, 'num__l_quantity', round((l_quantity
 
     "corr_matrix": _corr_sql(),
 
+    "corr_by_group": """
+WITH d AS (SELECT l_returnflag, nullif(l_discount, 0) AS disc, CASE WHEN l_quantity % 5 = 0 THEN NULL ELSE l_quantity END AS qty,
+                  l_extendedprice AS price FROM lineitem),
+g AS (SELECT l_returnflag, corr(disc, qty) AS dq, corr(disc, price) AS dp, corr(qty, price) AS qp FROM d GROUP BY l_returnflag)
+SELECT l_returnflag, col_a, col_b, round(CASE WHEN col_a = col_b THEN 1.0::DOUBLE
+    WHEN (col_a, col_b) IN (('disc', 'qty'), ('qty', 'disc')) THEN dq
+    WHEN (col_a, col_b) IN (('disc', 'price'), ('price', 'disc')) THEN dp ELSE qp END, 8) AS r
+FROM g, (VALUES ('disc'), ('qty'), ('price')) a(col_a), (VALUES ('disc'), ('qty'), ('price')) b(col_b)""",
+
+    "skew_by_group": """
+WITH m AS (SELECT event_type, avg(value) AS mu FROM events GROUP BY event_type),
+s AS (SELECT event_type, avg(power(value - mu, 3)) / power(avg(power(value - mu, 2)), 1.5) AS g
+      FROM events JOIN m USING (event_type) GROUP BY event_type)
+SELECT event_type, 'value' AS "column", round(g, 6) AS skew, abs(g) > 1 AS flagged FROM s""",
+
+    "pca_by_group": """
+WITH d AS (SELECT l_returnflag, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) / 1000 AS y FROM lineitem),
+c AS (SELECT l_returnflag, var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c FROM d GROUP BY l_returnflag),
+e AS (SELECT l_returnflag, a + b AS tr, (a + b) / 2 AS h, sqrt(power((a - b) / 2, 2) + c * c) AS r FROM c)
+SELECT l_returnflag, 1 AS pc, round(h + r, 4) AS variance, round((h + r) / tr, 8) AS ratio FROM e
+UNION ALL SELECT l_returnflag, 2, round(h - r, 4), round((h - r) / tr, 8) FROM e""",
+
+    "level_dictionary": "WITH " + _DICTIONARY + """
+SELECT "column", level, n, idx, feature FROM dict""",
+
+    "one_hot_entries": "WITH " + _DICTIONARY + """
+SELECT p_partkey, idx, feature, 1.0::DOUBLE AS value FROM part JOIN dict ON ("column" = 'p_brand' AND level = p_brand)
+    OR ("column" = 'p_type' AND level = p_type) WHERE idx IS NOT NULL
+UNION ALL SELECT p_partkey, (SELECT max(idx) + 1 FROM dict), 'num__p_size', CAST(p_size AS DOUBLE) FROM part WHERE p_size <> 0""",
+
     "yeo_johnson_fixed": """
 WITH t AS (SELECT event_id,
                   CASE WHEN value >= 0 THEN (power(value + 1, 0.5) - 1) / 0.5

@@ -34,15 +34,42 @@ def write_result(df: DataFrame, base: str, name: str, run_id: str,
     return path
 
 
+MANIFEST = "_runs"
+
+
+def commit_run(spark: SparkSession, base: str, run_id: str, tables: Sequence[str]) -> None:
+    """Record a finished run with the tables it wrote: the last thing a run
+    does.  Tables of a run without this record are not results yet."""
+    (spark.createDataFrame([(run_id, sorted(tables))], "run_id string, tables array<string>").coalesce(1)
+     .write.mode("append").parquet(f"{base.rstrip('/')}/{MANIFEST}"))
+
+
+def committed_runs(spark: SparkSession, base: str) -> DataFrame | None:
+    """``run_id, tables`` of the finished runs under ``base``; None where none was recorded."""
+    path = f"{base.rstrip('/')}/{MANIFEST}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema("run_id string, tables array<string>").parquet(path)
+
+
 def latest_run(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """Rows of the newest run only.  The newest is found by listing the
-    run folders; no other run's files are listed or read."""
+    """Rows of the newest finished run that wrote ``name``; only its files
+    are listed or read.  Under a base that records no runs (``commit_run``) the
+    newest folder counts."""
     root = f"{base.rstrip('/')}/{name}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    runs = [p for p in (s.getPath().getName() for s in listed) if p.startswith("run_id=")]
-    if not runs:
-        raise ValueError(f"no run of {name!r} under {base}")
-    newest = max(runs)
+    done = committed_runs(spark, base)
+    if done is not None:
+        newest = done.where(F.array_contains("tables", name)).agg(F.max("run_id")).first()[0]
+        if newest is None:
+            raise ValueError(f"no finished run of {name!r} under {base}")
+        newest = f"run_id={newest}"
+    else:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        runs = [p for p in (s.getPath().getName() for s in listed) if p.startswith("run_id=")]
+        if not runs:
+            raise ValueError(f"no run of {name!r} under {base}")
+        newest = max(runs)
     return (spark.read.option("basePath", root).parquet(f"{root}/{newest}")
             .withColumn("run_id", F.lit(newest.split("=", 1)[1])))

@@ -304,12 +304,55 @@ def test_language_learns_every_label(spark):
     assert len(got) == 18 and sum(r["lang_pred"] == f"l{r['doc_id'] // 100}" for r in got) >= 16
 
 
+def _best_window(text, template, percent=80):
+    """Dice of every window of words, by definition."""
+    from collections import Counter
+
+    cut = lambda x: [w for w in re.split("[^a-z0-9]+", x.lower()) if w]
+    pairs = lambda w: list(map(" ".join, zip(w, w[1:])))
+    words, bag = pairs(cut(text or "")), Counter(pairs(cut(template)))
+    t, best = bag.total(), None
+    for s in range(len(words)):
+        for e in range(s, min(len(words), s + 2 * t + 2)):
+            common = (Counter(words[s:e + 1]) & bag).total()
+            if 200 * common >= percent * (e - s + 1 + t):
+                best = min(best or (0, 0, 0), (-2 * common / (e - s + 1 + t), s, e - s + 2))
+    return best and (best[1], best[2], -best[0])
+
+
+def test_licence_windows_equal_all_windows_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(10)
+    templates = (("A", "notice", "Licensed under the Apache License, Version 2.0."), ("B", "text", "the code the code of the code is free"),
+                 ("C", "notice", "one two"), ("D", "notice", "word"))
+    vocab = "licensed under the apache license version 2 0 code of is free one two x".split()
+    texts = [rnd.choice([" ", "\n", ", "]).join(rnd.choice(vocab) for _ in range(rnd.randrange(0, 60))) for _ in range(400)]
+    texts += [f"before {t[2]} after, {t[2]}" for t in templates] + [None, "", "the code " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    got = {(r["doc_id"], r["licence"]): (r["start"], r["n_words"], r["dice"])
+           for r in licences.scan_licences(df, "id", "body", templates).collect()}
+    want = {(i, n): _best_window(x, t) for i, x in enumerate(texts) for n, _, t in templates}
+    assert got == {k: v for k, v in want.items() if v} and len(got) > 40
+
+
 def test_licences_on_odd_rows(spark, odd):
-    df = odd.select("doc_id", "text").union(spark.createDataFrame(
-        [(20, "Some prose.\nreleased UNDER the  MIT license\nmore"), (None, "Licensed under CC BY-NC 4.0!")],
-        "doc_id long, text string"))
-    got = sorted(map(str, (tuple(r) for r in licences.scan_licences(df, "doc_id", "text").collect())))
-    assert got == ["(20, 1, 'MIT', 1.0)", "(None, 0, 'CC-BY-NC-4.0', 1.0)"]
+    texts = {n: t for n, f, t in licences.TEMPLATES if f == "text"}
+    long_one = " ".join(f"word{i}" for i in range(30_000)) + " " + texts["MIT"].replace("SOFTWARE", "PROGRAM") + " tail"
+    rows = [(20, "Some prose.\nreleased UNDER the  MIT license\nmore"), (None, "Licensed under CC BY-NC 4.0!"), (21, texts["MIT"]),
+            (22, "A text.\nLicensed under the Apache License,\nVersion 2.0. More text follows here."),
+            (23, "We say that it is licensed under the Apache License, version 2.0, as all know."), (24, texts["BSD-3-Clause"]),
+            (25, long_one), (26, "Released under the MIT License. " * 2), (26, "Released under the MIT License. " * 2)]
+    df = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr(
+        "*", "1 as licence", "2 as start", "3 as w", "4 as hits", "5 as k")
+    got = sorted(((r["doc_id"] or 0, r["licence"], r["form"], r["start"], r["n_words"], round(r["dice"], 6))
+                  for r in licences.scan_licences(df, "doc_id", "text").collect()))
+    found = {(d, n, f) for d, n, f, *_ in got}
+    assert {(20, "MIT", "notice"), (0, "CC-BY-NC-4.0", "notice"), (21, "MIT", "text"), (22, "Apache-2.0", "notice"),
+            (23, "Apache-2.0", "notice"), (24, "BSD-3-Clause", "text"), (25, "MIT", "text")} <= found
+    assert got.count((26, "MIT", "notice", 0, 5, 1.0)) == 2
+    assert (21, "MIT", "text", 0, licences.Template("", "", texts["MIT"], 80).size + 1, 1.0) in got
+    assert (22, "Apache-2.0", "notice", 2, 8, 1.0) in got and (23, "Apache-2.0", "notice", 5, 8, 1.0) in got
     assert licences.scan_licences(df.where("false"), "doc_id", "text").count() == 0
 
 

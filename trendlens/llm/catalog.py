@@ -100,23 +100,31 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
   UNION SELECT reach.a, edges.y FROM reach JOIN edges ON reach.b = edges.x)
 SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, c.component_id
 FROM grams g JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON g.doc_id = c.a""",
+    # every pair of template bigrams within the longest window is a window; all are compared
     "op10_licence_scan": r"""
-WITH templates(licence, t) AS (VALUES """ + ", ".join(
-        "('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licences.TEMPLATES) + r"""),
-lines AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents),
-segs AS (
-  SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS segment, unnest(l) AS t FROM lines
-  UNION ALL SELECT doc_id, -1, text FROM lines WHERE len(l) > 1),
-words AS (SELECT doc_id, segment, list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM segs),
-grams AS (SELECT doc_id, segment, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-  FROM words WHERE len(w) BETWEEN 2 AND 40),
-tw AS (SELECT licence, list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM templates),
-tg AS (SELECT licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw),
-dice AS (SELECT doc_id, segment, licence,
-    2.0::DOUBLE * len(list_intersect(grams.g, tg.g)) / (len(grams.g) + len(tg.g)) AS dice FROM grams, tg),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, segment ORDER BY dice DESC, licence DESC) AS r
-  FROM dice WHERE dice >= 0.8)
-SELECT doc_id, segment, licence, dice FROM best WHERE r = 1""",
+WITH templates(licence, form, t) AS (VALUES """ + ", ".join(
+        "('{}', '{}', '{}')".format(n, f, t.replace("'", "''")) for n, f, t in licences.TEMPLATES) + r"""),
+tw AS (SELECT licence, form, list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM templates),
+tg AS (SELECT licence, form, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw),
+tb AS (SELECT licence, form, g, count(*) AS m FROM tg GROUP BY ALL),
+ts AS (SELECT licence, form, sum(m) AS t FROM tb GROUP BY ALL),
+dw AS (SELECT row_number() OVER () AS r, doc_id,
+       list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+dg AS (SELECT r, doc_id, unnest(range(0, len(w) - 1)) AS pos,
+       unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM dw WHERE len(w) > 1),
+h AS (SELECT r, doc_id, licence, form, pos, g, m, t FROM dg JOIN tb USING (g) JOIN ts USING (licence, form)),
+enough AS (SELECT r, licence, form FROM h GROUP BY ALL HAVING 3 * count(*) >= 2 * any_value(t)),
+hh AS (SELECT h.* FROM h JOIN enough USING (r, licence, form)),
+ends AS (SELECT a.r, a.doc_id, a.licence, a.form, a.t, a.pos AS s, b.pos AS e FROM hh a JOIN hh b
+  ON a.r = b.r AND a.licence = b.licence AND a.form = b.form AND b.pos >= a.pos AND 2 * (b.pos - a.pos + 1) <= 3 * a.t
+     AND 3 * (b.pos - a.pos + 1) >= 2 * a.t),
+c AS (SELECT x.r, x.doc_id, x.licence, x.form, x.t, s, e, x.g, least(count(*), any_value(m)) AS c FROM
+  (SELECT ends.*, hh.g, hh.m FROM ends JOIN hh ON ends.r = hh.r AND ends.licence = hh.licence AND ends.form = hh.form
+   AND hh.pos BETWEEN s AND e) x GROUP BY ALL),
+d AS (SELECT r, doc_id, licence, form, s, e, 2.0::DOUBLE * sum(c) / (e - s + 1 + t) AS dice FROM c GROUP BY r, doc_id, licence, form, t, s, e
+      HAVING 200 * sum(c) >= 80 * (e - s + 1 + t))
+SELECT doc_id, licence, form, CAST(s AS INTEGER) AS start, CAST(e - s + 2 AS INTEGER) AS n_words, dice FROM d
+QUALIFY row_number() OVER (PARTITION BY r, licence, form ORDER BY dice DESC, s, e) = 1""",
     "op8_quality_cascade": rf"""
 WITH w AS (SELECT doc_id, text, regexp_extract_all(text, {_WORD}) AS w, string_split(text, chr(10)) AS l,
     list_distinct(string_split(text, chr(10))) AS dl FROM documents),

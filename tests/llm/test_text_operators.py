@@ -263,6 +263,40 @@ def test_quality_order_does_not_change_the_verdict(spark, docs, odd):
     assert quality_cascade.quality_report(odd.where("false"), "doc_id", "text").count() == 0
 
 
+def test_a_rule_sees_only_the_texts_that_are_left(docs):
+    texts = [r["text"] or "" for r in docs.collect()][:200] + ["", "a b c", "WORD " * 50, "# " * 40, "same line\n" * 30]
+    data = [t.encode() for t in texts]
+    off = np.cumsum([0, *map(len, data)])
+    whole = quality_cascade.Facts(np.frombuffer(b"".join(data), np.uint8), off)
+    seen = {}
+
+    def counted(rule):
+        def rejects(facts):
+            seen[rule.name] = facts.n, len(facts.buf)
+            return rule.rejects(facts)
+        return quality_cascade.Rule(rule.name, rejects)
+
+    for order in (quality_cascade.RULES, quality_cascade.RULES[::-1]):
+        bad = np.array([r.rejects(quality_cascade.Facts(whole.buf, off)) for r in order])
+        first = quality_cascade.run_rules([counted(r) for r in order], quality_cascade.Facts(whole.buf, off))
+        want = np.where(bad.any(axis=0), bad.argmax(axis=0), -1)
+        assert first.tolist() == want.tolist()
+        size = np.array(list(map(len, data)))
+        for i, r in enumerate(order):
+            left = (want == -1) | (want >= i)
+            assert seen[r.name] == (left.sum(), size[left].sum()), r.name
+        assert seen[order[-1].name][0] < len(texts)
+    some = np.flatnonzero(np.arange(len(texts)) % 3 > 0)
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters", "n_upper", "n_letters",
+             "n_letter_words")
+    for known in ((), ("words",), ("hashes", "n_upper", "n_words")):
+        f = quality_cascade.Facts(whole.buf, off)
+        for k in known:
+            getattr(f, k)
+        for name in names:
+            assert getattr(f.subset(some), name).tolist() == getattr(whole, name)[some].tolist(), name
+
+
 def test_shouting_counts_letters_of_every_script(spark):
     texts = {"ru": "Сегодня утром в городе прошла встреча, где NATO обсуждала новые планы на ближайшие два года",
              "el": "Σήμερα το πρωί στην πόλη έγινε συνάντηση όπου το NATO συζήτησε νέα σχέδια για δύο χρόνια",

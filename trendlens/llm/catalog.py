@@ -134,7 +134,7 @@ n AS (SELECT doc_id, text, w, len(w) AS n_words, len(array_to_string(w, '')) AS
     len(list_filter(l, lambda x: regexp_matches(x, {_WORD}))) - len(list_filter(dl, lambda x: regexp_matches(x, {_WORD}))) AS n_dup_lines,
     len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters,
     len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x80-\x{{10FFFF}}]'))) AS n_letter_words,
-    len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(regexp_extract_all(text, '[A-Za-z]')) AS n_ascii FROM w),
+    len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '\p{{L}}')) AS n_letters FROM w),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3),
     lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM n WHERE len(w) >= 5),
 twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
@@ -142,7 +142,7 @@ cover AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(rang
 r AS (SELECT n.*, coalesce(c, 0) AS n_repeat_words FROM n LEFT JOIN cover USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM r)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 2 * n_upper > n_ascii OR 100 * n_dup_lines > 60 * n_lines
+  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 2 * n_upper > n_letters OR 100 * n_dup_lines > 60 * n_lines
     OR 100 * n_stutters > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
     OR 100 * n_letter_words < 60 * n_words) AS kept FROM f""",
 }

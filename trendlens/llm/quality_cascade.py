@@ -1,19 +1,22 @@
 """Operator 8: quality rules as a short-circuit cascade.
 
 Each rule says whether it rejects a text.  A bounded random sample is run
-through every rule first; a rule's cost is its CPU time per text and its
-selectivity the share it rejects.  The rules then run in order of rejections
-per cost, and a text stops at the first rule that rejects it.  A text is kept
-when no rule rejects it, so the order decides work, never the verdict.
+through every rule first; a rule's cost is its own CPU time per text (the cut
+into words, which most share, is charged to none) and its selectivity the
+share it rejects.  The rules then run in order of rejections per cost, and a
+text stops at the first rule that rejects it.  A text is kept when no rule
+rejects it, so the order decides work, never the verdict.
 
 Counts come from the bytes of whole texts, vectorised over a chunk of texts;
-they are computed when a rule (or the caller) first asks for them, and only
-for the texts still in the running.
+they are computed when a rule (or the caller) first asks for them.  A rule
+sees only the texts that all rules before it let pass: the others' bytes,
+words and counts are dropped from the chunk first.
 """
 
 from __future__ import annotations
 
 import time
+import unicodedata
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -63,7 +66,8 @@ def _beyond_ascii(buf: np.ndarray):
         code[more] = code[more] << 6 | buf[np.minimum(at[more] + i, len(buf) - 1)] & 0x3F
     kinds, which = np.unique(code, return_inverse=True)
     chars = [chr(c) if c <= 0x10FFFF else "" for c in kinds]
-    return (at, np.array([c.isupper() for c in chars], bool)[which], np.array([c.isalpha() for c in chars], bool)[which])
+    upper = np.array([c != "" and unicodedata.category(c) == "Lu" for c in chars], bool)
+    return at, upper[which], np.array([c.isalpha() for c in chars], bool)[which]
 
 
 class Facts:
@@ -74,15 +78,36 @@ class Facts:
         self.n = len(off) - 1
 
     def subset(self, rows: np.ndarray) -> Facts:
+        """The facts of some texts (row numbers, in order): what is known of them stays known."""
         size = (self.off[1:] - self.off[:-1])[rows]
         off = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(self.off[:-1][rows] - off[:-1], size) + np.arange(off[-1])
-        return Facts(self.buf[at], off)
+        moved = off[:-1] - self.off[:-1][rows]
+        out = Facts(self.buf[np.repeat(-moved, size) + np.arange(off[-1])], off)
+        for name, value in self.__dict__.items():
+            if name.startswith("n_") or name == "word_chars":
+                out.__dict__[name] = value[rows]
+            elif name == "_cases":
+                out.__dict__[name] = tuple(v[rows] for v in value)
+        if "words" in self.__dict__:
+            starts, ends, per = self.words
+            n = (per[1:] - per[:-1])[rows]
+            first = np.concatenate([[0], np.cumsum(n)])
+            at = np.repeat(per[:-1][rows] - first[:-1], n) + np.arange(first[-1])
+            shift = np.repeat(moved, n)
+            out.__dict__["words"] = starts[at] + shift, ends[at] + shift, first
+            if "hashes" in self.__dict__:
+                out.__dict__["hashes"] = self.hashes[at]
+        return out
 
     @cached_property
     def words(self):
         return word_bounds(self.buf, self.off)
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        starts, ends, _ = self.words
+        return span_hash(self.buf, starts, ends, lower=False)
+
     @cached_property
     def n_words(self) -> np.ndarray:
         per = self.words[2]
@@ -125,7 +150,7 @@ class Facts:
     @cached_property
     def n_repeat_words(self) -> np.ndarray:
         starts, ends, per = self.words
-        h = window_hash(span_hash(self.buf, starts, ends, lower=False), WINDOW)
+        h = window_hash(self.hashes, WINDOW)
         if len(h) == 0:
             return np.zeros(self.n, np.int64)
         text = np.repeat(np.arange(self.n), per[1:] - per[:-1])
@@ -142,8 +167,7 @@ class Facts:
     @cached_property
     def n_stutters(self) -> np.ndarray:
         """Words equal to the word before them."""
-        starts, ends, per = self.words
-        h = span_hash(self.buf, starts, ends, lower=False)
+        h, per = self.hashes, self.words[2]
         text = np.repeat(np.arange(self.n), per[1:] - per[:-1])
         again = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
         return np.bincount(text[1:][again], minlength=self.n)[:self.n]
@@ -196,9 +220,12 @@ def _measure(rules: Sequence[Rule]):
         for batch in batches:
             for _, _, buf, off in chunks(batch.column(0)):
                 n += len(off) - 1
+                shared = Facts(buf, off).words
                 for i, r in enumerate(rules):
+                    facts = Facts(buf, off)
+                    facts.__dict__["words"] = shared
                     t = time.thread_time()
-                    rejected[i] += int(r.rejects(Facts(buf, off)).sum())
+                    rejected[i] += int(r.rejects(facts).sum())
                     spent[i] += time.thread_time() - t
         yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "n": [n] * len(rules),
                                           "rejected": rejected.astype(int).tolist(), "spent": spent.tolist()})
@@ -225,6 +252,22 @@ def rule_order(df: DataFrame, text_col: str, rules: Sequence[Rule] = RULES,
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def run_rules(rules: Sequence[Rule], facts: Facts) -> np.ndarray:
+    """Number of the rule that rejects each text (-1: none); every rule sees the
+    texts that are left."""
+    first = np.full(facts.n, -1, np.int64)
+    left = np.arange(facts.n)
+    for i, r in enumerate(rules):
+        bad = r.rejects(facts)
+        if bad.any():
+            first[left[bad]] = i
+            left = left[~bad]
+            if len(left) == 0:
+                break
+            facts = facts.subset(np.flatnonzero(~bad))
+    return first
+
+
 def _cascade(rules: Sequence[Rule], facts: bool, text_at: int):
     def run(batches):
         for batch in batches:
@@ -236,18 +279,7 @@ def _cascade(rules: Sequence[Rule], facts: bool, text_at: int):
                 if facts:
                     for c in _COUNTS:
                         count[c][lo:hi] = getattr(whole, c)
-                left, f = np.arange(hi - lo), whole
-                for i, r in enumerate(rules):
-                    bad = r.rejects(f)
-                    if bad.any():
-                        first[lo + left[bad]] = i
-                        left = left[~bad]
-                        if len(left) == 0:
-                            break
-                        if 4 * len(left) < f.n and not facts:
-                            f = f.subset(np.flatnonzero(~bad))
-                            continue
-                        f = _View(f, np.flatnonzero(~bad))
+                first[lo:hi] = run_rules(rules, whole)
             names = pa.array([rules[i].name if i >= 0 else None for i in first], pa.string())
             extra = [pa.array(count[c]) for c in _COUNTS] if facts else []
             yield pa.RecordBatch.from_arrays(
@@ -256,26 +288,15 @@ def _cascade(rules: Sequence[Rule], facts: bool, text_at: int):
     return run
 
 
-class _View:
-    """Some texts of a chunk whose counts are already at hand (or cheap)."""
-
-    def __init__(self, of, rows: np.ndarray):
-        self._of, self._rows, self.n = of, rows, len(rows)
-
-    def subset(self, rows):
-        return _View(self._of, self._rows[rows])
-
-    def __getattr__(self, name):
-        return getattr(self._of, name)[self._rows]
-
-
 def quality_cascade(df: DataFrame, text_col: str, rules: Sequence[Rule] = RULES, facts: bool = False,
                     order: Sequence[str] | None = None) -> DataFrame:
     """``df`` plus ``_kept`` and ``_failed`` (the rule that rejected the row);
     with ``facts`` also the counts, prefixed with ``_``, of every row.
 
     A null text counts as empty and a text without words fails ``few_words``.
-    Rows are judged one by one, so repeated rows get the same verdict and an
+    ``_failed`` is the first rule in the cascade's order, which follows measured
+    CPU times and may differ between runs; give ``order`` to fix it.  ``_kept``
+    never differs.  Rows are judged one by one, so repeated rows get the same verdict and an
     empty table gives an empty result.  All columns of ``df`` pass through; a
     column named like an output is replaced.
     """

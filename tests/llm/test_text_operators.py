@@ -354,6 +354,42 @@ def _best_window(text, template, percent=80):
     return best and (best[1], best[2], -best[0])
 
 
+def test_tiles_meet_every_pair_of_linkable_sizes_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 7)
+    sizes = [1, 2, 3, 4, 5, 6, 8, 10, 11, 12, 13, 20, 23, 24, 27, 28, 33, 100, 117, 118, 137, 138] * 9
+    rows = [("big", i, i, n, len(sizes)) for i, n in enumerate(sizes)] + [("small", 1000 + i, i, 3 + 40 * i, 5) for i in range(5)]
+    df = spark.createDataFrame(rows, "h string, id long, k1 long, n long, size long")
+    tiles = ngram_join._tiled(df, 85).cache()
+    x, y = tiles.alias("x"), tiles.alias("y")
+    from pyspark.sql import functions as F
+
+    once = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.place") != F.col("y.place"))
+    met = collections.Counter((r["a"], r["b"]) for r in x.join(y, (F.col("x.h") == F.col("y.h")) & (
+        F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & once & (F.col("x.id") < F.col("y.id"))).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect())
+    linkable = {(a, b) for h, a, _, n, _ in rows for g, b, _, m, _ in rows
+                if h == g and a < b and min(n, m) * 100 >= 85 * max(n, m)}
+    assert linkable <= set(met) and max(met.values()) == 1
+    far = sum(min(sizes[a], sizes[b]) * 2 < max(sizes[a], sizes[b]) for a, b in met if b < len(sizes))
+    assert far == 0 and tiles.where("h = 'small'").count() == 5
+
+
+def test_language_floor_is_above_chance_and_keeps_right_predictions(spark, docs, odd):
+    many = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    net = byte_cnn.fit(many, "doc_id", "text", "lang")
+    chance = 1.1 / len(net.labels)
+    floor = byte_cnn.score_floor(many, "doc_id", "text", "lang", net)
+    assert chance < floor < 1
+    rows = many.where("doc_id % 7 = 0").union(spark.createDataFrame(
+        [(-i, "".join(chr(0x4E00 + (37 * i + 11 * j * j) % 900) for j in range(300)), None, None, None) for i in range(1, 20)], many.schema))
+    got = byte_cnn.identify(rows, "text", net).collect()
+    right = [r for r in got if r["_lang"] == r["lang"]]
+    assert sum(r["_score"] >= floor for r in right) >= 0.98 * len(right)
+    assert byte_cnn.score_floor(odd.where("false"), "doc_id", "text", "lang", net) == chance
+    assert byte_cnn.score_floor(docs, "doc_id", "text", "lang", net) == chance      # too few rows to tell
+    assert byte_cnn.score_floor(docs, "doc_id", "text", "lang", None) == 0
+
+
 def test_licence_windows_equal_all_windows_by_brute_force(spark):
     import random
 

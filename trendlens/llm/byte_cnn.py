@@ -236,6 +236,27 @@ def identify(df: DataFrame, text_col: str, net: Network | None) -> DataFrame:
     return fed.mapInArrow(_score(sent, src.columns.index(text_col), len(src.columns)), schema)
 
 
+def score_floor(df: DataFrame, id_col: str, text_col: str, label_col: str, net: Network | None,
+                share: float = 0.005, max_rows: int = 4000) -> float:
+    """The score below which a prediction is not to be trusted: what only
+    ``share`` of the right predictions on held-out labelled rows (about
+    ``max_rows`` of them, the ones with the least hashes) fall below, but at
+    least a tenth above chance, ``1 / labels``.  When fewer than five right
+    predictions would fall below, the share can not be told and chance decides;
+    0 when nothing was learned."""
+    if net is None:
+        return 0.0
+    chance = min(1.0, 1.1 / len(net.labels))
+    held = df.where((bucket_of(id_col) % 4 == 2) & F.col(label_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("y"))
+    n = held.count()
+    if n > max_rows:
+        held = held.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+    right = identify(held, "text", net).where(F.col("_lang") == F.col("y"))
+    got = right.agg(F.percentile("_score", F.lit(share)).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    return max(chance, got["q"]) if got["n"] * share >= 5 else chance
+
+
 def language_report(df: DataFrame, id_col: str, text_col: str, label_col: str, **kw) -> DataFrame:
     """Predictions by document, and whether the row was kept from training."""
     net = fit(df, id_col, text_col, label_col, **kw)

@@ -7,15 +7,18 @@ Every text is a set of hashed word shingles.  Two texts link when
 * Linked sets must share one of the first ``n - ceil(p*n) + 1`` shingles of any
   fixed order.  The order puts shingles that are common among those prefixes
   last, so shared passages do not make candidates of unrelated texts.
-* A bucket (texts sharing a prefix shingle) is cut into tiles of bounded size.
-  Tiles are cut by the hash of the id; there are no size bands.
+* A bucket (texts sharing a prefix shingle) of more than ``TILE_ROWS`` texts is
+  cut by bands of set size, each as wide as two linked sizes can be apart, and
+  bands into blocks by the hash of the id.  A block meets the blocks of its own
+  band and of the two next to it, and no others; every such pair is a tile.
   Inside a tile, each pair is bounded by its two sizes and by a 512-bit parity bitmap of the set: each differing bit is one
   differing shingle, so bit counts bound the overlap from above.
 * What survives is settled by intersecting the exact shingle arrays.
 
 For components, candidates are tried in two rounds.  First each text against
 the least of its buckets' least ids that the bounds admit; after joining these
-links into components, only pairs of different components go through the tiles.
+links into components, only pairs of different components go through the tiles,
+and buckets of one component are dropped before any row of them is copied.
 A group of thousands of near copies therefore costs a star, not a square, and
 no link between components is lost.  These connecting links are a part of all
 links.  ``JaccardJoin.links`` is all of them: every pair of a bucket goes
@@ -65,7 +68,7 @@ class JaccardJoin:
         """Every link between different sets: a, ka, b, kb (``representative``
         and ``set`` of either side), shared, n_a, n_b; computed when first asked for."""
         s = self.search
-        tiles = _tiled(s.shared.select("h", "id", "k1", "size").join(s.slim, ["id", "k1"]))
+        tiles = _tiled(s.shared.select("h", "id", "k1", "size").join(s.slim, ["id", "k1"]), s.percent)
         pairs = _tile_pairs(tiles, F.struct("x.id", "x.k1") < F.struct("y.id", "y.k1"), s.percent)
         return cut(_verify(cut(_narrowed(pairs, s.wide, s.percent), "pairs"), s.docs, s.k, s.percent), "all-links")
 
@@ -247,19 +250,39 @@ def _narrowed(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
 _PAIR = ["a", "ka", "b", "kb"]
 
 
-def _tiled(rows: DataFrame) -> DataFrame:
-    """``rows`` of buckets (h, size) once for every tile they are in."""
-    n_blocks = F.ceil(F.col("size") / TILE_ROWS).cast("int")
-    block = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
-    return (rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-            .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-            .drop("size", "other"))
+def _size_band(percent: int) -> Column:
+    """Band of a set size: sizes that can link are in one band or in neighbours.
+    A band is a little wider than the size ratio, so rounding does not matter."""
+    return F.floor(F.log("n") / F.lit(np.log(100 / min(percent, 99)) * 1.0001)).cast("long")
+
+
+def _tiled(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` of buckets (h, size, n) once for every tile they are in."""
+    one = F.lit(0).cast("long")
+    small = rows.where(F.col("size") <= TILE_ROWS).withColumns({"place": one, "lo": one, "hi": one}).drop("size")
+    big = rows.where(F.col("size") > TILE_ROWS).withColumn("band", _size_band(percent))
+    bands = (big.groupBy("h", "band").agg(F.count(F.lit(1)).alias("rows"))
+             .groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("band", "rows"))).alias("bands")))
+    big = big.join(bands, "h")
+
+    def places(band):
+        """Numbers of the blocks of a band."""
+        n = F.ceil(F.coalesce(F.try_element_at("bands", band), F.lit(0)) / TILE_ROWS)
+        some = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), lambda i: F.shiftleft(band, 32) + i)
+        return n, F.when(n > 0, some).otherwise(F.array().cast("array<long>"))
+
+    n_blocks, own = places(F.col("band"))
+    place = F.shiftleft("band", 32) + F.pmod(F.xxhash64("id"), n_blocks)
+    met = F.concat(own, places(F.col("band") + 1)[1], places(F.col("band") - 1)[1])
+    big = (big.withColumn("place", place).withColumn("other", F.explode(met))
+           .withColumn("lo", F.least("place", "other")).withColumn("hi", F.greatest("place", "other")))
+    return small.unionByName(big.select(*small.columns))
 
 
 def _tile_pairs(tiles: DataFrame, wanted: Column, percent: int) -> DataFrame:
     """Pairs of a tile (x, y) that are ``wanted`` and may link."""
     x, y = tiles.alias("x"), tiles.alias("y")
-    once = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))
+    once = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.place") != F.col("y.place"))
     near = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.lo") == F.col("y.lo"))
                   & (F.col("x.hi") == F.col("y.hi")) & wanted & once & _may_link("x", "y", percent))
     return near.select(F.col("x.id").alias("a"), F.col("x.k1").alias("ka"), F.col("y.id").alias("b"),
@@ -328,7 +351,8 @@ def jaccard_join(df: DataFrame, id_col: str, text_col: str, k: int = 4, percent:
     tagged = (shared.select("h", "id", "k1", "size").join(slim, ["id", "k1"])
               .join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")))
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    near = _tile_pairs(_tiled(tagged), apart, percent)
+    mixed = tagged.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    near = _tile_pairs(_tiled(tagged.join(mixed.select("h"), "h", "left_semi"), percent), apart, percent)
     second = _verify(cut(_narrowed(near, wide, percent), "near"), docs, k, percent)
     links = cut(first.union(second).distinct(), "links")
 
@@ -365,4 +389,6 @@ def keep_one(df: DataFrame, id_col: str, join: JaccardJoin) -> DataFrame:
     stay, and of rows that repeat an id one stays."""
     gone = join.members.where("id <> component").select(F.col("id").alias(id_col)).distinct()
     left = df.join(gone, id_col, "left_anti").select(*df.columns)
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(left.where(F.col(id_col).isNull()))
+    row = F.struct(*df.columns)
+    first = left.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min_by(row, F.xxhash64(row)).alias("_row"))
+    return first.select("_row.*").union(left.where(F.col(id_col).isNull()))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trendlens.session import checkpoint_dir, scratch_path, ship_package
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -38,6 +38,44 @@ def test_neighbours_with_equal_and_invalid_vectors(spark):
     assert graph_ann.nearest(df.where("false"), "vec_id", "embedding", df.where("false")).count() == 0
 
 
+def test_neighbours_over_many_shards_and_tasks(spark):
+    x = np.random.default_rng(5).normal(size=(4000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[8].tolist()), (40, x[41].tolist()), (9, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    size = 4000 * (8 * 16 + 4 * 17 + 8 * graph_ann.DEGREE + 8 * 21) // 20
+    layout = graph_ann._layout({16: 4000, 2: 1}, {16: 200, 3: 4}, 20, size, 8)
+    assert [r[0] for r in layout] == [16] and layout[0][1] >= 20 and layout[0][3] >= 2      # shards, groups of shards
+    got = graph_ann.nearest(df, "vec_id", "embedding", df.where("vec_id % 20 = 0"), shard_bytes=size).collect()
+    vec, owner = np.array([v for _, v in rows[:-1]]), np.array([i for i, _ in rows[:-1]])
+    hit = total = 0
+    for q in range(0, 4000, 20):
+        best = {}
+        for v in vec[owner == q]:
+            for i, s in zip(owner, vec @ v):
+                if i != q:
+                    best[int(i)] = max(best.get(int(i), -np.inf), s)
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 21)) and len({r["vec_id"] for r in mine}) == 20
+        assert all(abs(r["score"] - best[r["vec_id"]]) < 1e-9 for r in mine)
+        hit += len({r["vec_id"] for r in mine} & set(sorted(best, key=lambda i: (-best[i], i))[:20]))
+        total += 20
+    assert hit >= 0.95 * total
+
+
+def test_best_answers_are_kept_by_score_then_id():
+    rng = np.random.default_rng(1)
+    row, ids, score = rng.integers(0, 9, 500), rng.integers(0, 30, 500), rng.integers(0, 8, 500).astype(float)
+    want = []
+    for r in range(9):
+        top = {}
+        for i, s in zip(ids[row == r], score[row == r]):
+            top[i] = max(top.get(i, -1.0), s)
+        want += [(r, i, top[i]) for i in sorted(top, key=lambda i: (-top[i], i))[:5]]
+    assert list(zip(*graph_ann._keep_best(row, ids, score, 5))) == want
+    none = np.zeros(0, np.int64)
+    assert all(len(a) == 0 for a in graph_ann._keep_best(none, none, np.zeros(0), 5))
+
+
 def test_quotes_link_replies_and_vanish(spark):
     rows = [(1, 0, "user", "How do I sort?\nUse which call?"), (1, 1, "assistant", "Use sorted."),
             (1, 2, "user", "> How do I  SORT?\n> Use which call?\nSame question here."),

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from trendlens.llm.common import cut, prepare
 from trendlens.llm.tokens import encoder, vocabulary_path
 
-SLICE_ROWS = 200_000
+SLICE_ROWS = 10_000
 END = 0
 
 

@@ -284,3 +284,17 @@ def test_index_and_folds_hold_beyond_the_range_sample(spark, parts):
     idx, m = stable_index(df, ["k"], num_partitions=parts)
     r = idx.agg(F.countDistinct("row_idx").alias("d"), F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi")).first()
     assert (m, r["d"], r["lo"], r["hi"]) == (n, n, 0, n - 1)
+
+
+def test_sampled_rows_follow_the_key_alone(spark):
+    from trendlens.operators import explain
+
+    df = spark.range(2000).selectExpr("id", "if(id % 7 = 0, null, id) as k", "id * 2.0 as x")
+    some = lambda d, n, key=("id",), seed=0: sorted(r["id"] for r in explain.sample_rows(d, list(key), n, seed).collect())
+    one = some(df, 500)
+    assert one == some(df.repartition(7), 500) and one != some(df, 500, seed=1)
+    assert 400 < len(one) < 600 and set(some(df, 100)) <= set(one)
+    nulls = set(some(df, 500, key=("k",))) & set(range(0, 2000, 7))
+    assert nulls in (set(), set(range(0, 2000, 7)))          # rows of one key go together
+    assert len(some(df, 2000)) == len(some(df, 10**9)) == 2000 and some(df, 0) == some(df, -5) == []
+    assert some(df.where("false"), 5) == []

@@ -224,6 +224,19 @@ def shap_importance(df: DataFrame, names: Sequence[str], trees: Trees) -> DataFr
                 .select("feature_idx", _named(names).alias("feature"), "mean_abs_shap", "mean_shap", "n"))
 
 
+def sample_rows(df: DataFrame, key: Sequence[str], rows: int, seed: int = 0) -> DataFrame:
+    """About ``rows`` rows of ``df`` to explain where all would cost too much
+    (an opt-in; nothing samples by default).  A row is taken when the first 32
+    bits of the MD5 of ``seed|key...`` fall below its share, so a rerun or
+    another layout takes the same rows, and rows of one key go together.  Null
+    parts of a key are skipped.  Asking for at least all rows takes all."""
+    n = df.count()
+    if rows >= n:
+        return df
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary"))
+    return df.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < F.lit(max(rows, 0) * 2**32 // n))
+
+
 def _rows_with_phi(df: DataFrame, names: Sequence[str], trees: Trees, keep: Sequence[str]) -> DataFrame:
     return with_signature(df, names, trees, keep).join(shap_by_signature(df, names, trees), "_bins")
 

@@ -47,6 +47,7 @@ class Options:
     pdp_pairs: bool = True
     pdp_top_k: int = 5
     key: tuple = ()
+    shap_sample: int | None = None     # explain about this many rows, chosen by key (needs ``key``)
 
 
 @dataclass
@@ -128,10 +129,15 @@ def analyze(spark: SparkSession, df: DataFrame, roles: Roles, opts: Options | No
                 lt = forest.tree_tables(spark, model, len(fs.names))
                 imp = None
                 if opts.run_shap:
-                    imp = explain.shap_importance(sub, fs.names, lt).withColumn("target", F.lit(tgt))
+                    told = sub
+                    if opts.shap_sample is not None:
+                        if not keep:
+                            raise ValueError("shap_sample needs a key to choose rows by")
+                        told = explain.sample_rows(sub, keep, opts.shap_sample)
+                    imp = explain.shap_importance(told, fs.names, lt).withColumn("target", F.lit(tgt))
                     imps.append(imp)
                     if keep:
-                        phis.append(explain.shap_values(sub, fs.names, lt, keep).withColumn("target", F.lit(tgt)))
+                        phis.append(explain.shap_values(told, fs.names, lt, keep).withColumn("target", F.lit(tgt)))
                 if opts.run_pdp:
                     grid = explain.pdp_grid(sub, fs.names)
                     pairs = None

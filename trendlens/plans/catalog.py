@@ -727,6 +727,14 @@ def q_stump_shap_values(spark, sf):
         "p_partkey", "feature", _rz("phi", D6), _r("base", D6))
 
 
+def q_stump_shap_sample(spark, sf):
+    """G1 with ``sample``: the values of about a quarter of the parts, the same parts in every run."""
+    p, names, vec, model, lt = _stump(spark, sf)
+    some = explain.sample_rows(p, ["p_partkey"], p.count() // 4, seed=7)
+    return explain.shap_values(some, names, lt, keep=["p_partkey"]).select(
+        "p_partkey", "feature", _rz("phi", D6), _r("base", D6))
+
+
 def q_stump_shap_importance(spark, sf):
     """The top 20 features by mean |SHAP|."""
     p, names, vec, model, lt = _stump(spark, sf)
@@ -839,6 +847,34 @@ def q_significant_terms(spark, sf):
     return top.select("target", "depth", "term", _r("coef", D4), "rank")
 
 
+def _band_fit(spark, sf):
+    """net ~ 1 + l_returnflag:disc_band, whose bands are significant."""
+    L = fr.frame_l(spark, sf).withColumn("disc_band", F.concat(
+        F.lit("d"), F.floor(F.round(F.col("l_discount") * 100) / 4).cast("string")))
+    keep, levels = clean.fit_lumping_levels(L, ["l_returnflag", "disc_band"])
+    df = clean.apply_lumping(L, keep)
+    fit = interact.interactions(df, ["l_returnflag", "disc_band"], [], ["net"], max_depth=2, levels=levels)
+    return fit.coefficients.where(F.col("depth") == 2)
+
+
+def q_param_rollup_bands(spark, sf):
+    """D10 on categorical terms that are significant: each term counts for all its members."""
+    params = rollup.params_table(spark, ["l_returnflag", "disc_band"])
+    out = rollup.coef_by_parameter(_band_fit(spark, sf), params, alpha=0.05)
+    return out.select("target", "parameter", _r("sum_abs_coef", D4))
+
+
+def q_significant_terms_bands(spark, sf):
+    """B11 + H3 on categorical terms that are significant."""
+    top = rollup.top_significant_terms(_band_fit(spark, sf), k=20)
+    return top.select("target", "depth", "term", _r("coef", D4), "rank")
+
+
+def q_interaction_status_d2(spark, sf):
+    """Columns, state, rows and rank of each depth's own fit."""
+    return _d2_fit(spark, sf).status.select("target", "depth", "n_columns", "status", "n", "rank")
+
+
 def q_topk_abs_coef(spark, sf):
     c = _d2_fit(spark, sf).coefficients.where(F.col("depth") == 2)
     top = rollup.top_abs_coef(c, k=20)
@@ -919,6 +955,15 @@ def q_summary_facts(spark, sf):
     return rollup.summary_facts(fit.coefficients, fit.fit, skew=sk)
 
 
+def q_linear_facts(spark, sf):
+    """H6: intercept, significant slope, fit and skew notes in words (the p value is left out of the text)."""
+    fit = linear.regression(fr.frame_l(spark, sf), ["l_discount"], ["net"])
+    sk = stats.skew_check(fr.frame_v(spark, sf), ["value", "user_id", "event_id"])
+    facts = rollup.summary_facts(fit.coefficients, fit.fit, skew=sk)
+    return facts.select("target", "section", "ord", "subject", _r("value", D4),
+                        F.regexp_replace("text", r" \(p = [^)]*\)", "").alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sql_source": q_sql_source,
     "csv_roundtrip": q_csv_roundtrip,
@@ -963,9 +1008,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interaction_cells_d2": q_interaction_cells_d2,
     "interaction_numeric_d1": q_interaction_numeric_d1,
     "significant_terms_numeric": q_significant_terms_numeric,
+    "significant_terms_bands": q_significant_terms_bands,
+    "param_rollup_bands": q_param_rollup_bands,
     "param_rollup_numeric": q_param_rollup_numeric,
     "interaction_coefs_all_depths": q_interaction_coefs_all_depths,
     "interaction_status": q_interaction_status,
+    "interaction_status_d2": q_interaction_status_d2,
     "pca_variance": q_pca_variance,
     "pca_top_contributors": q_pca_top_contributors,
     "pca_summary": q_pca_summary,
@@ -996,6 +1044,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pdp_top_series": q_pdp_top_series,
     "method_rank": q_method_rank,
     "summary_facts": q_summary_facts,
+    "linear_facts": q_linear_facts,
     "lump_nulls": q_lump_nulls,
     "yeo_johnson_lambda": q_yeo_johnson_lambda,
     "ols_inference": q_ols_inference,
@@ -1007,6 +1056,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stump_metrics": q_stump_metrics,
     "stump_cv_r2": q_stump_cv_r2,
     "stump_shap_values": q_stump_shap_values,
+    "stump_shap_sample": q_stump_shap_sample,
     "stump_shap_importance": q_stump_shap_importance,
     "stump_signed_shap": q_stump_signed_shap,
     "stump_shap_by_parameter": q_stump_shap_by_parameter,

@@ -53,11 +53,15 @@ g AS (SELECT *, (s22*s1y - s12*s2y)/det AS b1, (s11*s2y - s12*s1y)/det AS b2 FRO
 h AS (SELECT *, my - b1*m1 - b2*m2 AS a, (syy - b1*s1y - b2*s2y)/(n-3) AS s2 FROM g)"""
 
 
-def _d2_cte() -> str:
-    """Coefficients of net ~ 1 + l_returnflag:o_orderpriority from cell means."""
-    return L_CTE + """,
-w AS (SELECT l_returnflag AS a, o_orderpriority AS b, net,
-             avg(net) OVER (PARTITION BY l_returnflag, o_orderpriority) AS cm FROM L),
+_BANDS = """,
+LB AS (SELECT *, 'd' || CAST(CAST(floor(round(l_discount * 100) / 4) AS INTEGER) AS VARCHAR) AS disc_band FROM L)"""
+
+
+def _d2_cte(b: str = "o_orderpriority", frame: str = "L") -> str:
+    """Coefficients of net ~ 1 + l_returnflag:b from cell means of ``frame``."""
+    return L_CTE + _BANDS + f""",
+w AS (SELECT l_returnflag AS a, {b} AS b, net,
+             avg(net) OVER (PARTITION BY l_returnflag, {b}) AS cm FROM {frame}),
 cell AS (SELECT a, b, count(*) AS n, avg(net) AS m FROM w GROUP BY a, b),
 sig AS (SELECT sum(power(net - cm, 2)) / (count(*) - (SELECT count(*) FROM cell)) AS s2,
                count(*) - (SELECT count(*) FROM cell) AS dfr FROM w),
@@ -67,12 +71,12 @@ co AS (
   SELECT 'Intercept' AS term, 'Intercept' AS label, 'i' AS kind, m11 AS coef, sqrt(s2 / n11) AS se
   FROM base, sig
   UNION ALL
-  SELECT 'C(Q("o_orderpriority"))[T.' || c.b || ']', 'o_orderpriority = ' || c.b, 'b',
+  SELECT 'C(Q("{b}"))[T.' || c.b || ']', '{b} = ' || c.b, 'b',
          c.m - base.m11, sqrt(s2 * (1.0 / c.n + 1.0 / base.n11))
   FROM cell c, r, base, sig WHERE c.a = r.a1 AND c.b <> r.b1
   UNION ALL
-  SELECT 'C(Q("l_returnflag"))[T.' || c.a || ']:C(Q("o_orderpriority"))[' || c.b || ']',
-         'l_returnflag = ' || c.a || ' × o_orderpriority = ' || c.b, 'ab',
+  SELECT 'C(Q("l_returnflag"))[T.' || c.a || ']:C(Q("{b}"))[' || c.b || ']',
+         'l_returnflag = ' || c.a || ' × {b} = ' || c.b, 'ab',
          c.m - c1.m, sqrt(s2 * (1.0 / c.n + 1.0 / c1.n))
   FROM cell c, r, sig, cell c1 WHERE c.a <> r.a1 AND c1.a = r.a1 AND c1.b = c.b),
 crit AS (SELECT """ + _tcrit("dfr") + """ AS tc FROM sig)"""
@@ -671,6 +675,44 @@ sg AS (SELECT co.*, row_number() OVER (ORDER BY abs(coef) DESC, term ASC) AS rk
        FROM co, crit WHERE kind <> 'i' AND abs(coef / se) > tc)
 SELECT 'net' AS target, 2 AS depth, term, round(coef, 4) AS coef, CAST(rk AS INTEGER) AS rank FROM sg WHERE rk <= 20""",
 
+    "param_rollup_bands": "WITH " + _d2_cte("disc_band", "LB") + """,
+sg AS (SELECT co.* FROM co, crit WHERE kind <> 'i' AND abs(coef / se) > tc)
+SELECT 'net' AS target, parameter, round(sum(abs(coef)), 4) AS sum_abs_coef FROM (
+  SELECT coef, 'disc_band' AS parameter FROM sg
+  UNION ALL SELECT coef, 'l_returnflag' FROM sg WHERE kind = 'ab') GROUP BY parameter""",
+
+    "significant_terms_bands": "WITH " + _d2_cte("disc_band", "LB") + """,
+sg AS (SELECT co.*, row_number() OVER (ORDER BY abs(coef) DESC, term ASC) AS rk
+       FROM co, crit WHERE kind <> 'i' AND abs(coef / se) > tc)
+SELECT 'net' AS target, 2 AS depth, term, round(coef, 4) AS coef, CAST(rk AS INTEGER) AS rank FROM sg WHERE rk <= 20""",
+
+    "interaction_status_d2": "WITH " + L_CTE + """,
+k AS (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS ka, count(DISTINCT o_orderpriority) AS kb,
+             count(DISTINCT (l_returnflag, o_orderpriority)) AS kab FROM L)
+SELECT 'net' AS target, 1 AS depth, CAST(ka + kb - 1 AS INTEGER) AS n_columns, 'fitted' AS status, n,
+       CAST(ka + kb - 1 AS INTEGER) AS rank FROM k
+UNION ALL SELECT 'net', 2, CAST(ka * kb AS INTEGER), 'fitted', n, CAST(kab AS INTEGER) FROM k""",
+
+    "linear_facts": "WITH " + L_CTE + """,
+s AS (SELECT regr_slope(net, l_discount) AS b, regr_intercept(net, l_discount) AS a, regr_r2(net, l_discount) AS r2,
+             count(*) AS n, count(*) - 2 AS dfr,
+             sqrt((regr_syy(net, l_discount) / regr_sxx(net, l_discount) - power(regr_slope(net, l_discount), 2)) / (count(*) - 2)) AS se
+      FROM L),
+sk AS (""" + _skew_sql() + """)
+SELECT 'net' AS target, 'intercept' AS section, 0 AS ord, 'Intercept' AS subject, round(a, 4) AS value,
+       printf('Baseline (intercept) is %.4f', a) AS text FROM s
+UNION ALL SELECT 'net', 'significant', 1, 'l_discount', round(b, 4),
+       printf('l_discount %s the outcome by %.4f per unit', CASE WHEN b > 0 THEN 'increases' ELSE 'decreases' END, abs(b))
+FROM s WHERE abs(b / se) > """ + _tcrit("dfr") + """
+UNION ALL SELECT 'net', 'fit', 0, 'r2', round(r2, 4), printf('R² = %.4f on %d rows', r2, n) FROM s
+UNION ALL SELECT NULL, 'skew', ord, "column", round(skew, 4), printf('%s is skewed (g1 = %.3f)', "column", skew)
+FROM sk WHERE flagged""",
+
+    "stump_shap_sample": "WITH " + _STUMP + """,
+nn AS (SELECT count(*) AS n FROM d),
+pick AS (SELECT p_partkey FROM d, nn WHERE CAST('0x' || substr(md5('7|' || p_partkey), 1, 8) AS BIGINT) < (n // 4) * 4294967296 // n)
+SELECT ph.p_partkey, feature, round(phi, 6) AS phi, round(base, 6) AS base FROM ph JOIN pick ON pick.p_partkey = ph.p_partkey, lv""",
+
     "topk_abs_coef": "WITH " + _d2_cte() + """,
 tk AS (SELECT co.*, row_number() OVER (ORDER BY abs(coef) DESC, term ASC) AS rk FROM co WHERE kind <> 'i')
 SELECT 'net' AS target, term, round(coef, 4) AS coef,

@@ -190,3 +190,21 @@ def test_shuffled_index_is_a_bijection_and_importance_matches_plain_python(spark
         v[:, r.feature_idx] = x[explain.shuffled_index(np.arange(len(x)), len(x), 0, np.full(len(x), r.repeat)), r.feature_idx]
         want = (((y - predict(v)) ** 2).sum() - ((y - predict(x)) ** 2).sum()) / sst
         assert abs(r.importance - want) < 1e-9
+
+
+def test_training_partitions_do_not_follow_the_rows():
+    assert [forest.layout_parts(n) for n in (0, 1, 4096, 20_000)] == [1, 1, 1, 5]
+    assert forest.layout_parts(1_200_000) == 16
+    assert forest.layout_parts(7_200_000) == 24
+
+
+def test_training_rows_lie_by_features_whatever_the_input_partitions(spark, tiny):
+    from pyspark.ml.functions import vector_to_array
+
+    pdf, df, vec, names, model, trees = tiny
+    many = vec.withColumn("features", vec.features).select("id", "y", "features")
+    got = []
+    for parts in (1, 7):
+        out = forest.laid_out(many.repartition(parts), ["id"], "features").select("id", vector_to_array("features").alias("f"))
+        got.append([(tuple(r.f), r.id) for r in out.collect()])
+    assert got[0] == got[1] == sorted(got[0]) and len(got[0]) == len(pdf)

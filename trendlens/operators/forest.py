@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ SEED = 42
 MAX_DEPTH = 30             # what Spark ML allows; trees stop earlier when no split gains
 GROUP_NODES = 100_000      # nodes of one tree group (about 6 MB), unless one tree has more
 LAYOUT_ROWS = 4096         # rows of a training partition ...
-LAYOUT_PARTS = 4096        # ... until there are so many partitions
+LAYOUT_PARTS = 16          # ... until there are so many partitions, which then grow ...
+LAYOUT_MOST = 300_000      # ... to so many rows before there are more
 
 
 @dataclass
@@ -51,14 +53,25 @@ class Trees:
         return spark.read.parquet(self.leaves_path)
 
 
-def laid_out(df: DataFrame, key: Sequence[str] | None) -> DataFrame:
+def layout_parts(n: int) -> int:
+    """Training partitions of ``n`` rows.  In every pass each partition sends the
+    split statistics of all open nodes, however few rows it has, so their
+    number must not follow the rows: it stays at ``LAYOUT_PARTS`` until a partition
+    would hold more than ``LAYOUT_MOST`` rows."""
+    return max(1, min(LAYOUT_PARTS, -(-n // LAYOUT_ROWS)), -(-n // LAYOUT_MOST))
+
+
+def laid_out(df: DataFrame, key: Sequence[str] | None, features_col: str | None = None) -> DataFrame:
     """``df`` in a layout that follows from its rows alone: blocks of the index
-    in ``key`` order (all columns without a key), each block in order."""
+    in ``key`` order (all columns without a key), each block in order; with
+    ``features_col`` in order of these vectors first, so that neighbours reach
+    the same nodes and training finds their statistics in the processor's cache."""
     order = list(key or [c for c, t in df.dtypes if t != "vector"])
     idx, n = stable_index(df, order, out="_row")
-    parts = max(1, min(LAYOUT_PARTS, -(-n // LAYOUT_ROWS)))
+    parts = layout_parts(n)
     block = F.floor(F.col("_row") * parts / max(1, n)).cast("int")
-    return idx.repartition(parts, block).sortWithinPartitions("_row").drop("_row")
+    alike = [vector_to_array(F.col(features_col))] if features_col else []
+    return idx.repartition(parts, block).sortWithinPartitions(*alike, "_row").drop("_row")
 
 
 def fit_forest(df: DataFrame, label: str, features_col: str = "features", *, trees: int = TREES,
@@ -83,7 +96,7 @@ def fit_forest(df: DataFrame, label: str, features_col: str = "features", *, tre
                                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     from trendlens.operators.gram import spread
 
-    return rf.fit(laid_out(df, key) if key else spread(df))
+    return rf.fit(laid_out(df.select(*dict.fromkeys([label, features_col, *key])), key, features_col) if key else spread(df))
 
 
 def save_model(spark: SparkSession, model, path: str | None = None) -> str:

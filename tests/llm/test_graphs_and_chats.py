@@ -115,3 +115,34 @@ def test_pipeline_stages_keep_their_contracts(spark, docs, odd):
     assert corpus_pipeline.run(spark, SF001).count() > 0
     assert corpus_pipeline.mix(spark, odd.select("doc_id", "text", "lang", "source"), SF001).columns == [
         "doc_id", "text", "lang", "source"]
+
+
+def test_packing_slices_follow_each_length_and_need_no_sorted_join(spark, monkeypatch):
+    from trendlens.llm import packing
+
+    monkeypatch.setattr(packing, "SLICE_ROWS", 5)
+    rows = [(i, "common" if i < 40 else "a " * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = packing.pack(df, "doc_id", "text", capacity=64)
+        got = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 64
+    counts = {}
+    for r in got:
+        counts[r["length"]] = counts.get(r["length"], 0) + 1
+    assert len(places) == packing.plan(counts, 64)[1]
+    assert {r["doc_id"] for r in got} == set(range(60))

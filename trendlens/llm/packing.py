@@ -7,7 +7,8 @@ the capacity are matched greedily, at most two to a bin; shorter lengths then
 go, longest first, into the fullest bins that still hold them.  Bins that look
 alike are one group with a count, so the plan's size depends on the capacity
 and never on the number of documents.  A piece finds its bin by its rank among
-the pieces of its length; ranks are taken in salted slices.
+the pieces of its length; ranks are taken in salted slices, as many a length as
+it has pieces for.
 """
 
 from __future__ import annotations
@@ -140,15 +141,17 @@ def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, path:
     pieces = cut(src.mapInArrow(_pieces(path or vocabulary_path(), capacity), shape), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots, _ = plan(counts, capacity)                   # at most ``capacity`` counts; a few slots each
-    n_slices = max(1, -(-sum(counts.values()) // SLICE_ROWS))
+    slices = spark.createDataFrame([(size, -(-n // SLICE_ROWS)) for size, n in sorted(counts.items())],
+                                   "length long, slices long")
     tie = F.xxhash64("doc_id", "piece", "ids_crc32")
-    salted = pieces.withColumn("slice", F.pmod(tie, F.lit(n_slices)).cast("int"))
+    salted = pieces.join(F.broadcast(slices), "length").withColumn("slice", F.pmod(tie, "slices").cast("int")).drop("slices")
     sizes = salted.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "slice", (F.sum("n").over(
         Window.partitionBy("length").orderBy("slice")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "slice").orderBy(
         F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32")) - 1
-    ranked = (salted.withColumn("rank", rank).join(before, ["length", "slice"])
+    # one row a length and another for every ``SLICE_ROWS`` pieces: sorting both sides for them costs memory
+    ranked = (salted.withColumn("rank", rank).join(F.broadcast(before), ["length", "slice"])
               .withColumn("rank", F.col("rank") + F.col("before")))
     table = spark.createDataFrame(slots, "length long, lo long, hi long, seq long, per long, at long")
     p, s = ranked.alias("p"), F.broadcast(table).alias("s")

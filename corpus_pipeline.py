@@ -17,7 +17,7 @@ from trendlens.llm.common import cut, prepare
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the network knows (labels: ``lang``), as surely as
-    right predictions on held-out documents are (``byte_cnn.score_floor``).
+    right predictions on all held-out documents are (``byte_cnn.score_floor``).
     Null and letterless texts go, repeated rows share their verdict, and where
     nothing can be learned, or the table is empty, nothing stays."""
     prepare(spark)

@@ -435,3 +435,17 @@ def test_words_are_cut_at_ascii_blanks_only():
         s, e, p = word_bounds(buf, off)
         per += [[bytes(buf[a:b]).decode() for a, b in zip(s[i:j], e[i:j])] for i, j in zip(p, p[1:])]
     assert per == [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+
+
+def test_language_floor_counts_every_held_out_row(spark):
+    from pyspark.sql import functions as F
+
+    net = byte_cnn.train([b"aaaa bbbb", b"cccc dddd"] * 4, ["x", "y"] * 4, steps=20)
+    n = 40_000
+    scored = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("lang"), F.lit("x").alias("_lang"),
+                                   (F.lit(0.6) + F.col("id") / (4.0 * n)).alias("_score"))
+    held = sorted(0.6 + i / (4.0 * n) for i in range(n) if zlib.crc32(str(i).encode()) % 4 == 2)
+    at = (len(held) - 1) * 0.005
+    lo = held[int(at)]
+    want = lo + (held[int(at) + 1] - lo) * (at - int(at))
+    assert len(held) > 4000 and abs(byte_cnn.floor_of(scored, "doc_id", "lang", net) - want) < 1e-12

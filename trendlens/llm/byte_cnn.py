@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from trendlens.llm.common import bucket_of, chunks, prepare
+from trendlens.llm.common import bucket_of, chunks, cut, prepare
+from trendlens.operators.stats import exact_quantiles
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -237,24 +238,30 @@ def identify(df: DataFrame, text_col: str, net: Network | None) -> DataFrame:
 
 
 def score_floor(df: DataFrame, id_col: str, text_col: str, label_col: str, net: Network | None,
-                share: float = 0.005, max_rows: int = 4000) -> float:
+                share: float = 0.005) -> float:
     """The score below which a prediction is not to be trusted: what only
-    ``share`` of the right predictions on held-out labelled rows (about
-    ``max_rows`` of them, the ones with the least hashes) fall below, but at
-    least a tenth above chance, ``1 / labels``.  When fewer than five right
-    predictions would fall below, the share can not be told and chance decides;
-    0 when nothing was learned."""
+    ``share`` of the right predictions on all held-out labelled rows fall
+    below, but at least a tenth above chance, ``1 / labels``.  When fewer than
+    five right predictions would fall below, the share can not be told and
+    chance decides; 0 when nothing was learned."""
     if net is None:
         return 0.0
-    chance = min(1.0, 1.1 / len(net.labels))
     held = df.where((bucket_of(id_col) % 4 == 2) & F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("y"))
-    n = held.count()
-    if n > max_rows:
-        held = held.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
-    right = identify(held, "text", net).where(F.col("_lang") == F.col("y"))
-    got = right.agg(F.percentile("_score", F.lit(share)).alias("q"), F.count(F.lit(1)).alias("n")).first()
-    return max(chance, got["q"]) if got["n"] * share >= 5 else chance
+    # scored once: the quantile takes several passes over the scores
+    scored = cut(identify(held, "text", net).select("id", "y", "_lang", "_score"), "held-scores")
+    return floor_of(scored, "id", "y", net, share)
+
+
+def floor_of(scored: DataFrame, id_col: str, label_col: str, net: Network | None, share: float = 0.005) -> float:
+    """``score_floor`` from predictions at hand (``_lang``, ``_score``, see ``identify``)."""
+    if net is None:
+        return 0.0
+    chance = min(1.0, 1.1 / len(net.labels))
+    right = scored.where((bucket_of(id_col) % 4 == 2) & (F.col("_lang") == F.col(label_col).cast("string"))).select("_score")
+    if right.count() * share < 5:
+        return chance
+    return max(chance, exact_quantiles(right, ["_score"], [share])["_score"][0])
 
 
 def language_report(df: DataFrame, id_col: str, text_col: str, label_col: str, **kw) -> DataFrame:

@@ -208,3 +208,25 @@ def test_training_rows_lie_by_features_whatever_the_input_partitions(spark, tiny
         out = forest.laid_out(many.repartition(parts), ["id"], "features").select("id", vector_to_array("features").alias("f"))
         got.append([(tuple(r.f), r.id) for r in out.collect()])
     assert got[0] == got[1] == sorted(got[0]) and len(got[0]) == len(pdf)
+
+
+def test_equal_variants_are_scored_once(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "a": rng.integers(0, 2, n).astype(float),
+                                             "b": rng.integers(0, 3, n).astype(float), "y": rng.normal(1e6, 1.0, n)}))
+    sizes = []
+
+    def score(d):
+        sizes.append(d.count())
+        return d.withColumn("prediction", 1e6 + d.a - d.b)
+
+    got = explain.permutation_importance(df, ["a", "b"], "y", ["id"], score, repeats=3).collect()
+    assert sizes[0] == n and sizes[1] <= 3 * 2 * 6
+    pdf = df.toPandas()
+    x, y = pdf[["a", "b"]].to_numpy(), pdf["y"].to_numpy()
+    err = lambda v: ((y - (1e6 + v[:, 0] - v[:, 1])) ** 2).sum()
+    for r in got:
+        v = x.copy()
+        v[:, r.feature_idx] = x[explain.shuffled_index(np.arange(n), n, 0, np.full(n, r.repeat)), r.feature_idx]
+        assert abs(r.importance - (err(v) - err(x)) / ((y - y.mean()) ** 2).sum()) < 1e-8

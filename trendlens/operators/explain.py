@@ -618,8 +618,8 @@ def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key:
     variant differs from its row only where the donor's value does, so the
     row's own prediction is kept once and just the differing variants are scored
     by ``score`` (DataFrame -> DataFrame with ``prediction``; e.g. a Spark ML
-    model, fitted or re-read) where the joined row is: what leaves a task is
-    one sum a (repeat, feature).
+    model, fitted or re-read), equal ones of a repeat and feature once: sums over
+    the labels of their rows give the exact squared error.
     Output: ``feature_idx, feature, repeat, r2_base, r2_perm, importance``.
     """
     names = list(names)
@@ -629,20 +629,27 @@ def permutation_importance(df: DataFrame, names: Sequence[str], label: str, key:
             .select("row_idx", label, *names, F.col("prediction").alias("_f0")).checkpoint(eager=True))
     y = F.col(label).cast("double")
     e0 = y - F.col("_f0")
-    st = base.agg(F.var_pop(y).alias("vy"), F.count(F.lit(1)).alias("n"), F.sum(e0 * e0).alias("sse")).first()
+    st = base.agg(F.avg(y).alias("my"), F.var_pop(y).alias("vy"), F.count(F.lit(1)).alias("n"), F.sum(e0 * e0).alias("sse")).first()
     sst = float(st["vy"]) * float(st["n"])  # same for every permuted variant: y is untouched
     r2_base = 1.0 - st["sse"] / sst
     donors = base.select(F.col("row_idx").alias("donor_idx"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)])
     # scoring, not the size of its input, sets the number of tasks
     joined = permutation_pairs(base, n, repeats, seed).join(donors, "donor_idx")
     differs = F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_d{i}")), F.lit(i)) for i, c in enumerate(names)])
+    # rows whose variants are equal share a prediction: with sums over them the squared error
+    # of n rows is n f^2 - 2 f sum(y) + sum(y^2), taken about the label's mean to keep digits
+    middle = F.lit(float(st["my"]))
+    yc = y - middle
     variants = (spread(joined).select("*", F.explode(F.array_compact(differs)).alias("feature_idx"))
-                .select("repeat", "feature_idx", label, "_f0",
-                        *[F.when(F.col("feature_idx") == i, F.col(f"_d{i}")).otherwise(F.col(c)).alias(c)
-                          for i, c in enumerate(names)]))
-    e1 = y - F.col("prediction")
-    delta = (score(variants).groupBy("repeat", "feature_idx")
-             .agg((F.sum(e1 * e1 - e0 * e0) / F.lit(sst)).alias("_drop")))
+                .groupBy("repeat", "feature_idx",
+                         *[F.when(F.col("feature_idx") == i, F.col(f"_d{i}")).otherwise(F.col(c)).alias(c)
+                           for i, c in enumerate(names)])
+                .agg(F.count(y).alias("_n"), F.sum(yc).alias("_y"), F.sum(yc * yc - e0 * e0).alias("_s")))
+    # few bytes, but every row walks the whole model: dealt to tasks by number, not by size
+    dealt = variants.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    f1 = F.col("prediction") - middle
+    delta = (score(dealt).groupBy("repeat", "feature_idx")
+             .agg((F.sum(F.col("_n") * f1 * f1 - 2 * f1 * F.col("_y") + F.col("_s")) / F.lit(sst)).alias("_drop")))
     grid = (spark.createDataFrame(list(enumerate(names)), "feature_idx int, feature string")
             .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))))
     drop = F.coalesce(F.col("_drop"), F.lit(0.0))

@@ -47,3 +47,12 @@ def test_entry_smoke(spark):
     df = se.entry(spark)
     rows = df.collect()
     assert len(rows) == 2 * 11 and {"target", "term", "coef", "std_err", "p"} <= set(df.columns)
+
+
+def test_frame_l_once_is_joined_once_with_the_same_rows(spark):
+    from trendlens.plans import frames as fr
+
+    once, again = fr.frame_l_once(spark, SF001), fr.frame_l(spark, SF001)
+    assert once.columns == again.columns and once.exceptAll(again).count() == again.exceptAll(once).count() == 0
+    assert "Join" not in once._jdf.queryExecution().executedPlan().toString()
+    assert fr.frame_l_once(spark, SF001, ["net"]).columns == ["net"]

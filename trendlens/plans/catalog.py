@@ -180,7 +180,7 @@ def q_lump_nulls(spark, sf):
 # ----------------------------------------------------------------- features
 
 def _l_lumped(spark, sf, with_levels: bool = False):
-    L = clean.drop_missing(fr.frame_l(spark, sf), fr.L_ROLES.columns)
+    L = clean.drop_missing(fr.frame_l_once(spark, sf), fr.L_ROLES.columns)
     keep, levels = clean.fit_lumping_levels(L, list(fr.L_ROLES.categoricals))
     out = clean.apply_lumping(L, keep)
     return (out, levels) if with_levels else out
@@ -299,7 +299,7 @@ def _coef_out(fit: linear.LinearFit, by=()):
 
 
 def q_ols_simple(spark, sf):
-    return _coef_out(linear.regression(fr.frame_l(spark, sf), ["l_quantity"], ["net"]))
+    return _coef_out(linear.regression(fr.frame_l_once(spark, sf), ["l_quantity"], ["net"]))
 
 
 def q_wls_simple(spark, sf):
@@ -312,7 +312,7 @@ def _fit_out(fit: linear.LinearFit):
 
 def q_ols_fit_stats(spark, sf):
     """N, rank, residual df and R^2 of an OLS fit."""
-    return _fit_out(linear.regression(fr.frame_l(spark, sf), ["l_quantity"], ["net"]))
+    return _fit_out(linear.regression(fr.frame_l_once(spark, sf), ["l_quantity"], ["net"]))
 
 
 def q_wls_fallback(spark, sf):
@@ -366,7 +366,7 @@ def q_wls_fit_stats(spark, sf):
 
 
 def q_ols_two_feature(spark, sf):
-    return _coef_out(linear.regression(fr.frame_l(spark, sf), ["l_quantity", "l_discount"], ["net"]))
+    return _coef_out(linear.regression(fr.frame_l_once(spark, sf), ["l_quantity", "l_discount"], ["net"]))
 
 
 def q_ols_by_group(spark, sf):
@@ -387,8 +387,7 @@ def q_significance_bands(spark, sf):
 
 
 def _l_features(spark, sf):
-    """Cleaned, lumped L frame and its fitted features (re-read per pass:
-    cheaper than caching at these sizes; ``analysis.analyze`` persists).
+    """Cleaned, lumped L frame (joined once, re-read per pass) and its fitted features.
     Levels come from the lumping fit; one more pass fits the numerics."""
     lumped, levels = _l_lumped(spark, sf, with_levels=True)
     df = clean.drop_missing(lumped, fr.L_ROLES.columns)
@@ -433,7 +432,7 @@ def q_metrics_by_group(spark, sf):
 # --------------------------------------------------------------- interactions
 
 def _d2_fit(spark, sf):
-    L = fr.frame_l(spark, sf)
+    L = fr.frame_l_once(spark, sf)
     keep, levels = clean.fit_lumping_levels(L, ["l_returnflag", "o_orderpriority"])
     df = clean.apply_lumping(L, keep)
     return interact.interactions(df, ["l_returnflag", "o_orderpriority"], [], ["net"], max_depth=2, levels=levels)
@@ -445,7 +444,7 @@ def q_interaction_cells_d2(spark, sf):
 
 
 def _num_d1_fit(spark, sf):
-    return interact.interactions(fr.frame_l(spark, sf), [], ["l_discount", "l_tax"], ["net"], max_depth=1)
+    return interact.interactions(fr.frame_l_once(spark, sf), [], ["l_discount", "l_tax"], ["net"], max_depth=1)
 
 
 def q_interaction_numeric_d1(spark, sf):
@@ -486,7 +485,7 @@ def q_interaction_status(spark, sf):
 # ------------------------------------------------------------------------ PCA
 
 def q_pca_variance(spark, sf):
-    df = fr.frame_l(spark, sf)
+    df = fr.frame_l_once(spark, sf)
     fs = encode.fit_features(df, [], ["l_quantity", "l_discount"])
     res = pca.pca(df, fs.specs)
     return res.variance.select("pc", _r("ratio", D8), _r("cumulative", D8))
@@ -500,7 +499,7 @@ def q_pca_top_contributors(spark, sf):
 
 def q_pca_components_for(spark, sf):
     """Components needed for 80 % and 95 % of the variance."""
-    df = fr.frame_l(spark, sf)
+    df = fr.frame_l_once(spark, sf)
     fs = encode.fit_features(df, [], ["l_quantity", "l_discount"])
     return pca.pca(df, fs.specs).components_for()
 
@@ -511,7 +510,7 @@ def q_pca_summary(spark, sf):
 
 
 def _pca_two(spark, sf):
-    L = fr.frame_l(spark, sf)
+    L = fr.frame_l_once(spark, sf)
     return pca.pca(L, [("quantity", F.col("l_quantity")), ("price", F.col("l_extendedprice") / 1000)])
 
 
@@ -527,7 +526,7 @@ def q_pca_top_two(spark, sf):
 
 def q_pdp_grid_percentiles(spark, sf):
     """G6 grid: distinct values, or 100 points between exact percentiles."""
-    g = explain.pdp_grid(fr.frame_l(spark, sf), ["l_extendedprice", "l_quantity"])
+    g = explain.pdp_grid(fr.frame_l_once(spark, sf, ["l_extendedprice", "l_quantity"]), ["l_extendedprice", "l_quantity"])
     return g.select("feature", F.posexplode("values").alias("point", "value")).select(
         "feature", "point", _r("value", D6))
 
@@ -849,7 +848,7 @@ def q_significant_terms(spark, sf):
 
 def _band_fit(spark, sf):
     """net ~ 1 + l_returnflag:disc_band, whose bands are significant."""
-    L = fr.frame_l(spark, sf).withColumn("disc_band", F.concat(
+    L = fr.frame_l_once(spark, sf).withColumn("disc_band", F.concat(
         F.lit("d"), F.floor(F.round(F.col("l_discount") * 100) / 4).cast("string")))
     keep, levels = clean.fit_lumping_levels(L, ["l_returnflag", "disc_band"])
     df = clean.apply_lumping(L, keep)
@@ -957,7 +956,7 @@ def q_summary_facts(spark, sf):
 
 def q_linear_facts(spark, sf):
     """H6: intercept, significant slope, fit and skew notes in words (the p value is left out of the text)."""
-    fit = linear.regression(fr.frame_l(spark, sf), ["l_discount"], ["net"])
+    fit = linear.regression(fr.frame_l_once(spark, sf), ["l_discount"], ["net"])
     sk = stats.skew_check(fr.frame_v(spark, sf), ["value", "user_id", "event_id"])
     facts = rollup.summary_facts(fit.coefficients, fit.fit, skew=sk)
     return facts.select("target", "section", "ord", "subject", _r("value", D4),

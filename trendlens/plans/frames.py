@@ -9,16 +9,21 @@ J  first-child left join customer <- first order <- measurements.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendlens.roles import Roles
+from trendlens.session import scratch_path
 
 L_ROLES = Roles(categoricals=("l_returnflag", "l_linestatus", "o_orderpriority"),
                 numerics=("l_quantity", "l_discount", "l_tax"),
                 targets=("l_extendedprice", "net"))
 P_ROLES = Roles(categoricals=("p_brand", "p_type"), numerics=("p_size",), targets=("p_retailprice",))
 
+_NET = "l_extendedprice * (1 - l_discount) * (1 + l_tax)"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,7 +35,22 @@ def frame_l(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     j = li.join(od, li.l_orderkey == od.o_orderkey, "inner").drop("o_orderkey")
-    return j.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+    return j.withColumn("net", F.expr(_NET))
+
+
+def frame_l_once(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """L (or ``columns`` of it) for queries of several passes: joined once and
+    stored under the shared folder, instead of shuffling lineitem anew in
+    every pass.  ``net`` is worked out on reading."""
+    wanted = list(columns) if columns is not None else frame_l(spark, sf_dir).columns
+    held = [c for c in wanted if c != "net"]
+    if "net" in wanted:
+        held += [c for c in ("l_extendedprice", "l_discount", "l_tax") if c not in held]
+    joined = frame_l(spark, sf_dir).select(*held)
+    path = scratch_path(spark, "frame-l")
+    joined.write.parquet(path)
+    stored = spark.read.schema(joined.schema).parquet(path)
+    return (stored.withColumn("net", F.expr(_NET)) if "net" in wanted else stored).select(*wanted)
 
 
 def frame_l_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,3 +230,79 @@ def test_equal_variants_are_scored_once(spark):
         v = x.copy()
         v[:, r.feature_idx] = x[explain.shuffled_index(np.arange(n), n, 0, np.full(n, r.repeat)), r.feature_idx]
         assert abs(r.importance - (err(v) - err(x)) / ((y - y.mean()) ** 2).sum()) < 1e-8
+
+
+def _binned_rows(spark, n=600, seed=8):
+    rng = np.random.default_rng(seed)
+    pdf = pd.DataFrame({"id": rng.permutation(n) * 3, "a": rng.integers(0, 50, n).astype(float),
+                        "b": rng.integers(0, 2, n).astype(float), "c": rng.integers(0, 6, n) / 7})
+    pdf["y"] = 1e4 + np.sin(pdf.a) * 5 + pdf.b * pdf.c + rng.normal(size=n)
+    return pdf, forest.assemble(spark.createDataFrame(pdf), ["a", "b", "c"], keep=["id", "y"])
+
+
+def test_a_fit_takes_no_more_jobs_when_trees_are_deeper(spark):
+    pdf, vec = _binned_rows(spark)
+    sc, jobs = spark.sparkContext, []
+    for depth in (1, 30):
+        sc.setJobGroup(f"fit-{depth}", "fit")
+        model = forest.fit_forest(vec, "y", trees=3, max_depth=depth, key=["id"])
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"fit-{depth}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] and max(t.depth for t in model.trees) > 8
+
+
+def test_forests_grown_from_cells_are_those_of_spark_ml(spark, monkeypatch):
+    from trendlens.operators import grow
+
+    pdf, vec = _binned_rows(spark)
+    got = []
+    for cells in (grow.MOST_CELLS, 0):
+        monkeypatch.setattr(grow, "MOST_CELLS", cells)
+        model = forest.fit_forest(vec, "y", trees=2, max_bins=16, bootstrap=False, min_instances=3, max_depth=7, key=["id"])
+        assert hasattr(model, "stored_at") == bool(cells)
+        importance = model.featureImportances.toArray()
+        got.append((model.totalNumNodes, [t.depth for t in model.trees], importance,
+                    {r.id: r.prediction for r in model.transform(vec).collect()}))
+    assert got[0][:2] == got[1][:2]
+    assert np.allclose(got[0][2], got[1][2]) and got[0][3].keys() == got[1][3].keys()
+    assert all(abs(v - got[1][3][k]) < 1e-8 for k, v in got[0][3].items())
+
+
+def test_cell_sums_of_a_bootstrapped_forest_match_plain_python(spark, monkeypatch):
+    from trendlens.operators import grow
+
+    pdf, vec = _binned_rows(spark)
+    monkeypatch.setattr(grow, "BLOCK_ROWS", 50)      # several blocks a cell
+    model = forest.fit_forest(vec, "y", trees=10, max_bins=64, seed=5, key=["id"])
+    assert len(model.trees) == model.getNumTrees == 10 and model.numFeatures == 3
+    pdf = pdf.sort_values("id").reset_index(drop=True)
+    w = grow.bootstrap_weights(np.arange(len(pdf)), 10, 5).astype(float)
+    assert abs(w.mean() - 1) < 0.05 and abs(w.var() - 1) < 0.1
+    roots = spark.read.parquet(f"{model.stored_at}/data").where("nodeData.id = 0").select("treeID", "nodeData.impurityStats").collect()
+    for r in roots:
+        own, y = w[:, r.treeID], pdf.y.to_numpy()
+        assert np.allclose(r.impurityStats, [own.sum(), (own * y).sum(), (own * y * y).sum()], rtol=1e-12)
+    # grown to the end, a tree predicts the weighted mean of every cell it drew rows of
+    one, x = model.trees[3], ["a", "b", "c"]
+    cells = pdf.assign(w=w[:, 3], wy=w[:, 3] * pdf.y).groupby(x)[["w", "wy"]].sum().query("w > 0")
+    from pyspark.ml.linalg import Vectors
+
+    for v, r in list(cells.iterrows())[::5]:
+        assert abs(one.predict(Vectors.dense(*v)) - r.wy / r.w) < 1e-7
+
+
+def test_cuts_split_skewed_values_as_spark_ml_does():
+    from trendlens.operators.grow import candidate_cuts
+
+    assert candidate_cuts([0.0, 1.0, 4.0], [5, 1, 1], 5).tolist() == [0.5, 2.5]
+    assert candidate_cuts([3.0], [9], 5).tolist() == []
+    assert candidate_cuts([1.0, 2.0, 3.0, 4.0, 5.0], [1, 1, 6, 1, 1], 2).tolist() == [2.5, 3.5]
+
+
+def test_values_that_spark_ml_judges_are_left_to_it(spark):
+    odd = spark.createDataFrame([(i, float(i % 3), None if i == 4 else float(i)) for i in range(20)], "id int, a double, y double")
+    with pytest.raises(Exception):
+        forest.fit_forest(forest.assemble(odd, ["a"], keep=["id", "y"]), "y", trees=1, key=["id"])
+    one = spark.createDataFrame([(1, 2.0, 3.0)], "id int, a double, y double")
+    vec = forest.assemble(one, ["a"], keep=["id", "y"])
+    assert forest.predictions(forest.fit_forest(vec, "y", trees=1, bootstrap=False, key=["id"]), vec).first().prediction == 3.0

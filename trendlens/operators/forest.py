@@ -1,8 +1,9 @@
 """Random forest regression (E5, E6) and its stored trees.
 
-Training is Spark ML's ``RandomForestRegressor`` (distributed histogram
-splits) on a fixed layout of the rows, so that the bootstrap does not depend on
-how the input happened to be split.  The fitted forest is saved under the
+Training is by histogram splits, on the rows' cells (``operators.grow``) or, where
+these are too many, by Spark ML's ``RandomForestRegressor`` on a fixed layout of
+the rows, so that the bootstrap does not depend on how the input happened to be
+split; the model is Spark ML's either way.  The fitted forest is saved under the
 shared checkpoint folder and its node table read back with Spark.  ``tree_tables``
 deals the trees to groups of bounded size and stores two tables: the nodes, and
 one row a leaf with, for every feature on its path, the interval ``(above, upto]``
@@ -84,7 +85,8 @@ def fit_forest(df: DataFrame, label: str, features_col: str = "features", *, tre
     cuts (all midpoints when it has no more distinct values);
     ``bootstrap=False`` trains every tree on all rows.  With ``key`` rows are
     laid out in its order first, and the forest does not depend on the input's
-    partitions."""
+    partitions; it is grown from the rows' cells (``operators.grow``) unless these
+    are too many, or ``feature_subset`` is not all."""
     from pyspark.ml.regression import RandomForestRegressor
 
     rf = RandomForestRegressor(featuresCol=features_col, labelCol=label, numTrees=trees,
@@ -95,10 +97,23 @@ def fit_forest(df: DataFrame, label: str, features_col: str = "features", *, tre
                                # checkpointed to the shared folder, cutting lineage
                                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     from trendlens.operators.gram import spread
+    from trendlens.operators.grow import grown_forest
 
+    if key and feature_subset == "all":
+        model = grown_forest(rf, df, key)
+        if model is not None:
+            return model
     return rf.fit(laid_out(df.select(*dict.fromkeys([label, features_col, *key])), key, features_col) if key else spread(df))
 
 
+def predictions(model, df: DataFrame, features_col: str = "features") -> DataFrame:
+    """``df`` scored by a forest, its rows spread over all tasks and in order of
+    their features: neighbours pass the same nodes, which stay in the processor's cache."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return model.transform(df.repartition(parts).sortWithinPartitions(vector_to_array(F.col(features_col))))
+
+
 def save_model(spark: SparkSession, model, path: str | None = None) -> str:
     """Spark ML persistence under the shared folder."""
     path = path or scratch_path(spark, "forest")
@@ -167,7 +182,7 @@ def tree_tables(spark: SparkSession, model, n_features: int, path: str | None =
     Trees are dealt to groups of at most ``group_nodes`` nodes (a larger tree is
     a group of its own): a group is what one explaining task holds.
     """
-    path = save_model(spark, model, path)
+    path = save_model(spark, model, path) if path or not hasattr(model, "stored_at") else model.stored_at
     weights = list(model.treeWeights)
     nodes = _node_table(spark, path, weights)
     sizes = {r["tree"]: r["n"] for r in nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()}

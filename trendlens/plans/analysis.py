@@ -171,16 +171,14 @@ def forest_cv(vec: DataFrame, label: str, key, opts: Options) -> DataFrame:
     """E6 for the forest: contiguous folds in key order, one forest per fold
     trained on the other folds and scored on its own (``fold, r2``)."""
     folded = kfold(vec, list(key), k=opts.cv_folds).persist(StorageLevel.MEMORY_AND_DISK)
-    outs = []
+    scores = []
     for k in range(opts.cv_folds):
         m = forest.fit_forest(folded.where(F.col("fold") != k), label, trees=opts.trees, max_depth=opts.max_depth,
                               max_bins=opts.max_bins, bootstrap=opts.bootstrap, key=key)
-        outs.append(stats.metrics(m.transform(folded.where(F.col("fold") == k)), label, "prediction")
-                    .select(F.lit(k).alias("fold"), "r2"))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+        # scored at once, one row: only one fold's forest is held at a time
+        scores.append((k, stats.metrics(forest.predictions(m, folded.where(F.col("fold") == k)), label, "prediction").first()["r2"]))
+    folded.unpersist()
+    return vec.sparkSession.createDataFrame(scores, "fold int, r2 double").coalesce(1)
 
 
 def summarize(spark: SparkSession, run: Run, alpha: float = 0.05) -> dict:

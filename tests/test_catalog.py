@@ -56,3 +56,18 @@ def test_frame_l_once_is_joined_once_with_the_same_rows(spark):
     assert once.columns == again.columns and once.exceptAll(again).count() == again.exceptAll(once).count() == 0
     assert "Join" not in once._jdf.queryExecution().executedPlan().toString()
     assert fr.frame_l_once(spark, SF001, ["net"]).columns == ["net"]
+
+
+@pytest.mark.parametrize("spoilt", ["l_extendedprice", "net"])
+def test_ols_full_coefs_checks_the_fit_of_both_targets(spark, monkeypatch, spoilt):
+    from trendlens.operators import linear
+
+    true = linear.predict
+
+    def off_by_one(df, coefficients, features, target, out="prediction", by=()):
+        got = true(df, coefficients, features, target, out, by)
+        return got.withColumn(out, got[out] + (1.0 if target == spoilt else 0.0))
+
+    monkeypatch.setattr(linear, "predict", off_by_one)
+    rows = {r.term: r.orthogonal for r in se.queries()["ols_full_coefs"](spark, SF001).collect()}
+    assert len(rows) == 11 and not rows["Intercept"]

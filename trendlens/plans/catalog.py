@@ -8,6 +8,8 @@ hash compares like with like.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -397,17 +399,23 @@ def _l_features(spark, sf):
 
 def q_ols_full_coefs(spark, sf):
     """Full L model (all one-hot + scaled inputs, both targets); checked by
-    the normal equations: the residual is orthogonal to every column."""
+    the normal equations: the residuals of both are orthogonal to every column."""
     df, fs = _l_features(spark, sf)
-    fit = linear.regression(df, fs.specs, ["net"])
-    scored = linear.predict(df, fit.coefficients, fs.specs, "net")
-    e = F.col("net") - F.col("prediction")
+    targets = list(fr.L_ROLES.targets)
+    fit = linear.regression(df, fs.specs, targets, targets_complete=True)
+    scored = df
+    for t in targets:
+        scored = linear.predict(scored, fit.coefficients, fs.specs, t, out=f"_hat_{t}")
+    e = [F.col(t) - F.col(f"_hat_{t}") for t in targets]
     cols = [("Intercept", F.lit(1.0))] + fs.specs
-    agg = scored.agg(F.sum(e * e).alias("_ee"),
-                     *[F.sum(e * c).alias(f"_x{i}") for i, (_, c) in enumerate(cols)],
+    agg = scored.agg(*[F.sum(r * r).alias(f"_ee{j}") for j, r in enumerate(e)],
+                     *[F.sum(r * c).alias(f"_x{j}_{i}") for j, r in enumerate(e) for i, (_, c) in enumerate(cols)],
                      *[F.sum(c * c).alias(f"_c{i}") for i, (_, c) in enumerate(cols)])
-    items = [F.struct(F.lit(n).alias("term"),
-                      (F.abs(F.col(f"_x{i}")) <= F.lit(1e-9) * F.sqrt(F.col("_ee") * F.col(f"_c{i}"))).alias("orthogonal"))
+
+    def orthogonal(j, i):
+        return F.abs(F.col(f"_x{j}_{i}")) <= F.lit(1e-9) * F.sqrt(F.col(f"_ee{j}") * F.col(f"_c{i}"))
+
+    items = [F.struct(F.lit(n).alias("term"), reduce(and_, [orthogonal(j, i) for j in range(len(e))]).alias("orthogonal"))
              for i, (n, _) in enumerate(cols)]
     return agg.select(F.explode(F.array(*items)).alias("s")).select("s.*")
 

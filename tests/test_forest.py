@@ -306,3 +306,18 @@ def test_values_that_spark_ml_judges_are_left_to_it(spark):
     one = spark.createDataFrame([(1, 2.0, 3.0)], "id int, a double, y double")
     vec = forest.assemble(one, ["a"], keep=["id", "y"])
     assert forest.predictions(forest.fit_forest(vec, "y", trees=1, bootstrap=False, key=["id"]), vec).first().prediction == 3.0
+
+
+def test_predictions_are_those_of_the_stored_model(spark, monkeypatch):
+    from trendlens.operators import grow
+
+    pdf, vec = _binned_rows(spark)
+    model = forest.fit_forest(vec, "y", trees=9, key=["id"])
+    odd = forest.assemble(vec.unionByName(vec.limit(40)).selectExpr("id", "y", "a + 0.3 as a", "b", "c"), ["a", "b", "c"], keep=["id", "y"])
+    want = sorted((r.id, r.prediction) for r in model.transform(odd).collect())
+    for most in (grow.MOST_NODES, 0):
+        monkeypatch.setattr(grow, "MOST_NODES", most)
+        out = forest.predictions(model, odd.select("id", "features"))
+        got = sorted((r.id, r.prediction) for r in out.collect())
+        assert out.columns == ["id", "prediction"] and len(got) == len(pdf) + 40
+        assert all(a == b and abs(p - q) < 1e-8 for (a, p), (b, q) in zip(want, got))

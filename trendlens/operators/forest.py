@@ -107,11 +107,20 @@ def fit_forest(df: DataFrame, label: str, features_col: str = "features", *, tre
 
 
 def predictions(model, df: DataFrame, features_col: str = "features") -> DataFrame:
-    """``df`` scored by a forest, its rows spread over all tasks and in order of
-    their features: neighbours pass the same nodes, which stay in the processor's cache."""
+    """The columns of ``df`` but the features, and ``prediction``.  Rows are spread over all
+    tasks and lie in order of their features: neighbours pass the same nodes,
+    which stay in the processor's cache."""
+    from trendlens.operators import grow
+
     spark = df.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return model.transform(df.repartition(parts).sortWithinPartitions(vector_to_array(F.col(features_col))))
+    others = [c for c in df.columns if c != features_col]
+    x = vector_to_array(F.col(features_col))
+    if isinstance(model, grow.GrownForest):
+        out = grow.scored(model, df.select(*others, x.alias("_x")).repartition(parts).sortWithinPartitions("_x"), "_x")
+        if out is not None:
+            return out
+    return model.transform(df.repartition(parts).sortWithinPartitions(x)).select(*others, "prediction")
 
 
 def save_model(spark: SparkSession, model, path: str | None = None) -> str:

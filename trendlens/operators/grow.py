@@ -12,7 +12,8 @@ trains on rows.
 Cuts follow Spark ML's rule (all midpoints when they fit, else equal shares of
 the rows), over all rows.  Bootstrap weights are Poisson(1), drawn from the row's
 rank in key order, so a forest depends on its rows alone.  Trees are written in
-Spark ML's own format and read back as its model.
+Spark ML's own format; its model is read back once something asks for it, for
+reading one and sending it to tasks take longer than the training.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from trendlens.session import scratch_path
 
 MOST_VALUES = 100_000      # distinct values of all features that the driver reads to choose cuts
 MOST_CELLS = 100_000       # cells a growing task holds
+MOST_NODES = 2_000_000     # nodes (28 bytes each) that a scoring task holds
 GROUP_TREES = 8            # trees that grow in one task
 BLOCK_ROWS = 1 << 18       # rows of a cell that one task sums
 ROUNDING = 1e-13           # a gain below this share of its terms is rounding, not a gain
@@ -193,11 +195,71 @@ def _write_about(rf, spark, path: str, n_features: int, trees: int) -> None:
     spark.createDataFrame(rows, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
 
 
+class GrownForest:
+    """A stored forest.  Attributes other than these are those of Spark ML's model, read when first asked for."""
+
+    def __init__(self, spark, path: str, rf, n_features: int):
+        self.stored_at, self.treeWeights = path, [1.0] * rf.getNumTrees()
+        self._asked, self._model = (rf, spark, path, n_features, rf.getNumTrees()), None
+
+    def __getattr__(self, name: str):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        if self._model is None:
+            from pyspark.ml.regression import RandomForestRegressionModel
+
+            _write_about(*self._asked)
+            self._model = RandomForestRegressionModel.load(self.stored_at)
+        return getattr(self._model, name)
+
+
+def scored(model: GrownForest, rows: DataFrame, features: str) -> DataFrame | None:
+    """``rows`` with the array column ``features`` replaced by ``prediction``, the mean of all trees;
+    equal neighbours are scored once.  None for a forest too large for a task."""
+    spark = rows.sparkSession
+    nodes = spark.read.parquet(f"{model.stored_at}/data")
+    if nodes.count() > MOST_NODES:
+        return None
+    table = nodes.select(
+        "treeID", "nodeData.id", F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"), F.col("nodeData.leftChild").alias("left"),
+        F.col("nodeData.rightChild").alias("right"), F.col("nodeData.prediction").alias("value")).toArrow()
+    got = {c: table.column(c).to_numpy() for c in table.column_names}
+    order = np.lexsort((got["id"], got["treeID"]))
+    first = np.flatnonzero(got["id"][order] == 0)
+    base = np.repeat(first, np.diff(np.append(first, len(order))))
+    packed = spark.sparkContext.broadcast([
+        first, *[got[c][order].astype(t) for c, t in (("feature", np.int32), ("cut", float), ("value", float))],
+        *[(got[c][order] + base).astype(np.int32) for c in ("left", "right")]])
+    others = [c for c in rows.columns if c != features]
+
+    def score(batches):
+        first, feature, cut, value, left, right = packed.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(features).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            run = np.append(True, (x[1:] != x[:-1]).any(axis=1))
+            x, total = x[run], np.zeros(run.sum())
+            for root in first:
+                row, at = np.arange(len(x)), np.full(len(x), root)
+                while len(row):
+                    done = feature[at] < 0
+                    total[row[done]] += value[at[done]]
+                    row, at = row[~done], at[~done]
+                    at = np.where(x[row, feature[at]] <= cut[at], left[at], right[at])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], pa.array((total / len(first))[np.cumsum(run) - 1])],
+                                             [*others, "prediction"])
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*[rows.schema[c] for c in others], T.StructField("prediction", T.DoubleType())])
+    return rows.mapInArrow(score, schema)
+
+
 def grown_forest(rf, df: DataFrame, key: Sequence[str]):
     """The model that the estimator ``rf`` (all features at every split) asks for, grown from
     cells; None where there are too many values or cells, or values that only Spark ML judges."""
-    from pyspark.ml.regression import RandomForestRegressionModel
-
     spark = df.sparkSession
     label, trees, max_depth, least = rf.getLabelCol(), rf.getNumTrees(), rf.getMaxDepth(), rf.getMinInstancesPerNode()
     seed, bootstrap = rf.getSeed(), rf.getBootstrap()
@@ -273,7 +335,4 @@ def grown_forest(rf, df: DataFrame, key: Sequence[str]):
     blocks = binned.repartition(layout_parts(n), "_cell", F.floor(F.col("_row") / BLOCK_ROWS)).sortWithinPartitions("_cell", "_row")
     (blocks.mapInArrow(to_sums, _SUM_SCHEMA).repartitionById(groups, F.col("_group"))
            .sortWithinPartitions("_group", "_cell", "_start").mapInArrow(to_trees, _NODE_SCHEMA).write.parquet(f"{path}/data"))
-    _write_about(rf, spark, path, p, trees)
-    model = RandomForestRegressionModel.load(path)
-    model.stored_at = path
-    return model
+    return GrownForest(spark, path, rf, p)

@@ -176,7 +176,8 @@ def forest_cv(vec: DataFrame, label: str, key, opts: Options) -> DataFrame:
         m = forest.fit_forest(folded.where(F.col("fold") != k), label, trees=opts.trees, max_depth=opts.max_depth,
                               max_bins=opts.max_bins, bootstrap=opts.bootstrap, key=key)
         # scored at once, one row: only one fold's forest is held at a time
-        scores.append((k, stats.metrics(forest.predictions(m, folded.where(F.col("fold") == k)), label, "prediction").first()["r2"]))
+        scores.append((k, stats.metrics(forest.predictions(m, folded.where(F.col("fold") == k).select(label, "features")),
+                                        label, "prediction").first()["r2"]))
     folded.unpersist()
     return vec.sparkSession.createDataFrame(scores, "fold int, r2 double").coalesce(1)
 
